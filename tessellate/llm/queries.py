@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_bpe
+from . import media, packing, sentencepiece_bpe
 
 TOKENIZERS = os.environ.get("TESSELLATE_TOKENIZERS", "/opt/tokenizers")
 
@@ -19,7 +19,17 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_packing": op3_packing,
+    "op4_media": op4_media,
 }
 ORACLE: dict[str, str] = {}
