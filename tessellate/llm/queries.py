@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, sentencepiece_bpe
+from . import media, packing, sentencepiece_bpe, simhash
 
 TOKENIZERS = os.environ.get("TESSELLATE_TOKENIZERS", "/opt/tokenizers")
 
@@ -15,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(_read(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
@@ -28,6 +32,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
