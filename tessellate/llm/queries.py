@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, sentencepiece_bpe, simhash
+from . import media, packing, sentencepiece_bpe, simhash, sketch
 
 TOKENIZERS = os.environ.get("TESSELLATE_TOKENIZERS", "/opt/tokenizers")
 
@@ -31,10 +31,15 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(_read(spark, sf_dir, "documents"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
+    "op5_fingerprint": op5_fingerprint,
 }
 ORACLE: dict[str, str] = {}
