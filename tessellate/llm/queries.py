@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, sentencepiece_bpe, simhash, sketch
+from . import html, langid, media, packing, quality, sentencepiece_bpe, simhash, sketch, toxicity
 
 TOKENIZERS = os.environ.get("TESSELLATE_TOKENIZERS", "/opt/tokenizers")
 
@@ -35,11 +35,31 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_read(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.selected(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
     "op5_fingerprint": op5_fingerprint,
+    "op7_langid": op7_langid,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
+    "op10_html": op10_html,
 }
 ORACLE: dict[str, str] = {}
