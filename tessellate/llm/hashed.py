@@ -38,14 +38,36 @@ def word_hash(token: str) -> int:
     return xxhash.xxh64_intdigest((token.strip(EDGES) or token).lower().encode(), 7)
 
 
+def stem_hashes(token: str) -> tuple[int, ...]:
+    """Of the first four and five letters of a longer word."""
+    word = (token.strip(EDGES) or token).lower()
+    return tuple(xxhash.xxh64_intdigest(word[:n].encode(), n) for n in (4, 5) if len(word) > n)
+
+
 def buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The upper bits of mixed hashes."""
     return ((hashes * MIX[0]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def gram_buckets(words: np.ndarray, bits: int, grams: int = 2, skips: int = 1) -> np.ndarray:
-    """Distinct buckets of the word n-grams up to ``grams`` and the skip-grams over up to ``skips`` words."""
-    parts, run = [words], words
+class Grams:
+    """Distinct buckets of a text's words, their stems, n-grams and skip-grams."""
+
+    def __init__(self, bits: int, grams: int = 2, skips: int = 1):
+        self.bits, self.grams, self.skips = bits, grams, skips
+        self.words, self.stems = Remembered(word_hash), Remembered(stem_hashes)
+
+    def of(self, text: str) -> np.ndarray:
+        tokens = text.split()
+        stems = {h for t in set(tokens) for h in self.stems[t]}
+        if len(self.stems) > REMEMBERED:
+            self.stems.clear()
+        stems = np.fromiter(stems, np.uint64, len(stems))
+        return gram_buckets(self.words.of(tokens, np.uint64), self.bits, self.grams, self.skips, stems)
+
+
+def gram_buckets(words: np.ndarray, bits: int, grams: int, skips: int, more: np.ndarray) -> np.ndarray:
+    """Distinct buckets of the word n-grams up to ``grams``, the skip-grams over up to ``skips`` words, and ``more`` hashes."""
+    parts, run = [words, more], words
     with np.errstate(over="ignore"):
         for n in range(1, grams):
             run = run[:-1] * MIX[1] + words[n:]

@@ -1,4 +1,4 @@
-"""Toxicity scores by FTRL-proximal logistic regression over hashed n-grams and skip-grams.
+"""Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 The model is fitted on the driver, on a bounded sample of labelled documents.  Every
 coordinate has its own learning rate, and the L1 term leaves most weights at exactly
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, pick
-from .hashed import Remembered, gram_buckets, labelled, word_hash
+from .hashed import Grams, labelled
 
 FOLDS, TEST_FOLD = 5, 0
 
@@ -26,9 +26,9 @@ class FTRL:
     """FTRL-proximal logistic regression on sets of hashed features."""
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 4.0
     l2: float = 0.1
     bias: float = 0.0
     z: np.ndarray = field(init=False, repr=False)
@@ -57,7 +57,7 @@ class FTRL:
         return at, w[:-1][at], float(w[-1])
 
 
-def fit(rows: list[tuple[int, str]], counts: dict[int, int], bits: int = 20, epochs: int = 3) -> dict:
+def fit(rows: list[tuple[int, str]], counts: dict[int, int], bits: int = 20, epochs: int = 4) -> dict:
     """Sparse weights from (label, text) rows; the intercept is set to the labels' share in ``counts``.
 
     Without rows of both labels every score is the share of label 1 (0.5 without any).
@@ -67,8 +67,8 @@ def fit(rows: list[tuple[int, str]], counts: dict[int, int], bits: int = 20, epo
     share = min(max(counts.get(1, 0) / all_ if all_ else 0.5, 1e-6), 1 - 1e-6)
     if not 0 < positives < len(rows):
         return {"bits": bits, "at": np.empty(0, np.int64), "w": np.empty(0), "bias": float(np.log(share / (1 - share)))}
-    hashes, model = Remembered(word_hash), FTRL(bits)
-    data = [(gram_buckets(hashes.of(t.split(), np.uint64), bits), y) for y, t in rows]
+    features, model = Grams(bits), FTRL(bits)
+    data = [(features.of(t), y) for y, t in rows]
     rng = np.random.default_rng(17)
     for _ in range(epochs):
         for k in rng.permutation(len(data)).tolist():
@@ -84,11 +84,12 @@ def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes = sent.value, Remembered(word_hash)
+        m = sent.value
+        features = Grams(m["bits"])
         weight = np.zeros(1 << m["bits"])
         weight[m["at"]] = m["w"]
         for batch in batches:
-            logits = [weight[gram_buckets(hashes.of((t.as_py() or "").split(), np.uint64), m["bits"])].sum() for t in batch.column("t")]
+            logits = [weight[features.of(t.as_py() or "")].sum() for t in batch.column("t")]
             p = 1 / (1 + np.exp(-np.clip(np.array(logits, float) + m["bias"], -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(p)], ["doc_id", "score"])
 
