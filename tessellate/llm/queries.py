@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html, langid, media, packing, quality, sentencepiece_bpe, simhash, sketch, toxicity
+from . import html, langid, lines, media, packing, quality, sentencepiece_bpe, simhash, sketch, toxicity
 
 TOKENIZERS = os.environ.get("TESSELLATE_TOKENIZERS", "/opt/tokenizers")
 
@@ -35,6 +36,11 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the removed lines as text, joined by commas."""
+    return lines.decisions(_read(spark, sf_dir, "documents")).withColumn("removed", F.array_join("removed", ","))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_read(spark, sf_dir, "documents"))
 
@@ -57,9 +63,10 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_media": op4_media,
     "op5_fingerprint": op5_fingerprint,
+    "op6_lines": op6_lines,
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_html": op10_html,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_lines": lines.SQL}
