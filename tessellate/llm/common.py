@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True where crc32 of the id as text, modulo ``folds``, is ``fold`` (null ids: False)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def masked(docs: DataFrame, text_col: str, decider: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of ``docs`` whose text (null: empty) is accepted; all columns pass through.
+
+    ``decider`` is called once in a task and gives the function that decides on a batch.
+    """
+    names, at = docs.columns, docs.columns.index(text_col)
+    numbered = docs.toDF(*[f"_{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = decider()
+        for batch in batches:
+            kept = decide([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*names)

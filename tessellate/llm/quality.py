@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import masked, pick
 from .hashed import MIX, Remembered, buckets, labelled, word_hash
 
 BITS = 16
@@ -135,3 +135,18 @@ def selected(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int =
     null ids stay; an empty table gives an empty table.
     """
     return graded(docs, model_of(docs, labels, most)).withColumn("keep", F.col("tail_probability") >= least)
+
+
+def of_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 3000, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose tail probability is at least ``least``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model_of(docs, labels, most))
+
+    def decider():
+        features, m = Features(), sent.value
+
+        def decide(texts: list[str]) -> list[bool]:
+            return [not len(m["t"]) or bool(tails(m, *features.of(t))[-1] >= least) for t in texts]
+
+        return decide
+
+    return masked(docs, text_col, decider)

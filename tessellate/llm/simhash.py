@@ -249,3 +249,52 @@ def grouped(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "d
     found = classes.select("fp", "root").join(least, "root").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(found, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def jaccard(a: str, b: str, words: int) -> float:
+    """Similarity of two texts' sets of word shingles; 1 if neither has words."""
+    sets = []
+    for text in (a, b):
+        w = text.encode().lower().split()
+        sets.append({b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    union = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / union if union else 1.0
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, group_id``: near-duplicate groups whose spanning links are verified on the texts.
+
+    Fingerprints of at most ``max_bits`` differing bits are linked, the closest first, as in
+    :func:`links`; a link stays if the word shingles of both texts have a Jaccard
+    similarity of ``least`` or more.  Documents of one fingerprint are one class, shown by
+    its least id.  ``group_id`` is the least id of the group; rows with a null id never
+    give one.
+    """
+    texts = pick(docs, k=id_col, t=text_col)
+    fps = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    found = written(links(classes, max_bits, same=2, tiers=(3, max_bits)), "links")
+    ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct().join(classes, "fp")
+    shown = ends.join(texts.dropDuplicates(["k"]), ends["least"] == texts["k"]).select("fp", F.coalesce("t", F.lit("")).alias("t"))
+    shown = written(shown, "link-texts")
+    pairs = found.join(shown.select(F.col("fp").alias("a"), F.col("t").alias("ta")), "a").join(shown.select(F.col("fp").alias("b"), F.col("t").alias("tb")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [jaccard(a.as_py(), b.as_py(), words) >= least for a, b in zip(batch.column("ta"), batch.column("tb"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    roots = components(pairs.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint"))
+    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = classes.groupBy("root").agg(F.min("least").alias("group_id"))
+    return fps.join(classes.select("fp", "root").join(groups, "root").select("fp", "group_id"), "fp").select("doc_id", "group_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those that are near-duplicates of a document with a lower id; columns as they are.
+
+    Rows with a null id stay; rows of one id are one document and stay or go together.
+    """
+    groups = near_duplicates(docs, words, least, max_bits, id_col, text_col)
+    gone = groups.filter("doc_id > group_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
