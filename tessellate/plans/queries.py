@@ -1,4 +1,348 @@
-"""Registered queries."""
+"""Registered queries over the test tables, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..functions.formats import Example, Extraction, Template
+from ..operators import documents, extraction, inference, review
+from ..sources import documents as sources
+from . import extract as plan
+
+#: What the offline provider looks for.
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "license": r"Apache License|MIT License|GNU General Public License|CC BY[A-Z-]*",
+    "address": r"\b\d{1,3}(?:\.\d{1,3}){3}\b",
+    "phone": r"\+?\d[\d ().-]{7,}\d",
+}
+TEMPLATE = Template("Extract contact details and licences in the order they appear.", [Example("Write to ann@example.org.", [Extraction("email", "ann@example.org")])])
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.from_table(_docs(spark, sf_dir), "doc_id", "text")
+
+
+def _long(name: str):
+    return F.col(name).cast("bigint").alias(name)
+
+
+def doc_scan_project(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", "lang", "n_chars")
+
+
+def doc_filter_lang(spark, sf_dir):
+    return _docs(spark, sf_dir).filter(F.col("lang") == "de").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+def doc_prompt_dedup(spark, sf_dir):
+    return _docs(spark, sf_dir).agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_distinct"))
+
+
+def _tokens(spark, sf_dir):
+    return documents.token_rows(_docs(spark, sf_dir), "doc_id")
+
+
+def token_stats_by_doc(spark, sf_dir):
+    return _tokens(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("start_pos").alias("sum_start"), F.max("index").cast("bigint").alias("last_index"))
+
+
+def token_type_counts(spark, sf_dir):
+    return _tokens(spark, sf_dir).groupBy("token_type").agg(F.count("*").alias("n"))
+
+
+def newline_flags(spark, sf_dir):
+    return _tokens(spark, sf_dir).filter("first_token_after_newline").groupBy("doc_id").agg(F.count("*").alias("n_breaks"), F.sum("index").alias("sum_index"))
+
+
+def token_norm_topk(spark, sf_dir):
+    words = _tokens(spark, sf_dir).filter("token_type = 0").select(text.normalized_token(F.col("token")).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
+
+
+def sentence_stats_by_doc(spark, sf_dir):
+    found = documents.sentence_rows(_docs(spark, sf_dir), "doc_id")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.col("token_end") - F.col("token_start")).cast("bigint").alias("longest"), F.sum("token_start").alias("sum_start"))
+
+
+def sanitize_text(spark, sf_dir):
+    clean = text.sanitized(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.length(clean).cast("bigint").alias("n_clean"), F.sha2(clean.cast("binary"), 256).alias("clean_sha256"))
+
+
+def chunk_stats_by_doc(spark, sf_dir):
+    rows = documents.chunked(_as_documents(spark, sf_dir), 1000)
+    return rows.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.max(F.col("char_end") - F.col("char_start")).cast("bigint").alias("longest"), F.sum("token_start").alias("sum_start"))
+
+
+def conversation_context(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    previous = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return turns.select("conv_id", "turn", F.concat(F.lit("[Previous text]: ..."), F.right(previous, F.lit(30))).alias("context"))
+
+
+def prompt_render_len(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("chunk_text"), F.lit(None).cast("string").alias("context"))
+    prompt = extraction.prompted(rows, Template("Find names."), inference.format_for(inference.Rules({})))
+    return prompt.select("doc_id", F.length("prompt").cast("bigint").alias("n_prompt"))
+
+
+def batch_assign(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return _docs(spark, sf_dir).select("doc_id", F.floor((n - 1) / 10).cast("bigint").alias("batch"))
+
+
+def _outputs(spark, sf_dir):
+    body = F.concat(F.lit('{"extractions":[{"role":"'), F.col("role"), F.lit('"}]}'))
+    k = F.pmod("turn", F.lit(4))
+    made = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, body).when(k == 2, F.concat(F.lit("```json\n"), body, F.lit("\n```\n```\n{}\n```"))).otherwise("```json\nbroken\n```")
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", made.alias("output"))
+
+
+def fence_extract(spark, sf_dir):
+    bodies = text.fence_bodies(F.col("output"))
+    body = F.when(F.size(bodies) == 1, F.get(bodies, F.lit(0))).when(F.size(bodies) == 0, F.trim("output"))
+    return _outputs(spark, sf_dir).select("conv_id", "turn", F.size(bodies).cast("bigint").alias("n_blocks"), body.alias("body"))
+
+
+def json_parse_status(spark, sf_dir):
+    bodies = fence_extract(spark, sf_dir).withColumn("items", F.from_json("body", "extractions array<map<string,string>>")["extractions"])
+    status = F.when(F.col("n_blocks") > 1, "many blocks").when(F.col("items").isNull(), "not parsed").otherwise("parsed")
+    return bodies.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def rules_mentions(spark, sf_dir):
+    hits = F.regexp_extract_all("text", F.lit(RULES["email"]), F.lit(0))
+    return _docs(spark, sf_dir).select("doc_id", F.size(hits).cast("bigint").alias("n_mentions"), F.get(hits, F.lit(0)).alias("first"), F.instr("text", F.lit("@")).cast("bigint").alias("at")).filter("n_mentions > 0")
+
+
+def _intervals(spark, sf_dir):
+    start = F.pmod("l_partkey", F.lit(100)).cast("bigint")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", start.alias("s"), (start + F.col("l_quantity").cast("bigint")).alias("e"))
+
+
+def _overlapping(spark, sf_dir):
+    a, b = _intervals(spark, sf_dir).alias("a"), _intervals(spark, sf_dir).alias("b")
+    hit = text.overlaps(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"))
+    return a, b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")) & hit
+
+
+def overlap_pairs(spark, sf_dir):
+    a, b, on = _overlapping(spark, sf_dir)
+    return a.join(b, on).select("a.l_orderkey", F.col("a.l_linenumber").alias("line_a"), F.col("b.l_linenumber").alias("line_b"))
+
+
+def overlap_semi(spark, sf_dir):
+    a, b, on = _overlapping(spark, sf_dir)
+    return a.join(b, on, "left_semi").select("l_orderkey", "l_linenumber")
+
+
+def overlap_anti(spark, sf_dir):
+    a, b, on = _overlapping(spark, sf_dir)
+    return a.join(b, on, "left_anti").select("l_orderkey", "l_linenumber")
+
+
+def multipass_merge(spark, sf_dir):
+    """The first two intervals of an order are pass one, the others come later, by start and end."""
+    place = F.struct(F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("s", "e"))
+    rows = _intervals(spark, sf_dir).select("l_orderkey", F.struct(n.alias("n"), place.alias("char_interval")).alias("x"))
+    listed = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    kept = extraction.merge_passes(F.filter("all", lambda x: x["n"] <= 2), F.filter("all", lambda x: x["n"] > 2))
+    return listed.select("l_orderkey", F.array_join(F.transform(kept, lambda x: x["n"].cast("string")), ",").alias("kept"))
+
+
+def assemble_docs(spark, sf_dir):
+    found = rules_mentions(spark, sf_dir)
+    return _docs(spark, sf_dir).join(found.select("doc_id", "n_mentions"), "doc_id", "left").select("doc_id", F.coalesce("n_mentions", F.lit(0)).alias("n_extractions"))
+
+
+def class_share(spark, sf_dir):
+    n = _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"))
+    return n.select("lang", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6).alias("share"))
+
+
+def mention_topk(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy("source").agg(F.sum("n_chars").alias("chars")).orderBy(F.desc("chars"), "source").limit(10)
+
+
+def class_rollup(spark, sf_dir):
+    return _docs(spark, sf_dir).rollup("lang", "source").agg(F.count("*").alias("n"))
+
+
+def class_color_index(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select(F.col("source").alias("document_id"), F.col("lang").alias("extraction_class"), F.struct(F.lit(0).alias("start_pos"), F.lit(1).alias("end_pos")).alias("char_interval"))
+    return review.class_colors(rows).select("document_id", "extraction_class", _long("color_index"))
+
+
+def running_chars(spark, sf_dir):
+    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return _docs(spark, sf_dir).select("doc_id", F.sum("n_chars").over(before).alias("chars_so_far"))
+
+
+def _keyed(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("request_key"))
+
+
+def cache_hits(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return rows.filter("lang <> 'en'").join(rows.filter("lang = 'en'").select("request_key"), "request_key", "left_semi").select("doc_id", "request_key")
+
+
+def cache_misses(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return rows.filter("doc_id % 2 = 1").join(rows.filter("doc_id % 2 = 0").select("request_key"), "request_key", "left_anti").select("doc_id")
+
+
+def labels_join_quality(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _docs(spark, sf_dir).join(labels, "doc_id", "left").groupBy("lang", "quality").agg(F.count("*").alias("n"))
+
+
+def benchmark_overlap_docs(spark, sf_dir):
+    def grams(df, key):
+        words = df.select(F.col(key), F.split("text", " ").alias("w"))
+        starts = F.explode(F.sequence(F.lit(1), F.size("w") - 7))
+        return words.filter(F.size("w") >= 8).select(key, "w", starts.alias("i")).select(key, F.array_join(F.slice("w", F.col("i"), 8), " ").alias("g")).distinct()
+
+    items = grams(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
+    return grams(_docs(spark, sf_dir), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_common"))
+
+
+def url_predicate(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy(sources.url_column(F.col("url")).alias("is_url")).agg(F.count("*").alias("n"))
+
+
+def jsonl_roundtrip(spark, sf_dir):
+    path = f"{plan.shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    empty = F.array().cast(f"array<{extraction.EXTRACTION}>")
+    sources.write_jsonl(_docs(spark, sf_dir).select(empty.alias("extractions"), "text", F.col("doc_id").cast("string").alias("document_id")), path)
+    return sources.read_jsonl(spark, path).select("document_id", F.length("text").cast("bigint").alias("n_chars"), F.size("extractions").cast("bigint").alias("n"))
+
+
+def _spec() -> plan.Spec:
+    return plan.Spec(TEMPLATE, inference.Rules(RULES))
+
+
+def extract_documents(spark, sf_dir):
+    """Flagship: chunk, prompt, infer by rules, parse, ground, assemble; extractions by language, class and status."""
+    annotated = plan.extract(_as_documents(spark, sf_dir), _spec())
+    langs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), "lang")
+    rows = annotated.select("document_id", F.explode("extractions").alias("e")).join(langs, "document_id")
+    return rows.groupBy("lang", F.col("e.extraction_class").alias("extraction_class"), F.col("e.alignment_status").alias("alignment_status")).agg(F.count("*").alias("n"))
+
+
+def align_status_counts(spark, sf_dir):
+    rows = extraction.extraction_rows(plan.resolved(_as_documents(spark, sf_dir), _spec()))
+    return rows.groupBy("extraction_class", F.coalesce("alignment_status", F.lit("none")).alias("alignment_status")).agg(F.count("*").alias("n"))
+
+
+def extraction_summary(spark, sf_dir):
+    return extraction.summary(plan.extract(_as_documents(spark, sf_dir), _spec()))
+
+
+def unicode_token_stats(spark, sf_dir):
+    rows = documents.tokenized(_docs(spark, sf_dir), "unicode").select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+    return rows
+
+
+def viz_html_len(spark, sf_dir):
+    annotated = plan.extract(_as_documents(spark, sf_dir), _spec())
+    return annotated.filter(F.size("extractions") > 0).select("document_id", F.length(review.page_column(F.col("text"), F.col("extractions"))).cast("bigint").alias("n_html"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        extract_documents, doc_scan_project, doc_filter_lang, doc_prompt_dedup, token_stats_by_doc, token_type_counts, newline_flags, token_norm_topk, sentence_stats_by_doc, sanitize_text,
+        chunk_stats_by_doc, conversation_context, prompt_render_len, batch_assign, fence_extract, json_parse_status, rules_mentions, overlap_pairs, overlap_semi, overlap_anti, multipass_merge,
+        assemble_docs, class_share, mention_topk, class_rollup, class_color_index, running_chars, cache_hits, cache_misses, labels_join_quality, benchmark_overlap_docs, url_predicate, jsonl_roundtrip,
+        align_status_counts, extraction_summary, unicode_token_stats, viz_html_len,
+    )
+}
+
+#: Tokens in DuckDB: characters with a class (0 space, 1 letter, 2 digit, 3 symbol); a token starts where the class
+#: changes, or at another symbol.
+_TOKENS = r"""
+WITH c AS (
+  SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(len(string_split(text, '')))) AS pos FROM documents WHERE text <> ''
+), k AS (
+  SELECT *, CASE WHEN regexp_matches(ch, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]$') THEN 0 WHEN regexp_matches(ch, '^\p{Nd}$') THEN 2 WHEN ch = '_' THEN 3
+    WHEN regexp_matches(ch, '^[\p{L}\p{M}\p{Nl}\p{Pc}]$') THEN 1 ELSE 3 END AS cls FROM c
+), s AS (
+  SELECT *, CASE WHEN lag(cls) OVER w IS DISTINCT FROM cls OR (cls = 3 AND lag(ch) OVER w <> ch) THEN 1 ELSE 0 END AS starts FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), g AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM s),
+seg AS (SELECT doc_id, seg, min(pos) AS start_pos, max(pos) + 1 AS end_pos, any_value(cls) AS cls, string_agg(ch, '' ORDER BY pos) AS token FROM g GROUP BY doc_id, seg),
+n AS (SELECT *, lag(token) OVER w AS gap, lag(cls) OVER w AS gap_cls, lag(start_pos) OVER w AS gap_start FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY seg)),
+tok AS (
+  SELECT doc_id, token, start_pos, end_pos, CASE cls WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS token_type, row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1 AS idx,
+    coalesce(gap_cls = 0 AND gap_start > 0 AND regexp_matches(gap, '[\n\r]'), false) AS broken
+  FROM n WHERE cls <> 0
+)
+"""
+_INTERVALS = "WITH i AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 100 AS BIGINT) AS s, CAST(l_partkey % 100 AS BIGINT) + CAST(l_quantity AS BIGINT) AS e FROM lineitem)"
+_ON = "a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.s < b.e AND b.s < a.e"
+_CLEAN = r"nullif(regexp_replace(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\s\p{Z}]+', ' ', 'g'), '')"
+_OUTPUT_SQL = """
+WITH b AS (SELECT conv_id, turn, '{"extractions":[{"role":"' || role || '"}]}' AS body FROM conversations), f AS (
+  SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS n_blocks, CASE turn % 4 WHEN 0 THEN body WHEN 1 THEN body WHEN 2 THEN NULL ELSE 'broken' END AS body FROM b)
+"""
+_GRAMS = "SELECT DISTINCT {0}, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {0}, string_split(text, ' ') AS w FROM {1}) WHERE len(w) >= 8)"
+
+ORACLE_SQL: dict[str, str] = {
+    "doc_scan_project": "SELECT doc_id, lang, n_chars FROM documents",
+    "doc_filter_lang": "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE lang = 'de' GROUP BY source",
+    "doc_prompt_dedup": "SELECT count(*) AS n, count(DISTINCT text) AS n_distinct FROM documents",
+    "token_stats_by_doc": _TOKENS + "SELECT doc_id, count(*) AS n_tokens, CAST(sum(start_pos) AS BIGINT) AS sum_start, max(idx) AS last_index FROM tok GROUP BY doc_id",
+    "token_type_counts": _TOKENS + "SELECT CAST(token_type AS INTEGER) AS token_type, count(*) AS n FROM tok GROUP BY token_type",
+    "newline_flags": _TOKENS + "SELECT doc_id, count(*) AS n_breaks, CAST(sum(idx) AS BIGINT) AS sum_index FROM tok WHERE broken GROUP BY doc_id",
+    "token_norm_topk": _TOKENS
+    + ", l AS (SELECT lower(token) AS t FROM tok WHERE token_type = 0) SELECT CASE WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN left(t, length(t) - 1) ELSE t END AS token, count(*) AS n "
+    "FROM l GROUP BY 1 ORDER BY n DESC, token LIMIT 50",
+    "sentence_stats_by_doc": _TOKENS
+    + r""", p AS (
+  SELECT *, token_type = 2 AND regexp_matches(token, '[.?!。！？।]["''”’»)\]}]*$') AND coalesce(lag(token) OVER w || token, '') NOT IN ('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'St.') AS e,
+    token IN ('"', '''', '”', '’', '»', ')', ']', '}') AS closer, lead(token) OVER w AS nt, lead(broken) OVER w AS nb FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY idx)
+), q AS (SELECT *, coalesce(last_value(CASE WHEN e OR NOT closer THEN e END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING), false) AS st FROM p),
+r AS (
+  SELECT *, nt IS NULL OR (st AND nt NOT IN ('"', '''', '”', '’', '»', ')', ']', '}')) OR (NOT st AND nb AND NOT (lower(left(nt, 1)) = left(nt, 1) AND upper(left(nt, 1)) <> left(nt, 1))) AS ends FROM q
+), z AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
+y AS (SELECT doc_id, k, min(idx) AS a, max(idx) + 1 AS b FROM z GROUP BY doc_id, k)
+SELECT doc_id, count(*) AS n_sentences, max(b - a) AS longest, CAST(sum(a) AS BIGINT) AS sum_start FROM y GROUP BY doc_id""",
+    "sanitize_text": f"SELECT doc_id, length({_CLEAN}) AS n_clean, sha256({_CLEAN}) AS clean_sha256 FROM documents",
+    "conversation_context": "SELECT conv_id, turn, '[Previous text]: ...' || right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 30) AS context FROM conversations",
+    "prompt_render_len": "SELECT doc_id, length('Find names.' || chr(10) || chr(10) || 'Q: ' || text || chr(10) || 'A: ') AS n_prompt FROM documents",
+    "batch_assign": "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS batch FROM documents",
+    "fence_extract": _OUTPUT_SQL + "SELECT conv_id, turn, CAST(n_blocks AS BIGINT) AS n_blocks, body FROM f",
+    "json_parse_status": _OUTPUT_SQL + "SELECT CASE WHEN n_blocks > 1 THEN 'many blocks' WHEN body = 'broken' THEN 'not parsed' ELSE 'parsed' END AS status, count(*) AS n FROM f GROUP BY 1",
+    "rules_mentions": f"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '{RULES['email']}')) AS n_mentions, regexp_extract_all(text, '{RULES['email']}')[1] AS first, CAST(instr(text, '@') AS BIGINT) AS at FROM documents) WHERE n_mentions > 0",
+    "overlap_pairs": f"{_INTERVALS} SELECT a.l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM i a JOIN i b ON {_ON}",
+    "overlap_semi": f"{_INTERVALS} SELECT a.l_orderkey, a.l_linenumber FROM i a WHERE EXISTS (SELECT 1 FROM i b WHERE {_ON})",
+    "overlap_anti": f"{_INTERVALS} SELECT a.l_orderkey, a.l_linenumber FROM i a WHERE NOT EXISTS (SELECT 1 FROM i b WHERE {_ON})",
+    "multipass_merge": f"""{_INTERVALS.replace('WITH i', 'WITH RECURSIVE i')}, m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY s, e) AS n, s, e FROM i), f AS (
+  SELECT l_orderkey, 2 AS k, list(m ORDER BY n) FILTER (WHERE n <= 2) AS kept FROM m GROUP BY l_orderkey
+  UNION ALL
+  SELECT f.l_orderkey, f.k + 1, CASE WHEN len(list_filter(f.kept, lambda y: y.s < m.e AND m.s < y.e)) = 0 THEN list_append(f.kept, m) ELSE f.kept END
+  FROM f JOIN m ON m.l_orderkey = f.l_orderkey AND m.n = f.k + 1
+) SELECT l_orderkey, array_to_string(list_transform(arg_max(kept, k), lambda x: x.n), ',') AS kept FROM f GROUP BY l_orderkey""",
+    "assemble_docs": f"SELECT doc_id, len(regexp_extract_all(text, '{RULES['email']}')) AS n_extractions FROM documents",
+    "class_share": "SELECT lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY lang",
+    "mention_topk": "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source ORDER BY chars DESC, source LIMIT 10",
+    "class_rollup": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)",
+    "class_color_index": "SELECT source AS document_id, lang AS extraction_class, (dense_rank() OVER (PARTITION BY source ORDER BY lang) - 1) % 10 AS color_index FROM (SELECT DISTINCT source, lang FROM documents)",
+    "running_chars": "SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars_so_far FROM documents",
+    "cache_hits": "SELECT doc_id, sha256(text) AS request_key FROM documents WHERE lang <> 'en' AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'en')",
+    "cache_misses": "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)",
+    "labels_join_quality": "SELECT lang, quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, quality",
+    "benchmark_overlap_docs": f"SELECT doc_id, item_id, count(*) AS n_common FROM ({_GRAMS.format('doc_id', 'documents')}) JOIN ({_GRAMS.format('item_id', 'benchmark')}) USING (g) GROUP BY doc_id, item_id",
+    "url_predicate": r"SELECT regexp_matches(url, '^https?://[^/:?# ]+\.[^/:?# ]+([/:?#]|$)') AS is_url, count(*) AS n FROM pages GROUP BY 1",
+    "jsonl_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS document_id, length(text) AS n_chars, CAST(0 AS BIGINT) AS n FROM documents",
+}
