@@ -23,6 +23,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return by_position.select(*[F.col(f"_{names.index(n)}").alias(k) for k, n in columns.items()])
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns named by place, so that none clash, and those of ``names``."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), [F.col(f"_{df.columns.index(n)}") for n in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -59,8 +64,7 @@ def masked(docs: DataFrame, text_col: str, decider: Callable[[], Callable[[list[
 
     ``decider`` is called once in a task and gives the function that decides on a batch.
     """
-    names, at = docs.columns, docs.columns.index(text_col)
-    numbered = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    at, (plain, _) = docs.columns.index(text_col), numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = decider()
@@ -68,4 +72,4 @@ def masked(docs: DataFrame, text_col: str, decider: Callable[[], Callable[[list[
             kept = decide([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -38,6 +38,8 @@ MARKS = frozenset(
 ROOTS = frozenset(("html", "body", "article", "main", "#page"))
 #: Blocks of text; their subtrees aren't counted as templates.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr tbody thead dt dd figcaption figure address".split())
+#: Neither are these in an article or main part, nor plain divisions of text there.
+CONTENT = frozenset("ul ol dl table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of the key closes open elements of the value, up to the nearest of LIMITS.
 CLOSES = {
@@ -51,10 +53,10 @@ WORD = re.compile(r"[a-z0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "at", "hash_id", "region")
+    __slots__ = ("tag", "dropped", "at", "hash_id", "region", "nested")
 
     def __init__(self, tag, dropped, at, region):
-        self.tag, self.dropped, self.at, self.hash_id, self.region = tag, dropped, at, None, region
+        self.tag, self.dropped, self.at, self.hash_id, self.region, self.nested = tag, dropped, at, None, region, False
 
 
 class Page(HTMLParser):
@@ -84,7 +86,7 @@ class Page(HTMLParser):
         while len(self.open) > k:
             e = self.open.pop()
             self.trace.append("/" + e.tag)
-            if e.hash_id is not None:
+            if e.hash_id is not None and (e.nested or not e.region):
                 self.hashes[e.hash_id] = xxhash.xxh64_intdigest("\0".join(self.trace[e.at :]).encode(errors="replace"))
 
     def handle_starttag(self, tag, attrs):
@@ -124,9 +126,10 @@ class Page(HTMLParser):
         )
         e = _Element(tag, dropped, len(self.trace), region)
         self.trace.append(f"{tag} {given.get('class', '')}")
-        if tag not in ROOTS and tag not in TEXT_BLOCKS and tag != "head":
+        above.nested = True
+        if tag not in ROOTS and tag not in TEXT_BLOCKS and tag != "head" and not (region and tag in CONTENT):
             e.hash_id = len(self.hashes)
-            self.hashes.append(0)
+            self.hashes.append(None)  # stays so if the subtree isn't to be counted
         self.open.append(e)
 
     def handle_startendtag(self, tag, attrs):
@@ -162,10 +165,10 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int], int
     regions = {r for _, r, _ in page.blocks}
     region = next((r for r in ("article", "main") if r in regions), None)
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    hashes = [signed(h) for h in page.hashes]
-    blocks = [(t, [hashes[e.hash_id] for e in around]) for t, r, around in page.blocks if region is None or r == region]
+    hashes = [None if h is None else signed(h) for h in page.hashes]
+    blocks = [(t, [h for e in around if (h := hashes[e.hash_id]) is not None]) for t, r, around in page.blocks if region is None or r == region]
     name = " ".join(" ".join(page.heading or page.title).split())
-    return blocks, sorted(set(hashes)), signed(xxhash.xxh64_intdigest(name.encode(errors="replace")))
+    return blocks, sorted(set(hashes) - {None}), signed(xxhash.xxh64_intdigest(name.encode(errors="replace")))
 
 
 def host_of(url: str | None) -> str:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import numbered, pick, written
 from .sketch import let, words_of
 
 FREQUENCY_BITS = 18
@@ -123,9 +123,12 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed lines taken out of ``text_col``; other columns as they are."""
     made = decisions(docs, id_col, text_col).filter("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_k"), F.col("removed").alias("_removed"))
-    joined = docs.join(made, docs[id_col] == F.col("_k"), "left")
-    left = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda _, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    return joined.select(*[F.when(F.col("_k").isNull(), docs[c]).otherwise(left).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    plain, (k, t) = numbered(docs, id_col, text_col)
+    joined = plain.join(made, k == F.col("_k"), "left")
+    left = F.array_join(F.filter(F.split(t, "\n", -1), lambda _, i: ~F.array_contains(F.col("_removed"), i)), "\n")
+    changed = F.when(F.col("_k").isNull(), t).otherwise(left)
+    at = docs.columns.index(text_col)
+    return joined.select(*[changed.alias(c) if i == at else F.col(c) for i, c in enumerate(plain.columns)]).toDF(*docs.columns)
 
 
 #: The same decisions for DuckDB.

@@ -66,7 +66,7 @@ def fit(rows: list[tuple[int, str]], counts: dict[int, int], epochs: int = 12, r
     if len(grades) < 2:
         return {"grades": grades or [0], "w": np.zeros(1 << BITS), "t": np.empty(0)}
     features, place = Features(), {g: k for k, g in enumerate(grades)}
-    data = [(*features.of(t), place[y]) for y, t in rows]
+    data = [(at.astype(np.int32), x.astype(np.float32), place[y]) for y, t in rows for at, x in [features.of(t)]]
     have = np.bincount([y for _, _, y in data])
     share = np.array([counts[g] for g in grades]) / sum(counts[g] for g in grades)
     importance = share / (have / have.sum())
@@ -123,12 +123,12 @@ def graded(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return pick(docs, k=id_col, t=text_col).mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double")
 
 
-def model_of(docs: DataFrame, labels: DataFrame, most: int = 3000) -> dict:
+def model_of(docs: DataFrame, labels: DataFrame, most: int = 2000) -> dict:
     """Fitted on at most about ``most`` documents of each grade."""
     return fit(*labelled(docs, labels, "quality", None, most))
 
 
-def selected(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 3000) -> DataFrame:
+def selected(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 2000) -> DataFrame:
     """``doc_id, expected_grade, tail_probability, keep`` for every document.
 
     ``keep`` is true where the tail probability is at least ``least``.  Repeated rows and
@@ -137,7 +137,7 @@ def selected(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int =
     return graded(docs, model_of(docs, labels, most)).withColumn("keep", F.col("tail_probability") >= least)
 
 
-def of_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 3000, text_col: str = "text") -> DataFrame:
+def of_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 2000, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose tail probability is at least ``least``."""
     sent = docs.sparkSession.sparkContext.broadcast(model_of(docs, labels, most))
 

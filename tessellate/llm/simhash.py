@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import numbered, pick, written
 from .components import components
 
 SEED = 42
@@ -297,4 +297,5 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: i
     """
     groups = near_duplicates(docs, words, least, max_bits, id_col, text_col)
     gone = groups.filter("doc_id > group_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    plain, (k,) = numbered(docs, id_col)
+    return plain.join(gone, k == F.col("_gone"), "left_anti").toDF(*docs.columns)

@@ -43,7 +43,7 @@ class FTRL:
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
     def learn(self, at: np.ndarray, label: int) -> None:
-        at = np.append(at, 1 << self.bits)
+        at = np.append(at, 1 << self.bits).astype(np.int64)
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
         g = p - label
@@ -68,7 +68,7 @@ def fit(rows: list[tuple[int, str]], counts: dict[int, int], bits: int = 20, epo
     if not 0 < positives < len(rows):
         return {"bits": bits, "at": np.empty(0, np.int64), "w": np.empty(0), "bias": float(np.log(share / (1 - share)))}
     features, model = Grams(bits), FTRL(bits)
-    data = [(features.of(t), y) for y, t in rows]
+    data = [(features.of(t).astype(np.int32), y) for y, t in rows]
     rng = np.random.default_rng(17)
     for _ in range(epochs):
         for k in rng.permutation(len(data)).tolist():
@@ -96,7 +96,7 @@ def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return pick(docs, k=id_col, t=text_col).mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def toxic(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
+def toxic(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document.
 
     Learned from at most about ``most`` documents of each label outside the held-out fold.
