@@ -33,8 +33,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Words of a class or id that mark such elements.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget pagination pager toolbar skip".split()
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget pagination pager toolbar skip adsbygoogle alert login".split()
 )
+#: And those that do so outside an article.
+OUTER_MARKS = frozenset("header topbar search".split())
 ROOTS = frozenset(("html", "body", "article", "main", "#page"))
 #: Blocks of text; their subtrees aren't counted as templates.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr tbody thead dt dd figcaption figure address".split())
@@ -119,6 +121,7 @@ class Page(HTMLParser):
             or (tag == "header" and region != "article")
             or (above.tag == "header" and tag not in HEADINGS and region == "article")
             or (tag not in ROOTS or tag == "article") and bool(names & MARKS)
+            or (tag not in ROOTS and not region and bool(names & OUTER_MARKS))
             or given.get("role", "").lower() in ROLES
             or "hidden" in given
             or given.get("aria-hidden", "").lower() == "true"
