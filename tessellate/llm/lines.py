@@ -8,38 +8,45 @@ similarity ``t`` or more share a token among their first ``n - ceil(t n) + 1``,
 meet on prefix tokens; length, position and a 64-bit map of the tokens discard most
 meetings, and the rest are verified on whole token sets.  A line goes if its class occurs
 in an earlier line or is similar to a class that does; order is (id, line number).
-Tokens are told apart by 56 bits of their hash, classes by 128.
+Classes are told apart by 128 bits over 56-bit token hashes; a pair's overlap is counted on
+31 of those bits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, written
-from .sketch import let, words_of
+from .common import numbered, pick, release, written
+from .sketch import BLANKS, split_words
 
 FREQUENCY_BITS = 18
 #: Jaccard similarity 4/5, as whole numbers.
 NUM, DEN = 4, 5
+#: Candidate pairs are verified in so many parts, one after another.
+VERIFY_PARTS = 4
+
+
+def has_words(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS)) != ""
 
 
 def rarity_table(docs: DataFrame) -> Column:
     """Array over hash buckets: four times the log2 of the words there in all texts, as a scalar subquery."""
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - FREQUENCY_BITS).alias("b")
-    counts = docs.select(F.explode(words_of(F.col("t"))).alias("w")).select(bucket).groupBy("b").agg(F.count("*").alias("n"))
-    level = F.least(F.lit(127), F.round(4 * F.log2(F.coalesce("n", F.lit(0)) + 1))).cast("int").alias("r")
-    every = docs.sparkSession.range(1 << FREQUENCY_BITS).withColumnRenamed("id", "b").join(counts, "b", "left").select("b", level)
+    words = docs.filter(has_words(F.col("t"))).select(F.explode(split_words(F.col("t"))).alias("w"))
+    counts = words.select(bucket).groupBy("b").agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127), F.round(4 * F.log2(F.coalesce("n", F.lit(0)) + 1))).cast("bigint")
+    every = docs.sparkSession.range(1 << FREQUENCY_BITS).withColumnRenamed("id", "b").join(counts, "b", "left").select("b", F.shiftleft(level, 56).alias("r"))
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "r"))), lambda x: x["r"])).scalar()
 
 
-def token_keys(words: Column, rarity: Column) -> Column:
-    """Ascending keys of the distinct words: rarity level above 56 bits of the hash."""
-
-    def key(word: Column) -> Column:
-        return let(F.xxhash64(word), lambda h: F.shiftleft(F.get(rarity, F.shiftrightunsigned(h, 64 - FREQUENCY_BITS).cast("int")).cast("bigint"), 56) + F.shiftrightunsigned(h, 8))
-
-    return F.sort_array(F.transform(F.array_distinct(words), key))
+def token_keys(line: Column, rarity: Column) -> Column:
+    """Ascending keys of a line's distinct words: rarity level above 56 bits of the hash."""
+    hashes = F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.get(rarity, F.shiftrightunsigned(h, 64 - FREQUENCY_BITS).cast("int")) + F.shiftrightunsigned(h, 8)))
 
 
 def with_keys(rows: DataFrame, rarity: Column) -> DataFrame:
@@ -48,55 +55,51 @@ def with_keys(rows: DataFrame, rarity: Column) -> DataFrame:
     The analyser wants no subquery in a lambda, so the table is a column first; it is used
     once, so the optimiser puts it in its place and no row ever holds it.
     """
-    return rows.withColumn("_rarity", rarity).select("k", "pos", token_keys(words_of(F.col("line")), F.col("_rarity")).alias("keys"))
+    return rows.withColumn("_rarity", rarity).select("k", "pos", token_keys(F.col("line"), F.col("_rarity")).alias("keys"))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """``k, pos, line`` of every line of ``docs (k, t)``."""
-    return docs.select("k", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
+    """``k, pos, line`` of every line with words of ``docs (k, t)``."""
+    return docs.select("k", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).filter(has_words(F.col("line")))
 
 
 def classes(docs: DataFrame, rarity: Column) -> DataFrame:
-    """One row per distinct token set: first occurrence, size, bit map and prefix tokens."""
-    rows = with_keys(line_rows(docs), rarity)
-    n = F.size("keys")
-    bits = F.aggregate("keys", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(_bit(x)))
-    prefix = F.transform(F.slice("keys", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    rows = rows.filter(n > 0).select(
-        F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), F.struct("k", "pos").alias("at"), n.cast("int").alias("n"), bits.alias("bits"), prefix.alias("prefix")
-    )
-    found = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    return found.select("at.k", "at.pos", "n", "bits", "prefix")
-
-
-def _bit(x: Column) -> Column:
-    """A long with one of 64 bits set."""
-    return F.element_at(F.lit([1 << b if b < 63 else -(1 << 63) for b in range(64)]), (x.bitwiseAND(63) + 1).cast("int"))
+    """One row per distinct token set: first occurrence, size, bit map, and tokens by rarity (31 bits each)."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))
+    bits = F.aggregate("keys", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x)))
+    tokens = F.transform("keys", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+    rows = with_keys(line_rows(docs), rarity).select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), F.struct("k", "pos").alias("at"), bits.alias("bits"), tokens.alias("tokens"))
+    found = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"))
+    return found.select("at.k", "at.pos", F.size("tokens").alias("n"), "bits", "tokens")
 
 
-def similar(found: DataFrame, docs: DataFrame, rarity: Column) -> DataFrame:
+def similar(found: DataFrame) -> DataFrame:
     """``k, pos`` of classes that are similar to a class with an earlier first occurrence."""
-    rows = found.select("k", "pos", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+    spark = found.sparkSession
+    prefix = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1)
+    rows = found.select("k", "pos", "n", "bits", F.posexplode(prefix).alias("i", "token"))
     x, y = rows.alias("x"), rows.alias("y")
     least = F.ceil((F.col("x.n") + F.col("y.n")) * NUM / (NUM + DEN))  # tokens in common, for the similarity
-    earlier = F.struct("y.k", "y.pos") < F.struct("x.k", "x.pos")
     near = (
         (F.col("x.token") == F.col("y.token"))
-        & earlier
         & (F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM)
-        & (1 + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) - 1 >= least)
+        & (F.struct("y.k", "y.pos") < F.struct("x.k", "x.pos"))
+        & (F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= least)
         & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= F.col("x.n") + F.col("y.n") - 2 * least)
     )
     pairs = x.join(y, near).select(F.col("x.k").alias("k"), F.col("x.pos").alias("pos"), F.col("y.k").alias("k2"), F.col("y.pos").alias("pos2")).distinct()
     pairs = written(pairs, "line-pairs")
-    ends = pairs.select("k", "pos").union(pairs.select(F.col("k2").alias("k"), F.col("pos2").alias("pos"))).distinct()
-    of_doc = ends.groupBy("k").agg(F.collect_set("pos").alias("wanted"))
-    lines = docs.join(of_doc, "k").select("k", F.split("t", "\n", -1).alias("lines"), F.explode("wanted").alias("pos"))
-    lines = lines.select("k", "pos", F.get("lines", F.col("pos")).alias("line")).dropDuplicates(["k", "pos"])
-    sets = written(with_keys(lines, rarity), "line-sets")
-    both = pairs.join(sets, ["k", "pos"]).join(sets.select(F.col("k").alias("k2"), F.col("pos").alias("pos2"), F.col("keys").alias("keys2")), ["k2", "pos2"])
-    common = F.size(F.array_intersect("keys", "keys2"))
-    return both.filter(common * (NUM + DEN) >= (F.size("keys") + F.size("keys2")) * NUM).select("k", "pos").distinct()
+    release(spark)
+    of_x = found.select("k", "pos", "tokens")
+    of_y = found.select(F.col("k").alias("k2"), F.col("pos").alias("pos2"), F.col("tokens").alias("tokens2"))
+    common = F.size(F.array_intersect("tokens", "tokens2"))
+    enough = common * (NUM + DEN) >= (F.size("tokens") + F.size("tokens2")) * NUM
+    part, parts = F.pmod(F.xxhash64("k", "pos"), F.lit(VERIFY_PARTS)), []
+    for n in range(VERIFY_PARTS):  # pairs carry whole token sets here, so one part at a time is on disk
+        both = pairs.filter(part == n).join(of_x, ["k", "pos"]).join(of_y, ["k2", "pos2"])
+        parts.append(written(both.filter(enough).select("k", "pos").distinct(), "line-removals"))
+        release(spark)
+    return reduce(DataFrame.union, parts)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,9 +113,10 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     with_id = docs.dropna()
     rarity = rarity_table(with_id)
     found = written(classes(with_id, rarity), "line-classes")
-    kept = found.select("k", "pos").join(similar(found, with_id, rarity), ["k", "pos"], "left_anti").groupBy("k").agg(F.collect_set("pos").alias("kept"))
+    release(docs.sparkSession)
+    kept = found.select("k", "pos").join(similar(found), ["k", "pos"], "left_anti").groupBy("k").agg(F.collect_set("pos").alias("kept"))
     lines = F.coalesce(F.split("t", "\n", -1), F.array().cast("array<string>"))
-    worded = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    worded = F.filter(F.transform(lines, lambda line, i: F.when(has_words(line), i)), lambda i: i.isNotNull())
     numbered = docs.select("k", F.size(lines).alias("n_lines"), worded.alias("worded")).join(kept, "k", "left")
     none = F.array().cast("array<int>")
     removed = F.when(F.col("k").isNull(), none).otherwise(F.array_except("worded", F.coalesce("kept", none)))

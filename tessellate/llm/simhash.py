@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, written
+from .common import numbered, pick, release, written
 from .components import components
 
 SEED = 42
@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, max_bit
     fps = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = written(links(classes, max_bits, same=2, tiers=(3, max_bits)), "links")
+    release(docs.sparkSession)
     ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct().join(classes, "fp")
     shown = ends.join(texts.dropDuplicates(["k"]), ends["least"] == texts["k"]).select("fp", F.coalesce("t", F.lit("")).alias("t"))
     shown = written(shown, "link-texts")

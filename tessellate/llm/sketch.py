@@ -27,9 +27,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: ASCII white space, as characters and as a pattern of runs.
+BLANKS, BLANK_RUN = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]+"
+
+
+def split_words(text: Column) -> Column:
+    """Lower-cased words of a text that has some: runs of anything but ASCII white space."""
+    return F.split(F.btrim(F.lower(text), F.lit(BLANKS)), BLANK_RUN)
+
+
 def words_of(text: Column) -> Column:
-    """Lower-cased words: runs of anything but ASCII white space."""
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words of any text; none if it has none."""
+    return F.array_remove(split_words(text), "")
 
 
 def shingle_hashes(words: Column, size: int = WORDS) -> Column:
