@@ -13,7 +13,9 @@ all pairs of a group; Spark joins the buckets' links into components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,30 +33,45 @@ FANOUT = 8
 SLICE = 200_000
 #: Rows of a bucket beyond which it is split by further bands.
 BUCKET_ROWS = 4096
+#: Documents that the rarity of shingles is estimated from, and shingles kept of them; both only bear on speed.
+SAMPLE, COMMON = 20_000, 200_000
+#: Pairs of near-duplicates are verified in so many parts, one after another.
+VERIFY_PARTS = 4
 
 
 # -- fingerprints ----------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """64-bit SimHash over word shingles, repeats included; no words: 0.
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """64-bit hashes of a text's word shingles in order, repeats included.
 
     ASCII letters are lower-cased, words are runs of anything but ASCII white space; fewer
     words than a shingle's make one shingle.
     """
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     flat = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     first = np.r_[0, ends[:-1] + 1]
     take = max(1, len(parts) - words + 1)
     starts, stops = first[:take].tolist(), ends[min(words, len(parts)) - 1 :].tolist()
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, take, 100_000):
-        h = np.array([digest(flat[s:e], SEED) for s, e in zip(starts[at : at + 100_000], stops[at : at + 100_000], strict=True)], ">u8")
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(flat[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, take)
+
+
+def voted(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingle hashes; none: 0."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 100_000):
+        h = hashes[at : at + 100_000].astype(">u8")
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > take).tobytes(), "big")
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """64-bit SimHash over word shingles (:func:`shingle_hashes`), repeats included; no words: 0."""
+    return voted(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,44 +268,208 @@ def grouped(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "d
     return fps.join(found, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def jaccard(a: str, b: str, words: int) -> float:
-    """Similarity of two texts' sets of word shingles; 1 if neither has words."""
-    sets = []
-    for text in (a, b):
-        w = text.encode().lower().split()
-        sets.append({b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
-    union = len(sets[0] | sets[1])
-    return len(sets[0] & sets[1]) / union if union else 1.0
+# -- near-duplicates -------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, group_id``: near-duplicate groups whose spanning links are verified on the texts.
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
-    Fingerprints of at most ``max_bits`` differing bits are linked, the closest first, as in
-    :func:`links`; a link stays if the word shingles of both texts have a Jaccard
-    similarity of ``least`` or more.  Documents of one fingerprint are one class, shown by
-    its least id.  ``group_id`` is the least id of the group; rows with a null id never
-    give one.
+
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of shingles that several documents of a sample hold, and how many do.
+
+    The counts only order shingles by rarity; any order common to all texts keeps the join exact.
     """
-    texts = pick(docs, k=id_col, t=text_col)
-    fps = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = written(links(classes, max_bits, same=2, tiers=(3, max_bits)), "links")
-    release(docs.sparkSession)
-    ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct().join(classes, "fp")
-    shown = ends.join(texts.dropDuplicates(["k"]), ends["least"] == texts["k"]).select("fp", F.coalesce("t", F.lit("")).alias("t"))
-    shown = written(shown, "link-texts")
-    pairs = found.join(shown.select(F.col("fp").alias("a"), F.col("t").alias("ta")), "a").join(shown.select(F.col("fp").alias("b"), F.col("t").alias("tb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = texts.count()
+    chosen = texts.filter(F.pmod(F.xxhash64("k", F.lit("rarity")), F.lit(max(1, n // SAMPLE))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("t"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], ["h"])
+
+    counts = chosen.select("t").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    hashes, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def profiles(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """``k, fp, digest, n, bits, prefix`` of every text ``t``, from its set of shingles.
+
+    ``n`` is the set's size, ``bits`` the parities of its members in 256 slots, ``prefix`` its
+    rarest members: two sets of Jaccard similarity ``least`` or more share one of those.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
+    kind = texts.schema.fields[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part, rows = batch.slice(at, 512), []
+                for t in part.column("t"):
+                    hashes = shingle_hashes(t.as_py(), words)
+                    own = np.unique(hashes)
+                    level = np.zeros(len(own), np.int64)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        level = np.where(known[place] == own, counts[place], 0)
+                    take = len(own) - math.ceil(least * len(own) - 1e-9) + 1 if len(own) else 0
+                    bits = np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).tobytes()
+                    prefix = own[np.lexsort((own, level))[:take]].view(np.int64)
+                    rows.append((voted(hashes), _digest(own), len(own), bits, prefix))
+                fp, digest, n, bits, prefix = zip(*rows, strict=True) if rows else ((),) * 5
+                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("k"), *columns], ["k", "fp", "digest", "n", "bits", "prefix"])
+
+    return texts.mapInArrow(run, f"k {kind}, fp bigint, digest binary, n int, bits binary, prefix array<bigint>")
+
+
+def _by_key(rows: DataFrame, found: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``found`` on runs of whole keys of ``rows``, which have ``key`` first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            last = batch.column("key")[-1].as_py()
+            if held[0].column("key")[0].as_py() == last:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.searchsorted(whole.column("key").to_numpy(), last))
+            yield from found(whole.slice(0, cut))
+            held = whole.slice(cut).to_batches()
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    partitions = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows (key, id, n, i)`` whose key another row has too."""
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = table.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        yield from table.filter(pa.array(np.r_[False, same] | np.r_[same, False])).to_batches()
+
+    return _by_key(rows, found, "key bigint, id bigint, n int, i int")
+
+
+def possible(rows: DataFrame, least: float) -> DataFrame:
+    """``a, b``: all pairs of one key, different roots, and sizes, places and parities that allow ``least``."""
+    ratio = least / (1 + least)
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, id_, n, i, root = (table.column(c).to_numpy() for c in ("key", "id", "n", "i", "root"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, 4)
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            order = start + np.argsort(n[start:stop], kind="stable")
+            sizes = n[order]
+            ends = np.searchsorted(sizes, np.floor(sizes / least + 1e-9), "right")
+            for at, end in enumerate(ends.tolist()):
+                x, y = order[at], order[at + 1 : end]
+                y = y[root[y] != root[x]]
+                need = np.ceil(ratio * (n[x] + n[y]) - 1e-9)
+                ok = np.minimum(n[x] - i[x], n[y] - i[y]) >= need
+                y, need = y[ok], need[ok]
+                y = y[np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * need]
+                if len(y):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_[x], id_[y])), pa.array(np.maximum(id_[x], id_[y]))], ["a", "b"])
+
+    return _by_key(rows, found, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs (a, b)`` whose ``sets (id, shingles)`` have a Jaccard similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [jaccard(a.as_py(), b.as_py(), words) >= least for a, b in zip(batch.column("ta"), batch.column("tb"), strict=True)]
+            near = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    roots = components(pairs.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint"))
-    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    parts = []
+    for k in range(VERIFY_PARTS):  # pairs carry whole sets here, so one part at a time is on disk
+        part = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(VERIFY_PARTS)) == k)
+        both = part.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        parts.append(written(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "verified"))
+        release(pairs.sparkSession)
+    return reduce(DataFrame.union, parts)
+
+
+def _pairs_of(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
+
+
+def _stars(rows: DataFrame, round_: int) -> DataFrame:
+    """Pairs of every row's id with one id of its key."""
+    centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), F.col("id").alias("centre"))).alias("c"))
+    return _pairs_of(rows.join(centre, "key"), "id", "c.centre")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, group_id``: connected groups of documents of Jaccard similarity ``least`` or more.
+
+    The similarity is that of the sets of word shingles (as 64-bit hashes); texts of one set
+    are one class.  Classes whose fingerprints are equal or linked at ``max_bits`` (the closest
+    first, as in :func:`links`) and classes that share a rare shingle with a common centre are
+    verified first.  Then every pair of a shared prefix shingle that is still in two groups is
+    verified, if sizes, places and parities allow it, so no pair is lost.  ``group_id`` is the
+    least id of the group; rows with a null id never give one, and link no others.
+    """
+    spark, texts = docs.sparkSession, pick(docs, k=id_col, t=text_col)
+    every = written(profiles(texts, words, least), "profiles")
+    of = every.groupBy("digest").agg(F.min("k").alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "bits", "prefix")])
+    classes = written(of.withColumn("id", F.monotonically_increasing_id()), "classes")
+    release(spark)
+    named = classes.filter("least IS NOT NULL AND n > 0")
+    met = written(shared(named.select("id", "n", F.posexplode("prefix").alias("i", "key")).select("key", "id", "n", "i")), "shared")
+    release(spark)
+    first = named.groupBy("fp").agg(F.min("id").alias("first"))
+    equal = _pairs_of(named.select("id", "fp").join(first, "fp"), "id", "first")
+    bits = links(first.select("fp"), max_bits, same=2, tiers=(3, max_bits))
+    linked = _pairs_of(bits.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b"), "x", "y")
+    pairs = written(equal.union(linked).union(_stars(met, 0)).distinct(), "pairs")
+    release(spark)
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes, "id").select("id", "least", "digest")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column("t")]
+                right = pa.array([_digest(s) == d.as_py() for s, d in zip(sets, part.column("digest"), strict=True)], pa.bool_())
+                made = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), made], ["id", "shingles"]).filter(right)
+
+    shown = texts.join(ends, texts["k"] == ends["least"]).select("id", "digest", "t").mapInArrow(own, "id bigint, shingles array<bigint>")
+    sets = written(shown.dropDuplicates(["id"]), "sets")
+    release(spark)
+    edges = verified(pairs, sets, least)
+    roots, tested = components(edges), pairs
+    for round_ in (1, 2):  # again from another centre, then all pairs that are still apart
+        rooted = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        met = written(rooted.join(apart, "key").select("key", "id", "n", "i", "root"), "apart")
+        more = _stars(met, round_) if round_ == 1 else possible(met.join(classes.select("id", "bits"), "id").select("key", "id", "n", "i", "root", "bits"), least)
+        more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        release(spark)
+        edges, tested, met = edges.union(verified(more, sets, least)), tested.union(more), met.drop("root")
+        roots = components(edges)
+    classes = classes.select("id", "digest", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = classes.groupBy("root").agg(F.min("least").alias("group_id"))
-    return fps.join(classes.select("fp", "root").join(groups, "root").select("fp", "group_id"), "fp").select("doc_id", "group_id")
+    found = classes.select("digest", "root").join(groups, "root").select("digest", "group_id")
+    return every.select(F.col("k").alias("doc_id"), "digest").join(found, "digest").select("doc_id", "group_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

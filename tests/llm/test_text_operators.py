@@ -106,6 +106,33 @@ def test_op1_one_of_each_keeps_the_least_id(spark):
     assert sorted(r[0] or -1 for r in kept.collect()) == [-1, 1, 2, 4]
 
 
+def plain_groups(texts, words=5, least=0.8):
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+    sets, label = {k: shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or 10 * len(x & y) >= 10 * least * len(x | y):
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+def test_pipeline_near_dedup_is_brute_force_jaccard(spark):
+    rng = random.Random(7)
+    texts, common = {}, [f"c{k}" for k in range(30)]
+    for base in range(12):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([60, 200]))] + common
+        for _ in range(12):  # chains of copies; many pairs are just above or below 0.8
+            words = [f"x{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in words]
+            texts[len(texts)] = " ".join(words)
+    found = {r.doc_id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    want = plain_groups(texts)
+    assert 12 < len(set(want.values())) < len(texts) and found == want
+
+
 # -- sentencepiece -----------------------------------------------------------------------
 
 
