@@ -133,6 +133,14 @@ def test_pipeline_near_dedup_is_brute_force_jaccard(spark):
     assert 12 < len(set(want.values())) < len(texts) and found == want
 
 
+def test_pipeline_near_dedup_verifies_equal_fingerprints(spark):
+    words = lambda p: " ".join(f"{p}{k}" for k in range(40))
+    texts = {1: "- " * 100 + words("a"), 2: "- " * 100 + words("b"), 3: words("b"), 4: "- " * 100 + words("b")}
+    assert len({simhash.fingerprint(texts[k], 5) for k in (1, 2)}) == 1
+    found = {r.doc_id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert found == plain_groups(texts) and found[2] != 1
+
+
 # -- sentencepiece -----------------------------------------------------------------------
 
 
