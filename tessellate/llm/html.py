@@ -62,7 +62,7 @@ class _Element:
 
 
 class Page(HTMLParser):
-    """Text blocks of a page in order: (text, region, numbers of the containers around it)."""
+    """Text blocks of a page in order: (text, containers around it)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -78,7 +78,7 @@ class Page(HTMLParser):
             if text:
                 inside = self.open[-1]
                 if not inside.dropped:
-                    self.blocks.append((text, inside.region, [e for e in self.open if e.hash_id is not None]))
+                    self.blocks.append((text, [e for e in self.open if e.hash_id is not None]))
                 if inside.tag == "h1":
                     self.heading.append(text)
 
@@ -156,20 +156,15 @@ class Page(HTMLParser):
 
 
 def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int], int]:
-    """Blocks (text, subtree hashes around it) of the main region, all subtree hashes, and a hash of the title.
-
-    The region is that of articles if there are any, else of ``main``, else the whole page.
-    """
+    """Blocks (text, subtree hashes around it) that aren't dropped, all subtree hashes, and a hash of the title."""
     page = Page()
     page.feed(html or "")
     page.close()
     page.close_to(1)
     page.flush()
-    regions = {r for _, r, _ in page.blocks}
-    region = next((r for r in ("article", "main") if r in regions), None)
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     hashes = [None if h is None else signed(h) for h in page.hashes]
-    blocks = [(t, [h for e in around if (h := hashes[e.hash_id]) is not None]) for t, r, around in page.blocks if region is None or r == region]
+    blocks = [(t, [h for e in around if (h := hashes[e.hash_id]) is not None]) for t, around in page.blocks]
     name = " ".join(" ".join(page.heading or page.title).split())
     return blocks, sorted(set(hashes) - {None}), signed(xxhash.xxh64_intdigest(name.encode(errors="replace")))
 

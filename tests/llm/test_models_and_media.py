@@ -180,6 +180,15 @@ def test_op10_all_test_pages_give_their_document(spark, sf):
     assert all(" ".join(r.text.split("\n\n", 1)[1].split()) in whole for r in found)
 
 
+def test_op10_keeps_text_outside_articles(spark):
+    teaser = "<article><h3>Teaser {0}</h3></article>"
+    lead = "<main><h1>Head {0}</h1><p>lead {0}</p><article><p>body {0}</p></article></main>"
+    rows = [(k, "http://a.org/", f"<title>{k}</title><main><div><p>long body {k}</p></div></main>" + teaser.format(k)) for k in range(5)]
+    rows += [(10 + k, "http://b.org/", f"<title>{k}</title>" + lead.format(k) + "<div><p>box</p></div>") for k in range(5)]
+    found = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found == {k: f"long body {k}\n\nTeaser {k}" for k in range(5)} | {10 + k: f"Head {k}\n\nlead {k}\n\nbody {k}" for k in range(5)}
+
+
 def test_op10_edges(spark):
     odd = [(1, "u", "<"), (2, "u", "<p>a</div></p></b>c"), (3, "u", "<div>" * 3000 + "deep" + "</div>" * 3000), (None, "u", "<!-- x --><p>ok</p>"), (1, "u", "<")]
     found = html.main_text(spark.createDataFrame(odd, "page_id bigint, url string, html string"))
