@@ -79,7 +79,7 @@ class Page(HTMLParser):
                 inside = self.open[-1]
                 if not inside.dropped:
                     self.blocks.append((text, [e for e in self.open if e.hash_id is not None]))
-                if inside.tag == "h1":
+                if inside.tag == "h1" and not inside.dropped:
                     self.heading.append(text)
 
     def close_to(self, k: int) -> None:
@@ -156,7 +156,10 @@ class Page(HTMLParser):
 
 
 def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int], int]:
-    """Blocks (text, subtree hashes around it) that aren't dropped, all subtree hashes, and a hash of the title."""
+    """Blocks (text, subtree hashes around it) that aren't dropped, all subtree hashes, and a hash of the title.
+
+    The title is that of the page and its main headings that aren't dropped.
+    """
     page = Page()
     page.feed(html or "")
     page.close()
@@ -165,7 +168,7 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int], int
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     hashes = [None if h is None else signed(h) for h in page.hashes]
     blocks = [(t, [h for e in around if (h := hashes[e.hash_id]) is not None]) for t, around in page.blocks]
-    name = " ".join(" ".join(page.heading or page.title).split())
+    name = " ".join(" ".join([*page.title, *page.heading]).split())
     return blocks, sorted(set(hashes) - {None}), signed(xxhash.xxh64_intdigest(name.encode(errors="replace")))
 
 
@@ -199,12 +202,10 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     return pick(pages, k=id_col, u=url_col, h=html_col).mapInArrow(run, schema)
 
 
-def templates(parsed_: DataFrame, least_titles: int = 3, least_share: float = 0.05) -> DataFrame:
-    """``host, hash`` of subtrees that occur under many of their host's titles."""
+def templates(parsed_: DataFrame, least_titles: int = 3) -> DataFrame:
+    """``host, hash`` of subtrees that occur under at least so many of their host's titles, however many it has."""
     each = parsed_.select("host", "title", F.explode("hashes").alias("hash")).distinct()
-    titles = parsed_.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("all"))
-    counted = each.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_titles)
-    return counted.join(titles, "host").filter(F.col("n") >= least_share * F.col("all")).select("host", "hash")
+    return each.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_titles).select("host", "hash")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -189,6 +189,14 @@ def test_op10_keeps_text_outside_articles(spark):
     assert found == {k: f"long body {k}\n\nTeaser {k}" for k in range(5)} | {10 + k: f"Head {k}\n\nlead {k}\n\nbody {k}" for k in range(5)}
 
 
+def test_op10_templates_do_not_depend_on_the_hosts_size(spark):
+    boxed = lambda k: "<div><p>section box</p></div>" if k < 4 else ""
+    rows = [(k, "http://a.org/", f"<title>t{k}</title><body>{boxed(k)}<div><p>own {k}</p></div>") for k in range(200)]
+    rows += [(1000 + k, "http://b.org/", f"<title>t{k}</title><header><h1>Site</h1></header><div><p>box</p></div><div><p>own {k}</p></div>") for k in range(5)]
+    found = html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {k: f"own {k % 1000}" for k, _, _ in rows}
+
+
 def test_op10_edges(spark):
     odd = [(1, "u", "<"), (2, "u", "<p>a</div></p></b>c"), (3, "u", "<div>" * 3000 + "deep" + "</div>" * 3000), (None, "u", "<!-- x --><p>ok</p>"), (1, "u", "<")]
     found = html.main_text(spark.createDataFrame(odd, "page_id bigint, url string, html string"))
