@@ -1,7 +1,9 @@
 """Language identification of mixed texts: script ranges, word scores and Viterbi spans.
 
-A word's script narrows the languages it can be of to those seen in that script.  Each
-word gets a log-posterior over the languages from hashed character n-grams.  Viterbi with
+Words are cut where the script changes and after every 64 letters, so that text without
+spaces is read to its end; each piece is a word of its own.  A word's script narrows the
+languages it can be of to those seen in that script; letters of other scripts count for no
+language.  Each word gets a log-posterior over the languages from hashed character n-grams.  Viterbi with
 a penalty for every switch then labels spans.  Words of a whole batch are scanned at once:
 texts are cut into blocks of equal length, every block is solved from each start language
 side by side (a max-plus matrix a block), and the blocks of a text are chained.
@@ -13,6 +15,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ FOLDS, TEST_FOLD = 4, 2
 BITS, GRAMS = 16, 4
 PENALTY = 6.0
 BLOCK = 64
+#: Letters that are scored together at most; longer words are several.
+PIECE = 64
 #: Log-posteriors are cut here, so that no single word decides.
 FLOOR = -5.0
 #: First and last code point of ranges of letters, by script (fixed values).
@@ -66,6 +71,15 @@ def letters_of(token: str) -> str:
     return (token if token.isalpha() else "".join(filter(str.isalpha, token))).lower()
 
 
+def pieces_of(token: str) -> list[str]:
+    """The token's letters, cut where the script changes and after every ``PIECE`` letters; one empty piece if there are none."""
+    word = letters_of(token)
+    if len(word) <= PIECE and word.isascii():
+        return [word]
+    runs = ["".join(run) for _, run in groupby(word, script_of)]
+    return [run[at : at + PIECE] for run in runs for at in range(0, len(run), PIECE)] or [""]
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words and of their character n-grams (ends marked), and the words' numbers."""
     marked = [f"^{w}$" for w in words]
@@ -89,14 +103,13 @@ class Model:
     def __init__(self, langs: list[str], scripts: dict[str, np.ndarray], logs: np.ndarray):
         self.langs, self.scripts, self.logs = langs, scripts, logs
 
-    def scores(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-posteriors of each token over the languages (best: 0), and its number of letters."""
-        words = list(map(letters_of, tokens))
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece: log-posteriors over the languages (best: 0), letters, and whether these are of a script never learned."""
         letters = np.fromiter(map(len, words), np.int64, len(words))
         found = np.zeros((len(words), len(self.langs)))
         known = [k for k, w in enumerate(words) if w and script_of(w[0]) in self.scripts]
         if known:
-            at, owner = grams([words[k][:64] for k in known])
+            at, owner = grams([words[k] for k in known])
             n = np.bincount(owner, minlength=len(known))
             weight = np.minimum(letters[known] + 1, 6) / n
             allowed = np.array([self.scripts[script_of(words[k][0])] for k in known])
@@ -104,7 +117,9 @@ class Model:
                 mean = np.bincount(owner, weights=self.logs[l][at], minlength=len(known)) * weight
                 found[known, l] = np.where(allowed[:, l], mean, -np.inf)
             found -= found.max(axis=1, keepdims=True)
-        return np.maximum(found, FLOOR).astype(np.float32), letters
+        strange = letters > 0
+        strange[:] = False
+        return np.maximum(found, FLOOR).astype(np.float32), letters, strange
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -115,7 +130,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     langs = sorted(words)
     counts, seen = np.zeros((len(langs), 1 << BITS)), defaultdict(lambda: np.zeros(len(langs)))
     for k, lang in enumerate(langs):
-        items = [(w[:64], n) for t, n in words[lang].items() if (w := letters_of(t))]
+        items = [(w, n) for t, n in words[lang].items() for w in pieces_of(t) if w]
         for first in range(0, len(items), 10_000):
             part = items[first : first + 10_000]
             at, owner = grams([w for w, _ in part])
@@ -189,42 +204,58 @@ class Labeller:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table, self.letters = np.empty((0, len(self.model.langs)), np.float32), np.empty(0, np.int64)
+        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)  # each token's pieces
+        self.table, self.letters, self.strange = np.empty((0, len(self.model.langs)), np.float32), np.empty(0, np.int64), np.empty(0, bool)
 
-    def labels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language and letters of every token, and tokens of every text."""
+    def labels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language and letters of every piece, pieces of every text, and each piece's word in its text.
+
+        Pieces of a script that was never learned have no language: the number after the last.
+        """
         split = [t.split() for t in texts]
-        lengths = np.array([len(x) for x in split], np.int64)
-        if len(self.known) > REMEMBERED:
+        if max(len(self.known), len(self.letters)) > REMEMBERED:
             self.forget()
         new = list({w for x in split for w in x} - self.known.keys())
-        scores, letters = self.model.scores(new)
+        pieces = list(map(pieces_of, new))
+        count = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        scores, letters, strange = self.model.scores([p for x in pieces for p in x])
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.table, self.letters = np.concatenate([self.table, scores]), np.concatenate([self.letters, letters])
+        self.first, self.count = np.concatenate([self.first, len(self.letters) + np.cumsum(count) - count]), np.concatenate([self.count, count])
+        self.table, self.letters, self.strange = np.concatenate([self.table, scores]), np.concatenate([self.letters, letters]), np.concatenate([self.strange, strange])
         get = self.known.__getitem__
-        at = np.fromiter((k for x in split for k in map(get, x)), np.int64, int(lengths.sum()))
-        return viterbi(self.table[at], lengths, self.penalty), self.letters[at], lengths
+        words = np.array([len(x) for x in split], np.int64)
+        token = np.fromiter((k for x in split for k in map(get, x)), np.int64, int(words.sum()))
+        count = self.count[token]
+        at = np.repeat(self.first[token] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        lengths = np.bincount(np.repeat(np.arange(len(texts)), words), weights=count, minlength=len(texts)).astype(np.int64)
+        word = np.repeat(np.arange(len(token)) - np.repeat(np.cumsum(words) - words, words), count)
+        found = viterbi(self.table[at], lengths, self.penalty)
+        return np.where(self.strange[at], len(self.model.langs), found), self.letters[at], lengths, word
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The language with the most letters, and its share of all letters; ``und`` and 0 without letters."""
-        found, letters, lengths = self.labels(texts)
+        """The language with the most letters, and its share of all letters; ``und`` and 0 without letters of a learned script."""
+        found, letters, lengths, _ = self.labels(texts)
         n = len(self.model.langs)
         if not n:
             return ["und"] * len(texts), [0.0] * len(texts)
         text = np.repeat(np.arange(len(texts)), lengths)
-        share = np.bincount(text * n + found, weights=letters, minlength=len(texts) * n).reshape(-1, n)
-        all_, best = share.sum(axis=1), share.argmax(axis=1)
-        names = [self.model.langs[b] if a else "und" for a, b in zip(all_, best, strict=True)]
-        return names, (share.max(axis=1) / np.maximum(all_, 1)).tolist()
+        share = np.bincount(text * (n + 1) + found, weights=letters, minlength=len(texts) * (n + 1)).reshape(-1, n + 1)
+        all_, share = share.sum(axis=1), share[:, :n]
+        best, most = share.argmax(axis=1), share.max(axis=1)
+        names = [self.model.langs[b] if m else "und" for m, b in zip(most, best, strict=True)]
+        return names, (most / np.maximum(all_, 1)).tolist()
 
     def spans(self, texts: list[str]) -> list[list[dict]]:
-        """Runs of words of one language in each text: start and end word, and the language."""
-        found, _, lengths = self.labels(texts)
-        out, at = [], 0
+        """Runs of one language in each text: start and end word, and the language (``und``: letters of no learned script).
+
+        A word whose pieces are of several languages is in the spans of all of them.
+        """
+        found, _, lengths, word = self.labels(texts)
+        names, out, at = [*self.model.langs, "und"], [], 0
         for n in lengths.tolist():
-            labels = found[at : at + n]
+            labels, words = found[at : at + n], word[at : at + n]
             cut = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), n] if n else []
-            out.append([{"start": a, "end": b, "lang": self.model.langs[labels[a]]} for a, b in zip(cut, cut[1:])])
+            out.append([{"start": int(words[a]), "end": int(words[b - 1]) + 1, "lang": names[labels[a]]} for a, b in zip(cut, cut[1:])])
             at += n
         return out
 
@@ -291,7 +322,7 @@ def identified(docs: DataFrame, most: int = 1000) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every document.
 
     ``lang_pred`` is a learned language, or ``und`` where the text is null or has no
-    letter (or nothing could be learned); ``score`` is the share of letters in its spans.
+    letter of a learned script; ``score`` is the share of all letters that are in its spans.
     Null ids are never held out; repeated rows stay; an empty table gives an empty table.
     """
     out = predicted(docs, model_of(docs, most))

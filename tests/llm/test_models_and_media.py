@@ -91,6 +91,19 @@ def test_op7_edges(edge, empty):
     assert langid.identified(empty).count() == 0
 
 
+def fitted():
+    words = {"en": "the house and water think", "de": "das haus und wasser denken", "zh": "我们喜欢喝水和看书今天天气很好", "th": "สวัสดีครับผมชอบอ่านหนังสือ"}
+    return langid.Labeller(langid.fit([(k, t) for k, t in words.items() for _ in range(20)]))
+
+
+def test_op7_reads_unspaced_text_to_its_end():
+    zh, th = "我们喜欢喝水和看书今天天气很好" * 10, "สวัสดีครับผมชอบอ่านหนังสือ" * 60
+    names, shares = fitted().predict([zh + th, zh + "thehouseandwater" * 200, zh])
+    assert names == ["th", "en", "zh"] and 0.5 < shares[0] < 1 and 0.9 < shares[1] < 1 and shares[2] == 1
+    assert [s["lang"] for s in fitted().spans([zh + th])[0]] == ["zh", "th"]
+    assert fitted().spans(["the house " + zh])[0] == [{"start": 0, "end": 2, "lang": "en"}, {"start": 2, "end": 3, "lang": "zh"}]
+
+
 # -- toxicity and quality ----------------------------------------------------------------
 
 
