@@ -118,7 +118,7 @@ class Model:
                 found[known, l] = np.where(allowed[:, l], mean, -np.inf)
             found -= found.max(axis=1, keepdims=True)
         strange = letters > 0
-        strange[:] = False
+        strange[known] = False
         return np.maximum(found, FLOOR).astype(np.float32), letters, strange
 
 

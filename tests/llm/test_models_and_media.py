@@ -104,6 +104,13 @@ def test_op7_reads_unspaced_text_to_its_end():
     assert fitted().spans(["the house " + zh])[0] == [{"start": 0, "end": 2, "lang": "en"}, {"start": 2, "end": 3, "lang": "zh"}]
 
 
+def test_op7_a_script_never_learned_has_no_language(spark):
+    names, shares = fitted().predict(["мы читаем книги дома", "the house мы читаем книги дома", "12 34"])
+    assert names == ["und", "en", "und"] and shares[0] == shares[2] == 0 and 0.2 < shares[1] < 0.5
+    docs = spark.createDataFrame([(k, "the house and water", "en") for k in range(20)] + [(99, "мы читаем книги", None)], "doc_id bigint, text string, lang string")
+    assert sorted(r[0] for r in langid.in_one_language(docs).select("doc_id").collect()) == list(range(20))
+
+
 # -- toxicity and quality ----------------------------------------------------------------
 
 
