@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,44 +30,68 @@ def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), [F.col(f"_{df.columns.index(n)}") for n in names]
 
 
+#: Spark's switch for deleting a query's shuffle files as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Size of a dictionary page in columns of repeated 64-bit hashes; beyond it they are stored plain.
+DICTIONARY_BYTES = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    It is read from the session; only where it is unset (tests, a single machine) a
-    temporary folder is taken and set.
+    It is read from the session.  Only where it is unset and driver and executors are one
+    process (tests, a single machine) a temporary folder is taken; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tessellate-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Cuts the lineage: an executor lost later costs a re-read, not a recomputation, and a
-    column-pruned reader touches only what it needs.
+    column-pruned reader touches only what it needs.  Its shuffle files go at once, so the
+    disk holds those of one step at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessellate-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more.
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Like :func:`written`, dealt into buckets by ``keys``: joins on all of them don't shuffle it.
 
-    They go when the driver's JVM collects its garbage, which a driver with little to do
-    does rarely; between written steps that each shuffle about their input's size, this
-    keeps the disk at the largest step instead of the sum.  Python's side lets go of its
-    objects in the background, so a second collection finds what the first could not.
+    The catalog's entry goes again at once; the files stay in the shared folder.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+    spark = df.sparkSession
+    made = f"tessellate_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _cleaned(spark):
+        writer = df.write.format("parquet").bucketBy(buckets, *keys).option("path", f"{shared_dir(spark)}/{made}").option("parquet.dictionary.page.size", DICTIONARY_BYTES)
+        writer.saveAsTable(made)
+    found = spark.table(made)
+    found.schema  # resolved now, so the entry isn't needed later
+    spark.sql(f"DROP TABLE {made}")
+    return found
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

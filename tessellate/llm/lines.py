@@ -1,105 +1,168 @@
 """Line deduplication by an exact set-similarity join, in SQL functions only.
 
-A line's tokens are its distinct lower-cased words.  Tokens are ordered by rarity: the
-number of words of the corpus in the token's hash bucket (of ``2**FREQUENCY_BITS``), then
-the hash; any order common to all lines keeps the join exact, a rarer prefix makes it
-quick.  Lines of equal token sets are one class first.  Two classes with Jaccard
-similarity ``t`` or more share a token among their first ``n - ceil(t n) + 1``, so classes
-meet on prefix tokens; length, position and a 64-bit map of the tokens discard most
-meetings, and the rest are verified on whole token sets.  A line goes if its class occurs
-in an earlier line or is similar to a class that does; order is (id, line number).
-Classes are told apart by 128 bits over 56-bit token hashes; a pair's overlap is counted on
-31 of those bits.
+A line's tokens are the 64-bit hashes of its distinct lower-cased words; lines of one token
+set are one class, known by 128 bits.  Tokens are ordered by rarity: the number of classes
+that have a token of the same hash bucket (one for every two classes, at most
+``2**FREQUENCY_BITS``), then the hash; any
+order common to all lines keeps the join exact, a rarer prefix makes it quick.  Two classes
+with Jaccard similarity ``t`` or more share a token among the first ``n - ceil(t n) + 1`` of
+the larger and the first ``n - ceil(2t/(1+t) n) + 1`` of the smaller; length, position and
+the parities of the tokens in 64 slots discard most meetings, and the rest are verified on
+whole token sets.
+
+A line goes if its class occurs in an earlier line or is similar to a class that does; order
+is (id, line number).  One earlier witness is enough, so the join has two rounds.  In the
+first, every class meets a few earlier ones in the buckets of its rarest tokens and the
+closest is verified; that settles nearly all of a large group of near copies.  In the
+second, classes not settled yet are joined with all earlier ones.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, release, written
+from .common import bucketed, numbered, pick, written
 from .sketch import BLANKS, split_words
 
-FREQUENCY_BITS = 18
+#: The frequency table has a bucket for every two classes, but no more than this power of two.
+FREQUENCY_BITS = 22
 #: Jaccard similarity 4/5, as whole numbers.
 NUM, DEN = 4, 5
-#: Candidate pairs are verified in so many parts, one after another.
-VERIFY_PARTS = 4
+#: In the first round a class looks at its so many rarest tokens, and there at the classes so many places before it.
+RAREST, BEFORE = 4, (1, 2, 4, 8, 16)
+#: Buckets of more classes than this are dealt out in the first round, so that no task has a whole large one.
+BUCKET = 4096
 
 
 def has_words(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS)) != ""
 
 
-def rarity_table(docs: DataFrame) -> Column:
-    """Array over hash buckets: four times the log2 of the words there in all texts, as a scalar subquery."""
-    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - FREQUENCY_BITS).alias("b")
-    words = docs.filter(has_words(F.col("t"))).select(F.explode(split_words(F.col("t"))).alias("w"))
-    counts = words.select(bucket).groupBy("b").agg(F.count("*").alias("n"))
-    level = F.least(F.lit(127), F.round(4 * F.log2(F.coalesce("n", F.lit(0)) + 1))).cast("bigint")
-    every = docs.sparkSession.range(1 << FREQUENCY_BITS).withColumnRenamed("id", "b").join(counts, "b", "left").select("b", F.shiftleft(level, 56).alias("r"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "r"))), lambda x: x["r"])).scalar()
+def line_rows(docs: DataFrame) -> DataFrame:
+    """``k, pos, line`` of every line with words of ``docs (k, t)``."""
+    return docs.select("k", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).filter(has_words(F.col("line")))
 
 
-def token_keys(line: Column, rarity: Column) -> Column:
-    """Ascending keys of a line's distinct words: rarity level above 56 bits of the hash."""
-    hashes = F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.get(rarity, F.shiftrightunsigned(h, 64 - FREQUENCY_BITS).cast("int")) + F.shiftrightunsigned(h, 8)))
+def classes(docs: DataFrame) -> DataFrame:
+    """``h1, h2, k, pos, tokens``: one row per distinct token set with its first occurrence; tokens ascend."""
+    tokens = F.array_distinct(F.sort_array(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))))
+    rows = line_rows(docs).select("k", "pos", tokens.alias("tokens"))
+    rows = rows.select(F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), F.struct("k", "pos").alias("at"), "tokens")
+    found = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("tokens").alias("tokens"))
+    return found.select("h1", "h2", "at.k", "at.pos", "tokens")
 
 
-def with_keys(rows: DataFrame, rarity: Column) -> DataFrame:
-    """``k, pos, keys`` of ``rows (k, pos, line)``.
+def frequency_bits(n_classes: int) -> int:
+    return min(FREQUENCY_BITS, max(10, (n_classes // 2).bit_length()))
 
-    The analyser wants no subquery in a lambda, so the table is a column first; it is used
-    once, so the optimiser puts it in its place and no row ever holds it.
-    """
-    return rows.withColumn("_rarity", rarity).select("k", "pos", token_keys(F.col("line"), F.col("_rarity")).alias("keys"))
 
+def rarity_table(found: DataFrame, size: int) -> Column:
+    """Array over ``2**size`` hash buckets, as a scalar subquery: four times the log2 of the classes that have a token there, plus one; in the highest byte."""
+    half = size // 2
+    bucket = F.shiftrightunsigned("token", 64 - size).cast("int").alias("b")
+    tokens = found.select(F.explode("tokens").alias("token")).select(bucket, F.lit(1).alias("one"))
+    every = found.sparkSession.range(1 << size).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("one"))
+    counts = tokens.union(every).groupBy("b").agg(F.sum("one").alias("n"))
+    level = F.when(F.col("n") == 0, 0).otherwise(F.least(F.lit(127), F.floor(4 * F.log2("n")) + 1)).cast("bigint")
+    values = lambda pairs: F.transform(F.array_sort(pairs), lambda x: x["r"])
+    rows = counts.select(F.shiftright("b", half).alias("high"), "b", F.shiftleft(level, 56).alias("r")).groupBy("high").agg(values(F.collect_list(F.struct("b", "r"))).alias("r"))
+    return rows.agg(F.flatten(values(F.collect_list(F.struct("high", "r"))))).scalar()
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """``k, pos, line`` of every line with words of ``docs (k, t)``."""
-    return docs.select("k", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).filter(has_words(F.col("line")))
 
+def prefixes(found: DataFrame, size: int) -> DataFrame:
+    """``h1, h2, k, pos, n, bits, prefix``: size, parities of the tokens in 64 slots, and the rarest tokens.
 
-def classes(docs: DataFrame, rarity: Column) -> DataFrame:
-    """One row per distinct token set: first occurrence, size, bit map, and tokens by rarity (31 bits each)."""
+    A key of the prefix is the rarity level above 56 bits of the hash.  The analyser wants no
+    subquery in a lambda, so the table is a column first; it is used once, so the optimiser
+    puts it in its place and no row ever holds it.
+    """
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))
-    bits = F.aggregate("keys", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x)))
-    tokens = F.transform("keys", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    rows = with_keys(line_rows(docs), rarity).select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), F.struct("k", "pos").alias("at"), bits.alias("bits"), tokens.alias("tokens"))
-    found = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"))
-    return found.select("at.k", "at.pos", F.size("tokens").alias("n"), "bits", "tokens")
+    bits = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+    key = lambda x: F.get("_rarity", F.shiftrightunsigned(x, 64 - size).cast("int")) + F.shiftrightunsigned(x, 8)
+    n = F.size("tokens")
+    prefix = F.slice(F.sort_array(F.transform("tokens", key)), F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1)
+    return found.withColumn("_rarity", rarity_table(found, size)).select("h1", "h2", "k", "pos", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+
+
+CLASS = ("h1", "h2", "k", "pos")
+
+
+def _may_be(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Whether two classes that share a token at places ``i`` can be similar, if they share none before.
+
+    In whole numbers and few operations, as it is asked for every meeting in a bucket: with
+    ``c`` tokens in common they are similar if ``9 c >= 4 (n + n)``.
+    """
+    both, total = x["n"] + y["n"], NUM + DEN
+    parities = F.bit_count(x["bits"].bitwiseXOR(y["bits"])) * total <= both * (DEN - NUM)
+    sizes = (x["n"] * DEN >= y["n"] * NUM) & (y["n"] * DEN >= x["n"] * NUM)
+    places = ((x["n"] - x["i"]) * total >= both * NUM) & ((y["n"] - y["i"]) * total >= both * NUM)
+    return parities & sizes & places
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """Class pairs ``x…`` (later), ``y…`` (earlier), each once, on disk."""
+    return written(found.distinct(), "line-pairs")
+
+
+def close_pairs(rows: DataFrame, n_classes: int) -> DataFrame:
+    """First round: the closest of a few earlier classes in the buckets of the rarest tokens.
+
+    Rows of many buckets are one window's, or the windows would be too small to be quick.
+    """
+    level = F.shiftrightunsigned("token", 56)
+    salts = F.ceil(F.pow(F.lit(2.0), level / 4) / BUCKET).cast("bigint")  # the level bounds the bucket's classes
+    windows = max(1, n_classes * RAREST // BUCKET)
+    own = rows.withColumn("salt", F.pmod(F.xxhash64("h1"), salts)).withColumn("window", F.pmod(F.xxhash64("token", "salt"), F.lit(windows)))
+    order = Window.partitionBy("window").orderBy("token", "salt", "k", "pos")
+    fields = ("token", "salt", "n", "i", "bits")
+    met = own.withColumns({f"m{j}": F.lag(F.struct(*CLASS, *fields), j).over(order) for j in BEFORE})
+    x = {c: F.col(c) for c in (*CLASS, *fields)}
+    for j in BEFORE:
+        y = {c: F.col(f"m{j}.{c}") for c in x}
+        same = (y["token"] == x["token"]) & (y["salt"] == x["salt"])
+        met = met.withColumn(f"d{j}", F.when(same & _may_be(x, y), F.bit_count(x["bits"].bitwiseXOR(y["bits"])) * 100 + j))
+    met = met.withColumn("d", F.least(*[F.col(f"d{j}") for j in BEFORE])).filter("d IS NOT NULL")
+    y = F.coalesce(*[F.when(F.col("d") % 100 == j, F.col(f"m{j}")) for j in BEFORE])
+    met = met.select(*CLASS, y.alias("y"))
+    return _pairs(met.select(*[F.col(c).alias(f"x{c}") for c in CLASS], *[F.col(f"y.{c}").alias(f"y{c}") for c in CLASS]))
+
+
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """Second round: every class not ``settled`` with every earlier one that it may be similar to."""
+    short = rows.filter(F.col("i") * (NUM + DEN) <= F.col("n") * (DEN - NUM))
+    a, b = rows.alias("a"), short.alias("b")
+    x, y = ({c: F.col(f"{side}.{c}") for c in rows.columns} for side in "ab")  # the larger and the smaller
+    y_earlier = (y["k"] < x["k"]) | ((y["k"] == x["k"]) & (y["pos"] < x["pos"]))
+    once = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & y_earlier)
+    unsettled = (y_earlier & ~x["settled"]) | (~y_earlier & ~y["settled"])
+    met = a.join(b, (x["token"] == y["token"]) & _may_be(x, y) & once & unsettled)
+    later = [F.when(y_earlier, x[c]).otherwise(y[c]).alias(f"x{c}") for c in CLASS]
+    earlier = [F.when(y_earlier, y[c]).otherwise(x[c]).alias(f"y{c}") for c in CLASS]
+    return _pairs(met.select(*later, *earlier))
+
+
+def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """``h1, h2, k, pos`` of the later classes of ``pairs`` that are similar to the earlier one, each once."""
+    ends = pairs.select("xh1", "xh2").union(pairs.select("yh1", "yh2")).toDF("h1", "h2").distinct()
+    sets = written(found.join(ends, ["h1", "h2"], "left_semi").select("h1", "h2", "tokens"), "line-sets")
+    x, y = sets.toDF("xh1", "xh2", "xtokens"), sets.toDF("yh1", "yh2", "ytokens")
+    common = F.size(F.array_intersect("xtokens", "ytokens"))
+    enough = common * (NUM + DEN) >= (F.size("xtokens") + F.size("ytokens")) * NUM
+    near = pairs.join(x, ["xh1", "xh2"]).join(y, ["yh1", "yh2"]).filter(enough)
+    return written(near.select(*[F.col(f"x{c}").alias(c) for c in CLASS]).distinct(), "line-removals")
 
 
 def similar(found: DataFrame) -> DataFrame:
-    """``k, pos`` of classes that are similar to a class with an earlier first occurrence."""
-    spark = found.sparkSession
-    prefix = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1)
-    rows = found.select("k", "pos", "n", "bits", F.posexplode(prefix).alias("i", "token"))
-    x, y = rows.alias("x"), rows.alias("y")
-    least = F.ceil((F.col("x.n") + F.col("y.n")) * NUM / (NUM + DEN))  # tokens in common, for the similarity
-    near = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM)
-        & (F.struct("y.k", "y.pos") < F.struct("x.k", "x.pos"))
-        & (F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= least)
-        & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= F.col("x.n") + F.col("y.n") - 2 * least)
-    )
-    pairs = x.join(y, near).select(F.col("x.k").alias("k"), F.col("x.pos").alias("pos"), F.col("y.k").alias("k2"), F.col("y.pos").alias("pos2")).distinct()
-    pairs = written(pairs, "line-pairs")
-    release(spark)
-    of_x = found.select("k", "pos", "tokens")
-    of_y = found.select(F.col("k").alias("k2"), F.col("pos").alias("pos2"), F.col("tokens").alias("tokens2"))
-    common = F.size(F.array_intersect("tokens", "tokens2"))
-    enough = common * (NUM + DEN) >= (F.size("tokens") + F.size("tokens2")) * NUM
-    part, parts = F.pmod(F.xxhash64("k", "pos"), F.lit(VERIFY_PARTS)), []
-    for n in range(VERIFY_PARTS):  # pairs carry whole token sets here, so one part at a time is on disk
-        both = pairs.filter(part == n).join(of_x, ["k", "pos"]).join(of_y, ["k2", "pos2"])
-        parts.append(written(both.filter(enough).select("k", "pos").distinct(), "line-removals"))
-        release(spark)
-    return reduce(DataFrame.union, parts)
+    """``h1, h2, k, pos`` of classes that are similar to a class with an earlier first occurrence."""
+    n_classes = found.count()
+    made = bucketed(prefixes(found, frequency_bits(n_classes)), "line-prefixes", ["h1", "h2"])
+    met = F.shiftrightunsigned("token", 56) > 1  # a token alone in its hash bucket is of one class
+    rows = lambda df, *more: df.select(*CLASS, "n", "bits", F.posexplode("prefix").alias("i", "token"), *more).filter(met)
+    settled = verified(close_pairs(rows(made.withColumn("prefix", F.slice("prefix", 1, RAREST))), n_classes), found)
+    flagged = made.join(settled.select("h1", "h2", F.lit(True).alias("settled")), ["h1", "h2"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    return settled.unionByName(verified(all_pairs(rows(flagged, "settled")), found))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,10 +174,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     docs = pick(docs, k=id_col, t=text_col)
     with_id = docs.dropna()
-    rarity = rarity_table(with_id)
-    found = written(classes(with_id, rarity), "line-classes")
-    release(docs.sparkSession)
-    kept = found.select("k", "pos").join(similar(found), ["k", "pos"], "left_anti").groupBy("k").agg(F.collect_set("pos").alias("kept"))
+    found = bucketed(classes(with_id), "line-classes", ["h1", "h2"])
+    kept = found.select(*CLASS).join(similar(found), ["h1", "h2"], "left_anti").groupBy("k").agg(F.collect_set("pos").alias("kept"))
     lines = F.coalesce(F.split("t", "\n", -1), F.array().cast("array<string>"))
     worded = F.filter(F.transform(lines, lambda line, i: F.when(has_words(line), i)), lambda i: i.isNotNull())
     numbered = docs.select("k", F.size(lines).alias("n_lines"), worded.alias("worded")).join(kept, "k", "left")

@@ -9,6 +9,7 @@ its least hash instead.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,12 @@ BLANKS, BLANK_RUN = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]+"
 
 
 def split_words(text: Column) -> Column:
-    """Lower-cased words of a text that has some: runs of anything but ASCII white space."""
-    return F.split(F.btrim(F.lower(text), F.lit(BLANKS)), BLANK_RUN)
+    """Lower-cased words of a text that has some: runs of anything but ASCII white space.
+
+    Where single blanks are the only white space, a plain split does, which is several times faster.
+    """
+    odd = lambda bare: reduce(Column.__or__, [bare.contains(b) for b in ("  ", *BLANKS[1:])])
+    return let(F.btrim(F.lower(text), F.lit(BLANKS)), lambda bare: F.when(odd(bare), F.split(bare, BLANK_RUN)).otherwise(F.split(bare, " ")))
 
 
 def words_of(text: Column) -> Column:
