@@ -12,8 +12,7 @@ whole token sets.
 
 A line goes if its class occurs in an earlier line or is similar to a class that does; order
 is (id, line number).  One earlier witness is enough, so the join has two rounds.  In the
-first, every class meets a few earlier ones in the buckets of its rarest tokens and the
-closest is verified; that settles nearly all of a large group of near copies.  In the
+first, every class meets a few earlier ones in the buckets of its rarest tokens; that settles nearly all of a large group of near copies.  In the
 second, classes not settled yet are joined with all earlier ones.
 """
 
@@ -107,26 +106,22 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def close_pairs(rows: DataFrame, n_classes: int) -> DataFrame:
-    """First round: the closest of a few earlier classes in the buckets of the rarest tokens.
+    """First round: a few earlier classes in the buckets of the rarest tokens.
 
-    Rows of many buckets are one window's, or the windows would be too small to be quick.
+    Rows of many buckets are one window's, or the windows would be too small to be quick; a
+    bucket of very many rows is dealt over several windows.
     """
     level = F.shiftrightunsigned("token", 56)
     salts = F.ceil(F.pow(F.lit(2.0), level / 4) / BUCKET).cast("bigint")  # the level bounds the bucket's classes
     windows = max(1, n_classes * RAREST // BUCKET)
-    own = rows.withColumn("salt", F.pmod(F.xxhash64("h1"), salts)).withColumn("window", F.pmod(F.xxhash64("token", "salt"), F.lit(windows)))
-    order = Window.partitionBy("window").orderBy("token", "salt", "k", "pos")
-    fields = ("token", "salt", "n", "i", "bits")
-    met = own.withColumns({f"m{j}": F.lag(F.struct(*CLASS, *fields), j).over(order) for j in BEFORE})
-    x = {c: F.col(c) for c in (*CLASS, *fields)}
-    for j in BEFORE:
-        y = {c: F.col(f"m{j}.{c}") for c in x}
-        same = (y["token"] == x["token"]) & (y["salt"] == x["salt"])
-        met = met.withColumn(f"d{j}", F.when(same & _may_be(x, y), F.bit_count(x["bits"].bitwiseXOR(y["bits"])) * 100 + j))
-    met = met.withColumn("d", F.least(*[F.col(f"d{j}") for j in BEFORE])).filter("d IS NOT NULL")
-    y = F.coalesce(*[F.when(F.col("d") % 100 == j, F.col(f"m{j}")) for j in BEFORE])
-    met = met.select(*CLASS, y.alias("y"))
-    return _pairs(met.select(*[F.col(c).alias(f"x{c}") for c in CLASS], *[F.col(f"y.{c}").alias(f"y{c}") for c in CLASS]))
+    window = F.pmod(F.xxhash64("token", F.pmod(F.xxhash64("h1"), salts)), F.lit(windows))
+    order = Window.partitionBy("window").orderBy("token", "k", "pos")
+    fields = (*CLASS, "token", "n", "i", "bits")
+    before = F.array(*[F.lag(F.struct(*fields), j).over(order) for j in BEFORE])
+    met = rows.withColumn("window", window).select(*fields, before.alias("before")).select(*fields, F.explode("before").alias("y"))
+    x, y = {c: F.col(c) for c in fields}, {c: F.col(f"y.{c}") for c in fields}
+    met = met.filter((x["token"] == y["token"]) & _may_be(x, y))
+    return _pairs(met.select(*[x[c].alias(f"x{c}") for c in CLASS], *[y[c].alias(f"y{c}") for c in CLASS]))
 
 
 def all_pairs(rows: DataFrame) -> DataFrame:
