@@ -3,17 +3,17 @@
 A line's tokens are the 64-bit hashes of its distinct lower-cased words; lines of one token
 set are one class, known by 128 bits.  Tokens are ordered by rarity: the number of classes
 that have a token of the same hash bucket (one for every two classes, at most
-``2**FREQUENCY_BITS``), then the hash; any
-order common to all lines keeps the join exact, a rarer prefix makes it quick.  Two classes
-with Jaccard similarity ``t`` or more share a token among the first ``n - ceil(t n) + 1`` of
+``2**FREQUENCY_BITS``), then the hash; any order common to all lines keeps the join exact,
+a rarer prefix makes it quick.  Two classes with Jaccard similarity ``t`` or more share a token among the first ``n - ceil(t n) + 1`` of
 the larger and the first ``n - ceil(2t/(1+t) n) + 1`` of the smaller; length, position and
 the parities of the tokens in 64 slots discard most meetings, and the rest are verified on
 whole token sets.
 
 A line goes if its class occurs in an earlier line or is similar to a class that does; order
 is (id, line number).  One earlier witness is enough, so the join has two rounds.  In the
-first, every class meets a few earlier ones in the buckets of its rarest tokens; that settles nearly all of a large group of near copies.  In the
-second, classes not settled yet are joined with all earlier ones.
+first, every class meets a few earlier ones in the buckets of its rarest tokens; that settles
+nearly all of a large group of near copies.  In the second, classes not settled yet are
+joined with all earlier ones.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ def prefixes(found: DataFrame, size: int) -> DataFrame:
     return found.withColumn("_rarity", rarity_table(found, size)).select("h1", "h2", "k", "pos", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
 
 
-CLASS = ("h1", "h2", "k", "pos")
+#: A class is named by its first occurrence; ``h1, h2`` is its digest.
+CLASS = ("k", "pos")
 
 
 def _may_be(x: dict[str, Column], y: dict[str, Column]) -> Column:
@@ -114,7 +115,7 @@ def close_pairs(rows: DataFrame, n_classes: int) -> DataFrame:
     level = F.shiftrightunsigned("token", 56)
     salts = F.ceil(F.pow(F.lit(2.0), level / 4) / BUCKET).cast("bigint")  # the level bounds the bucket's classes
     windows = max(1, n_classes * RAREST // BUCKET)
-    window = F.pmod(F.xxhash64("token", F.pmod(F.xxhash64("h1"), salts)), F.lit(windows))
+    window = F.pmod(F.xxhash64("token", F.pmod(F.xxhash64(*CLASS), salts)), F.lit(windows))
     order = Window.partitionBy("window").orderBy("token", "k", "pos")
     fields = (*CLASS, "token", "n", "i", "bits")
     before = F.array(*[F.lag(F.struct(*fields), j).over(order) for j in BEFORE])
@@ -126,37 +127,41 @@ def close_pairs(rows: DataFrame, n_classes: int) -> DataFrame:
 
 def all_pairs(rows: DataFrame) -> DataFrame:
     """Second round: every class not ``settled`` with every earlier one that it may be similar to."""
-    short = rows.filter(F.col("i") * (NUM + DEN) <= F.col("n") * (DEN - NUM))
-    a, b = rows.alias("a"), short.alias("b")
+    a, b = rows.alias("a"), rows.alias("b")
     x, y = ({c: F.col(f"{side}.{c}") for c in rows.columns} for side in "ab")  # the larger and the smaller
+    # Of the smaller's prefix a shorter part will do.  A condition on one side alone would be
+    # planned below the shuffle, and the two sides would no longer share one.
+    short = y["i"] * (NUM + DEN) <= F.least(x["n"], y["n"]) * (DEN - NUM)
     y_earlier = (y["k"] < x["k"]) | ((y["k"] == x["k"]) & (y["pos"] < x["pos"]))
     once = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & y_earlier)
     unsettled = (y_earlier & ~x["settled"]) | (~y_earlier & ~y["settled"])
-    met = a.join(b, (x["token"] == y["token"]) & _may_be(x, y) & once & unsettled)
+    met = a.join(b, (x["token"] == y["token"]) & short & _may_be(x, y) & once & unsettled)
     later = [F.when(y_earlier, x[c]).otherwise(y[c]).alias(f"x{c}") for c in CLASS]
     earlier = [F.when(y_earlier, y[c]).otherwise(x[c]).alias(f"y{c}") for c in CLASS]
     return _pairs(met.select(*later, *earlier))
 
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """``h1, h2, k, pos`` of the later classes of ``pairs`` that are similar to the earlier one, each once."""
-    ends = pairs.select("xh1", "xh2").union(pairs.select("yh1", "yh2")).toDF("h1", "h2").distinct()
-    sets = written(found.join(ends, ["h1", "h2"], "left_semi").select("h1", "h2", "tokens"), "line-sets")
-    x, y = sets.toDF("xh1", "xh2", "xtokens"), sets.toDF("yh1", "yh2", "ytokens")
+    """``h1, h2`` of the later classes of ``pairs`` that are similar to the earlier one, each once."""
+    ends = pairs.select("xk", "xpos").union(pairs.select("yk", "ypos")).toDF(*CLASS).distinct()
+    ends = ends.join(found.select(*CLASS, "h1", "h2"), list(CLASS)).select("h1", "h2")
+    sets = written(found.join(ends, ["h1", "h2"], "left_semi"), "line-sets")
+    x = sets.select(F.col("k").alias("xk"), F.col("pos").alias("xpos"), F.col("tokens").alias("xtokens"), "h1", "h2")
+    y = sets.select(F.col("k").alias("yk"), F.col("pos").alias("ypos"), F.col("tokens").alias("ytokens"))
     common = F.size(F.array_intersect("xtokens", "ytokens"))
     enough = common * (NUM + DEN) >= (F.size("xtokens") + F.size("ytokens")) * NUM
-    near = pairs.join(x, ["xh1", "xh2"]).join(y, ["yh1", "yh2"]).filter(enough)
-    return written(near.select(*[F.col(f"x{c}").alias(c) for c in CLASS]).distinct(), "line-removals")
+    near = pairs.join(x, ["xk", "xpos"]).join(y, ["yk", "ypos"]).filter(enough)
+    return written(near.select("h1", "h2").distinct(), "line-removals")
 
 
 def similar(found: DataFrame) -> DataFrame:
-    """``h1, h2, k, pos`` of classes that are similar to a class with an earlier first occurrence."""
+    """``h1, h2`` of classes that are similar to a class with an earlier first occurrence."""
     n_classes = found.count()
     made = bucketed(prefixes(found, frequency_bits(n_classes)), "line-prefixes", ["h1", "h2"])
     met = F.shiftrightunsigned("token", 56) > 1  # a token alone in its hash bucket is of one class
     rows = lambda df, *more: df.select(*CLASS, "n", "bits", F.posexplode("prefix").alias("i", "token"), *more).filter(met)
     settled = verified(close_pairs(rows(made.withColumn("prefix", F.slice("prefix", 1, RAREST))), n_classes), found)
-    flagged = made.join(settled.select("h1", "h2", F.lit(True).alias("settled")), ["h1", "h2"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    flagged = made.join(settled.withColumn("settled", F.lit(True)), ["h1", "h2"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     return settled.unionByName(verified(all_pairs(rows(flagged, "settled")), found))
 
 
@@ -170,7 +175,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = pick(docs, k=id_col, t=text_col)
     with_id = docs.dropna()
     found = bucketed(classes(with_id), "line-classes", ["h1", "h2"])
-    kept = found.select(*CLASS).join(similar(found), ["h1", "h2"], "left_anti").groupBy("k").agg(F.collect_set("pos").alias("kept"))
+    kept = found.select("h1", "h2", *CLASS).join(similar(found), ["h1", "h2"], "left_anti").groupBy("k").agg(F.collect_set("pos").alias("kept"))
     lines = F.coalesce(F.split("t", "\n", -1), F.array().cast("array<string>"))
     worded = F.filter(F.transform(lines, lambda line, i: F.when(has_words(line), i)), lambda i: i.isNotNull())
     numbered = docs.select("k", F.size(lines).alias("n_lines"), worded.alias("worded")).join(kept, "k", "left")

@@ -19,8 +19,8 @@ from .common import pick
 WORDS = 5
 #: One of so many hashes is kept.
 SCALE = 8
-#: Ids are counted in so many cells of equal width to deal them into ranges; bounds what reaches the driver.
-CELLS = 65_536
+#: At most about so many rows are sampled to cut the documents into ranges; bounds what reaches the driver.
+SAMPLE = 65_536
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,38 +89,40 @@ def as_text(sketch_: Column) -> Column:
     return F.array_join(F.transform(sketch_, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, order_col: str, rows_a_range: int = 2000) -> DataFrame:
-    """``docs (…, order_col)`` with ``range`` and ``guest``: dealt into id ranges, neighbours complete.
+def _place(value: Column, bounds: Column) -> Column:
+    """How many of the ascending ``bounds`` are at most ``value``, by halving."""
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(SAMPLE.bit_length()))])
+    reached = lambda at, step: F.coalesce(F.get(bounds, at + step - 1) <= value, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at, step), at + step).otherwise(at))
 
-    Ids are counted in ``CELLS`` cells of equal width (at most so many rows reach the
-    driver) and the cells joined into ranges.  The first rows of a range, in descending
-    order, are also guests of the range before, and those of the highest id guests of the
-    lowest, so every row finds its successor within its range.
+
+def with_next(docs: DataFrame, rows_a_range: int = 2000) -> DataFrame:
+    """``docs (k, t)`` with ``key``, ``range`` and ``guest``: dealt into ranges of the order, neighbours complete.
+
+    The order is that of ``key``: id, then a hash of the text, descending, null ids last.
+    Bounds are quantiles of a sample, so ranges have about ``rows_a_range`` rows (more beyond
+    ``SAMPLE`` ranges) however the ids lie; only rows equal in id and text share one for sure.
+    The first rows of a range are also guests of the range before, and the first of all
+    guests of the last, so every row finds its successor within its range.
     """
     spark = docs.sparkSession
-    (lo, hi), *_ = docs.select(F.min(order_col), F.max(order_col)).collect()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo + 2) // CELLS + 1
-    place = F.coalesce(F.col(order_col), F.lit(lo - 1))  # nulls come last in descending order
-    cell = F.floor((place - F.lit(lo - 1)) / F.lit(width)).cast("bigint")
-    docs = docs.withColumn("_place", place).withColumn("_cell", cell)
-    counts = sorted(docs.groupBy("_cell").agg(F.count("*"), F.max("_place")).collect(), reverse=True)
-    ranges, tops, held = [], [], 0  # ranges by descending ids, and the highest id of each
-    for c, n, top in counts:
-        if not tops or held + n > rows_a_range:
-            tops.append(top)
-            held = 0
-        held += n
-        ranges.append((c, len(tops) - 1))
-    # The top of a range follows the last row of the range before; the first row of all follows the last.
-    hosts = [(top, (r - 1) % len(tops)) for r, top in enumerate(tops)]
-    of_cell = F.broadcast(spark.createDataFrame(ranges, "_cell bigint, range int"))
-    of_top = F.broadcast(spark.createDataFrame(hosts, "_place bigint, _host int"))
-    dealt = docs.join(of_cell, "_cell").join(of_top, "_place", "left")
+    docs = docs.withColumn("key", F.struct("k", F.xxhash64("t").alias("h")))
+    rows = docs.count()
+    wanted = max(1, min(SAMPLE, rows // rows_a_range))
+    sampled = docs.select("key").sample(min(1.0, SAMPLE / 2 / max(1, rows)), seed=7).orderBy("key").collect() if wanted > 1 else []
+    bounds = sorted({len(sampled) * j // wanted for j in range(1, wanted)})
+    bounds = [sampled[j] for j in bounds if j < len(sampled)]
+    table = spark.createDataFrame(bounds, docs.select("key").schema).agg(F.array_sort(F.collect_set("key"))).scalar()
+    dealt = docs.withColumn("_bounds", table).withColumn("range", _place(F.col("key"), F.col("_bounds"))).drop("_bounds")
+    tops = sorted((r["range"], r["top"]) for r in dealt.groupBy("range").agg(F.max("key").alias("top")).collect())  # a row a range
+    # The top of a range follows the last row of the range above; the first row of all follows the last of the lowest.
+    hosts = [(top, tops[(j + 1) % len(tops)][0]) for j, (_, top) in enumerate(tops)]
+    kind = docs.schema["key"].dataType.simpleString()
+    of_top = F.broadcast(spark.createDataFrame(hosts, f"_top {kind}, _host int"))
+    found = dealt.join(of_top, F.col("key").eqNullSafe(F.col("_top")), "left")
     own, guest = F.struct(F.col("range"), F.lit(False).alias("guest")), F.struct(F.col("_host").alias("range"), F.lit(True).alias("guest"))
-    rows = F.explode(F.when(F.col("_host").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("_to")
-    kept = [c for c in docs.columns if c != "_cell"]
-    return dealt.select(*kept, rows).select(*kept, "_to.range", "_to.guest")
+    to = F.explode(F.when(F.col("_host").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("_to")
+    return found.select("k", "t", "key", to).select("k", "t", "key", "_to.range", "_to.guest")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,9 +135,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table.
     """
     docs = pick(docs, k=id_col, t=text_col).withColumn("t", F.coalesce("t", F.lit("")))
-    dealt = with_next(docs, "k").repartition("range")
-    dealt = dealt.withColumn("s", sketch(F.col("t"))).withColumn("_tie", F.xxhash64("t"))
-    after = Window.partitionBy("range").orderBy("guest", F.desc("_place"), F.desc("_tie"), F.desc("t"))
+    dealt = with_next(docs).repartition("range").withColumn("s", sketch(F.col("t")))
+    after = Window.partitionBy("range").orderBy("guest", F.desc("key"), F.desc("t"))
     paired = dealt.withColumn("_next", F.lead(F.struct("t", "s")).over(after)).filter(~F.col("guest"))
     n, half = F.length("t"), F.floor(F.length("t") / 2).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), n - half), F.substring("_next.t", F.lit(1), half))

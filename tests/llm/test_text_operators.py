@@ -244,6 +244,30 @@ def test_op3_segments_give_the_tokenizers_ids():
 # -- fingerprints ------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t", "\u3000"])
+def test_op3_long_white_space(blank):
+    tokenizer = packing.tokenizer_of(BYTES)
+    for n in (1_999, 2_001, 300_000):
+        text = "one two" + blank * n + "three four"
+        assert np.frombuffer(tokenizer.encode(text), "<u4").tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
+    if blank == " ":
+        assert len(tokenizer.encode(blank * 2_000_000)) > 4
+
+
+def plain_sketch(text):
+    """Kept hashes of all five-word shingles, by signed value."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    found = set()
+    for i in range(max(1, len(words) - 4) if words else 0):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        found.add(h)
+    signed = sorted(h - (1 << 64) if h >> 63 else h for h in found)
+    kept = [h for h in signed if h < -(1 << 63) + (1 << 64) // sketch.SCALE] or signed[:1]
+    return [h % (1 << 64) for h in kept]
+
+
 def test_op5_edited_texts_and_likeness(docs, texts):
     found = {r.doc_id: r for r in sketch.fingerprints(docs).collect()}
     ids, errors = sorted(texts, reverse=True), []
@@ -256,7 +280,11 @@ def test_op5_edited_texts_and_likeness(docs, texts):
         a, b = shingles(t.lower().split()), shingles(e.lower().split())
         if len(a | b) > 400:
             errors.append(abs(len(a & b) / len(a | b) - r.near_edited))
-        assert 0 <= r.near_edited <= 1 and r.near_next == pytest.approx(r.near_next)
+        plain = lambda x: "".join(f"{h:016x}" for h in plain_sketch(x))
+        assert (r.fingerprint, r.edited_fingerprint) == (plain(t), plain(e))
+        u, v, w = (set(plain_sketch(x)) for x in (t, e, texts[ids[(k + 1) % len(ids)]]))
+        assert r.near_edited == pytest.approx(len(u & v) / len(u | v) if u | v else 1.0)
+        assert r.near_next == pytest.approx(len(u & w) / len(u | w) if u | w else 1.0)
     assert np.mean(errors) < 0.05
     same = {}
     for i, r in found.items():
@@ -266,10 +294,19 @@ def test_op5_edited_texts_and_likeness(docs, texts):
 def test_op5_ranges_do_not_change_the_result(docs, monkeypatch):
     want = sorted(tuple(r) for r in sketch.fingerprints(docs.filter("doc_id < 60")).collect())
     whole = sketch.with_next
-    monkeypatch.setattr(sketch, "with_next", lambda d, c: whole(d, c, rows_a_range=7))
+    monkeypatch.setattr(sketch, "with_next", lambda d: whole(d, rows_a_range=7))
     assert sorted(tuple(r) for r in sketch.fingerprints(docs.filter("doc_id < 60")).collect()) == want
 
 
+def test_op5_ranges_hold_few_rows_whatever_the_ids(spark):
+    ids = spark.range(2000).selectExpr("CASE WHEN id = 7 THEN 1L << 60 WHEN id < 700 THEN 5L ELSE id END AS k", "concat('text ', id) AS t")
+    dealt = sketch.with_next(ids, rows_a_range=50).filter("NOT guest").groupBy("range").count().collect()
+    assert sum(r["count"] for r in dealt) == 2000 and max(r["count"] for r in dealt) < 400
+    words = spark.createDataFrame([(x, f"some words of {x}") for x in "bca"], "doc_id string, text string")
+    found = {r.doc_id: r.edited_sha256 for r in sketch.fingerprints(words).collect()}
+    assert found["c"] == hashlib.sha256(b"some worsome wo").hexdigest() and len(found) == 3
+
+
 def test_op5_edges(edge, empty, spark):
     rows = sketch.fingerprints(edge).collect()
     assert len(rows) == 11 and {r.doc_id: r.fingerprint for r in rows}[3] == ""
