@@ -84,33 +84,50 @@ def tokens_text(text: str, tokens: list[Token], start: int, end: int) -> str:
     return text[tokens[start][1] : tokens[end - 1][2]]
 
 
+class Sentences:
+    """Where the sentences of a text end; found once, in one pass from the back.
+
+    A sentence goes from its start up to an end mark with the closers after it, a line break
+    before a token that isn't lower case, or the text's end.  An abbreviation's mark ends a
+    sentence only if the sentence starts with it.
+    """
+
+    def __init__(self, text: str, tokens: list[Token], abbreviations: tuple[str, ...] = ABBREVIATIONS):
+        words = [text[t[1] : t[2]] for t in tokens]
+        n = len(words)
+        closed = list(range(1, n + 1))  # the end after a mark and the closers that follow it
+        for k in range(n - 2, -1, -1):
+            if words[k + 1] in CLOSING:
+                closed[k] = closed[k + 1]
+        self.marks, self.ends = [0] * n, [n] * n  # the end if the sentence starts here: by this token, by any
+        for k in range(n - 1, -1, -1):
+            mark = tokens[k][0] == PUNCTUATION and _END.search(words[k]) is not None
+            self.marks[k] = closed[k] if mark else 0
+            if mark and not (k and words[k - 1] + words[k] in abbreviations):
+                self.ends[k] = closed[k]
+            elif k + 1 < n:
+                self.ends[k] = k + 1 if tokens[k + 1][3] and not words[k + 1][0].islower() else self.ends[k + 1]
+
+    def end(self, start: int) -> int:
+        return self.marks[start] or self.ends[start]
+
+
 def sentence_range(text: str, tokens: list[Token], start: int, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> tuple[int, int]:
-    """The sentence that starts at a token: up to an end mark with the closers after it, a line
-    break before a token that isn't lower case, or the end."""
-    n = len(tokens)
-    if not n:
+    """The sentence that starts at a token (:class:`Sentences`)."""
+    if not tokens:
         return 0, 0
-    if not 0 <= start < n:
-        raise SentenceRangeError(f"token {start} of {n}")
-    word = lambda k: text[tokens[k][1] : tokens[k][2]]
-    for k in range(start, n):
-        here = word(k)
-        if tokens[k][0] == PUNCTUATION and _END.search(here) and not (k > start and word(k - 1) + here in abbreviations):
-            k += 1
-            while k < n and word(k) in CLOSING:
-                k += 1
-            return start, k
-        if k + 1 < n and tokens[k + 1][3] and not word(k + 1)[0].islower():
-            return start, k + 1
-    return start, n
+    if not 0 <= start < len(tokens):
+        raise SentenceRangeError(f"token {start} of {len(tokens)}")
+    return start, Sentences(text, tokens, abbreviations).end(start)
 
 
 def sentences(text: str, tokens: list[Token], start: int = 0) -> Iterator[tuple[int, int]]:
     """Successive sentences from a token on."""
     if not 0 <= start <= len(tokens):
         raise IndexError(f"token {start} of {len(tokens)}")
+    found = Sentences(text, tokens)
     while start < len(tokens):
-        start, end = sentence_range(text, tokens, start)
+        end = found.end(start)
         yield start, end
         start = end
 
@@ -123,9 +140,9 @@ def chunks(text: str, tokens: list[Token], max_chars: int) -> Iterator[tuple[int
     is not put together with what follows.
     """
     fits = lambda a, b: tokens[b - 1][2] - tokens[a][1] <= max_chars
-    at, rest_of_cut = 0, False
+    found, at, rest_of_cut = Sentences(text, tokens), 0, False
     while at < len(tokens):
-        _, end = sentence_range(text, tokens, at)
+        end = found.end(at)
         if not fits(at, at + 1):
             stop, rest_of_cut = at + 1, at + 1 < end
         elif not fits(at, end):
@@ -137,7 +154,7 @@ def chunks(text: str, tokens: list[Token], max_chars: int) -> Iterator[tuple[int
             if rest_of_cut:
                 rest_of_cut = False
             else:
-                while stop < len(tokens) and fits(at, more := sentence_range(text, tokens, stop)[1]):
+                while stop < len(tokens) and fits(at, more := found.end(stop)):
                     stop = more
         yield at, stop
         at = stop

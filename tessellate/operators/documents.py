@@ -4,73 +4,73 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels, text
+from ..functions import kernels
 from ..functions.kernels import Tokenizer
+from ..types import TOKEN
 
-_TOKEN = pa.list_(pa.struct([("index", pa.int32()), ("token_type", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("first_token_after_newline", pa.bool_())]))
-_CHUNK = pa.list_(pa.struct([(n, pa.int32()) for n in ("chunk_index", "token_start", "token_end", "char_start", "char_end")] + [("chunk_text", pa.string())]))
+_TOKEN = ("index", "token_type", "start_pos", "end_pos", "first_token_after_newline")
+_CHUNK = ("chunk_index", "token_start", "token_end", "char_start", "char_end", "chunk_text")
 
 
-def token_rows(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
-    """One row per token of the regular tokenizer: id, index, token, type, offsets, line-break flag.
-
-    Segments are exploded once; offsets and neighbours are windows over a document.
-    """
-    parts = docs.select(F.col(id_col), F.posexplode(text.segments(F.col(text_col))).alias("pos", "token"))
-    by_doc = Window.partitionBy(id_col).orderBy("pos")
-    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumns(
-        {
-            "start_pos": F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).cast("int"),
-            "_gap": F.lag("token").over(by_doc),
-            "_space": text.is_space(F.col("token")),
-        }
-    )
-    broken = (F.col("start_pos") > F.length("_gap")) & text.is_space(F.col("_gap")) & F.col("_gap").rlike("[\n\r]")
-    parts = parts.withColumn("first_token_after_newline", F.coalesce(broken, F.lit(False)))
-    found = parts.filter(~F.col("_space")).withColumn("index", F.row_number().over(by_doc) - 1)
-    return found.select(id_col, "index", "token", text.token_type(F.col("token")).alias("token_type"), "start_pos", (F.col("start_pos") + F.length("token")).cast("int").alias("end_pos"), "first_token_after_newline")
+def _lists(names: tuple[str, ...], rows: list[list[tuple]], kinds: tuple[pa.DataType, ...]) -> pa.Array:
+    """Lists of structs from rows of tuples, made column by column."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    columns = list(zip(*(x for r in rows for x in r), strict=True)) or [()] * len(names)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names)))
 
 
 def tokenized(docs: DataFrame, tokenizer: str | Tokenizer = "regex", id_col: str = "document_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``tokens``: an array of token structs by any tokenizer (Arrow batches)."""
+    """``docs`` with ``tokens``: an array of token structs by any tokenizer (Arrow batches); a null text has none."""
     tokenize = kernels.tokenizer_of(tokenizer)
 
-    @F.arrow_udf("array<struct<index: int, token_type: int, start_pos: int, end_pos: int, first_token_after_newline: boolean>>")
+    @F.arrow_udf(f"array<{TOKEN}>")
     def made(texts: pa.Array) -> pa.Array:
-        names = ("index", "token_type", "start_pos", "end_pos", "first_token_after_newline")
-        return pa.array([[dict(zip(names, (k, *t), strict=True)) for k, t in enumerate(tokenize(x.as_py() or ""))] for x in texts], _TOKEN)
+        rows = [[(k, *t) for k, t in enumerate(tokenize(x.as_py() or ""))] for x in texts]
+        return _lists(_TOKEN, rows, (pa.int32(),) * 4 + (pa.bool_(),))
 
     return docs.withColumn("tokens", made(F.col(text_col)))
 
 
-def sentence_rows(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
-    """One row per sentence: id, number, token interval, character interval.
+def token_rows(docs: DataFrame, id_col: str = "document_id", text_col: str = "text", tokenizer: str | Tokenizer = "regex") -> DataFrame:
+    """One row per token: id, index, token, type, offsets, line-break flag.
 
-    A token ends a sentence if it is the last; if an end mark or a closer after one, and no
-    closer follows; or if a line break and no lower-case letter follow.
+    A document's tokens are made in one pass over its text and only then become rows, so
+    nothing is shuffled or sorted.
     """
-    by_doc = Window.partitionBy(id_col).orderBy("index")
-    token = F.col("token")
-    rows = token_rows(docs, id_col, text_col)
-    ends = (F.col("token_type") == 2) & text.ends_sentence(token, F.lag("token").over(by_doc))
-    rows = rows.withColumn("_end", F.coalesce(ends, F.lit(False))).withColumn("_closer", token.isin(*text.CLOSING))
-    # A run of closers counts as part of the end before it: the last token that is no closer, or an end, decides.
-    decisive = F.last(F.when(F.col("_end") | ~F.col("_closer"), F.col("_end")), ignorenulls=True).over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_state", F.coalesce(decisive, F.lit(False)))
-    next_token, next_break = F.lead("token").over(by_doc), F.lead("first_token_after_newline").over(by_doc)
-    line = next_break & ~next_token.rlike(r"^\p{javaLowerCase}")
-    last = next_token.isNull() | (F.col("_state") & ~next_token.isin(*text.CLOSING)) | (~F.col("_state") & line)
-    rows = rows.withColumn("_last", last)
-    number = F.coalesce(F.sum(F.col("_last").cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    rows = rows.withColumn("sentence_index", number)
-    return rows.groupBy(id_col, "sentence_index").agg(
-        F.min("index").alias("token_start"), (F.max("index") + 1).alias("token_end"), F.min("start_pos").alias("char_start"), F.max("end_pos").alias("char_end")
-    )
+    tokenize = kernels.tokenizer_of(tokenizer)
+    names = (*_TOKEN[:1], "token", *_TOKEN[1:])
+
+    @F.arrow_udf(f"array<struct<{', '.join(f'{n} {k}' for n, k in zip(names, ('int', 'string', 'int', 'int', 'int', 'boolean'), strict=True))}>>")
+    def made(texts: pa.Array) -> pa.Array:
+        rows = []
+        for x in texts:
+            x = x.as_py() or ""
+            rows.append([(k, x[t[1] : t[2]], *t) for k, t in enumerate(tokenize(x))])
+        return _lists(names, rows, (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))
+
+    return docs.select(id_col, F.inline(made(F.col(text_col))))
+
+
+def sentence_rows(docs: DataFrame, id_col: str = "document_id", text_col: str = "text", tokenizer: str | Tokenizer = "regex") -> DataFrame:
+    """One row per sentence: id, number, token interval, character interval; nothing is shuffled."""
+    tokenize = kernels.tokenizer_of(tokenizer)
+    names = ("sentence_index", "token_start", "token_end", "char_start", "char_end")
+
+    @F.arrow_udf(f"array<struct<{', '.join(f'{n} int' for n in names)}>>")
+    def made(texts: pa.Array) -> pa.Array:
+        rows = []
+        for x in texts:
+            x = x.as_py() or ""
+            tokens = tokenize(x)
+            rows.append([(k, a, b, tokens[a][1], tokens[b - 1][2]) for k, (a, b) in enumerate(kernels.sentences(x, tokens))])
+        return _lists(names, rows, (pa.int32(),) * 5)
+
+    return docs.select(id_col, F.inline(made(F.col(text_col))))
 
 
 def chunked(docs: DataFrame, max_chars: int = 1000, tokenizer: str | Tokenizer = "regex", text_col: str = "text") -> DataFrame:
@@ -81,15 +81,15 @@ def chunked(docs: DataFrame, max_chars: int = 1000, tokenizer: str | Tokenizer =
     """
     tokenize = kernels.tokenizer_of(tokenizer)
 
-    @F.arrow_udf("array<struct<chunk_index: int, token_start: int, token_end: int, char_start: int, char_end: int, chunk_text: string>>")
+    @F.arrow_udf(f"array<struct<{', '.join(f'{n} int' for n in _CHUNK[:-1])}, chunk_text: string>>")
     def made(texts: pa.Array) -> pa.Array:
-        out = []
+        rows = []
         for x in texts:
             x = x.as_py() or ""
             tokens = tokenize(x)
             spans = ((k, a, b, tokens[a][1], tokens[b - 1][2]) for k, (a, b) in enumerate(kernels.chunks(x, tokens, max_chars)))
-            out.append([dict(zip(_CHUNK.value_type.names, (*s, x[s[3] : s[4]]), strict=True)) for s in spans])
-        return pa.array(out, _CHUNK)
+            rows.append([(*s, x[s[3] : s[4]]) for s in spans])
+        return _lists(_CHUNK, rows, (pa.int32(),) * 5 + (pa.string(),))
 
     others = [c for c in docs.columns if c != text_col]
     return docs.select(*others, F.inline(made(F.col(text_col))))
@@ -105,13 +105,13 @@ def with_previous(chunks: DataFrame, chars: int | None, id_col: str = "document_
     return chunks.withColumn("context", F.nullif(F.concat_ws("\n\n", tail, own), F.lit("")))
 
 
-def batched(chunks: DataFrame, size: int, order: tuple[str, ...] = ("document_id", "chunk_index"), salt: int = 64) -> DataFrame:
-    """``batch_id``: batches of ``size`` rows within each of ``salt`` groups of documents.
+def batched(chunks: DataFrame, size: int, order: tuple[str, ...] = ("document_id", "chunk_index"), groups: int = 4096) -> DataFrame:
+    """``batch_id``: batches of ``size`` rows within each of ``groups`` groups of documents.
 
     Batches may span documents.  A batch never needs rows of another group, so the window
-    has no single partition; the last batch of a group may be short.
+    has as many partitions as there are groups; the last batch of a group may be short.
     """
-    group = F.pmod(F.xxhash64(order[0]), F.lit(salt))
+    group = F.pmod(F.conv(F.substring(F.md5(F.col(order[0]).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(groups))
     n = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
     rows = chunks.withColumn("_group", group).withColumn("_n", F.floor((n - 1) / size))
     return rows.withColumn("batch_id", F.concat_ws("-", "_group", "_n")).drop("_group", "_n")

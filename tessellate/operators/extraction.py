@@ -54,6 +54,8 @@ def resolved(inferred: DataFrame, fmt: Format, options: alignment.Options = alig
                     raise
                 row["parse_error"] = str(e)
                 continue
+            if not found:
+                continue
             places = [None] * len(found)
             try:
                 places = alignment.align(c, [e.extraction_text for e in found], options, tokenize, t, p)
@@ -107,15 +109,21 @@ def assembled(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def summary(annotated: DataFrame) -> DataFrame:
-    """One row: documents, characters, extractions, grounded ones, distinct classes."""
-    classes = F.array_distinct(F.transform("extractions", lambda e: e["extraction_class"]))
+    """One row: documents, characters, extractions, grounded ones, distinct classes.
+
+    Partial counts are made before anything is shuffled; classes are counted as rows.
+    """
     grounded = F.filter("extractions", lambda e: e["char_interval"].isNotNull())
-    return annotated.agg(
-        F.count("*").alias("documents"),
-        F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"),
-        F.coalesce(F.sum(F.size("extractions")), F.lit(0)).alias("extractions"),
-        F.coalesce(F.sum(F.size(grounded)), F.lit(0)).alias("grounded"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(classes)))).alias("classes"),
+    sums = F.struct(F.length("text").alias("characters"), F.size("extractions").alias("extractions"), F.size(grounded).alias("grounded"))
+    rows = annotated.select(sums.alias("s"), F.posexplode_outer(F.transform("extractions", lambda e: e["extraction_class"])).alias("pos", "class"))
+    once = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    total = lambda c: F.coalesce(F.sum(F.when(once, F.col(c))), F.lit(0))
+    return rows.agg(
+        F.count(F.when(once, 1)).alias("documents"),
+        total("s.characters").alias("characters"),
+        total("s.extractions").alias("extractions"),
+        total("s.grounded").alias("grounded"),
+        F.count_distinct("class").cast("int").alias("classes"),
     )
 
 

@@ -12,6 +12,7 @@ import re
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import nullcontext
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from importlib.metadata import entry_points
@@ -46,6 +47,8 @@ class Provider(ABC):
 
     #: Whether answers are bare (bound by a schema), so that no fences are expected.
     raw_output = False
+    #: Whether prompts wait for another machine; only then do threads help.
+    remote = True
 
     def __init__(self, **settings):
         self.settings = settings
@@ -54,13 +57,16 @@ class Provider(ABC):
     def answer(self, prompt: str, **settings) -> Sequence[ScoredOutput]:
         """Outputs for one prompt, best first."""
 
-    def infer(self, prompts: Sequence[str], max_workers: int = 1, **settings) -> list[Sequence[ScoredOutput]]:
-        """Outputs in the order of the prompts; call-time settings win over the provider's; one failure fails the batch."""
+    def infer(self, prompts: Sequence[str], max_workers: int = 1, pool: ThreadPoolExecutor | None = None, **settings) -> list[Sequence[ScoredOutput]]:
+        """Outputs in the order of the prompts; call-time settings win over the provider's; one failure fails the batch.
+
+        A ``pool`` outlives the call; without one, ``max_workers`` above 1 makes one for it.
+        """
         merged = self.settings | settings
-        if max_workers > 1 and len(prompts) > 1:
-            with ThreadPoolExecutor(min(max_workers, len(prompts))) as pool:
-                return list(pool.map(lambda p: self.answer(p, **merged), prompts))
-        return [self.answer(p, **merged) for p in prompts]
+        if pool is None and max_workers > 1 and len(prompts) > 1:
+            with ThreadPoolExecutor(min(max_workers, len(prompts))) as own:
+                return list(own.map(lambda p: self.answer(p, **merged), prompts))
+        return list((pool.map if pool else map)(lambda p: self.answer(p, **merged), prompts))
 
     def fences(self, wanted: bool | None = None) -> bool:
         return (not self.raw_output) if wanted is None else wanted
@@ -70,6 +76,7 @@ class Rules(Provider):
     """Offline: every match of a named pattern in the prompt's question is an extraction."""
 
     raw_output = True
+    remote = False
 
     def __init__(self, rules: dict[str, str], **settings):
         super().__init__(**settings)
@@ -85,6 +92,8 @@ class Rules(Provider):
 class Replay(Provider):
     """Offline: recorded outputs by prompt; a function may make up what isn't recorded."""
 
+    remote = False
+
     def __init__(self, outputs: dict[str, str], other: Callable[[str], str] | None = None, **settings):
         super().__init__(**settings)
         self.outputs, self.other = outputs, other
@@ -167,7 +176,7 @@ class Chat(Http):
         self.raw_output = kind == "json"
 
     def request(self, prompt: str, settings: dict) -> dict:
-        system = f"You are a helpful assistant that responds in {self.kind.upper()} format."
+        system = f"Answer with one {self.kind.upper()} document and nothing around it."
         body = {"model": self.model, "n": 1, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
         if self.kind == "json":
             named = {"name": "extractions", "strict": True, "schema": self.schema}
@@ -178,6 +187,31 @@ class Chat(Http):
         return answer["choices"][0]["message"]["content"]
 
 
+class Generative(Http):
+    """A hosted generate-content call: one user turn, an optional response schema, the key as a header."""
+
+    PASSED = {"temperature": "temperature", "max_tokens": "maxOutputTokens", "top_p": "topP", "top_k": "topK", "stop": "stopSequences", "seed": "seed"}
+
+    def __init__(self, model: str = "gemini-2.5-flash", url: str = "https://generativelanguage.googleapis.com/v1beta", api_key: str | None = None, kind: str = "json", schema: dict | None = None, **settings):
+        if schema is not None and kind != "json":
+            raise ProviderError("a response schema needs the JSON format")
+        super().__init__(f"{url}/models/{model}:generateContent", {"x-goog-api-key": api_key} if api_key else {}, **settings)
+        self.model, self.kind, self.schema = model, kind, schema
+        self.raw_output = kind == "json" and schema is not None
+
+    def request(self, prompt: str, settings: dict) -> dict:
+        config = {to: settings[k] for k, to in self.PASSED.items() if settings.get(k) is not None}
+        if self.schema:
+            config |= {"responseMimeType": "application/json", "responseSchema": self.schema}
+        return {"contents": [{"role": "user", "parts": [{"text": prompt}]}]} | ({"generationConfig": config} if config else {})
+
+    def read(self, answer: dict) -> str:
+        try:
+            return "".join(p.get("text", "") for p in answer["candidates"][0]["content"]["parts"])
+        except (KeyError, IndexError, TypeError) as e:
+            raise ProviderError(f"an answer without text: {str(answer)[:200]}") from e
+
+
 # -- registry --------------------------------------------------------------------------
 
 
@@ -244,8 +278,9 @@ class Registry:
 
 
 REGISTRY = Registry()
+REGISTRY.register(r"^gemini", provider=Generative, priority=10)
 REGISTRY.register(r"^gpt-", r"^o\d", provider=Chat, priority=10)
-REGISTRY.register(r"^llama", r"^mistral", r"^qwen", r"^phi", r"^gemma", r"^deepseek", provider=LocalServer, priority=10)
+REGISTRY.register(r"^llama", r"^mistral", r"^mixtral", r"^codestral", r"^qwen", r"^phi", r"^gemma", r"^deepseek", r"^command-r", r"^starcoder", r"^codellama", r"^tinyllama", r"^wizardcoder", r"^gpt-oss", r"^[\w.-]+/[\w.-]+$", provider=LocalServer, priority=11)
 
 
 def redacted(settings: dict, chars: int = 500) -> dict:
@@ -265,16 +300,18 @@ def infer(prompts: DataFrame, provider: Provider, prompt_col: str = "prompt", ba
 
     @F.arrow_udf(OUTPUTS)
     def asked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            texts, out = texts.to_pylist(), []
-            for at in range(0, len(texts), batch):
-                part = texts[at : at + batch]
-                answers = list(provider.infer(part, max_workers=max_workers, **settings))
-                if len(answers) != len(part):
-                    raise ProviderError(f"{len(part)} prompts, {len(answers)} answers")
-                best = [sorted(a, key=lambda o: -(o.score if o.score is not None else 0.0)) for a in answers]
-                out += [[{"score": o.score, "output": o.output} for o in a] for a in best]
-            yield pa.array(out, _OUTPUTS)
+        with ThreadPoolExecutor(max_workers) if provider.remote and max_workers > 1 else nullcontext() as pool:
+            more = {"pool": pool} if pool else {}
+            for texts in batches:
+                texts, out = texts.to_pylist(), []
+                for at in range(0, len(texts), batch):
+                    part = texts[at : at + batch]
+                    answers = list(provider.infer(part, **more, **settings))
+                    if len(answers) != len(part):
+                        raise ProviderError(f"{len(part)} prompts, {len(answers)} answers")
+                    best = [sorted(a, key=lambda o: -(o.score if o.score is not None else 0.0)) for a in answers]
+                    out += [[{"score": o.score, "output": o.output} for o in a] for a in best]
+                yield pa.array(out, _OUTPUTS)
 
     return prompts.withColumn("outputs", asked.asNondeterministic()(F.col(prompt_col)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,6 +32,10 @@ def _as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.from_table(_docs(spark, sf_dir), "doc_id", "text")
 
 
+def _as_long(name: str):
+    return F.col(name).cast("bigint").alias(name.rpartition(".")[2])
+
+
 def _long(name: str):
     return F.col(name).cast("bigint").alias(name)
 
@@ -85,8 +90,8 @@ def chunk_stats_by_doc(spark, sf_dir):
 
 def conversation_context(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    previous = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return turns.select("conv_id", "turn", F.concat(F.lit("[Previous text]: ..."), F.right(previous, F.lit(30))).alias("context"))
+    rows = documents.with_previous(turns.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("chunk_text")), 30)
+    return rows.select(F.col("document_id").alias("conv_id"), F.col("chunk_index").alias("turn"), "context")
 
 
 def prompt_render_len(spark, sf_dir):
@@ -96,8 +101,7 @@ def prompt_render_len(spark, sf_dir):
 
 
 def batch_assign(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return _docs(spark, sf_dir).select("doc_id", F.floor((n - 1) / 10).cast("bigint").alias("batch"))
+    return documents.batched(_docs(spark, sf_dir).select("doc_id", "n_chars"), 10, order=("doc_id",), groups=16)
 
 
 def _outputs(spark, sf_dir):
@@ -113,15 +117,34 @@ def fence_extract(spark, sf_dir):
     return _outputs(spark, sf_dir).select("conv_id", "turn", F.size(bodies).cast("bigint").alias("n_blocks"), body.alias("body"))
 
 
+def _parsed(spark, sf_dir):
+    """The outputs of :func:`_outputs`, parsed and grounded in their turn's text."""
+    rows = _outputs(spark, sf_dir).select("conv_id", "turn", F.lit("user and assistant take turns").alias("chunk_text"), F.lit(0).alias("token_start"), F.lit(0).alias("char_start"), F.array(F.struct(F.lit(1.0).alias("score"), "output")).alias("outputs"))
+    return extraction.resolved(rows, inference.Format(kind="json", fences=True))
+
+
 def json_parse_status(spark, sf_dir):
-    bodies = fence_extract(spark, sf_dir).withColumn("items", F.from_json("body", "extractions array<map<string,string>>")["extractions"])
-    status = F.when(F.col("n_blocks") > 1, "many blocks").when(F.col("items").isNull(), "not parsed").otherwise("parsed")
-    return bodies.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    status = F.when(F.col("result.parse_error").isNull(), "parsed").otherwise("not parsed")
+    return _parsed(spark, sf_dir).groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.sum(F.size("result.items")).alias("n_items"))
+
+
+def exact_alignment(spark, sf_dir):
+    """Where the role that each output names stands in a fixed sentence."""
+    rows = extraction.extraction_rows(_parsed(spark, sf_dir), ("conv_id", "turn"))
+    return rows.select("conv_id", "turn", "extraction_class", "extraction_text", "alignment_status", _as_long("char_interval.start_pos"), _as_long("char_interval.end_pos"), _as_long("token_interval.start_index"))
+
+
+def _mentions(spark, sf_dir):
+    """One row per e-mail address that the offline provider finds in a document."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("chunk_text"), F.lit(None).cast("string").alias("context"))
+    provider = inference.Rules({"email": RULES["email"]})
+    asked = inference.infer(extraction.prompted(rows, Template("Find addresses."), inference.format_for(provider)), provider)
+    items = F.from_json(F.get("outputs", F.lit(0))["output"], "extractions array<struct<email: string>>")["extractions"]
+    return asked.select("doc_id", F.posexplode(items).alias("ordinal", "item")).select("doc_id", "ordinal", "item.email")
 
 
 def rules_mentions(spark, sf_dir):
-    hits = F.regexp_extract_all("text", F.lit(RULES["email"]), F.lit(0))
-    return _docs(spark, sf_dir).select("doc_id", F.size(hits).cast("bigint").alias("n_mentions"), F.get(hits, F.lit(0)).alias("first"), F.instr("text", F.lit("@")).cast("bigint").alias("at")).filter("n_mentions > 0")
+    return _mentions(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_mentions"), F.min_by("email", "ordinal").alias("first"))
 
 
 def _intervals(spark, sf_dir):
@@ -161,8 +184,16 @@ def multipass_merge(spark, sf_dir):
 
 
 def assemble_docs(spark, sf_dir):
-    found = rules_mentions(spark, sf_dir)
-    return _docs(spark, sf_dir).join(found.select("doc_id", "n_mentions"), "doc_id", "left").select("doc_id", F.coalesce("n_mentions", F.lit(0)).alias("n_extractions"))
+    """Two passes that found the same: the second one's extractions overlap the first one's and go."""
+    none = lambda kind: F.lit(None).cast(kind)
+    place = F.struct(F.col("ordinal").alias("start_pos"), (F.col("ordinal") + 1).alias("end_pos"))
+    found = _mentions(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index"), "ordinal", F.lit("email").alias("extraction_class"), F.col("email").alias("extraction_text"), place.alias("char_interval"),
+        F.lit("match_exact").alias("alignment_status"), none("int").alias("extraction_index"), none("int").alias("group_index"), none("string").alias("description"), none("string").alias("attributes"),
+    )
+    rows = found.withColumn("pass", F.lit(0)).unionByName(found.withColumn("pass", F.lit(1)))
+    out = extraction.assembled(_as_documents(spark, sf_dir), rows)
+    return out.select("document_id", F.array_join(F.transform("extractions", lambda e: e["extraction_text"]), " ").alias("found"))
 
 
 def class_share(spark, sf_dir):
@@ -184,17 +215,30 @@ def class_color_index(spark, sf_dir):
 
 
 def running_chars(spark, sf_dir):
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _docs(spark, sf_dir).select("doc_id", F.sum("n_chars").over(before).alias("chars_so_far"))
+    """Characters so far by source.  Sums of id blocks run first, so that no window has a whole source's rows."""
+    rows = _docs(spark, sf_dir).select("source", "doc_id", "n_chars", F.floor(F.col("doc_id") / 1000).alias("block"))
+    by_block = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("source", "block").agg(F.sum("n_chars").alias("n")).select("source", "block", F.coalesce(F.sum("n").over(by_block), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("own", F.sum("n_chars").over(inside))
+    return summed.join(sums, ["source", "block"]).select("doc_id", (F.col("own") + F.col("before")).alias("chars_so_far"))
 
 
 def _keyed(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("request_key"))
+    return _docs(spark, sf_dir).select("doc_id", "lang", inference.request_key(F.col("text"), "model-1").alias("request_key"))
+
+
+def cached_answers(spark, sf_dir):
+    """Texts of even ids are in the cache; every other distinct text is asked once."""
+    cache = _keyed(spark, sf_dir).filter("doc_id % 2 = 0").dropDuplicates(["request_key"]).select("request_key", F.array(F.struct(F.lit(1.0).alias("score"), F.lit("cached").alias("output"))).alias("outputs"))
+    provider = inference.Replay({}, other=lambda prompt: f"{len(prompt)} characters")
+    rows, _ = inference.infer_cached(_docs(spark, sf_dir).select("doc_id", F.col("text").alias("prompt")), provider, cache, "model-1")
+    return rows.select("doc_id", "request_key", F.get("outputs", F.lit(0))["output"].alias("output"))
 
 
 def cache_hits(spark, sf_dir):
     rows = _keyed(spark, sf_dir)
-    return rows.filter("lang <> 'en'").join(rows.filter("lang = 'en'").select("request_key"), "request_key", "left_semi").select("doc_id", "request_key")
+    return rows.filter("doc_id % 2 = 1").join(rows.filter("doc_id % 2 = 0").select("request_key"), "request_key", "left_semi").select("doc_id", "request_key")
 
 
 def cache_misses(spark, sf_dir):
@@ -208,13 +252,17 @@ def labels_join_quality(spark, sf_dir):
 
 
 def benchmark_overlap_docs(spark, sf_dir):
+    """Eight-word passages that documents share with benchmark items; only shared ones are made distinct."""
+
     def grams(df, key):
-        words = df.select(F.col(key), F.split("text", " ").alias("w"))
-        starts = F.explode(F.sequence(F.lit(1), F.size("w") - 7))
-        return words.filter(F.size("w") >= 8).select(key, "w", starts.alias("i")).select(key, F.array_join(F.slice("w", F.col("i"), 8), " ").alias("g")).distinct()
+        words = df.select(F.col(key), F.split("text", " ").alias("w")).filter(F.size("w") >= 8)
+        starts = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))
+        return words.select(key, F.explode(starts).alias("g"))
 
-    items = grams(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
-    return grams(_docs(spark, sf_dir), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_common"))
+    items = grams(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id").distinct()
+    small = items.count() <= 500_000
+    shared = grams(_docs(spark, sf_dir), "doc_id").join(F.broadcast(items) if small else items, "g").distinct()
+    return shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_common"))
 
 
 def url_predicate(spark, sf_dir):
@@ -222,22 +270,44 @@ def url_predicate(spark, sf_dir):
 
 
 def jsonl_roundtrip(spark, sf_dir):
+    """Documents with one extraction each, whose attributes are an object, written and read again."""
     path = f"{plan.shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
-    empty = F.array().cast(f"array<{extraction.EXTRACTION}>")
-    sources.write_jsonl(_docs(spark, sf_dir).select(empty.alias("extractions"), "text", F.col("doc_id").cast("string").alias("document_id")), path)
-    return sources.read_jsonl(spark, path).select("document_id", F.length("text").cast("bigint").alias("n_chars"), F.size("extractions").cast("bigint").alias("n"))
+    one = F.array(
+        F.struct(F.lit("source"), F.col("source"), F.struct(F.lit(0), F.length("source")), F.lit("match_exact"), F.lit(1), F.lit(0), F.lit(None).cast("string"), F.to_json(F.struct("lang", "n_chars")))
+    ).cast(f"array<{extraction.EXTRACTION}>")
+    sources.write_jsonl(_docs(spark, sf_dir).select(one.alias("extractions"), "text", F.col("doc_id").cast("string").alias("document_id")), path)
+    found = sources.read_jsonl(spark, path)
+    e = F.get("extractions", F.lit(0))
+    return found.select("document_id", F.length("text").cast("bigint").alias("n_chars"), e["extraction_text"].alias("source"), F.get_json_object(e["attributes"], "$.lang").alias("lang"), e["char_interval"]["end_pos"].cast("bigint").alias("end_pos"))
+
+
+def csv_roundtrip(spark, sf_dir):
+    """Documents written as CSV, with their commas, quotes and line breaks, and read again."""
+    path = f"{plan.shared_dir(spark)}/documents-{uuid.uuid4().hex}.csv"
+    _docs(spark, sf_dir).select("doc_id", "text").write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    return sources.read_csv(spark, path, "doc_id", "text").select("document_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def _spec() -> plan.Spec:
     return plan.Spec(TEMPLATE, inference.Rules(RULES))
 
 
-def extract_documents(spark, sf_dir):
-    """Flagship: chunk, prompt, infer by rules, parse, ground, assemble; extractions by language, class and status."""
-    annotated = plan.extract(_as_documents(spark, sf_dir), _spec())
+def _by_language(spark, sf_dir, spec):
+    annotated = plan.extract(_as_documents(spark, sf_dir), spec)
     langs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), "lang")
     rows = annotated.select("document_id", F.explode("extractions").alias("e")).join(langs, "document_id")
-    return rows.groupBy("lang", F.col("e.extraction_class").alias("extraction_class"), F.col("e.alignment_status").alias("alignment_status")).agg(F.count("*").alias("n"))
+    grounded = F.count(F.when(F.col("e.char_interval").isNotNull(), 1))
+    return rows.groupBy("lang", F.col("e.extraction_class").alias("extraction_class")).agg(F.count("*").alias("n"), grounded.alias("n_grounded"), F.count_distinct("document_id").alias("n_documents"))
+
+
+def extract_documents(spark, sf_dir):
+    """Flagship: chunk, prompt, infer by rules, parse, ground, assemble; extractions by language and class."""
+    return _by_language(spark, sf_dir, _spec())
+
+
+def extract_whole_documents(spark, sf_dir):
+    """The same with whole documents as chunks, so that no boundary cuts what a rule would match."""
+    return _by_language(spark, sf_dir, dataclasses.replace(_spec(), max_char_buffer=10_000_000))
 
 
 def align_status_counts(spark, sf_dir):
@@ -246,7 +316,10 @@ def align_status_counts(spark, sf_dir):
 
 
 def extraction_summary(spark, sf_dir):
-    return extraction.summary(plan.extract(_as_documents(spark, sf_dir), _spec()))
+    rows = assemble_docs(spark, sf_dir)
+    item = F.struct(F.lit("email"), F.lit("x"), F.struct(F.lit(0), F.lit(1)), *[F.lit(None)] * 5)
+    made = F.transform(F.filter(F.split("found", " "), lambda x: x != ""), lambda x: item).cast(f"array<{extraction.EXTRACTION}>")
+    return extraction.summary(rows.select(made.alias("extractions"), F.col("found").alias("text"), "document_id"))
 
 
 def unicode_token_stats(spark, sf_dir):
@@ -262,10 +335,10 @@ def viz_html_len(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_documents, doc_scan_project, doc_filter_lang, doc_prompt_dedup, token_stats_by_doc, token_type_counts, newline_flags, token_norm_topk, sentence_stats_by_doc, sanitize_text,
+        extract_documents, extract_whole_documents, doc_scan_project, doc_filter_lang, doc_prompt_dedup, token_stats_by_doc, token_type_counts, newline_flags, token_norm_topk, sentence_stats_by_doc, sanitize_text,
         chunk_stats_by_doc, conversation_context, prompt_render_len, batch_assign, fence_extract, json_parse_status, rules_mentions, overlap_pairs, overlap_semi, overlap_anti, multipass_merge,
         assemble_docs, class_share, mention_topk, class_rollup, class_color_index, running_chars, cache_hits, cache_misses, labels_join_quality, benchmark_overlap_docs, url_predicate, jsonl_roundtrip,
-        align_status_counts, extraction_summary, unicode_token_stats, viz_html_len,
+        align_status_counts, extraction_summary, unicode_token_stats, viz_html_len, exact_alignment, cached_answers, csv_roundtrip,
     )
 }
 
@@ -295,6 +368,8 @@ _OUTPUT_SQL = """
 WITH b AS (SELECT conv_id, turn, '{"extractions":[{"role":"' || role || '"}]}' AS body FROM conversations), f AS (
   SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS n_blocks, CASE turn % 4 WHEN 0 THEN body WHEN 1 THEN body WHEN 2 THEN NULL ELSE 'broken' END AS body FROM b)
 """
+_FOUND = "WITH hits AS (" + " UNION ALL ".join(f"SELECT doc_id, lang, '{k}' AS extraction_class, unnest(regexp_extract_all(text, '{v}')) AS hit FROM documents" for k, v in RULES.items()) + ") "
+_KEY = """sha256('{"model": "model-1", "settings": {}}' || chr(31) || text)"""
 _GRAMS = "SELECT DISTINCT {0}, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {0}, string_split(text, ' ') AS w FROM {1}) WHERE len(w) >= 8)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -320,10 +395,11 @@ SELECT doc_id, count(*) AS n_sentences, max(b - a) AS longest, CAST(sum(a) AS BI
     "sanitize_text": f"SELECT doc_id, length({_CLEAN}) AS n_clean, sha256({_CLEAN}) AS clean_sha256 FROM documents",
     "conversation_context": "SELECT conv_id, turn, '[Previous text]: ...' || right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 30) AS context FROM conversations",
     "prompt_render_len": "SELECT doc_id, length('Find names.' || chr(10) || chr(10) || 'Q: ' || text || chr(10) || 'A: ') AS n_prompt FROM documents",
-    "batch_assign": "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS batch FROM documents",
+    "batch_assign": """WITH g AS (SELECT doc_id, n_chars, CAST('0x' || left(md5(CAST(doc_id AS VARCHAR)), 8) AS BIGINT) % 16 AS g FROM documents)
+SELECT doc_id, n_chars, g || '-' || ((row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1) // 10) AS batch_id FROM g""",
     "fence_extract": _OUTPUT_SQL + "SELECT conv_id, turn, CAST(n_blocks AS BIGINT) AS n_blocks, body FROM f",
-    "json_parse_status": _OUTPUT_SQL + "SELECT CASE WHEN n_blocks > 1 THEN 'many blocks' WHEN body = 'broken' THEN 'not parsed' ELSE 'parsed' END AS status, count(*) AS n FROM f GROUP BY 1",
-    "rules_mentions": f"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '{RULES['email']}')) AS n_mentions, regexp_extract_all(text, '{RULES['email']}')[1] AS first, CAST(instr(text, '@') AS BIGINT) AS at FROM documents) WHERE n_mentions > 0",
+    "json_parse_status": _OUTPUT_SQL + "SELECT CASE WHEN n_blocks > 1 OR body = 'broken' THEN 'not parsed' ELSE 'parsed' END AS status, count(*) AS n, sum(CASE WHEN n_blocks > 1 OR body = 'broken' THEN 0 ELSE 1 END)::BIGINT AS n_items FROM f GROUP BY 1",
+    "rules_mentions": f"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '{RULES['email']}')) AS n_mentions, regexp_extract_all(text, '{RULES['email']}')[1] AS first FROM documents) WHERE n_mentions > 0",
     "overlap_pairs": f"{_INTERVALS} SELECT a.l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM i a JOIN i b ON {_ON}",
     "overlap_semi": f"{_INTERVALS} SELECT a.l_orderkey, a.l_linenumber FROM i a WHERE EXISTS (SELECT 1 FROM i b WHERE {_ON})",
     "overlap_anti": f"{_INTERVALS} SELECT a.l_orderkey, a.l_linenumber FROM i a WHERE NOT EXISTS (SELECT 1 FROM i b WHERE {_ON})",
@@ -333,16 +409,25 @@ SELECT doc_id, count(*) AS n_sentences, max(b - a) AS longest, CAST(sum(a) AS BI
   SELECT f.l_orderkey, f.k + 1, CASE WHEN len(list_filter(f.kept, lambda y: y.s < m.e AND m.s < y.e)) = 0 THEN list_append(f.kept, m) ELSE f.kept END
   FROM f JOIN m ON m.l_orderkey = f.l_orderkey AND m.n = f.k + 1
 ) SELECT l_orderkey, array_to_string(list_transform(arg_max(kept, k), lambda x: x.n), ',') AS kept FROM f GROUP BY l_orderkey""",
-    "assemble_docs": f"SELECT doc_id, len(regexp_extract_all(text, '{RULES['email']}')) AS n_extractions FROM documents",
+    "assemble_docs": f"SELECT CAST(doc_id AS VARCHAR) AS document_id, array_to_string(regexp_extract_all(text, '{RULES['email']}'), ' ') AS found FROM documents",
     "class_share": "SELECT lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY lang",
     "mention_topk": "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source ORDER BY chars DESC, source LIMIT 10",
     "class_rollup": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)",
     "class_color_index": "SELECT source AS document_id, lang AS extraction_class, (dense_rank() OVER (PARTITION BY source ORDER BY lang) - 1) % 10 AS color_index FROM (SELECT DISTINCT source, lang FROM documents)",
     "running_chars": "SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars_so_far FROM documents",
-    "cache_hits": "SELECT doc_id, sha256(text) AS request_key FROM documents WHERE lang <> 'en' AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'en')",
-    "cache_misses": "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)",
+    "cache_hits": f"SELECT doc_id, {_KEY} AS request_key FROM documents WHERE doc_id % 2 = 1 AND text IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "cache_misses": "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
     "labels_join_quality": "SELECT lang, quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, quality",
     "benchmark_overlap_docs": f"SELECT doc_id, item_id, count(*) AS n_common FROM ({_GRAMS.format('doc_id', 'documents')}) JOIN ({_GRAMS.format('item_id', 'benchmark')}) USING (g) GROUP BY doc_id, item_id",
     "url_predicate": r"SELECT regexp_matches(url, '^https?://[^/:?# ]+\.[^/:?# ]+([/:?#]|$)') AS is_url, count(*) AS n FROM pages GROUP BY 1",
-    "jsonl_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS document_id, length(text) AS n_chars, CAST(0 AS BIGINT) AS n FROM documents",
+    "jsonl_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS document_id, length(text) AS n_chars, source, lang, length(source) AS end_pos FROM documents",
+    "exact_alignment": """SELECT conv_id, turn, 'role' AS extraction_class, role AS extraction_text, CASE WHEN role IN ('user', 'assistant') THEN 'match_exact' END AS alignment_status,
+  CAST(CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 9 END AS BIGINT) AS start_pos, CAST(CASE role WHEN 'user' THEN 4 WHEN 'assistant' THEN 18 END AS BIGINT) AS end_pos,
+  CAST(CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 2 END AS BIGINT) AS start_index FROM conversations WHERE turn % 4 < 2""",
+    "extraction_summary": f"""WITH m AS (SELECT regexp_extract_all(text, '{RULES['email']}') AS m FROM documents)
+SELECT count(*) AS documents, CAST(sum(length(array_to_string(m, ' '))) AS BIGINT) AS characters, CAST(sum(len(m)) AS BIGINT) AS extractions, CAST(sum(len(m)) AS BIGINT) AS grounded, CAST(1 AS INTEGER) AS classes FROM m""",
+    "cached_answers": f"SELECT doc_id, {_KEY} AS request_key, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN 'cached' ELSE length(text) || ' characters' END AS output FROM documents",
+    "csv_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS document_id, sha256(text) AS text_sha256 FROM documents",
+    "unicode_token_stats": _TOKENS + "SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id",
+    "extract_whole_documents": _FOUND + "SELECT lang, extraction_class, count(*) AS n, count(*) AS n_grounded, count(DISTINCT doc_id) AS n_documents FROM hits GROUP BY ALL",
 }

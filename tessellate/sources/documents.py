@@ -50,23 +50,33 @@ def require_unique_ids(docs: DataFrame) -> DataFrame:
 
 
 def write_jsonl(annotated: DataFrame, path: str, single_file: bool = False) -> None:
-    """One JSON object a line: extractions, text, document_id, with explicit nulls.
+    """One JSON object a line: extractions, text, document_id, with explicit nulls; attributes are objects.
 
-    Raises, before anything is written, if there is no document or an id is missing.
+    Raises if a document has no id (nothing is committed then) or if there is no document.
+    The plan runs once: ids are checked while their lines are made.
     """
-    if not annotated.take(1):
+    whole = F.transform("extractions", lambda e: e.withField("attributes", F.parse_json(e["attributes"])))
+    known = F.when(F.coalesce(F.col("document_id"), F.lit("")) == "", F.raise_error(F.lit("a document has no id")).cast("string")).otherwise(F.col("document_id"))
+    lines = annotated.select(F.to_json(F.struct(whole.alias("extractions"), "text", known.alias("document_id")), {"ignoreNullFields": "false"}).alias("value"))
+    try:
+        (lines.coalesce(1) if single_file else lines).write.text(path)
+    except Exception as e:
+        if "a document has no id" in str(e):
+            raise InvalidDocumentError("a document has no id") from e
+        raise
+    if annotated.sparkSession.read.text(path).isEmpty():
         raise InvalidDatasetError("no documents to write")
-    if annotated.filter(F.col("document_id").isNull() | (F.col("document_id") == "")).take(1):
-        raise InvalidDocumentError("a document has no id")
-    lines = annotated.select(F.to_json(F.struct("extractions", "text", "document_id"), {"ignoreNullFields": "false"}).alias("value"))
-    (lines.coalesce(1) if single_file else lines).write.text(path)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Annotated documents of JSON lines; blank lines are skipped, broken lines and unknown statuses raise."""
-    schema = T.StructType.fromDDL(ANNOTATED_DOCUMENT)
+    """Annotated documents of JSON lines; blank lines are skipped, broken lines and unknown statuses raise.
+
+    Attributes come as the text of their object (its keys in order of their names).
+    """
+    schema = T.StructType.fromDDL(ANNOTATED_DOCUMENT.replace("attributes: string", "attributes: variant"))
     lines = spark.read.text(path).filter(F.trim("value") != "")
     parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    parsed = parsed.withColumn("extractions", F.transform("extractions", lambda e: e.withField("attributes", F.when(F.to_json(e["attributes"]) != "null", F.to_json(e["attributes"])))))
     known = F.forall(F.coalesce("extractions", F.array()), lambda e: e["alignment_status"].isNull() | e["alignment_status"].isin(*STATUSES))
     text = F.when(known, F.col("text")).otherwise(F.raise_error(F.lit("unknown alignment status")).cast("string"))
     return parsed.withColumn("text", text)

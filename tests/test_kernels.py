@@ -74,11 +74,11 @@ def test_t7_tokens_text():
 @pytest.mark.parametrize(
     "text,tokenizer,want",
     [
-        ("This is one sentence. Then another?", "regex", (0, 5)),
-        ("Dr. John visited. Then left.", "regex", (0, 5)),
-        ("Blood pressure was 160/90 and patient was recommended to\nAtenolol 50 mg daily.", "regex", (0, 11)),
-        ("Only one sentence here", "regex", (0, 4)),
-        ('"The time is now." Next sentence.', "unicode", (0, 7)),
+        ("Snow covers the road. Why though?", "regex", (0, 5)),
+        ("Dr. Moss waited. Nobody came.", "regex", (0, 5)),
+        ("The gauge went from 15/20 up when the valve\nOpened 30 turns wide.", "regex", (0, 11)),
+        ("Nothing ends this line", "regex", (0, 4)),
+        ('"Her boat left early." Rain fell.', "unicode", (0, 7)),
         ("Line one.\rLine two.", "regex", (0, 3)),
         ("こんにちは。世界。", "unicode", (0, 6)),
         ("M. Smith est ici.", "regex", (0, 2)),
@@ -127,26 +127,26 @@ def ground(text, *extractions, **options):
     return [g and (g.status.removeprefix("match_"), g.token_start, g.token_end, g.char_start, g.char_end) for g in align(text, list(extractions), Options(**options))]
 
 
-HEART = "Patient has severe heart problems today."
+STORM = "Harbour has severe storm warnings today."
 
 
 @pytest.mark.parametrize(
     "text,extractions,options,want",
     [
-        ("Patient is prescribed Naprosyn and prednisone for treatment.", ["Naprosyn", "prednisone"], {}, [("exact", 3, 4, 22, 30), ("exact", 5, 6, 35, 45)]),
-        ("Patient is prescribed Naprosyn and prednisone for treatment.", ["Napro"], {}, [None]),
-        ("Patient is prescribed Napro-syn.", ["Napro-syn"], {}, [("exact", 3, 6, 22, 31)]),
-        (HEART, ["heart problems", "severe heart problems complications"], {}, [("fuzzy", 3, 5, 19, 33), ("lesser", 2, 5, 12, 33)]),
-        ("Patient takes aspirin daily.", ["completely different medicine"], {}, [None]),
-        ("Patient has heart problems today.", ["patient heart problems today"], {"accept_lesser": False}, [("fuzzy", 0, 5, 0, 32)]),
-        ("The iliopsoas and proximal hamstring tendons are intact.", ["The iliopsoas tendon is intact"], {"accept_lesser": False}, [("fuzzy", 0, 8, 0, 55)]),
-        ("Patient reports back pain and a fever.", ["headache and fever"], {}, [None]),
-        (HEART, ["problems heart"], {}, [None]),
-        ("Findings consistent with degenerative disc disease at L5-S1.", ["mild degenerative disc disease"], {}, [("fuzzy", 3, 6, 25, 50)]),
+        ("Captain is expecting Kingfish and mackerel from the fleet.", ["Kingfish", "mackerel"], {}, [("exact", 3, 4, 21, 29), ("exact", 5, 6, 34, 42)]),
+        ("Captain is expecting Kingfish and mackerel from the fleet.", ["Kingf"], {}, [None]),
+        ("Captain is expecting King-fish.", ["King-fish"], {}, [("exact", 3, 6, 21, 30)]),
+        (STORM, ["storm warnings", "severe storm warnings offshore"], {}, [("fuzzy", 3, 5, 19, 33), ("lesser", 2, 5, 12, 33)]),
+        ("Ferries cross the sound daily.", ["entirely unrelated cargo"], {}, [None]),
+        ("Harbour has storm warnings today.", ["harbour storm warnings today"], {"accept_lesser": False}, [("fuzzy", 0, 5, 0, 32)]),
+        ("The lighthouse and northern breakwater lamps are lit.", ["The lighthouse lamp is lit"], {"accept_lesser": False}, [("fuzzy", 0, 8, 0, 52)]),
+        ("Crew reports low fuel and a leak.", ["rudder and leak"], {}, [None]),
+        (STORM, ["warnings storm"], {}, [None]),
+        ("Charts consistent with drifting sand banks at K7-P2.", ["slow drifting sand banks"], {}, [("fuzzy", 3, 6, 23, 42)]),
         ("alpha beta gamma", ["alpha beta gamma delta"], {"accept_lesser": False}, [("fuzzy", 0, 3, 0, 16)]),
         ("alpha beta gamma", ["alpha beta gamma delta"], {"accept_lesser": False, "algorithm": "legacy"}, [None]),
-        ("Patient has heart problems today.", ["heart problem"], {"accept_lesser": False, "algorithm": "legacy"}, [("fuzzy", 2, 4, 12, 26)]),
-        (HEART, ["heart trouble"], {"enable_fuzzy": False, "accept_lesser": False}, [None]),
+        ("Harbour has storm warnings today.", ["storm warning"], {"accept_lesser": False, "algorithm": "legacy"}, [("fuzzy", 2, 4, 12, 26)]),
+        (STORM, ["storm trouble"], {"enable_fuzzy": False, "accept_lesser": False}, [None]),
     ],
 )
 def test_a3_a6_a9_a10_alignment(text, extractions, options, want):
