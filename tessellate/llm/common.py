@@ -33,7 +33,7 @@ def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
 #: Spark's switch for deleting a query's shuffle files as soon as it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Size of a dictionary page in columns of repeated 64-bit hashes; beyond it they are stored plain.
-DICTIONARY_BYTES = 32 << 20
+DICTIONARY_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import pick
 
 #: Tokens that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…*_`~|#&%$"
 #: Odd multipliers that mix hashes of neighbours.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))

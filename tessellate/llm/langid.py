@@ -260,7 +260,7 @@ class Labeller:
         return out
 
 
-def groups(texts: list[str], chars: int = 1_500_000) -> Iterator[list[str]]:
+def groups(texts: list[str], chars: int = 800_000) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
         group.append(t)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import pick, written
 
 #: Segments whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 150_000
 #: A space between two other white-space-free neighbours always starts a token.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 ODD = re.compile(r" \s|\s |^ | $")

@@ -416,17 +416,52 @@ def _stars(rows: DataFrame, round_: int) -> DataFrame:
     return _pairs_of(rows.join(centre, "key"), "id", "c.centre")
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The ``pairs (a, b)`` whose sizes and parities (``classes.n, bits``) allow a similarity of ``least``."""
+    ratio = least / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 4) for c in ("x", "y"))
+            need = np.ceil(ratio * (n + m) - 1e-9)
+            near = (np.minimum(n, m) >= need) & (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n + m - 2 * need)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    of = lambda end, n, bits: classes.select(F.col("id").alias(end), F.col("n").alias(n), F.col("bits").alias(bits))
+    return pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def shingle_sets(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """``id, shingles`` of the classes that ``pairs`` name, made anew from a text of each, on disk."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes, "id").select("id", "least", "digest")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column("t")]
+                right = pa.array([_digest(s) == d.as_py() for s, d in zip(sets, part.column("digest"), strict=True)], pa.bool_())
+                made = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), made], ["id", "shingles"]).filter(right)
+
+    shown = texts.join(ends, texts["k"] == ends["least"]).select("id", "digest", "t").mapInArrow(own, "id bigint, shingles array<bigint>")
+    return written(shown.dropDuplicates(["id"]), "sets")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, group_id``: connected groups of documents of Jaccard similarity ``least`` or more.
 
     The similarity is that of the sets of word shingles (as 64-bit hashes); texts of one set
     are one class.  Classes whose fingerprints are equal or linked at ``max_bits`` (the closest
     first, as in :func:`links`) and classes that share a rare shingle with a common centre are
-    verified first.  Then every pair of a shared prefix shingle that is still in two groups is
-    verified, if sizes, places and parities allow it, so no pair is lost.  ``group_id`` is the
-    least id of the group; rows with a null id never give one, and link no others.
+    verified first, where sizes and parities allow the similarity.  Then every such pair of a
+    shared prefix shingle that is still in two groups is verified, so no pair is lost.
+    ``group_id`` is the least id of the group; texts without words (null ones too) are one
+    group; rows with a null id never give one, and link no others; repeated rows stay.  An
+    empty table gives an empty table.
     """
-    spark, texts = docs.sparkSession, pick(docs, k=id_col, t=text_col)
+    texts = pick(docs, k=id_col, t=text_col)
     every = written(profiles(texts, words, least), "profiles")
     of = every.groupBy("digest").agg(F.min("k").alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "bits", "prefix")])
     classes = written(of.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -436,30 +471,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, max_bit
     equal = _pairs_of(named.select("id", "fp").join(first, "fp"), "id", "first")
     bits = links(first.select("fp"), max_bits, same=2, tiers=(3, max_bits))
     linked = _pairs_of(bits.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b"), "x", "y")
-    pairs = written(equal.union(linked).union(_stars(met, 0)).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes, "id").select("id", "least", "digest")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column("t")]
-                right = pa.array([_digest(s) == d.as_py() for s, d in zip(sets, part.column("digest"), strict=True)], pa.bool_())
-                made = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), made], ["id", "shingles"]).filter(right)
-
-    shown = texts.join(ends, texts["k"] == ends["least"]).select("id", "digest", "t").mapInArrow(own, "id bigint, shingles array<bigint>")
-    sets = written(shown.dropDuplicates(["id"]), "sets")
-    edges = verified(pairs, sets, least)
-    roots, tested = components(edges), pairs
-    for round_ in (1, 2):  # again from another centre, then all pairs that are still apart
-        rooted = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        met = written(rooted.join(apart, "key").select("key", "id", "n", "i", "root"), "apart")
-        more = _stars(met, round_) if round_ == 1 else possible(met.join(classes.select("id", "bits"), "id").select("key", "id", "n", "i", "root", "bits"), least)
-        more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges, tested, met = edges.union(verified(more, sets, least)), tested.union(more), met.drop("root")
-        roots = components(edges)
+    pairs = written(equal.union(linked).union(_stars(met, 0)).union(_stars(met, 1)).distinct(), "pairs")
+    tested = written(plausible(pairs, classes, least), "pairs")
+    edges = verified(tested, shingle_sets(texts, classes, tested, words), least)
+    roots = components(edges)
+    rooted = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    met = rooted.join(apart, "key").join(classes.select("id", "bits"), "id").select("key", "id", "n", "i", "root", "bits")
+    more = written(possible(met, least).join(tested, ["a", "b"], "left_anti"), "pairs")
+    edges = edges.union(verified(more, shingle_sets(texts, classes, more, words), least))
+    roots = components(edges)
     classes = classes.select("id", "digest", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = classes.groupBy("root").agg(F.min("least").alias("group_id"))
     found = classes.select("digest", "root").join(groups, "root").select("digest", "group_id")
