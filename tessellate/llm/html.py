@@ -28,13 +28,15 @@ from .media import INLINE
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea dialog menu head title object audio video canvas".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe svg button select textarea dialog menu head title object audio video canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Words of a class or id that mark such elements.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget pagination pager toolbar skip adsbygoogle alert login".split()
 )
+#: Words that may stand beside one of them in such a name (``related-posts``); others (``related-work``) make it no mark.
+BESIDE = frozenset("list box container wrapper wrap section area block inner outer site page main top bottom left right global primary secondary link links bar post posts article articles story stories content item items thread count icon icons button buttons unit slot group row col column header title js".split())
 #: And those that do so outside an article.
 OUTER_MARKS = frozenset("header topbar search".split())
 ROOTS = frozenset(("html", "body", "article", "main", "#page"))
@@ -54,11 +56,26 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 WORD = re.compile(r"[a-z0-9]+")
 
 
+#: Why a block goes: it may come back if only a form is around it and that holds most of the page's text.
+KEPT, IN_FORM, GONE = 0, 1, 2
+
+
+def marks(names: str) -> set[str]:
+    """Words of class names and ids that declare an element to be no main text."""
+    found: set[str] = set()
+    for name in names.lower().split():
+        words = set(WORD.findall(name))
+        if words <= MARKS | OUTER_MARKS | BESIDE:
+            found |= words
+    return found
+
+
 class _Element:
-    __slots__ = ("tag", "dropped", "at", "hash_id", "region", "nested")
+    __slots__ = ("tag", "dropped", "inside", "hash_id", "region", "nested")
 
-    def __init__(self, tag, dropped, at, region):
-        self.tag, self.dropped, self.at, self.hash_id, self.region, self.nested = tag, dropped, at, None, region, False
+    def __init__(self, tag, dropped, name, region):
+        # ``inside``: its tag and class, its texts, and the hashes of the elements in it
+        self.tag, self.dropped, self.inside, self.hash_id, self.region, self.nested = tag, dropped, [name], None, region, False
 
 
 class Page(HTMLParser):
@@ -66,19 +83,20 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = [_Element("#page", False, 0, "")]
-        self.trace: list[str] = []  # tags and texts so far; a subtree's hash is that of its part
+        self.open = [_Element("#page", KEPT, "", "")]
+        self.muted: list[str] = []  # open hidden elements inside a block, and their like in them
         self.blocks, self.hashes, self.parts, self.title, self.heading = [], [], [], [], []
         self.owner = self.open[0]
 
     def flush(self) -> None:
+        self.muted = []
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
                 inside = self.open[-1]
-                if not inside.dropped:
-                    self.blocks.append((text, [e for e in self.open if e.hash_id is not None]))
+                if inside.dropped < GONE:
+                    self.blocks.append((text, [e for e in self.open if e.hash_id is not None], inside.dropped))
                 if inside.tag == "h1" and not inside.dropped:
                     self.heading.append(text)
 
@@ -87,9 +105,10 @@ class Page(HTMLParser):
         self.flush()
         while len(self.open) > k:
             e = self.open.pop()
-            self.trace.append("/" + e.tag)
+            own = xxhash.xxh64_intdigest("\0".join(e.inside).encode(errors="replace"))
+            self.open[-1].inside.append(f"{own:x}")
             if e.hash_id is not None and (e.nested or not e.region):
-                self.hashes[e.hash_id] = xxhash.xxh64_intdigest("\0".join(self.trace[e.at :]).encode(errors="replace"))
+                self.hashes[e.hash_id] = own
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID or tag in INLINE:
@@ -97,6 +116,8 @@ class Page(HTMLParser):
                 self.parts.append(" ")
             if tag in VOID and tag not in INLINE and tag not in ("img", "input", "wbr"):
                 self.flush()
+            elif tag not in VOID and (tag in self.muted or self.hidden({k: v or "" for k, v in attrs})):
+                self.muted.append(tag)
             return
         if tag in ENDS_P:
             for k in range(len(self.open) - 1, 0, -1):
@@ -113,28 +134,29 @@ class Page(HTMLParser):
         self.flush()
         above, given = self.open[-1], {k: v or "" for k, v in attrs}
         region = "article" if tag == "article" else "main" if above.region != "article" and (tag == "main" or given.get("role") == "main") else above.region
-        names = set(WORD.findall(f"{given.get('class', '')} {given.get('id', '')}".lower()))
-        style = given.get("style", "").replace(" ", "").lower()
-        dropped = (
-            above.dropped
-            or tag in DROPPED
+        names = marks(f"{given.get('class', '')} {given.get('id', '')}")
+        gone = (
+            (tag in DROPPED and tag != "form")
             or (tag == "header" and region != "article")
-            or (above.tag == "header" and tag not in HEADINGS and region == "article")
+            or (above.tag == "header" and tag not in HEADINGS and tag != "p" and region == "article")
             or (tag not in ROOTS or tag == "article") and bool(names & MARKS)
             or (tag not in ROOTS and not region and bool(names & OUTER_MARKS))
             or given.get("role", "").lower() in ROLES
-            or "hidden" in given
-            or given.get("aria-hidden", "").lower() == "true"
-            or "display:none" in style
+            or self.hidden(given)
         )
-        e = _Element(tag, dropped, len(self.trace), region)
-        self.trace.append(f"{tag} {given.get('class', '')}")
+        dropped = max(above.dropped, GONE if gone else IN_FORM if tag == "form" else KEPT)
+        e = _Element(tag, dropped, f"{tag} {given.get('class', '')}", region)
         above.nested = True
         if tag not in ROOTS and tag not in TEXT_BLOCKS and tag != "head" and not (region and tag in CONTENT):
             e.hash_id = len(self.hashes)
             self.hashes.append(None)  # stays so if the subtree isn't to be counted
         self.open.append(e)
 
+    @staticmethod
+    def hidden(given: dict[str, str]) -> bool:
+        style = given.get("style", "").replace(" ", "").lower()
+        return "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in INLINE:
@@ -142,6 +164,8 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in INLINE:
+            if tag in self.muted:
+                del self.muted[len(self.muted) - 1 - self.muted[::-1].index(tag) :]
             return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
@@ -151,8 +175,9 @@ class Page(HTMLParser):
     def handle_data(self, data):
         if self.open[-1].tag == "title":
             self.title.append(data)
-        self.parts.append(data)
-        self.trace.append(data.strip())
+        if not self.muted:
+            self.parts.append(data)
+        self.open[-1].inside.append(data.strip())
 
 
 def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int], int]:
@@ -167,7 +192,9 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int], int
     page.flush()
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     hashes = [None if h is None else signed(h) for h in page.hashes]
-    blocks = [(t, [h for e in around if (h := hashes[e.hash_id]) is not None]) for t, around in page.blocks]
+    mass = [sum(len(t) for t, _, d in page.blocks if d == kind) for kind in (KEPT, IN_FORM)]
+    most = IN_FORM if mass[1] > mass[0] else KEPT  # a page wrapped in a form has its text there
+    blocks = [(t, [h for e in around if (h := hashes[e.hash_id]) is not None]) for t, around, d in page.blocks if d <= most]
     name = " ".join(" ".join([*page.title, *page.heading]).split())
     return blocks, sorted(set(hashes) - {None}), signed(xxhash.xxh64_intdigest(name.encode(errors="replace")))
 

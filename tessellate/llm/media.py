@@ -15,6 +15,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,12 +29,12 @@ WIDTH = 64
 #: Bytes that start every PNG file.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEME = "media:"
-ITEM = "struct<position: int, kind: string, text: string, digest: string, caption: string>"
-ITEM_TYPE = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+ITEM = "struct<position: int, kind: string, text: string, source: string, digest: string, caption: string>"
+ITEM_TYPE = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("source", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 FACTS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 FACTS_DDL = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 #: Elements that stay inside a text block.
-INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em i kbd mark q s samp small span strong sub sup time u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em i kbd mark math mfrac mi mn mo mrow msqrt msub msup mtext q s samp small span strong sub sup time u var wbr".split())
 HIDDEN = frozenset(("script", "style", "template", "noscript"))
 
 
@@ -97,20 +98,43 @@ def feature(samples: bytes) -> str:
 
 
 class _Sequence(HTMLParser):
-    """Collects text blocks and media references; a figure's caption joins its references."""
+    """Collects text blocks and media references; a figure's caption joins its references.
+
+    Every ``src`` is a reference; only those of stored payloads have a digest.  A caption goes
+    to all media of its figure that have none of their own figure, whichever comes first; one
+    without media stays as text in its place.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.hidden, self.caption, self.figure = [], [], 0, None, []
+        self.items, self.text, self.hidden = [], [], 0
+        self.figures: list[tuple[int, list]] = []  # where each open figure's items begin, and its captions (place, text)
+        self.caption: list[str] | None = None
 
     def flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
             if self.caption is not None:
                 self.caption.append(text)
             else:
-                self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+                self.items.append({"kind": "text", "text": text, "source": None, "digest": None, "caption": None})
         self.text = []
 
+    def end_caption(self) -> None:
+        if self.caption is not None and self.figures:
+            self.figures[-1][1].append((len(self.items), " ".join(self.caption)))
+        self.caption = None
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        start, captions = self.figures.pop()
+        media = [x for x in self.items[start:] if x["kind"] == "media"]
+        if media and captions:
+            for item in media:
+                item["caption"] = " ".join(c for _, c in captions)
+        else:
+            for at, caption in reversed(captions):
+                self.items.insert(at, {"kind": "text", "text": caption, "source": None, "digest": None, "caption": None})
+
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1
@@ -120,11 +144,11 @@ class _Sequence(HTMLParser):
             self.flush()
             given = dict(attrs)
             if tag == "figure":
-                self.figure.append(len(self.items))
-            elif tag == "figcaption":
+                self.figures.append((len(self.items), []))
+            elif tag == "figcaption" and self.figures:
                 self.caption = []
-            elif (given.get("src") or "").startswith(SCHEME):
-                self.items.append({"kind": "media", "text": None, "digest": given["src"][len(SCHEME) :], "caption": given.get("alt")})
+            elif (source := given.get("src")) and not self.hidden:
+                self.items.append({"kind": "media", "text": None, "source": source, "digest": source[len(SCHEME) :] if source.startswith(SCHEME) else None, "caption": given.get("alt")})
 
     handle_startendtag = handle_starttag
 
@@ -133,26 +157,28 @@ class _Sequence(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         elif tag not in INLINE:
             self.flush()
-            if tag == "figcaption" and self.caption is not None:
-                for item in self.items[self.figure[-1] :] if self.figure else self.items[-1:]:
-                    if item["kind"] == "media":
-                        item["caption"] = " ".join(self.caption)
-                self.caption = None
-            elif tag == "figure" and self.figure:
-                self.figure.pop()
+            if tag == "figcaption":
+                self.end_caption()
+            elif tag == "figure" and self.figures:
+                self.end_figure()
 
     def handle_data(self, data):
         if not self.hidden:
             self.text.append(data)
 
+    def finish(self) -> list[dict]:
+        self.close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        return [{"position": i, **x} for i, x in enumerate(self.items)]
+
 
 def parse_sequence(html: str | None) -> list[dict]:
     """Items of a page in order, with positions from 0; an empty or null page has none."""
     parser = _Sequence()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return [{"position": i, **x} for i, x in enumerate(parser.items)]
+    return parser.finish()
 
 
 def sequences(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -168,9 +194,9 @@ def sequences(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
 
 
 def references(sequence: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """One row per media reference: ``keep``, ``position``, ``digest``, ``caption``."""
+    """One row per media reference: ``keep``, ``position``, ``source``, ``digest``, ``caption``."""
     item = F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item")
-    return sequence.select(*keep, item).select(*keep, "item.position", "item.digest", "item.caption")
+    return sequence.select(*keep, item).select(*keep, "item.position", "item.source", "item.digest", "item.caption")
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -198,32 +224,56 @@ def resolve(refs: DataFrame, facts: DataFrame) -> DataFrame:
 # -- documents as media ----------------------------------------------------------------
 
 
-def illustrated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, html, digest, media``: each whole text as one figure and its stored payload.
+def illustrated_html(text: str, digest: str, n_bytes: int) -> str:
+    """A page of the text's lines as paragraphs, with the payload as a figure in their middle."""
+    lines = [f"<p>{escape(x)}</p>" for x in text.split("\n")]
+    figure = f'<figure><img src="{SCHEME}{digest}"><figcaption>{n_bytes} bytes of text</figcaption></figure>'
+    half = len(lines) // 2
+    return "<article>" + "".join([*lines[:half], figure, *lines[half:]]) + "</article>"
 
-    A task stores a digest once: ``media`` is null where the same payload came before in
-    it.  A null text counts as empty; an empty text is stored as 64 zero bytes.
-    """
+
+def document_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_bytes, items``: every whole text as an interleaved sequence of its lines and its payload's reference."""
     kind = docs.schema.fields[docs.columns.index(id_col)].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part, sizes, items = batch.slice(at, 512), [], []
+                for text in part.column("t"):
+                    text = text.as_py() or ""
+                    data = text.encode()
+                    sizes.append(len(data))
+                    items.append(parse_sequence(illustrated_html(text, hashlib.sha256(padded(data)).hexdigest(), len(data))))
+                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sizes, pa.int64()), pa.array(items, pa.list_(ITEM_TYPE))], ["doc_id", "n_bytes", "items"])
+
+    return pick(docs, k=id_col, t=text_col).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, items array<{ITEM}>")
+
+
+def payloads(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``digest, media``: the stored form of every whole text, once for each digest and task.
+
+    A null text counts as empty; an empty text is stored as 64 zero bytes.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored: set[bytes] = set()
         for batch in batches:
-            rows, ids, at, size = [], batch.column("k"), 0, 0
-            for k, text in enumerate(batch.column("t")):
-                data = (text.as_py() or "").encode()
-                payload = padded(data)
+            rows, size = [], 0
+            for text in batch.column("t"):
+                payload = padded((text.as_py() or "").encode())
                 key = hashlib.sha256(payload).digest()
-                html = f'<article><figure><img src="{SCHEME}{key.hex()}"><figcaption>{len(data)} bytes of text</figcaption></figure></article>'
-                rows.append((len(data), html, key.hex(), None if key in stored else to_png(payload)))
-                stored.add(key)
-                size += len(data)
-                if size > 8_000_000 or k + 1 == len(ids):
-                    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), *columns], ["doc_id", "n_bytes", "html", "digest", "media"])
-                    rows, at, size = [], k + 1, 0
+                if key not in stored:
+                    stored.add(key)
+                    rows.append((key.hex(), to_png(payload)))
+                    size += len(payload)
+                if size > 8_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["digest", "media"])
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["digest", "media"])
 
-    return pick(docs, k=id_col, t=text_col).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, html string, digest string, media binary")
+    return pick(docs, t=text_col).mapInArrow(run, "digest string, media binary")
 
 
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,10 +281,9 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature``; equal texts have equal values.  Repeated or null ids stay as
-    they are; an empty table gives an empty table.
+    they are; an empty table gives an empty table.  Facts are on disk before the join, so a
+    digest that very many documents share can be split over tasks.
     """
-    store = written(illustrated(docs, id_col, text_col), "media")
-    sequence = sequences(store, keep=("doc_id", "n_bytes"))
-    refs = references(sequence, keep=("doc_id", "n_bytes"))
-    facts = read_back(store.filter(F.col("media").isNotNull()))
+    facts = written(read_back(written(payloads(docs, text_col), "media")), "media-facts")
+    refs = references(document_sequences(docs, id_col, text_col), keep=("doc_id", "n_bytes"))
     return resolve(refs, facts).select("doc_id", "n_bytes", *FACTS)

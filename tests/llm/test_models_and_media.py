@@ -1,6 +1,7 @@
 """Media, language ID, toxicity, quality, HTML extraction and the pipeline."""
 
 import hashlib
+import time
 import itertools
 import zlib
 
@@ -48,6 +49,19 @@ def test_op4_sequences_keep_order_positions_and_captions(spark):
     assert {(r.position, r.n) for r in media.resolve(media.references(media.sequences(rows)), facts).collect()} == {(1, 5), (3, None)}
 
 
+def test_op4_captions_before_media_foreign_sources_and_lone_captions():
+    page = '<figure><figcaption>cap</figcaption><img src="https://x.org/a.png"></figure><figure><figcaption>alone</figcaption></figure>end'
+    found = [(i["position"], i["kind"], i["text"], i["source"], i["digest"], i["caption"]) for i in media.parse_sequence(page)]
+    assert found == [(0, "media", None, "https://x.org/a.png", None, "cap"), (1, "text", "alone", None, None, None), (2, "text", "end", None, None, None)]
+
+
+def test_op4_documents_are_interleaved(edge):
+    rows = {r.doc_id: r["items"] for r in media.document_sequences(edge).collect()}
+    assert [(i.kind, i.text, i.caption) for i in rows[7]] == [
+        ("text", "Füße über Straßen", None), ("text", "the end", None), ("media", None, "46 bytes of text"), ("text", "the end", None), ("text", "The END", None),
+    ]
+
+
 def test_op4_broken_media_raise():
     good = media.to_png(b"\1" * 64)
     for bad in (b"", b"x" * 50, good[:20] + b"\xff" + good[21:]):
@@ -252,3 +266,22 @@ def test_pipeline_runs_on_an_empty_table(spark, docs, sf):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, sf)
     assert now.count() == 0
+
+
+def blocks_of(page):
+    return [b for b, _ in html.parse(page)[0]]
+
+
+def test_op10_names_forms_hidden_parts_and_leads():
+    page = (
+        '<article><header><h1>Title</h1><p>Lead.</p><div>by line</div></header><section id="related-work"><p>Work.</p></section><div class="related-posts"><p>gone</p></div>'
+        '<p>One <span style="display: none">hid<span>den</span></span>two <span hidden>x</span>three <math>a</math>.</p><form><p>ask</p></form></article>'
+    )
+    assert blocks_of(page) == ["Title", "Lead.", "Work.", "One two three", "a", "."] or blocks_of(page) == ["Title", "Lead.", "Work.", "One two three a."]
+    assert blocks_of("<body><form><h1>All</h1><p>of the page</p></form><p>x</p></body>") == ["All", "of the page", "x"]
+
+
+def test_op10_deep_pages_take_linear_time():
+    start = time.time()
+    assert blocks_of("<div>" * 16_000 + "text" + "</div>" * 16_000) == ["text"]
+    assert time.time() - start < 10
