@@ -86,7 +86,7 @@ def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     made = f"tessellate_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _cleaned(spark):
-        writer = df.write.format("parquet").bucketBy(buckets, *keys).option("path", f"{shared_dir(spark)}/{made}").option("parquet.dictionary.page.size", DICTIONARY_BYTES)
+        writer = df.write.format("parquet").bucketBy(buckets, *keys).option("path", f"{shared_dir(spark)}/{made}").option("parquet.dictionary.page.size", DICTIONARY_BYTES).option("compression", "zstd")
         writer.saveAsTable(made)
     found = spark.table(made)
     found.schema  # resolved now, so the entry isn't needed later

@@ -29,7 +29,8 @@ from .hashed import MIX, REMEMBERED, buckets
 FOLDS, TEST_FOLD = 4, 2
 BITS, GRAMS = 16, 4
 PENALTY = 6.0
-BLOCK = 64
+#: Words of a block, times languages.
+BLOCK = 16
 #: Letters that are scored together at most; longer words are several.
 PIECE = 64
 #: Log-posteriors are cut here, so that no single word decides.
@@ -152,25 +153,22 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     n_lang = scores.shape[1]
     if n_lang == 0 or not len(scores):
         return np.zeros(len(scores), np.int64)
-    blocks = -(-lengths // BLOCK)
+    block = BLOCK * n_lang  # so that a matrix a block is linear in languages
+    blocks = -(-lengths // block)
     block_text = np.repeat(np.arange(len(lengths)), blocks)
     inside = np.arange(len(block_text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    starts = (np.cumsum(lengths) - lengths)[block_text] + inside * BLOCK
-    sizes = np.minimum(lengths[block_text] - inside * BLOCK, BLOCK)
-    place = starts[:, None] + np.arange(BLOCK)
-    valid = np.arange(BLOCK) < sizes[:, None]
-    padded = np.where(valid[:, :, None], scores[np.where(valid, place, 0)], 0.0)
+    starts = (np.cumsum(lengths) - lengths)[block_text] + inside * block
+    sizes = np.minimum(lengths[block_text] - inside * block, block)
+    longest = int(sizes.max())
+    order = np.argsort(-sizes, kind="stable")  # blocks that are still going on come first
+    going = np.searchsorted(-sizes[order], -np.arange(longest), "left")
     # value[b, s, l]: the best path through block b that enters in language s and is in l now
     value = np.full((len(starts), n_lang, n_lang), -np.inf)
     value[:, np.arange(n_lang), np.arange(n_lang)] = 0.0
-    came = np.empty((BLOCK, len(starts), n_lang, n_lang), np.int8 if n_lang < 127 else np.int16)
-    for t in range(BLOCK):
-        best = value.argmax(axis=2)
-        top = np.take_along_axis(value, best[..., None], 2) - penalty
-        switch = top > value
-        switch &= valid[:, t][:, None, None]
-        came[t] = np.where(switch, best[..., None], np.arange(n_lang))
-        value = np.where(switch, top, value) + padded[:, t][:, None, :]
+    for t in range(longest):
+        now = value[: going[t]]
+        value[: going[t]] = np.maximum(now, now.max(axis=2, keepdims=True) - penalty) + scores[starts[order[: going[t]]] + t][:, None, :]
+    value[order] = value.copy()
     # Chain the blocks of each text: enter[b] is the language before block b.
     total = np.zeros((len(lengths), n_lang))
     back = np.zeros((len(starts), n_lang), np.int64)
@@ -187,12 +185,22 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
         exit_[at] = now[block_text[at]]
         enter[at] = back[at, exit_[at]]
         now[block_text[at]] = enter[at]
-    out = np.empty((len(starts), BLOCK), np.int64)
-    state, rows = exit_, np.arange(len(starts))
-    for t in range(BLOCK - 1, -1, -1):
-        out[:, t] = state
-        state = came[t][rows, enter, state].astype(np.int64)
-    return out[valid]
+    # Once more through the blocks, from the known entries, noting where each language came from.
+    path = np.full((len(starts), n_lang), -np.inf)
+    path[np.arange(len(starts)), enter[order]] = 0.0
+    came = np.empty((longest, len(starts), n_lang), np.int8 if n_lang < 127 else np.int16)
+    for t in range(longest):
+        live = path[: going[t]]
+        best = live.argmax(axis=1)
+        top = live[np.arange(len(live)), best] - penalty
+        switch = top[:, None] > live
+        came[t, : going[t]] = np.where(switch, best[:, None], np.arange(n_lang))
+        path[: going[t]] = np.where(switch, top[:, None], live) + scores[starts[order[: going[t]]] + t]
+    out, state = np.empty(len(scores), np.int64), exit_[order]
+    for t in range(longest - 1, -1, -1):
+        out[starts[order[: going[t]]] + t] = state[: going[t]]
+        state[: going[t]] = came[t, np.arange(going[t]), state[: going[t]]]
+    return out
 
 
 class Labeller:

@@ -29,7 +29,7 @@ FREQUENCY_BITS = 22
 #: Jaccard similarity 4/5, as whole numbers.
 NUM, DEN = 4, 5
 #: In the first round a class looks at its so many rarest tokens, and there at the classes so many places before it.
-RAREST, BEFORE = 4, (1, 2, 4, 8, 16)
+RAREST, BEFORE = 6, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Buckets of more classes than this are dealt out in the first round, so that no task has a whole large one.
 BUCKET = 4096
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import masked, pick
@@ -56,6 +56,19 @@ class Features:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
+def slopes(score: float, t: np.ndarray, y: int) -> tuple[float, np.ndarray]:
+    """Derivatives of a row's negative log-likelihood by its score and by the thresholds."""
+    above = 1 / (1 + np.exp(np.clip(t - score, -35, 35)))  # P(grade > k)
+    p, slope = np.r_[1.0, above, 0.0], np.r_[0.0, above * (1 - above), 0.0]
+    likely = max(p[y] - p[y + 1], 1e-9)
+    by_t = np.zeros(len(t))
+    if y > 0:
+        by_t[y - 1] = slope[y] / likely
+    if y < len(t):
+        by_t[y] = -slope[y + 1] / likely
+    return -(slope[y] - slope[y + 1]) / likely, by_t
+
+
 def fit(rows: list[tuple[int, str]], counts: dict[int, int], epochs: int = 12, rate: float = 0.3, l2: float = 1e-6) -> dict:
     """Weights and thresholds from (grade, text) rows, each grade weighted to its share in ``counts``.
 
@@ -78,16 +91,7 @@ def fit(rows: list[tuple[int, str]], counts: dict[int, int], epochs: int = 12, r
         for k in rng.permutation(len(data)).tolist():
             at, x, y = data[k]
             t = np.cumsum(np.r_[steps[0], steps[1:] ** 2])
-            above = 1 / (1 + np.exp(np.clip(t - w[at] @ x, -35, 35)))  # P(grade > k)
-            p = np.r_[1.0, above, 0.0]
-            likely = max(p[y] - p[y + 1], 1e-9)
-            slope = np.r_[0.0, above * (1 - above), 0.0]
-            d_score = -(slope[y] - slope[y + 1]) / likely * importance[y]
-            d_t = np.zeros(len(t))
-            if y > 0:
-                d_t[y - 1] += slope[y] / likely * importance[y]
-            if y < len(t):
-                d_t[y] -= slope[y + 1] / likely * importance[y]
+            d_score, d_t = (d * importance[y] for d in slopes(w[at] @ x, t, y))
             g = d_score * x + l2 * w[at]
             np.add.at(gw, at, g * g)
             np.subtract.at(w, at, rate * g / np.sqrt(gw[at]) / (1 + epoch / 4))
@@ -123,9 +127,9 @@ def graded(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return pick(docs, k=id_col, t=text_col).mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double")
 
 
-def model_of(docs: DataFrame, labels: DataFrame, most: int = 2000) -> dict:
-    """Fitted on at most about ``most`` documents of each grade."""
-    return fit(*labelled(docs, labels, "quality", None, most))
+def model_of(docs: DataFrame, labels: DataFrame, most: int = 2000, taken: Column | None = None) -> dict:
+    """Fitted on at most about ``most`` documents of each grade, of those whose id (column ``k``) is ``taken``."""
+    return fit(*labelled(docs, labels, "quality", taken, most))
 
 
 def selected(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 2000) -> DataFrame:
@@ -138,7 +142,11 @@ def selected(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int =
 
 
 def of_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 2000, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose tail probability is at least ``least``."""
+    """The rows of ``docs`` whose tail probability is at least ``least``.
+
+    A null text counts as empty and is judged like any other; rows with a null id and
+    repeated rows are judged by their text too; without labels of two grades all stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model_of(docs, labels, most))
 
     def decider():

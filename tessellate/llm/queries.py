@@ -17,22 +17,27 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and the components they are linked to at 3 or fewer bits."""
     return simhash.grouped(_read(spark, sf_dir, "documents"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the text decoded from them."""
     return sentencepiece_bpe.digests(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences of at most 1024 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a grey image, read back, with facts and features of what was read."""
     return media.document_media(_read(spark, sf_dir, "documents"))
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every text and its edited text, and their likeness."""
     return sketch.fingerprints(_read(spark, sf_dir, "documents"))
 
 
@@ -42,18 +47,22 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every text, learned from documents outside the held-out fold."""
     return langid.identified(_read(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every text, learned from labels outside the held-out fold."""
     return toxicity.toxic(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every text, and whether it is kept."""
     return quality.selected(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html.main_text(_read(spark, sf_dir, "pages"))
 
 

@@ -7,9 +7,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessellate.llm import html, langid, media, quality, toxicity
+from tessellate.llm import html, langid, lines, media, quality, simhash, toxicity
 from tessellate.llm.common import masked
 
 
@@ -153,6 +154,30 @@ def test_op8_ftrl_is_sparse_and_follows_its_update():
     assert toxicity.FTRL(bits=4, l1=9.0).weights(np.arange(4)).tolist() == [0.0] * 4
 
 
+def test_op8_ftrl_is_the_plain_algorithm():
+    """Against the update written out by coordinate, in plain dictionaries."""
+    rng, m = np.random.default_rng(5), toxicity.FTRL(bits=6, alpha=0.3, beta=0.5, l1=0.2, l2=0.1)
+    z, n, last = {}, {}, 1 << 6
+
+    def weight(i):
+        l1 = 0.0 if i == last else 0.2
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((0.5 + n[i] ** 0.5) / 0.3 + 0.1)
+
+    for _ in range(300):
+        at, y = np.unique(rng.integers(0, 64, 5)), int(rng.integers(0, 2))
+        m.learn(at, y)
+        mine = [*at.tolist(), last]
+        before = {i: weight(i) for i in mine}
+        g = 1 / (1 + np.exp(-sum(before.values()))) - y
+        for i in mine:
+            was = n.get(i, 0.0)
+            n[i] = was + g * g
+            z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - was**0.5) / 0.3 * before[i]
+    assert m.weights(np.arange(65)) == pytest.approx([weight(i) for i in range(65)])
+
+
 def test_op8_edges(edge, empty, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (7, 0), (None, 1), (9, None)], "doc_id bigint, toxic int")
     rows = toxicity.toxic(edge, labels).collect()
@@ -166,6 +191,28 @@ def test_op9_separates_the_test_grades(docs, sf, spark):
     assert np.mean([r.keep == (r.quality == 1) for r in rows]) > 0.95
 
 
+def test_op9_grades_of_documents_not_learned_from(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    fold = F.crc32(F.col("k").cast("string").cast("binary")) % 4 == 0
+    model = quality.model_of(docs, labels, taken=~fold)
+    rows = quality.graded(docs, model).withColumnRenamed("doc_id", "k").filter(fold).join(labels.withColumnRenamed("doc_id", "k"), "k").collect()
+    # 0.93 with some 300 documents to learn from; see the README for larger tables
+    assert len(rows) > 50 and np.mean([(r.tail_probability >= 0.5) == (r.quality == 1) for r in rows]) > 0.9
+
+
+@pytest.mark.parametrize("y", [0, 1, 2])
+def test_op9_slopes_are_those_of_the_likelihood(y):
+    def loss(score, t):
+        p = np.r_[1.0, 1 / (1 + np.exp(t - score)), 0.0]
+        return -np.log(p[y] - p[y + 1])
+
+    t, h = np.array([-0.4, 0.9]), 1e-6
+    by_score, by_t = quality.slopes(0.3, t, y)
+    assert by_score == pytest.approx((loss(0.3 + h, t) - loss(0.3 - h, t)) / (2 * h), abs=1e-6)
+    assert by_t == pytest.approx([(loss(0.3, t + h * e) - loss(0.3, t - h * e)) / (2 * h) for e in np.eye(2)], abs=1e-6)
+
+
 def test_op9_three_ordered_grades():
     rng = np.random.default_rng(0)
     rows = [(g, " ".join(rng.choice([f"g{g}w{k}" for k in range(20)] + ["x", "y"], 30))) for g in (0, 1, 2) for _ in range(80)]
@@ -285,3 +332,19 @@ def test_op10_deep_pages_take_linear_time():
     start = time.time()
     assert blocks_of("<div>" * 16_000 + "text" + "</div>" * 16_000) == ["text"]
     assert time.time() - start < 10
+
+
+# -- the pipeline's stages ---------------------------------------------------------------
+
+
+def test_pipeline_stages_on_edges(edge, empty, spark):
+    labels = spark.createDataFrame([(1, 1), (7, 0), (None, 1), (9, None)], "doc_id bigint, quality int")
+    stages = [langid.in_one_language, lambda d: quality.of_quality(d, labels), lines.deduplicated, simhash.one_of_each]
+    for stage in stages:
+        out = stage(edge)
+        rows = [tuple(r) for r in out.collect()]
+        assert out.columns == edge.columns and 0 < len(rows) <= 11
+        assert stage(empty).count() == 0
+    kept = [r[0] for r in simhash.one_of_each(edge).collect()]
+    # 2 repeats 1; the three without words are one group; both rows of 7 are one document; a null id stays
+    assert sorted(k for k in kept if k is not None) == [1, 3, 5, 7, 7, 8, 9] and None in kept
