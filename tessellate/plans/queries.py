@@ -361,6 +361,37 @@ tok AS (
   FROM n WHERE cls <> 0
 )
 """
+#: Sentences (``y``: document, number, first token, end) and the sentence of each token (``z``).
+_SENTENCES = (
+    _TOKENS.replace("WITH c AS", "WITH RECURSIVE c AS", 1)
+    + r""", p AS (
+  SELECT *, token_type = 2 AND regexp_matches(token, '[.?!。！？।]["''”’»)\]}]*$') AND coalesce(lag(token) OVER w || token, '') NOT IN ('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'St.') AS e,
+    token IN ('"', '''', '”', '’', '»', ')', ']', '}') AS closer, lead(token) OVER w AS nt, lead(broken) OVER w AS nb FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY idx)
+), q AS (SELECT *, coalesce(last_value(CASE WHEN e OR NOT closer THEN e END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING), false) AS st FROM p),
+r AS (
+  SELECT *, nt IS NULL OR (st AND nt NOT IN ('"', '''', '”', '’', '»', ')', ']', '}')) OR (NOT st AND nb AND NOT (lower(left(nt, 1)) = left(nt, 1) AND upper(left(nt, 1)) <> left(nt, 1))) AS ends FROM q
+), z AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
+y AS (SELECT doc_id, k, min(idx) AS a, max(idx) + 1 AS b FROM z GROUP BY doc_id, k)
+"""
+)
+#: Chunks of at most 1000 characters: whole sentences while they fit; a longer one is cut at its last line start or after the last token that fits.
+_CHUNKS = (
+    _SENTENCES
+    + """, d AS (
+  SELECT doc_id, list(start_pos ORDER BY idx) AS heads, list(end_pos ORDER BY idx) AS tails, list(broken ORDER BY idx) AS breaks, list(b ORDER BY idx) AS closes, count(*) AS n FROM z JOIN y USING (doc_id, k) GROUP BY doc_id
+), w AS (SELECT doc_id, list(b ORDER BY b) AS closings FROM y GROUP BY doc_id),
+f AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS stop, false AS rest, 0 AS number FROM d
+  UNION ALL
+  SELECT doc_id, here, CASE WHEN NOT one_fits THEN here + 1 WHEN NOT all_fit THEN coalesce(list_max(list_filter(range(here + 1, reach + 1), lambda q: breaks[q + 1])), reach) WHEN rest THEN fin
+    ELSE list_max(list_filter(closings, lambda q: q >= fin AND tails[q] - heads[here + 1] <= 1000)) END, CASE WHEN NOT one_fits THEN here + 1 < fin ELSE NOT all_fit END, number + 1
+  FROM (
+    SELECT *, tails[here + 1] - heads[here + 1] <= 1000 AS one_fits, tails[fin] - heads[here + 1] <= 1000 AS all_fit, here + len(list_filter(tails[here + 1:fin], lambda q: q - heads[here + 1] <= 1000)) AS reach
+    FROM (SELECT f.doc_id, f.stop AS here, f.rest, f.number, d.heads, d.tails, d.breaks, CAST(d.closes[f.stop + 1] AS BIGINT) AS fin, w.closings FROM f JOIN d USING (doc_id) JOIN w USING (doc_id) WHERE f.stop < d.n)
+  )
+)
+"""
+)
 _INTERVALS = "WITH i AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 100 AS BIGINT) AS s, CAST(l_partkey % 100 AS BIGINT) + CAST(l_quantity AS BIGINT) AS e FROM lineitem)"
 _ON = "a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.s < b.e AND b.s < a.e"
 _CLEAN = r"nullif(regexp_replace(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\s\p{Z}]+', ' ', 'g'), '')"
@@ -382,16 +413,8 @@ ORACLE_SQL: dict[str, str] = {
     "token_norm_topk": _TOKENS
     + ", l AS (SELECT lower(token) AS t FROM tok WHERE token_type = 0) SELECT CASE WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN left(t, length(t) - 1) ELSE t END AS token, count(*) AS n "
     "FROM l GROUP BY 1 ORDER BY n DESC, token LIMIT 50",
-    "sentence_stats_by_doc": _TOKENS
-    + r""", p AS (
-  SELECT *, token_type = 2 AND regexp_matches(token, '[.?!。！？।]["''”’»)\]}]*$') AND coalesce(lag(token) OVER w || token, '') NOT IN ('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'St.') AS e,
-    token IN ('"', '''', '”', '’', '»', ')', ']', '}') AS closer, lead(token) OVER w AS nt, lead(broken) OVER w AS nb FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY idx)
-), q AS (SELECT *, coalesce(last_value(CASE WHEN e OR NOT closer THEN e END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING), false) AS st FROM p),
-r AS (
-  SELECT *, nt IS NULL OR (st AND nt NOT IN ('"', '''', '”', '’', '»', ')', ']', '}')) OR (NOT st AND nb AND NOT (lower(left(nt, 1)) = left(nt, 1) AND upper(left(nt, 1)) <> left(nt, 1))) AS ends FROM q
-), z AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
-y AS (SELECT doc_id, k, min(idx) AS a, max(idx) + 1 AS b FROM z GROUP BY doc_id, k)
-SELECT doc_id, count(*) AS n_sentences, max(b - a) AS longest, CAST(sum(a) AS BIGINT) AS sum_start FROM y GROUP BY doc_id""",
+    "sentence_stats_by_doc": _SENTENCES + "SELECT doc_id, count(*) AS n_sentences, max(b - a) AS longest, CAST(sum(a) AS BIGINT) AS sum_start FROM y GROUP BY doc_id",
+    "chunk_stats_by_doc": _CHUNKS + "SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS n_chunks, CAST(max(tails[stop] - heads[first + 1]) AS BIGINT) AS longest, CAST(sum(first) AS BIGINT) AS sum_start FROM f JOIN d USING (doc_id) WHERE number > 0 GROUP BY doc_id",
     "sanitize_text": f"SELECT doc_id, length({_CLEAN}) AS n_clean, sha256({_CLEAN}) AS clean_sha256 FROM documents",
     "conversation_context": "SELECT conv_id, turn, '[Previous text]: ...' || right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 30) AS context FROM conversations",
     "prompt_render_len": "SELECT doc_id, length('Find names.' || chr(10) || chr(10) || 'Q: ' || text || chr(10) || 'A: ') AS n_prompt FROM documents",
