@@ -108,22 +108,29 @@ def assembled(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.withColumn("extractions", F.coalesce("extractions", F.array().cast(f"array<{EXTRACTION}>"))).select("extractions", "text", "document_id")
 
 
-def summary(annotated: DataFrame) -> DataFrame:
+def summary(annotated: DataFrame, seconds: float | None = None, max_char_buffer: int | None = None) -> DataFrame:
     """One row: documents, characters, extractions, grounded ones, distinct classes.
 
+    With the run's ``seconds`` also characters a second; with the chunks' size also how many
+    chunks there were at least.
+
     Partial counts are made before anything is shuffled; classes are counted as rows.
     """
     grounded = F.filter("extractions", lambda e: e["char_interval"].isNotNull())
-    sums = F.struct(F.length("text").alias("characters"), F.size("extractions").alias("extractions"), F.size(grounded).alias("grounded"))
+    least = F.ceil(F.length("text") / F.lit(max_char_buffer or 1)).cast("bigint").alias("least_chunks")
+    sums = F.struct(F.length("text").alias("characters"), F.size("extractions").alias("extractions"), F.size(grounded).alias("grounded"), least)
     rows = annotated.select(sums.alias("s"), F.posexplode_outer(F.transform("extractions", lambda e: e["extraction_class"])).alias("pos", "class"))
     once = F.coalesce(F.col("pos"), F.lit(0)) == 0
     total = lambda c: F.coalesce(F.sum(F.when(once, F.col(c))), F.lit(0))
+    more = [(total("s.characters") / F.lit(seconds)).alias("characters_a_second")] if seconds else []
+    more += [total("s.least_chunks").alias("least_chunks")] if max_char_buffer else []
     return rows.agg(
         F.count(F.when(once, 1)).alias("documents"),
         total("s.characters").alias("characters"),
         total("s.extractions").alias("extractions"),
         total("s.grounded").alias("grounded"),
         F.count_distinct("class").cast("int").alias("classes"),
+        *more,
     )
 
 

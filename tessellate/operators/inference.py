@@ -304,8 +304,9 @@ def infer(prompts: DataFrame, provider: Provider, prompt_col: str = "prompt", ba
             more = {"pool": pool} if pool else {}
             for texts in batches:
                 texts, out = texts.to_pylist(), []
-                for at in range(0, len(texts), batch):
-                    part = texts[at : at + batch]
+                size = getattr(provider, "together", batch)
+                for at in range(0, len(texts), size):
+                    part = texts[at : at + size]
                     answers = list(provider.infer(part, **more, **settings))
                     if len(answers) != len(part):
                         raise ProviderError(f"{len(part)} prompts, {len(answers)} answers")
@@ -384,5 +385,60 @@ def run_batch(client: BatchClient, prompts: list[str], settings: BatchSettings =
     return out
 
 
+class FileJobs(BatchClient):
+    """Batch jobs by files: requests go out as JSON lines made by an HTTP provider, answers come back keyed.
+
+    ``send`` takes the path of a request file and returns the job's name; ``state`` says
+    whether a job is over; ``answers`` gives the path of its answers, lines of ``key`` and
+    either ``response`` (what the provider reads) or ``error``.
+    """
+
+    def __init__(self, provider: Http, folder: str, send: Callable[[str], str], state: Callable[[str], bool], answers: Callable[[str], str]):
+        self.provider, self.folder, self.send, self.state, self.answers = provider, folder, send, state, answers
+
+    def submit(self, lines: list[dict]) -> str:
+        body = "".join(json.dumps({"key": x["key"], "request": self.provider.request(x["prompt"], self.provider.settings)}, ensure_ascii=False) + "\n" for x in lines)
+        path = os.path.join(self.folder, f"requests-{hashlib.sha256(body.encode()).hexdigest()[:16]}.jsonl")
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(body)
+        return self.send(path)
+
+    def done(self, job: str) -> bool:
+        return self.state(job)
+
+    def fetch(self, job: str) -> dict[str, str | Exception]:
+        found: dict[str, str | Exception] = {}
+        with open(self.answers(job), encoding="utf-8") as f:
+            for line in filter(str.strip, f):
+                row = json.loads(line)
+                try:
+                    found[row["key"]] = ProviderError(str(row["error"])) if row.get("error") else self.provider.read(row["response"])
+                except (KeyError, IndexError, TypeError, ProviderError) as e:
+                    found[row["key"]] = ProviderError(f"no answer in {str(row)[:200]}: {e}")
+        return found
+
+
+class Batched(Provider):
+    """Another provider's prompts by batch jobs, where at least ``settings.threshold`` come together."""
+
+    def __init__(self, provider: Provider, client: BatchClient, batch: BatchSettings = BatchSettings(), sleep: Callable[[float], None] = time.sleep):
+        super().__init__(**provider.settings)
+        self.provider, self.client, self.batch, self.sleep = provider, client, batch, sleep
+        self.raw_output = provider.raw_output
+
+    @property
+    def together(self) -> int:
+        """How many prompts :func:`infer` should hand over at a time."""
+        return self.batch.most_prompts
+
+    def answer(self, prompt: str, **settings) -> Sequence[ScoredOutput]:
+        return self.provider.answer(prompt, **settings)
+
+    def infer(self, prompts: Sequence[str], max_workers: int = 1, pool: ThreadPoolExecutor | None = None, **settings) -> list[Sequence[ScoredOutput]]:
+        if len(prompts) < self.batch.threshold:
+            return self.provider.infer(prompts, max_workers, **({"pool": pool} if pool else {}), **settings)
+        return [[ScoredOutput(a, 1.0)] for a in run_batch(self.client, list(prompts), self.batch, self.sleep)]
+
+
 def format_for(provider: Provider, kind: str = "json", fences: bool | None = None, **options) -> Format:
     return Format(kind=kind, fences=provider.fences(fences), **options)

@@ -6,7 +6,7 @@ import html
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..types import InvalidDatasetError
@@ -76,13 +76,25 @@ def page(text: str, extractions: list[dict], speed: float = 1.0, legend: bool =
 
 
 def visualized(annotated: DataFrame, **options) -> str:
-    """The page of the document with the lowest id."""
-    rows = annotated.orderBy("document_id").limit(1).collect()
+    """The page of the document with the lowest id (the first one of a file: :func:`visualized_file`)."""
+    return _shown(annotated.orderBy("document_id").limit(1).collect(), **options)
+
+
+def visualized_file(spark: SparkSession, path: str, **options) -> str:
+    """The page of the first document of a file of JSON lines."""
+    from ..sources.documents import read_jsonl
+
+    return _shown(read_jsonl(spark, path).limit(1).collect(), **options)
+
+
+def _shown(rows: list, **options) -> str:
     if not rows:
         raise InvalidDatasetError("no documents to show")
     row = rows[0].asDict(recursive=True)
     if row["text"] is None or row["extractions"] is None:
         raise InvalidDatasetError("a document to show needs its text and extractions")
+    if not any((e["char_interval"] or {}).get("end_pos") is not None for e in row["extractions"]):
+        return '<!DOCTYPE html><meta charset="utf-8"><p>Nothing in this document is grounded, so there is nothing to show.</p>'
     return page(row["text"], row["extractions"], **options)
 
 

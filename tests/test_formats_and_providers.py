@@ -210,6 +210,45 @@ class FakeBatches(inference.BatchClient):
         return {x["key"]: self.answers[x["prompt"]] for x in self.jobs[int(job)] if x["prompt"] in self.answers}
 
 
+def test_i7_i9_threshold_decides_between_jobs_and_calls():
+    client = FakeBatches({"a": "job a", "b": "job b"}, polls=0)
+    made = inference.Batched(inference.Replay({}, other=lambda p: f"call {p}"), client, inference.BatchSettings(threshold=2), sleep=lambda s: None)
+    assert [x[0].output for x in made.infer(["a", "b"])] == ["job a", "job b"] and len(client.jobs) == 1
+    assert [x[0].output for x in made.infer(["a"])] == ["call a"] and len(client.jobs) == 1
+
+
+def test_i7_i9_jobs_by_files(tmp_path):
+    provider = inference.Generative(api_key="k")
+
+    def send(path):
+        rows = [json.loads(x) for x in open(path, encoding="utf-8")]
+        with open(tmp_path / "answers.jsonl", "w", encoding="utf-8") as f:
+            for r in rows[:2]:
+                text = r["request"]["contents"][0]["parts"][0]["text"].upper()
+                f.write(json.dumps({"key": r["key"], "response": {"candidates": [{"content": {"parts": [{"text": text}]}}]}}) + "\n")
+            f.write(json.dumps({"key": rows[2]["key"], "error": "refused"}) + "\n")
+        return "job"
+
+    client = inference.FileJobs(provider, str(tmp_path), send, lambda job: True, lambda job: str(tmp_path / "answers.jsonl"))
+    found = client.fetch(client.submit([{"key": f"k{i}", "prompt": p} for i, p in enumerate(("é", "b", "c"))]))
+    assert found["k0"] == "É" and found["k1"] == "B" and isinstance(found["k2"], ProviderError)
+
+
+def test_i2_i12_hosted_provider_and_patterns():
+    sent = []
+    post = lambda url, body, headers, timeout: sent.append((url, body, headers)) or {"candidates": [{"content": {"parts": [{"text": "{"}, {"text": "}"}]}}]}
+    made = inference.REGISTRY.make("gemini-2.5-flash", api_key="k", schema={"type": "object"}, post=post)
+    assert made.answer("p", temperature=0.5, max_tokens=9)[0].output == "{}" and made.raw_output
+    url, body, headers = sent[0]
+    assert url.endswith("/models/gemini-2.5-flash:generateContent") and headers == {"x-goog-api-key": "k"}
+    assert body["generationConfig"] == {"temperature": 0.5, "maxOutputTokens": 9, "responseMimeType": "application/json", "responseSchema": {"type": "object"}}
+    with pytest.raises(ProviderError):
+        made.read({"candidates": []})
+    for name in ("mixtral:8x7b", "command-r", "gpt-oss:20b", "someone/some-model-7b"):
+        assert inference.REGISTRY.resolve(name) is inference.LocalServer
+    assert inference.REGISTRY.resolve("gpt-4o") is inference.Chat
+
+
 def test_i7_i9_batches():
     waits, client = [], FakeBatches({"a": "1", "c": "3"})
     settings = inference.BatchSettings(most_prompts=2)

@@ -155,6 +155,9 @@ def test_s5_s6_k1_k2_jsonl(spark, tmp_path):
     (line,) = [x for p in (tmp_path / "out").glob("part-*") for x in p.read_text().split("\n") if "Ann" in x]
     parsed = json.loads(line)
     assert list(parsed) == ["extractions", "text", "document_id"] and parsed["extractions"][1]["char_interval"] is None and "token_interval" not in parsed["extractions"][0]
+    assert "Ann" in review.visualized_file(spark, str(tmp_path / "out"))
+    assert [tuple(r) for r in extraction.summary(made, seconds=2.0, max_char_buffer=5).collect()] == [(2, 13, 2, 1, 2, 6.5, 3)]
+    assert "nothing to show" in review.visualized(made.filter("text = ''"))
     with pytest.raises(InvalidDatasetError):
         sources.write_jsonl(made.limit(0), str(tmp_path / "none"))
     with pytest.raises(InvalidDocumentError):
