@@ -338,7 +338,11 @@ def identified(docs: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def in_one_language(docs: DataFrame, least: float = 0.5, most: int = 1000, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a predicted language whose spans hold at least ``least`` of the letters."""
+    """The rows of ``docs`` with a predicted language whose spans hold at least ``least`` of the letters.
+
+    Null and empty texts and texts without letters of a learned script go; repeated rows and
+    rows with a null id are judged by their text like any other.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model_of(docs, most))
 
     def decider():

@@ -348,3 +348,23 @@ def test_pipeline_stages_on_edges(edge, empty, spark):
     kept = [r[0] for r in simhash.one_of_each(edge).collect()]
     # 2 repeats 1; the three without words are one group; both rows of 7 are one document; a null id stays
     assert sorted(k for k in kept if k is not None) == [1, 3, 5, 7, 7, 8, 9] and None in kept
+
+
+def test_op10_template_counts_are_a_plain_count(spark):
+    """A site without article elements: what the counts remove is what a plain count over pages removes."""
+    box = "<div class=frame><div><p>Members read more here.</p></div></div>"
+    rare = "<div class=frame><div><p>Only twice.</p></div></div>"
+    pages = []
+    for k in range(12):
+        body = f"<div class=w><h1>T{k}</h1><p>Own text {k}.</p>{box if k != 5 else ''}{rare if k in (3, 4) else ''}</div>"
+        pages.append((k, f"http://{'a' if k < 9 else 'b'}.org/{k}", f"<html><head><title>T{k}</title></head><body>{body}</body></html>"))
+    rows = html.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    found = {r.page_id: r.text for r in rows}
+    titles: dict[tuple[str, str], set[int]] = {}
+    for k, url, page_ in pages:
+        for part in (box, rare):
+            if part in page_:
+                titles.setdefault((url[7], part), set()).add(k)
+    for k, url, page_ in pages:
+        left = [x for part, x in ((box, "Members read more here."), (rare, "Only twice.")) if part in page_ and len(titles[url[7], part]) < 3]
+        assert found[k] == "\n\n".join([f"T{k}", f"Own text {k}.", *left])
