@@ -188,11 +188,11 @@ class Chat(Http):
 
 
 class Generative(Http):
-    """A hosted generate-content call: one user turn, an optional response schema, the key as a header."""
+    """A hosted generate-content call below ``url``: one user turn, an optional response schema, the key as a header."""
 
     PASSED = {"temperature": "temperature", "max_tokens": "maxOutputTokens", "top_p": "topP", "top_k": "topK", "stop": "stopSequences", "seed": "seed"}
 
-    def __init__(self, model: str = "gemini-2.5-flash", url: str = "https://generativelanguage.googleapis.com/v1beta", api_key: str | None = None, kind: str = "json", schema: dict | None = None, **settings):
+    def __init__(self, model: str, url: str, api_key: str | None = None, kind: str = "json", schema: dict | None = None, **settings):
         if schema is not None and kind != "json":
             raise ProviderError("a response schema needs the JSON format")
         super().__init__(f"{url}/models/{model}:generateContent", {"x-goog-api-key": api_key} if api_key else {}, **settings)
@@ -278,6 +278,7 @@ class Registry:
 
 
 REGISTRY = Registry()
+# Beginnings of model ids (fixed values).
 REGISTRY.register(r"^gemini", provider=Generative, priority=10)
 REGISTRY.register(r"^gpt-", r"^o\d", provider=Chat, priority=10)
 REGISTRY.register(r"^llama", r"^mistral", r"^mixtral", r"^codestral", r"^qwen", r"^phi", r"^gemma", r"^deepseek", r"^command-r", r"^starcoder", r"^codellama", r"^tinyllama", r"^wizardcoder", r"^gpt-oss", r"^[\w.-]+/[\w.-]+$", provider=LocalServer, priority=11)

@@ -218,7 +218,7 @@ def test_i7_i9_threshold_decides_between_jobs_and_calls():
 
 
 def test_i7_i9_jobs_by_files(tmp_path):
-    provider = inference.Generative(api_key="k")
+    provider = inference.Generative("m", "https://models.example.org/v1", api_key="k")
 
     def send(path):
         rows = [json.loads(x) for x in open(path, encoding="utf-8")]
@@ -237,10 +237,10 @@ def test_i7_i9_jobs_by_files(tmp_path):
 def test_i2_i12_hosted_provider_and_patterns():
     sent = []
     post = lambda url, body, headers, timeout: sent.append((url, body, headers)) or {"candidates": [{"content": {"parts": [{"text": "{"}, {"text": "}"}]}}]}
-    made = inference.REGISTRY.make("gemini-2.5-flash", api_key="k", schema={"type": "object"}, post=post)
+    made = inference.REGISTRY.make("gemini-x", url="https://models.example.org/v1", api_key="k", schema={"type": "object"}, post=post)
     assert made.answer("p", temperature=0.5, max_tokens=9)[0].output == "{}" and made.raw_output
     url, body, headers = sent[0]
-    assert url.endswith("/models/gemini-2.5-flash:generateContent") and headers == {"x-goog-api-key": "k"}
+    assert url == "https://models.example.org/v1/models/gemini-x:generateContent" and headers == {"x-goog-api-key": "k"}
     assert body["generationConfig"] == {"temperature": 0.5, "maxOutputTokens": 9, "responseMimeType": "application/json", "responseSchema": {"type": "object"}}
     with pytest.raises(ProviderError):
         made.read({"candidates": []})
