@@ -63,7 +63,7 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Cuts the lineage: an executor lost later costs a re-read, not a recomputation, and a
@@ -73,10 +73,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessellate-{name}-{uuid.uuid4().hex}"
     with _cleaned(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder that nothing will read any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Like :func:`written`, dealt into buckets by ``keys``: joins on all of them don't shuffle it.
 

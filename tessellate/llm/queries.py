@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, lines, media, packing, quality, sentencepiece_bpe, simhash, sketch, toxicity
+from . import html, langid, lines, media, ngram_join, packing, periodic, quality, sentencepiece_bpe, simhash, sketch, toxicity, vectors
 
 TOKENIZERS = os.environ.get("TESSELLATE_TOKENIZERS", "/opt/tokenizers")
 
@@ -66,6 +66,21 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_read(spark, sf_dir, "pages"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes of five-word shingles and the components linked at a Jaccard similarity of 0.8."""
+    return ngram_join.joined(_read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every vector by four codebooks of 256 entries."""
+    return vectors.coded(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text, some of which get a periodic end first."""
+    return periodic.digests(periodic.planted(_read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -77,5 +92,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_html": op10_html,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE: dict[str, str] = {"op6_lines": lines.SQL}
+ORACLE: dict[str, str] = {"op6_lines": lines.SQL, "op11_ngram_join": ngram_join.SQL, "op12_vector_codes": vectors.SQL}
