@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from ..functions.formats import Format, Template
 from ..functions.kernels import Tokenizer
 from ..operators import documents, extraction, inference
 from ..sources.documents import from_table, literal
+from ..sources.storage import fresh_path, materialized
 
 
 @dataclass
@@ -41,17 +40,6 @@ class Spec:
         return inference.format_for(self.provider, self.kind, self.fences, **self.format_options)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a single machine may do without, and gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="tessellate-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def prompts(docs: DataFrame, spec: Spec) -> DataFrame:
     """Chunks with context and prompt, one row for each chunk and pass; passes don't wait for each other."""
     chunks = documents.chunked(docs, spec.max_char_buffer, spec.tokenizer)
@@ -66,17 +54,18 @@ def resolved(docs: DataFrame, spec: Spec) -> DataFrame:
     return extraction.resolved(asked, spec.format(), spec.alignment, spec.tokenizer, spec.suppress_parse_errors)
 
 
-def extract(docs: DataFrame, spec: Spec, answers_path: str | None = None) -> DataFrame:
+def extract(docs: DataFrame, spec: Spec, answers_path: str | None = None, answered: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Annotated documents ``(extractions, text, document_id)`` of ``docs``.
 
     Answers are written once (to ``answers_path`` or the shared folder) before anything
-    reads them, so no failure later asks the provider again.
+    reads them, so no failure later asks the provider again.  ``answered`` adds ``outputs``
+    to prompts in another way: by batch jobs (``BatchRun.infer``) or a cache
+    (``AnswerCache.ask``).
     """
     extraction.check_examples(spec.template.examples, spec.prompt_validation, spec.prompt_validation_strict, spec.alignment)
-    asked = inference.infer(prompts(docs, spec), spec.provider, batch=spec.batch_length, max_workers=spec.max_workers)
-    path = answers_path or f"{shared_dir(docs.sparkSession)}/answers-{uuid.uuid4().hex}"
-    asked.write.parquet(path)
-    answers = docs.sparkSession.read.schema(asked.schema).parquet(path)
+    shown = prompts(docs, spec)
+    asked = answered(shown) if answered else inference.infer(shown, spec.provider, batch=spec.batch_length, max_workers=spec.max_workers)
+    answers = materialized(asked, answers_path or fresh_path(docs.sparkSession, "answers"))
     found = extraction.resolved(answers, spec.format(), spec.alignment, spec.tokenizer, spec.suppress_parse_errors)
     return extraction.assembled(docs, extraction.extraction_rows(found))
 

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import dataclasses
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.formats import Example, Extraction, Template
-from ..operators import documents, extraction, inference, review
+from ..operators import batch, cache, documents, extraction, inference, review
 from ..sources import documents as sources
+from ..sources import storage
 from . import extract as plan
 
 #: What the offline provider looks for.
@@ -228,12 +228,45 @@ def _keyed(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "lang", inference.request_key(F.col("text"), "model-1").alias("request_key"))
 
 
+def _answers_of_even_ids(spark, sf_dir):
+    """A cache that has the texts of even ids, as often as they occur."""
+    return _keyed(spark, sf_dir).filter("doc_id % 2 = 0").select("request_key", F.array(F.struct(F.lit(1.0).alias("score"), F.lit("cached").alias("output"))).alias("outputs"))
+
+
+def _by_length():
+    return inference.Replay({}, other=lambda prompt: f"{len(prompt)} characters")
+
+
+def _prompts(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.col("text").alias("prompt"))
+
+
+def _output():
+    return F.get("outputs", F.lit(0))["output"].alias("output")
+
+
 def cached_answers(spark, sf_dir):
     """Texts of even ids are in the cache; every other distinct text is asked once."""
-    cache = _keyed(spark, sf_dir).filter("doc_id % 2 = 0").dropDuplicates(["request_key"]).select("request_key", F.array(F.struct(F.lit(1.0).alias("score"), F.lit("cached").alias("output"))).alias("outputs"))
-    provider = inference.Replay({}, other=lambda prompt: f"{len(prompt)} characters")
-    rows, _ = inference.infer_cached(_docs(spark, sf_dir).select("doc_id", F.col("text").alias("prompt")), provider, cache, "model-1")
-    return rows.select("doc_id", "request_key", F.get("outputs", F.lit(0))["output"].alias("output"))
+    rows, _ = cache.infer_cached(_prompts(spark, sf_dir), _by_length(), _answers_of_even_ids(spark, sf_dir), "model-1")
+    return rows.select("doc_id", "request_key", _output())
+
+
+def cache_new_rows(spark, sf_dir):
+    """What a cache in shared storage has after two runs: the answers put into it, and one for each text asked that it didn't have."""
+    kept = cache.AnswerCache(spark, storage.fresh_path(spark, "cache"))
+    kept.add(_answers_of_even_ids(spark, sf_dir))
+    kept.ask(_prompts(spark, sf_dir).filter("doc_id % 3 = 0"), _by_length(), "model-1")
+    answered = kept.ask(_prompts(spark, sf_dir), _by_length(), "model-1", blocks=2)
+    added = kept.rows().groupBy("request_key").agg(F.count("*").alias("n_rows"))
+    return answered.groupBy("request_key", _output()).agg(F.count("*").alias("n_documents")).join(added, "request_key")
+
+
+def batch_answers(spark, sf_dir):
+    """All documents answered by batch jobs of at most 2500 distinct texts."""
+    folder = storage.fresh_path(spark, "batch")
+    service = batch.OfflineService(spark, f"{folder}/service", _by_length())
+    run = batch.BatchRun(spark, f"{folder}/run", service, batch.PlainLines(), "model-1", batch=batch.BatchSettings(most_prompts=2500, strict=True))
+    return run.infer(_prompts(spark, sf_dir)).select("doc_id", "request_key", _output())
 
 
 def cache_hits(spark, sf_dir):
@@ -271,7 +304,7 @@ def url_predicate(spark, sf_dir):
 
 def jsonl_roundtrip(spark, sf_dir):
     """Documents with one extraction each, whose attributes are an object, written and read again."""
-    path = f"{plan.shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = storage.fresh_path(spark, "jsonl")
     one = F.array(
         F.struct(F.lit("source"), F.col("source"), F.struct(F.lit(0), F.length("source")), F.lit("match_exact"), F.lit(1), F.lit(0), F.lit(None).cast("string"), F.to_json(F.struct("lang", "n_chars")))
     ).cast(f"array<{extraction.EXTRACTION}>")
@@ -283,7 +316,7 @@ def jsonl_roundtrip(spark, sf_dir):
 
 def csv_roundtrip(spark, sf_dir):
     """Documents written as CSV, with their commas, quotes and line breaks, and read again."""
-    path = f"{plan.shared_dir(spark)}/documents-{uuid.uuid4().hex}.csv"
+    path = storage.fresh_path(spark, "documents") + ".csv"
     _docs(spark, sf_dir).select("doc_id", "text").write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
     return sources.read_csv(spark, path, "doc_id", "text").select("document_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
@@ -338,7 +371,7 @@ QUERIES = {
         extract_documents, extract_whole_documents, doc_scan_project, doc_filter_lang, doc_prompt_dedup, token_stats_by_doc, token_type_counts, newline_flags, token_norm_topk, sentence_stats_by_doc, sanitize_text,
         chunk_stats_by_doc, conversation_context, prompt_render_len, batch_assign, fence_extract, json_parse_status, rules_mentions, overlap_pairs, overlap_semi, overlap_anti, multipass_merge,
         assemble_docs, class_share, mention_topk, class_rollup, class_color_index, running_chars, cache_hits, cache_misses, labels_join_quality, benchmark_overlap_docs, url_predicate, jsonl_roundtrip,
-        align_status_counts, extraction_summary, unicode_token_stats, viz_html_len, exact_alignment, cached_answers, csv_roundtrip,
+        align_status_counts, extraction_summary, unicode_token_stats, viz_html_len, exact_alignment, cached_answers, cache_new_rows, batch_answers, csv_roundtrip,
     )
 }
 
@@ -450,6 +483,10 @@ SELECT doc_id, n_chars, g || '-' || ((row_number() OVER (PARTITION BY g ORDER BY
     "extraction_summary": f"""WITH m AS (SELECT regexp_extract_all(text, '{RULES['email']}') AS m FROM documents)
 SELECT count(*) AS documents, CAST(sum(length(array_to_string(m, ' '))) AS BIGINT) AS characters, CAST(sum(len(m)) AS BIGINT) AS extractions, CAST(sum(len(m)) AS BIGINT) AS grounded, CAST(1 AS INTEGER) AS classes FROM m""",
     "cached_answers": f"SELECT doc_id, {_KEY} AS request_key, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN 'cached' ELSE length(text) || ' characters' END AS output FROM documents",
+    "cache_new_rows": f"""WITH k AS (SELECT doc_id, {_KEY} AS request_key, length(text) || ' characters' AS own FROM documents),
+e AS (SELECT request_key, count(*) FILTER (WHERE doc_id % 2 = 0) AS n_even, count(*) AS n, any_value(own) AS own FROM k GROUP BY request_key)
+SELECT request_key, CASE WHEN n_even > 0 THEN 'cached' ELSE own END AS output, n AS n_documents, greatest(n_even, 1) AS n_rows FROM e""",
+    "batch_answers": f"SELECT doc_id, {_KEY} AS request_key, length(text) || ' characters' AS output FROM documents",
     "csv_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS document_id, sha256(text) AS text_sha256 FROM documents",
     "unicode_token_stats": _TOKENS + "SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id",
     "extract_whole_documents": _FOUND + "SELECT lang, extraction_class, count(*) AS n, count(*) AS n_grounded, count(DISTINCT doc_id) AS n_documents FROM hits GROUP BY ALL",

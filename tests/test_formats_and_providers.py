@@ -194,46 +194,6 @@ def test_i5_i6_requests():
     assert body["n"] == 1 and body["temperature"] == 0 and "odd" not in body and body["response_format"]["type"] == "json_schema" and headers["Authorization"] == "Bearer key"
 
 
-class FakeBatches(inference.BatchClient):
-    def __init__(self, answers, polls=2):
-        self.answers, self.polls, self.jobs = answers, polls, []
-
-    def submit(self, lines):
-        self.jobs.append(lines)
-        return str(len(self.jobs) - 1)
-
-    def done(self, job):
-        self.polls -= 1
-        return self.polls < 0
-
-    def fetch(self, job):
-        return {x["key"]: self.answers[x["prompt"]] for x in self.jobs[int(job)] if x["prompt"] in self.answers}
-
-
-def test_i7_i9_threshold_decides_between_jobs_and_calls():
-    client = FakeBatches({"a": "job a", "b": "job b"}, polls=0)
-    made = inference.Batched(inference.Replay({}, other=lambda p: f"call {p}"), client, inference.BatchSettings(threshold=2), sleep=lambda s: None)
-    assert [x[0].output for x in made.infer(["a", "b"])] == ["job a", "job b"] and len(client.jobs) == 1
-    assert [x[0].output for x in made.infer(["a"])] == ["call a"] and len(client.jobs) == 1
-
-
-def test_i7_i9_jobs_by_files(tmp_path):
-    provider = inference.Generative("m", "https://models.example.org/v1", api_key="k")
-
-    def send(path):
-        rows = [json.loads(x) for x in open(path, encoding="utf-8")]
-        with open(tmp_path / "answers.jsonl", "w", encoding="utf-8") as f:
-            for r in rows[:2]:
-                text = r["request"]["contents"][0]["parts"][0]["text"].upper()
-                f.write(json.dumps({"key": r["key"], "response": {"candidates": [{"content": {"parts": [{"text": text}]}}]}}) + "\n")
-            f.write(json.dumps({"key": rows[2]["key"], "error": "refused"}) + "\n")
-        return "job"
-
-    client = inference.FileJobs(provider, str(tmp_path), send, lambda job: True, lambda job: str(tmp_path / "answers.jsonl"))
-    found = client.fetch(client.submit([{"key": f"k{i}", "prompt": p} for i, p in enumerate(("é", "b", "c"))]))
-    assert found["k0"] == "É" and found["k1"] == "B" and isinstance(found["k2"], ProviderError)
-
-
 def test_i2_i12_hosted_provider_and_patterns():
     sent = []
     post = lambda url, body, headers, timeout: sent.append((url, body, headers)) or {"candidates": [{"content": {"parts": [{"text": "{"}, {"text": "}"}]}}]}
@@ -249,20 +209,6 @@ def test_i2_i12_hosted_provider_and_patterns():
     assert inference.REGISTRY.resolve("gpt-4o") is inference.Chat
 
 
-def test_i7_i9_batches():
-    waits, client = [], FakeBatches({"a": "1", "c": "3"})
-    settings = inference.BatchSettings(most_prompts=2)
-    assert inference.run_batch(client, ["a", "b", "c"], settings, waits.append) == ["1", "", "3"] and len(client.jobs) == 2 and waits == [30.0, 30.0]
-    with pytest.raises(ProviderError):
-        inference.run_batch(FakeBatches({"a": "1"}), ["a", "b"], inference.BatchSettings(strict=True), waits.append)
-    with pytest.raises(ProviderError):
-        inference.run_batch(FakeBatches({"a": ValueError()}), ["a"], sleep=waits.append)
-    with pytest.raises(ProviderError):
-        inference.run_batch(FakeBatches({}, polls=99), ["a"], inference.BatchSettings(timeout_seconds=60), waits.append)
-    with pytest.raises(ValueError):
-        inference.BatchSettings(threshold=0)
-
-
 def test_i10_i11_i12_registry(monkeypatch):
     r = inference.Registry()
     r.register("^m", provider=inference.Replay, priority=10)

@@ -126,18 +126,6 @@ def test_m2_m3_later_passes_add_what_does_not_overlap(spark):
     assert [e.extraction_class for e in got] == ["doctor", "medication", "x"]
 
 
-def test_i8_cache(spark):
-    asked = table(spark, ["a", "b", "a"]).select(F.col("text").alias("prompt"))
-    none = spark.createDataFrame([], f"request_key string, outputs {inference.OUTPUTS}")
-    out, fresh = inference.infer_cached(asked, inference.Replay({"a": "1", "b": "2"}), none, "m")
-    assert sorted(r.outputs[0].output for r in out.collect()) == ["1", "1", "2"] and fresh.count() == 2
-    kept = spark.createDataFrame(fresh.collect(), fresh.schema)
-    out, fresh = inference.infer_cached(asked, inference.Replay({}), kept, "m")
-    assert fresh.count() == 0 and sorted(r.outputs[0].output for r in out.collect()) == ["1", "1", "2"]
-    out, _ = inference.infer_cached(asked, inference.Replay({}, lambda p: "new"), kept, "other")
-    assert {r.outputs[0].output for r in out.collect()} == {"new"}
-
-
 def test_s3_s4_csv(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_text('id,note,more\n1,"a, ""b""\nc",x\n2,,y\n')
