@@ -8,12 +8,24 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from ..types import ATTRIBUTE_SUFFIX, WRAPPER_KEY, FormatError, PromptTemplateError
+from .text import FENCE
 
-FENCE = re.compile(r"```([A-Za-z0-9_+-]*)[ \t]*\n?(.*?)```", re.DOTALL)
 THINKING = re.compile(r"<think>.*?</think>", re.DOTALL | re.IGNORECASE)
 TAGS = {"json": ("json",), "yaml": ("yaml", "yml")}
 
 
+def fenced(output: str) -> list[tuple[str, str]]:
+    """Tag and body of the fenced blocks of an output; the rules are those of ``text.fence_bodies``."""
+    out = []
+    between = output.split(FENCE)
+    for block in between[1:-1:2]:
+        size = 0
+        while size < len(block) and block[size].isascii() and (block[size].isalnum() or block[size] in "-+_"):
+            size += 1
+        out.append((block[:size].lower(), block[size:].strip()))
+    return out
+
+
 @dataclass
 class Extraction:
     extraction_class: str
@@ -64,12 +76,12 @@ class Format:
         """What stands in the one fenced block of this format; without fences the whole output."""
         if not self.fences:
             return output.strip()
-        blocks = FENCE.findall(output)
-        fitting = [body for tag, body in blocks if tag.lower() in ("", *TAGS[self.kind])]
+        blocks = fenced(output)
+        fitting = [body for tag, body in blocks if tag in ("", *TAGS[self.kind])]
         if len(fitting) > 1:
             raise FormatError("more than one fenced block")
         if fitting:
-            return fitting[0].strip()
+            return fitting[0]
         if self.strict_fences or len(blocks) > 1:
             raise FormatError(f"no fenced {self.kind} block")
         return (blocks[0][1] if blocks else output).strip()

@@ -11,13 +11,13 @@ from collections.abc import Callable, Iterator
 import regex
 
 from ..types import NUMBER, PUNCTUATION, WORD, SentenceRangeError, TokenIntervalError
-from .text import ABBREVIATIONS, CLOSING, SENTENCE_END
+from .text import ABBREVIATIONS, CLOSING, END_MARKS
 
 Token = tuple[int, int, int, bool]
 Tokenizer = Callable[[str], list[Token]]
 _TOKEN = regex.compile(r"(?P<word>[^\W\d_]+)|(?P<number>\d+)|([^\w\s]|_)\3*")
+_CLOSERS = "".join(CLOSING)
 _GRAPHEME = regex.compile(r"\X")
-_END = regex.compile(SENTENCE_END)
 _SCRIPTS = {name: regex.compile(rf"\p{{{name}}}") for name in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari")}
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
@@ -101,7 +101,7 @@ class Sentences:
                 closed[k] = closed[k + 1]
         self.marks, self.ends = [0] * n, [n] * n  # the end if the sentence starts here: by this token, by any
         for k in range(n - 1, -1, -1):
-            mark = tokens[k][0] == PUNCTUATION and _END.search(words[k]) is not None
+            mark = tokens[k][0] == PUNCTUATION and words[k].rstrip(_CLOSERS).endswith(END_MARKS)
             self.marks[k] = closed[k] if mark else 0
             if mark and not (k and words[k - 1] + words[k] in abbreviations):
                 self.ends[k] = closed[k]

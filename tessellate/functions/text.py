@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SENTENCE_END = "[.?!。！？।][\"'”’»)\\]}]*$"
+# Marks that end sentences, what may close behind them, and titles whose full stop doesn't.
+END_MARKS = (".", "?", "!", "。", "！", "？", "।")
 CLOSING = ("\"", "'", "”", "’", "»", ")", "]", "}")
 ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "St.")
 
@@ -27,9 +28,19 @@ def overlaps(start_a: Column, end_a: Column, start_b: Column, end_b: Column) ->
     return F.coalesce((start_a < end_b) & (start_b < end_a), F.lit(False))
 
 
+#: Three of them open a block and the next three close it.
+FENCE = "```"
+
+
 def fence_bodies(output: Column, tags: tuple[str, ...] = ("json",)) -> Column:
-    """Bodies of fenced blocks that are untagged or have one of ``tags``."""
-    langs = F.regexp_extract_all(output, F.lit(r"```([A-Za-z0-9_+-]*)[ \t]*\n?([\s\S]*?)```"), F.lit(1))
-    bodies = F.regexp_extract_all(output, F.lit(r"```([A-Za-z0-9_+-]*)[ \t]*\n?([\s\S]*?)```"), F.lit(2))
-    blocks = F.arrays_zip(langs.alias("lang"), bodies.alias("body"))
-    return F.transform(F.filter(blocks, lambda b: F.lower(b["lang"]).isin("", *tags)), lambda b: F.regexp_replace(b["body"], r"(?U)^\s+|\s+$", ""))
+    """Bodies of fenced blocks that are untagged or have one of ``tags``.
+
+    Between fences stands text by turns outside and inside of blocks; what has no closing
+    fence is no block.  A block's tag is what it starts with of ASCII letters, digits and
+    ``-+_``.
+    """
+    between = F.split(output, FENCE)
+    inside = F.filter(between, lambda _, k: (k % 2 == 1) & (k < F.size(between) - 1))
+    tag = lambda block: F.regexp_extract(block, "^[-+_0-9A-Za-z]*", 0)
+    fitting = F.filter(inside, lambda block: F.lower(tag(block)).isin("", *tags))
+    return F.transform(fitting, lambda block: F.regexp_replace(F.substring(block, F.length(tag(block)) + 1, F.length(block)), r"(?U)^\s+|\s+$", ""))

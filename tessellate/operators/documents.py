@@ -2,97 +2,170 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..functions import kernels
 from ..functions.kernels import Tokenizer
+from ..functions.tokens import Tokens
 from ..types import TOKEN
 
-_TOKEN = ("index", "token_type", "start_pos", "end_pos", "first_token_after_newline")
-_CHUNK = ("chunk_index", "token_start", "token_end", "char_start", "char_end", "chunk_text")
+#: Fields of token, sentence and chunk rows, with their types.
+TOKEN_FIELDS = {"index": "int", "token": "string", "token_type": "int", "start_pos": "int", "end_pos": "int", "first_token_after_newline": "boolean"}
+SENTENCE_FIELDS = {"sentence_index": "int", "token_start": "int", "token_end": "int", "char_start": "int", "char_end": "int"}
+CHUNK_FIELDS = {"chunk_index": "int", "token_start": "int", "token_end": "int", "char_start": "int", "char_end": "int", "chunk_text": "string"}
+#: Characters that are worked on at once; a longer text is alone.
+TOGETHER = 1 << 20
+_ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+#: Columns of rows by field, and for each row the number of its text.
+Found = tuple[np.ndarray, dict[str, Callable[[], pa.Array]]]
 
 
-def _lists(names: tuple[str, ...], rows: list[list[tuple]], kinds: tuple[pa.DataType, ...]) -> pa.Array:
-    """Lists of structs from rows of tuples, made column by column."""
-    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    columns = list(zip(*(x for r in rows for x in r), strict=True)) or [()] * len(names)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names)))
+def _together(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``TOGETHER`` characters, with the number of the first."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > first and size + len(t) > TOGETHER:
+            yield first, texts[first:k]
+            first, size = k, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
 
 
-def tokenized(docs: DataFrame, tokenizer: str | Tokenizer = "regex", id_col: str = "document_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``tokens``: an array of token structs by any tokenizer (Arrow batches); a null text has none."""
-    tokenize = kernels.tokenizer_of(tokenizer)
+def _numbers(of: np.ndarray) -> np.ndarray:
+    """0, 1, 2 ... within each run of equal numbers."""
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+    return np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
 
-    @F.arrow_udf(f"array<{TOKEN}>")
-    def made(texts: pa.Array) -> pa.Array:
-        rows = [[(k, *t) for k, t in enumerate(tokenize(x.as_py() or ""))] for x in texts]
-        return _lists(_TOKEN, rows, (pa.int32(),) * 4 + (pa.bool_(),))
 
-    return docs.withColumn("tokens", made(F.col(text_col)))
+def _of_tuples(texts: list[str], rows: Callable[[str], list[tuple]], names: list[str], fields: dict[str, str]) -> Found:
+    """Rows that a function makes of each text, for tokenizers that know single texts only."""
+    made = [rows(t) for t in texts]
+    columns = dict(zip(names, zip(*(r for x in made for r in x), strict=True), strict=True)) if any(made) else {n: () for n in names}
+    return np.repeat(np.arange(len(texts)), [len(x) for x in made]), {n: lambda n=n: pa.array(columns[n], _ARROW[fields[n]]) for n in names}
 
 
-def token_rows(docs: DataFrame, id_col: str = "document_id", text_col: str = "text", tokenizer: str | Tokenizer = "regex") -> DataFrame:
-    """One row per token: id, index, token, type, offsets, line-break flag.
+def _ints(values: np.ndarray) -> Callable[[], pa.Array]:
+    return lambda: pa.array(values.astype(np.int32))
 
-    A document's tokens are made in one pass over its text and only then become rows, so
-    nothing is shuffled or sorted.
-    """
-    tokenize = kernels.tokenizer_of(tokenizer)
-    names = (*_TOKEN[:1], "token", *_TOKEN[1:])
 
-    @F.arrow_udf(f"array<struct<{', '.join(f'{n} {k}' for n, k in zip(names, ('int', 'string', 'int', 'int', 'int', 'boolean'), strict=True))}>>")
-    def made(texts: pa.Array) -> pa.Array:
-        rows = []
-        for x in texts:
-            x = x.as_py() or ""
-            rows.append([(k, x[t[1] : t[2]], *t) for k, t in enumerate(tokenize(x))])
-        return _lists(names, rows, (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))
+def _spans(tokens: Tokens, starts: np.ndarray, ends: np.ndarray, number: str) -> Found:
+    """Rows of token intervals."""
+    of = tokens.text_of()[starts]
+    first, at = tokens.first[of], tokens.at[of]
+    head, tail = tokens.start[starts] - at, tokens.end[ends - 1] - at
+    return of, {number: _ints(_numbers(of)), "token_start": _ints(starts - first), "token_end": _ints(ends - first), "char_start": _ints(head), "char_end": _ints(tail)}
 
-    return docs.select(id_col, F.inline(made(F.col(text_col))))
 
+def _token_rows(texts: list[str], tokenizer: str | Tokenizer) -> Found:
+    if tokenizer != "regex":
+        tokenize = kernels.tokenizer_of(tokenizer)
+        return _of_tuples(texts, lambda x: [(k, x[t[1] : t[2]], *t) for k, t in enumerate(tokenize(x))], list(TOKEN_FIELDS), TOKEN_FIELDS)
+    tokens = Tokens(texts)
+    of = tokens.text_of()
+    at = tokens.at[of]
+    columns = {"index": _ints(np.arange(len(of)) - tokens.first[of]), "token": tokens.strings, "token_type": _ints(tokens.kind), "start_pos": _ints(tokens.start - at), "end_pos": _ints(tokens.end - at)}
+    return of, columns | {"first_token_after_newline": lambda: pa.array(tokens.broken)}
 
-def sentence_rows(docs: DataFrame, id_col: str = "document_id", text_col: str = "text", tokenizer: str | Tokenizer = "regex") -> DataFrame:
-    """One row per sentence: id, number, token interval, character interval; nothing is shuffled."""
-    tokenize = kernels.tokenizer_of(tokenizer)
-    names = ("sentence_index", "token_start", "token_end", "char_start", "char_end")
 
-    @F.arrow_udf(f"array<struct<{', '.join(f'{n} int' for n in names)}>>")
-    def made(texts: pa.Array) -> pa.Array:
-        rows = []
-        for x in texts:
-            x = x.as_py() or ""
+def _sentence_rows(texts: list[str], tokenizer: str | Tokenizer) -> Found:
+    if tokenizer != "regex":
+        tokenize = kernels.tokenizer_of(tokenizer)
+
+        def rows(x: str) -> list[tuple]:
             tokens = tokenize(x)
-            rows.append([(k, a, b, tokens[a][1], tokens[b - 1][2]) for k, (a, b) in enumerate(kernels.sentences(x, tokens))])
-        return _lists(names, rows, (pa.int32(),) * 5)
+            return [(k, a, b, tokens[a][1], tokens[b - 1][2]) for k, (a, b) in enumerate(kernels.sentences(x, tokens))]
 
-    return docs.select(id_col, F.inline(made(F.col(text_col))))
+        return _of_tuples(texts, rows, list(SENTENCE_FIELDS), SENTENCE_FIELDS)
+    tokens = Tokens(texts)
+    return _spans(tokens, *tokens.sentences(), "sentence_index")
 
 
-def chunked(docs: DataFrame, max_chars: int = 1000, tokenizer: str | Tokenizer = "regex", text_col: str = "text") -> DataFrame:
-    """One row per chunk, with the columns of ``docs`` besides the text.
+def _chunk_rows(texts: list[str], tokenizer: str | Tokenizer, most: int) -> Found:
+    if tokenizer != "regex":
+        tokenize = kernels.tokenizer_of(tokenizer)
+
+        def rows(x: str) -> list[tuple]:
+            tokens = tokenize(x)
+            return [(k, a, b, tokens[a][1], tokens[b - 1][2]) for k, (a, b) in enumerate(kernels.chunks(x, tokens, most))]
+
+        of, columns = _of_tuples(texts, rows, list(CHUNK_FIELDS)[:-1], CHUNK_FIELDS)
+    else:
+        tokens = Tokens(texts)
+        of, columns = _spans(tokens, *tokens.chunks(most), "chunk_index")
+
+    def cut() -> pa.Array:
+        heads, tails = columns["char_start"]().to_pylist(), columns["char_end"]().to_pylist()
+        return pa.array([texts[d][a:b] for d, a, b in zip(of.tolist(), heads, tails, strict=True)], pa.string())
+
+    return of, columns | {"chunk_text": cut}
+
+
+def _rows(docs: DataFrame, kept: list[str], text_col: str, made: Callable[[list[str]], Found], fields: dict[str, str]) -> DataFrame:
+    """A row for each thing that ``made`` finds in a text, with the document's ``kept`` columns and ``fields``; nothing else is made."""
+    shown = docs.select(*[F.col(c) for c in kept], F.col(text_col).alias("_text"))
+    schema = StructType(shown.schema.fields[:-1] + [StructField(n, DataType.fromDDL(k)) for n, k in fields.items()])
+    names = [*kept, *fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:-1]
+            for first, texts in _together([t or "" for t in batch.column(len(kept)).to_pylist()]):
+                of, found = made(texts)
+                at = pa.array(of + first)
+                yield pa.RecordBatch.from_arrays([c.take(at) for c in columns] + [found[n]() for n in fields], names)
+
+    return shown.mapInArrow(run, schema)
 
-    A document without tokens has no chunk.  Documents are worked on apart, so no shuffle
-    is needed; the only skew is one document's length.
-    """
-    tokenize = kernels.tokenizer_of(tokenizer)
 
-    @F.arrow_udf(f"array<struct<{', '.join(f'{n} int' for n in _CHUNK[:-1])}, chunk_text: string>>")
+def _chosen(fields: tuple[str, ...] | None, known: dict[str, str]) -> dict[str, str]:
+    return known if fields is None else {n: known[n] for n in fields}
+
+
+def tokenized(docs: DataFrame, tokenizer: str | Tokenizer = "regex", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``tokens``: an array of token structs by any tokenizer (Arrow batches); a null text has none."""
+    names = [n for n in TOKEN_FIELDS if n != "token"]
+
+    @F.arrow_udf(f"array<{TOKEN}>")
     def made(texts: pa.Array) -> pa.Array:
-        rows = []
-        for x in texts:
-            x = x.as_py() or ""
-            tokens = tokenize(x)
-            spans = ((k, a, b, tokens[a][1], tokens[b - 1][2]) for k, (a, b) in enumerate(kernels.chunks(x, tokens, max_chars)))
-            rows.append([(*s, x[s[3] : s[4]]) for s in spans])
-        return _lists(_CHUNK, rows, (pa.int32(),) * 5 + (pa.string(),))
+        parts = []
+        for _, own in _together([t or "" for t in texts.to_pylist()]):
+            of, found = _token_rows(own, tokenizer)
+            ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(own)))].astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([found[n]() for n in names], names)))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([(n, _ARROW[TOKEN_FIELDS[n]]) for n in names])))
+
+    return docs.withColumn("tokens", made(F.col(text_col)))
+
+
+def token_rows(docs: DataFrame, id_col: str = "document_id", text_col: str = "text", tokenizer: str | Tokenizer = "regex", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per token: the id and ``fields`` (all of :data:`TOKEN_FIELDS`: index, token, type, offsets, line-break flag).
 
+    Documents stay in their tasks, so nothing is shuffled or sorted; a document without
+    tokens has no row.
+    """
+    return _rows(docs, [id_col], text_col, lambda texts: _token_rows(texts, tokenizer), _chosen(fields, TOKEN_FIELDS))
+
+
+def sentence_rows(docs: DataFrame, id_col: str = "document_id", text_col: str = "text", tokenizer: str | Tokenizer = "regex", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per sentence: the id and ``fields`` (all: number, token interval, character interval); nothing is shuffled."""
+    return _rows(docs, [id_col], text_col, lambda texts: _sentence_rows(texts, tokenizer), _chosen(fields, SENTENCE_FIELDS))
+
+
+def chunked(docs: DataFrame, max_chars: int = 1000, tokenizer: str | Tokenizer = "regex", text_col: str = "text", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per chunk: the columns of ``docs`` besides the text, and ``fields`` (all: number, intervals, the chunk's text).
+
+    A document without tokens has no chunk.  Documents are worked on apart, so no shuffle
+    is needed; the only skew is one document's length.
+    """
     others = [c for c in docs.columns if c != text_col]
-    return docs.select(*others, F.inline(made(F.col(text_col))))
+    return _rows(docs, others, text_col, lambda texts: _chunk_rows(texts, tokenizer, max_chars), _chosen(fields, CHUNK_FIELDS))
 
 
 def with_previous(chunks: DataFrame, chars: int | None, id_col: str = "document_id") -> DataFrame:

@@ -52,29 +52,29 @@ def doc_prompt_dedup(spark, sf_dir):
     return _docs(spark, sf_dir).agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_distinct"))
 
 
-def _tokens(spark, sf_dir):
-    return documents.token_rows(_docs(spark, sf_dir), "doc_id")
+def _tokens(spark, sf_dir, *fields):
+    return documents.token_rows(_docs(spark, sf_dir), "doc_id", fields=fields)
 
 
 def token_stats_by_doc(spark, sf_dir):
-    return _tokens(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("start_pos").alias("sum_start"), F.max("index").cast("bigint").alias("last_index"))
+    return _tokens(spark, sf_dir, "index", "start_pos").groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("start_pos").alias("sum_start"), F.max("index").cast("bigint").alias("last_index"))
 
 
 def token_type_counts(spark, sf_dir):
-    return _tokens(spark, sf_dir).groupBy("token_type").agg(F.count("*").alias("n"))
+    return _tokens(spark, sf_dir, "token_type").groupBy("token_type").agg(F.count("*").alias("n"))
 
 
 def newline_flags(spark, sf_dir):
-    return _tokens(spark, sf_dir).filter("first_token_after_newline").groupBy("doc_id").agg(F.count("*").alias("n_breaks"), F.sum("index").alias("sum_index"))
+    return _tokens(spark, sf_dir, "index", "first_token_after_newline").filter("first_token_after_newline").groupBy("doc_id").agg(F.count("*").alias("n_breaks"), F.sum("index").alias("sum_index"))
 
 
 def token_norm_topk(spark, sf_dir):
-    words = _tokens(spark, sf_dir).filter("token_type = 0").select(text.normalized_token(F.col("token")).alias("token"))
+    words = _tokens(spark, sf_dir, "token", "token_type").filter("token_type = 0").select(text.normalized_token(F.col("token")).alias("token"))
     return words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
 
 
 def sentence_stats_by_doc(spark, sf_dir):
-    found = documents.sentence_rows(_docs(spark, sf_dir), "doc_id")
+    found = documents.sentence_rows(_docs(spark, sf_dir), "doc_id", fields=("token_start", "token_end"))
     return found.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.col("token_end") - F.col("token_start")).cast("bigint").alias("longest"), F.sum("token_start").alias("sum_start"))
 
 
@@ -84,7 +84,7 @@ def sanitize_text(spark, sf_dir):
 
 
 def chunk_stats_by_doc(spark, sf_dir):
-    rows = documents.chunked(_as_documents(spark, sf_dir), 1000)
+    rows = documents.chunked(_as_documents(spark, sf_dir), 1000, fields=("token_start", "char_start", "char_end"))
     return rows.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.max(F.col("char_end") - F.col("char_start")).cast("bigint").alias("longest"), F.sum("token_start").alias("sum_start"))
 
 

@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessellate.functions import kernels, text
+from tessellate.functions import formats, kernels, text
 from tessellate.functions.formats import Example, Extraction, Template
 from tessellate.operators import documents, extraction, inference, review
 from tessellate.plans import extract as plan
@@ -20,7 +20,7 @@ from tessellate.streaming import extract as streaming
 from tessellate.types import InvalidDatasetError, InvalidDocumentError
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
-ODD = ["", "\n", "Hello, world!", "Age:   25\nWeight=70kg.", "İSTANBUL ΑΣ été 日本語 😀😀!! __ a_b", "Dr. No. said \"hi.\" \n ok\r\nNext (one.) 'x'\nlower", "a  \n b", "١٢٣ ½ x²"]
+ODD = ["", "\n", "Ebb, flow!", "Depth: 9\nDraught=4m.", "İSTANBUL ΑΣ été 日本語 😀😀!! __ a_b", "Dr. No. said \"hi.\" \n ok\r\nNext (one.) 'x'\nlower", "a  \n b", "١٢٣ ½ x²"]
 
 
 def table(spark, texts):
@@ -103,27 +103,27 @@ def test_i1_too_few_answers_raise(spark):
 
 
 def test_i1_r4_a10_m4_whole_plan(spark):
-    docs = table(spark, ["Patient reports migraine.", "Patient reports migraine.", "", "nothing here"])
-    answer = wrapped({"PATIENT": "Patient", "PATIENT_attributes": {"k": "v"}}, {"SYMPTOM": "migraine"})
-    made = plan.extract(docs, spec(other=lambda p: answer if "migraine" in p else "broken", batch_length=1)).orderBy("document_id").collect()
+    docs = table(spark, ["Pilot boards tonight at dusk.", "Pilot boards tonight at dusk.", "", "calm"])
+    answer = wrapped({"WHO": "Pilot", "WHO_attributes": {"k": "v"}}, {"WHEN": "dusk"})
+    made = plan.extract(docs, spec(other=lambda p: answer if "dusk" in p else "broken", batch_length=1)).orderBy("document_id").collect()
     assert [r.document_id for r in made] == ["0", "1", "2", "3"] and [len(r.extractions) for r in made] == [2, 2, 0, 0]
     a, b = made[1].extractions
-    assert (a.extraction_class, tuple(a.char_interval), a.alignment_status, json.loads(a.attributes)) == ("PATIENT", (0, 7), "match_exact", {"k": "v"}) and tuple(b.char_interval) == (16, 24)
+    assert (a.extraction_class, tuple(a.char_interval), a.alignment_status, json.loads(a.attributes)) == ("WHO", (0, 5), "match_exact", {"k": "v"}) and tuple(b.char_interval) == (24, 28)
     with pytest.raises(Exception, match="JSON"):
         plan.resolved(docs, spec(other=lambda p: "broken", suppress_parse_errors=False)).collect()
     blank = wrapped({"a": " "})
-    errors = plan.resolved(docs, spec(other=lambda p: blank if "migraine" in p else "broken")).select("result.parse_error", "result.align_error").collect()
+    errors = plan.resolved(docs, spec(other=lambda p: blank if "dusk" in p else "broken")).select("result.parse_error", "result.align_error").collect()
     assert sum(r.parse_error is not None for r in errors) == 1 and sum(r.align_error is not None for r in errors) == 2
 
 
 def test_m2_m3_later_passes_add_what_does_not_overlap(spark):
-    one, two = wrapped({"doctor": "Dr. Smith"}), wrapped({"person": "Smith"}, {"medication": "aspirin"}, {"drug": "aspirin"}, {"x": "unplaced"})
-    rows = table(spark, ["Dr. Smith prescribed aspirin."])
+    one, two = wrapped({"boat": "tug Alma"}), wrapped({"name": "Alma"}, {"cargo": "salt"}, {"goods": "salt"}, {"x": "unplaced"})
+    rows = table(spark, ["The tug Alma carries salt and rope."])
     prompts = plan.prompts(rows, spec(passes=2))
     answers = prompts.withColumn("outputs", F.array(F.struct(F.lit(1.0).alias("score"), F.when(F.col("pass") == 0, one).otherwise(two).alias("output"))))
     found = extraction.extraction_rows(extraction.resolved(answers, spec().format()))
     got = extraction.assembled(rows, found).collect()[0].extractions
-    assert [e.extraction_class for e in got] == ["doctor", "medication", "x"]
+    assert [e.extraction_class for e in got] == ["boat", "cargo", "x"]
 
 
 def test_s3_s4_csv(spark, tmp_path):
@@ -224,3 +224,9 @@ def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert {r.extraction_class for r in rows} <= set(queries.RULES)
+
+
+def test_r1_fences_of_columns_are_those_of_texts(spark):
+    odd = ["```json\n[1]\n```", "a ```{}``` b", "```js\n1``` and ```\n2", "``````", "none", "```JSON {}``` ```\n []\n``` x", "```yaml\na: 1```"]
+    rows = table(spark, odd).select("text", text.fence_bodies(F.col("text"), ("json", "js")).alias("bodies")).collect()
+    assert all(r.bodies == [body for tag, body in formats.fenced(r.text) if tag in ("", "json", "js")] for r in rows)
