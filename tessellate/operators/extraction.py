@@ -7,8 +7,9 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
-from ..functions import alignment, kernels, text
+from ..functions import alignment, intervals, kernels
 from ..functions.formats import Example, Format, Template
 from ..functions.kernels import Tokenizer
 from ..types import EXTRACTION, FormatError, PromptAlignmentError
@@ -84,17 +85,21 @@ def attributes_map(attributes: Column) -> Column:
     return F.transform_values(raw, lambda _, v: F.coalesce(F.from_json(v, "array<string>"), F.array(v)))
 
 
+@F.arrow_udf(ArrayType(BooleanType()))
+def _accepted(first: pa.Array, later: pa.Array) -> pa.Array:
+    ends = lambda spans: [(None, None) if x is None else (x["start_pos"], x["end_pos"]) for x in spans or ()]
+    return pa.array([intervals.accepted(ends(a), ends(b)) for a, b in zip(first.to_pylist(), later.to_pylist(), strict=True)], pa.list_(pa.bool_()))
+
+
 def merge_passes(first: Column, later: Column) -> Column:
     """Extractions of the first pass, and those of later ones (in order) that overlap none accepted before.
 
-    Extractions without a place never overlap.
+    Extractions without a place never overlap.  What is accepted is kept as a sorted set,
+    so a document of n extractions takes n log n looks.
     """
-
-    def fold(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda y: text.overlaps(x["char_interval"]["start_pos"], x["char_interval"]["end_pos"], y["char_interval"]["start_pos"], y["char_interval"]["end_pos"]))
-        return F.when(clash, kept).otherwise(F.array_append(kept, x))
-
-    return F.aggregate(later, first, fold)
+    places = lambda items: F.transform(items, lambda x: F.struct(x["char_interval"]["start_pos"].alias("start_pos"), x["char_interval"]["end_pos"].alias("end_pos")))
+    both = F.array(F.struct(first.alias("first"), later.alias("later"), _accepted(places(first), places(later)).alias("keep")))
+    return F.get(F.transform(both, lambda x: F.concat(x["first"], F.filter(x["later"], lambda _, k: F.get(x["keep"], k)))), F.lit(0))
 
 
 def assembled(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.formats import Example, Extraction, Template
-from ..operators import batch, cache, documents, extraction, inference, review
+from ..operators import batch, cache, documents, extraction, inference, intervals, review
 from ..sources import documents as sources
 from ..sources import storage
 from . import extract as plan
@@ -173,6 +173,14 @@ def overlap_anti(spark, sf_dir):
     return a.join(b, on, "left_anti").select("l_orderkey", "l_linenumber")
 
 
+def interval_overlaps(spark, sf_dir):
+    """How many intervals each interval overlaps among those of its return flag, which has only three values."""
+    start = F.col("l_orderkey").cast("bigint")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_orderkey", "l_linenumber", start.alias("start"), (start + 1 + F.col("l_partkey") % 5 + F.when(F.col("l_partkey") % 100 == 7, 60).otherwise(0)).cast("bigint").alias("end"))
+    pairs = intervals.overlapping(rows, rows, ["l_returnflag"])
+    return pairs.groupBy("left.l_returnflag", "left.l_orderkey", "left.l_linenumber").agg(F.count("*").alias("n"))
+
+
 def multipass_merge(spark, sf_dir):
     """The first two intervals of an order are pass one, the others come later, by start and end."""
     place = F.struct(F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))
@@ -369,7 +377,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extract_documents, extract_whole_documents, doc_scan_project, doc_filter_lang, doc_prompt_dedup, token_stats_by_doc, token_type_counts, newline_flags, token_norm_topk, sentence_stats_by_doc, sanitize_text,
-        chunk_stats_by_doc, conversation_context, prompt_render_len, batch_assign, fence_extract, json_parse_status, rules_mentions, overlap_pairs, overlap_semi, overlap_anti, multipass_merge,
+        chunk_stats_by_doc, conversation_context, prompt_render_len, batch_assign, fence_extract, json_parse_status, rules_mentions, overlap_pairs, overlap_semi, overlap_anti, interval_overlaps, multipass_merge,
         assemble_docs, class_share, mention_topk, class_rollup, class_color_index, running_chars, cache_hits, cache_misses, labels_join_quality, benchmark_overlap_docs, url_predicate, jsonl_roundtrip,
         align_status_counts, extraction_summary, unicode_token_stats, viz_html_len, exact_alignment, cached_answers, cache_new_rows, batch_answers, csv_roundtrip,
     )
@@ -459,6 +467,9 @@ SELECT doc_id, n_chars, g || '-' || ((row_number() OVER (PARTITION BY g ORDER BY
     "overlap_pairs": f"{_INTERVALS} SELECT a.l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM i a JOIN i b ON {_ON}",
     "overlap_semi": f"{_INTERVALS} SELECT a.l_orderkey, a.l_linenumber FROM i a WHERE EXISTS (SELECT 1 FROM i b WHERE {_ON})",
     "overlap_anti": f"{_INTERVALS} SELECT a.l_orderkey, a.l_linenumber FROM i a WHERE NOT EXISTS (SELECT 1 FROM i b WHERE {_ON})",
+    "interval_overlaps": """WITH i AS MATERIALIZED (SELECT l_returnflag, l_orderkey, l_linenumber, CAST(l_orderkey AS BIGINT) AS s, CAST(l_orderkey + 1 + l_partkey % 5 + CASE WHEN l_partkey % 100 = 7 THEN 60 ELSE 0 END AS BIGINT) AS e FROM lineitem),
+p AS (SELECT *, unnest(range(s - 64, e)) AS t FROM i)
+SELECT a.l_returnflag, a.l_orderkey, a.l_linenumber, count(*) AS n FROM p a JOIN i b ON a.l_returnflag = b.l_returnflag AND b.s = a.t WHERE a.s < b.e GROUP BY ALL""",
     "multipass_merge": f"""{_INTERVALS.replace('WITH i', 'WITH RECURSIVE i')}, m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY s, e) AS n, s, e FROM i), f AS (
   SELECT l_orderkey, 2 AS k, list(m ORDER BY n) FILTER (WHERE n <= 2) AS kept FROM m GROUP BY l_orderkey
   UNION ALL
