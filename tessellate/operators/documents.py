@@ -19,6 +19,8 @@ from ..types import TOKEN
 TOKEN_FIELDS = {"index": "int", "token": "string", "token_type": "int", "start_pos": "int", "end_pos": "int", "first_token_after_newline": "boolean"}
 SENTENCE_FIELDS = {"sentence_index": "int", "token_start": "int", "token_end": "int", "char_start": "int", "char_end": "int"}
 CHUNK_FIELDS = {"chunk_index": "int", "token_start": "int", "token_end": "int", "char_start": "int", "char_end": "int", "chunk_text": "string"}
+#: The end of the chunk before, where chunks are asked for it.
+PREVIOUS = {"previous": "string"}
 #: Characters that are worked on at once; a longer text is alone.
 TOGETHER = 1 << 20
 _ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
@@ -87,7 +89,7 @@ def _sentence_rows(texts: list[str], tokenizer: str | Tokenizer) -> Found:
     return _spans(tokens, *tokens.sentences(), "sentence_index")
 
 
-def _chunk_rows(texts: list[str], tokenizer: str | Tokenizer, most: int) -> Found:
+def _chunk_rows(texts: list[str], tokenizer: str | Tokenizer, most: int, before: int = 0) -> Found:
     if tokenizer != "regex":
         tokenize = kernels.tokenizer_of(tokenizer)
 
@@ -100,11 +102,15 @@ def _chunk_rows(texts: list[str], tokenizer: str | Tokenizer, most: int) -> Foun
         tokens = Tokens(texts)
         of, columns = _spans(tokens, *tokens.chunks(most), "chunk_index")
 
-    def cut() -> pa.Array:
+    def cut() -> list[str]:
         heads, tails = columns["char_start"]().to_pylist(), columns["char_end"]().to_pylist()
-        return pa.array([texts[d][a:b] for d, a, b in zip(of.tolist(), heads, tails, strict=True)], pa.string())
+        return [texts[d][a:b] for d, a, b in zip(of.tolist(), heads, tails, strict=True)]
 
-    return of, columns | {"chunk_text": cut}
+    def previous() -> pa.Array:
+        own = of.tolist()
+        return pa.array([t[-before:] if d == e else None for t, d, e in zip([None, *cut()], [None, *own], own, strict=False)], pa.string())
+
+    return of, columns | {"chunk_text": lambda: pa.array(cut(), pa.string()), "previous": previous}
 
 
 def _rows(docs: DataFrame, kept: list[str], text_col: str, made: Callable[[list[str]], Found], fields: dict[str, str]) -> DataFrame:
@@ -158,24 +164,34 @@ def sentence_rows(docs: DataFrame, id_col: str = "document_id", text_col: str =
     return _rows(docs, [id_col], text_col, lambda texts: _sentence_rows(texts, tokenizer), _chosen(fields, SENTENCE_FIELDS))
 
 
-def chunked(docs: DataFrame, max_chars: int = 1000, tokenizer: str | Tokenizer = "regex", text_col: str = "text", fields: tuple[str, ...] | None = None) -> DataFrame:
+def chunked(docs: DataFrame, max_chars: int = 1000, tokenizer: str | Tokenizer = "regex", text_col: str = "text", fields: tuple[str, ...] | None = None, previous: int | None = None) -> DataFrame:
     """One row per chunk: the columns of ``docs`` besides the text, and ``fields`` (all: number, intervals, the chunk's text).
 
+    With ``previous`` also that many characters of the end of the document's chunk before.
+
     A document without tokens has no chunk.  Documents are worked on apart, so no shuffle
     is needed; the only skew is one document's length.
     """
     others = [c for c in docs.columns if c != text_col]
-    return _rows(docs, others, text_col, lambda texts: _chunk_rows(texts, tokenizer, max_chars), _chosen(fields, CHUNK_FIELDS))
+    wanted = _chosen(fields, CHUNK_FIELDS) | (PREVIOUS if previous else {})
+    return _rows(docs, others, text_col, lambda texts: _chunk_rows(texts, tokenizer, max_chars, previous or 0), wanted)
 
 
-def with_previous(chunks: DataFrame, chars: int | None, id_col: str = "document_id") -> DataFrame:
-    """``context``: the end of the chunk before, and the document's own context below it."""
+def in_context(chunks: DataFrame) -> DataFrame:
+    """``context`` of chunks: the end of the chunk before (``previous``, if there is such a column), and the document's own context below it."""
     own = F.nullif(F.col("additional_context"), F.lit("")) if "additional_context" in chunks.columns else F.lit(None).cast("string")
-    if not chars:
+    if "previous" not in chunks.columns:
         return chunks.withColumn("context", own)
-    previous = F.lag("chunk_text").over(Window.partitionBy(id_col).orderBy("chunk_index"))
-    tail = F.concat(F.lit("[Previous text]: ..."), F.right(previous, F.lit(chars)))
-    return chunks.withColumn("context", F.nullif(F.concat_ws("\n\n", tail, own), F.lit("")))
+    tail = F.concat(F.lit("[Previous text]: ..."), F.col("previous"))
+    return chunks.withColumn("context", F.nullif(F.concat_ws("\n\n", tail, own), F.lit(""))).drop("previous")
+
+
+def with_previous(chunks: DataFrame, chars: int | None, id_col: str = "document_id") -> DataFrame:
+    """``context`` for chunks that are rows of a table; :func:`chunked` knows the chunk before without this window."""
+    if not chars:
+        return in_context(chunks)
+    before = F.lag("chunk_text").over(Window.partitionBy(id_col).orderBy("chunk_index"))
+    return in_context(chunks.withColumn("previous", F.right(before, F.lit(chars))))
 
 
 def batched(chunks: DataFrame, size: int, order: tuple[str, ...] = ("document_id", "chunk_index"), groups: int = 4096) -> DataFrame:

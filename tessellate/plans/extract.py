@@ -42,8 +42,7 @@ class Spec:
 
 def prompts(docs: DataFrame, spec: Spec) -> DataFrame:
     """Chunks with context and prompt, one row for each chunk and pass; passes don't wait for each other."""
-    chunks = documents.chunked(docs, spec.max_char_buffer, spec.tokenizer)
-    chunks = documents.with_previous(chunks, spec.context_window_chars)
+    chunks = documents.in_context(documents.chunked(docs, spec.max_char_buffer, spec.tokenizer, previous=spec.context_window_chars))
     passes = F.explode(F.sequence(F.lit(0), F.lit(spec.passes - 1))).alias("pass")
     return extraction.prompted(chunks, spec.template, spec.format()).select("*", passes)
 

@@ -12,6 +12,7 @@ from ..functions.formats import Example, Extraction, Template
 from ..operators import batch, cache, documents, extraction, inference, intervals, review
 from ..sources import documents as sources
 from ..sources import storage
+from ..streaming import events
 from . import extract as plan
 
 #: What the offline provider looks for.
@@ -222,6 +223,13 @@ def class_color_index(spark, sf_dir):
     return review.class_colors(rows).select("document_id", "extraction_class", _long("color_index"))
 
 
+def event_sessions(spark, sf_dir):
+    """A user's events without a pause of half an hour: how many, how many errors, the first one's id, and how long it lasted."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    measures = F.count(F.when(F.col("event_type") == "error", 1)).alias("n_errors"), F.min("event_id").alias("first_event"), F.expr("timestampdiff(MICROSECOND, min(ts), max(ts))").alias("micros")
+    return events.sessions(rows, ["user_id"], "ts", "30 minutes", None, *measures).drop("session")
+
+
 def running_chars(spark, sf_dir):
     """Characters so far by source.  Sums of id blocks run first, so that no window has a whole source's rows."""
     rows = _docs(spark, sf_dir).select("source", "doc_id", "n_chars", F.floor(F.col("doc_id") / 1000).alias("block"))
@@ -378,7 +386,7 @@ QUERIES = {
     for f in (
         extract_documents, extract_whole_documents, doc_scan_project, doc_filter_lang, doc_prompt_dedup, token_stats_by_doc, token_type_counts, newline_flags, token_norm_topk, sentence_stats_by_doc, sanitize_text,
         chunk_stats_by_doc, conversation_context, prompt_render_len, batch_assign, fence_extract, json_parse_status, rules_mentions, overlap_pairs, overlap_semi, overlap_anti, interval_overlaps, multipass_merge,
-        assemble_docs, class_share, mention_topk, class_rollup, class_color_index, running_chars, cache_hits, cache_misses, labels_join_quality, benchmark_overlap_docs, url_predicate, jsonl_roundtrip,
+        assemble_docs, class_share, mention_topk, class_rollup, class_color_index, event_sessions, running_chars, cache_hits, cache_misses, labels_join_quality, benchmark_overlap_docs, url_predicate, jsonl_roundtrip,
         align_status_counts, extraction_summary, unicode_token_stats, viz_html_len, exact_alignment, cached_answers, cache_new_rows, batch_answers, csv_roundtrip,
     )
 }
@@ -481,6 +489,9 @@ SELECT a.l_returnflag, a.l_orderkey, a.l_linenumber, count(*) AS n FROM p a JOIN
     "mention_topk": "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source ORDER BY chars DESC, source LIMIT 10",
     "class_rollup": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)",
     "class_color_index": "SELECT source AS document_id, lang AS extraction_class, (dense_rank() OVER (PARTITION BY source ORDER BY lang) - 1) % 10 AS color_index FROM (SELECT DISTINCT source, lang FROM documents)",
+    "event_sessions": """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
+SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_errors, min(event_id) AS first_event, date_diff('microsecond', min(ts), max(ts)) AS micros FROM s GROUP BY user_id, k""",
     "running_chars": "SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars_so_far FROM documents",
     "cache_hits": f"SELECT doc_id, {_KEY} AS request_key FROM documents WHERE doc_id % 2 = 1 AND text IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
     "cache_misses": "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",

@@ -15,11 +15,9 @@ from ..plans.extract import Spec, resolved
 def rows(docs: DataFrame, spec: Spec) -> DataFrame:
     """Grounded extractions of a stream of documents, one row each.
 
-    Documents are whole rows and chunks stay in theirs, so there is no state; the context
-    of the chunk before would need a window and isn't offered here.
+    Documents are whole rows and chunks stay in theirs, so there is no state, and the chunk
+    before is known; for chunks that come as rows of their own see ``context.previous``.
     """
-    if spec.context_window_chars:
-        raise ValueError("no context of the chunk before in a stream")
     return extraction.extraction_rows(resolved(docs, spec))
 
 

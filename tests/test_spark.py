@@ -194,8 +194,6 @@ def test_streams(spark, tmp_path):
     query = streaming.annotate(stream.select("document_id", "text"), lambda b: plan.extract(b.dropDuplicates(["document_id"]), what), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-    with pytest.raises(ValueError):
-        streaming.rows(stream, plan.Spec(Template("D"), inference.Rules({}), context_window_chars=5))
 
 
 def plain(rows, names):
