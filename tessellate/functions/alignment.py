@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -117,6 +119,89 @@ def window_match(source: list[str], wanted: list[str], options: Options) -> tupl
     return found if best >= options.threshold else None
 
 
+class Automaton:
+    """All stretches of some tokens: the states of a suffix automaton.
+
+    A state stands for stretches that end at the same places; ``longest`` is the length of
+    its longest one, ``shorter`` the state of its longest suffix that ends at more places,
+    ``ends`` the first place where it ends.
+    """
+
+    def __init__(self, tokens: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.shorter, self.longest, self.ends = [-1], [0], [0]
+        last = 0
+        for place, token in enumerate(tokens, 1):
+            new = self._state({}, 0, self.longest[last] + 1, place)
+            at, last = last, new
+            while at >= 0 and token not in self.next[at]:
+                self.next[at][token] = new
+                at = self.shorter[at]
+            if at < 0:
+                continue
+            old = self.next[at][token]
+            if self.longest[old] == self.longest[at] + 1:
+                self.shorter[new] = old
+                continue
+            copy = self._state(dict(self.next[old]), self.shorter[old], self.longest[at] + 1, self.ends[old])
+            self.shorter[old] = self.shorter[new] = copy
+            while at >= 0 and self.next[at].get(token) == old:
+                self.next[at][token] = copy
+                at = self.shorter[at]
+
+    def _state(self, following: dict[str, int], shorter: int, longest: int, ends: int) -> int:
+        self.next.append(following)
+        self.shorter.append(shorter)
+        self.longest.append(longest)
+        self.ends.append(ends)
+        return len(self.next) - 1
+
+    def longest_in(self, source: list[str], places: Sequence[int]) -> tuple[int, int, int]:
+        """Start in ``source``, start in the tokens, and length of the longest common stretch; the first in the source, then in the tokens.
+
+        Only ``places`` of the source, ascending, have tokens that can match.
+        """
+        best, state, size, before = (0, 0, 0), 0, 0, -1
+        for i in places:
+            if i != before + 1:
+                state = size = 0
+            before, token = i, source[i]
+            while state and token not in self.next[state]:
+                state = self.shorter[state]
+                size = self.longest[state]
+            if token in self.next[state]:
+                state, size = self.next[state][token], size + 1
+                if size > best[2]:
+                    best = i + 1 - size, self.ends[state] - size, size
+        return best
+
+
+def matching_blocks(source: list[str], wanted: list[str]) -> list[tuple[int, int, int]]:
+    """Common stretches (start in each, length), in order in both: the longest first, then those before and behind it.
+
+    Of equally long ones the first in the source counts, then the first in ``wanted``.
+    Finding a stretch takes one pass over those source tokens that ``wanted`` has.
+    """
+    known = set(wanted)
+    places = [i for i, token in enumerate(source) if token in known]
+    found, ranges = [], [(0, len(source), 0, len(wanted))]
+    while ranges:
+        a, b, c, d = ranges.pop()
+        own = places[bisect_left(places, a) : bisect_left(places, b)]
+        if not own or c == d:
+            continue
+        i, j, size = Automaton(wanted[c:d]).longest_in(source, own)
+        if size:
+            found.append((i, c + j, size))
+            ranges += [(a, i, c, c + j), (i + size, b, c + j + size, d)]
+    out: list[tuple[int, int, int]] = []
+    for i, j, size in sorted(found):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            i, j, size = out[-1][0], out[-1][1], out.pop()[2] + size
+        out.append((i, j, size))
+    return out
+
+
 def align(text: str, extractions: list[str], options: Options = Options(), tokenize: Tokenizer = regex_tokens, token_offset: int = 0, char_offset: int = 0) -> list[Grounding | None]:
     """Where each extraction is in ``text``.
 
@@ -141,14 +226,14 @@ def align(text: str, extractions: list[str], options: Options = Options(), token
         joined += words
     place = lambda status, a, b: Grounding(status, a + token_offset, b + token_offset, tokens[a][1] + char_offset, tokens[b - 1][2] + char_offset)
     found: list[Grounding | None] = [None] * len(extractions)
-    for block in SequenceMatcher(None, source, joined, autojunk=False).get_matching_blocks():
-        k = first.get(block.b) if block.size else None
+    for at, in_joined, size in matching_blocks(source, joined):
+        k = first.get(in_joined)
         if k is None:
             continue
-        if block.size > len(wanted[k]):
+        if size > len(wanted[k]):
             raise ValueError("the text contains the delimiter")
-        if block.size == len(wanted[k]) or options.accept_lesser:
-            found[k] = place(EXACT if block.size == len(wanted[k]) else LESSER, block.a, block.a + block.size)
+        if size == len(wanted[k]) or options.accept_lesser:
+            found[k] = place(EXACT if size == len(wanted[k]) else LESSER, at, at + size)
     if options.enable_fuzzy and any(f is None for f in found):
         plain = [normalized(t) for t in source]
         match = lcs_match if options.algorithm == "lcs" else window_match

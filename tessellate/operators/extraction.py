@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
@@ -87,8 +89,15 @@ def attributes_map(attributes: Column) -> Column:
 
 @F.arrow_udf(ArrayType(BooleanType()))
 def _accepted(first: pa.Array, later: pa.Array) -> pa.Array:
-    ends = lambda spans: [(None, None) if x is None else (x["start_pos"], x["end_pos"]) for x in spans or ()]
-    return pa.array([intervals.accepted(ends(a), ends(b)) for a, b in zip(first.to_pylist(), later.to_pylist(), strict=True)], pa.list_(pa.bool_()))
+    def spans(lists: pa.Array) -> tuple[list[int], list[tuple]]:
+        sizes = [n or 0 for n in pc.list_value_length(lists).to_pylist()]
+        return list(accumulate(sizes, initial=0)), list(zip(*(c.to_pylist() for c in lists.flatten().flatten()), strict=True))
+
+    (of_first, firsts), (of_later, laters) = spans(first), spans(later)
+    keep: list[bool] = []
+    for a, b, c, d in zip(of_first, of_first[1:], of_later, of_later[1:], strict=False):
+        keep += intervals.accepted(firsts[a:b], laters[c:d]) if c < d else []
+    return pa.ListArray.from_arrays(pa.array(of_later, pa.int32()), pa.array(keep, pa.bool_()))
 
 
 def merge_passes(first: Column, later: Column) -> Column:

@@ -452,7 +452,16 @@ _FOUND = "WITH hits AS (" + " UNION ALL ".join(f"SELECT doc_id, lang, '{k}' AS e
 _KEY = """sha256('{"model": "model-1", "settings": {}}' || chr(31) || text)"""
 _GRAMS = "SELECT DISTINCT {0}, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {0}, string_split(text, ' ') AS w FROM {1}) WHERE len(w) >= 8)"
 
+_BY_CLASS = "SELECT lang, extraction_class, count(*) AS n, count(*) AS n_grounded, count(DISTINCT doc_id) AS n_documents FROM hits GROUP BY ALL"
+_IN_CHUNKS = (
+    _CHUNKS
+    + ", t AS (SELECT doc_id, lang, text[heads[first + 1] + 1:tails[stop]] AS chunk FROM f JOIN d USING (doc_id) JOIN documents USING (doc_id) WHERE number > 0), hits AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, lang, '{k}' AS extraction_class, unnest(regexp_extract_all(chunk, '{v}')) AS hit FROM t" for k, v in RULES.items())
+    + ") "
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "extract_documents": _IN_CHUNKS + _BY_CLASS,
     "doc_scan_project": "SELECT doc_id, lang, n_chars FROM documents",
     "doc_filter_lang": "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE lang = 'de' GROUP BY source",
     "doc_prompt_dedup": "SELECT count(*) AS n, count(DISTINCT text) AS n_distinct FROM documents",
@@ -511,5 +520,5 @@ SELECT request_key, CASE WHEN n_even > 0 THEN 'cached' ELSE own END AS output, n
     "batch_answers": f"SELECT doc_id, {_KEY} AS request_key, length(text) || ' characters' AS output FROM documents",
     "csv_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS document_id, sha256(text) AS text_sha256 FROM documents",
     "unicode_token_stats": _TOKENS + "SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id",
-    "extract_whole_documents": _FOUND + "SELECT lang, extraction_class, count(*) AS n, count(*) AS n_grounded, count(DISTINCT doc_id) AS n_documents FROM hits GROUP BY ALL",
+    "extract_whole_documents": _FOUND + _BY_CLASS,
 }

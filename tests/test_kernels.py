@@ -1,6 +1,8 @@
 """Tokens, sentences, chunks (T1-T11, C1-C9) and grounding (A1-A13) of single texts, against plain versions."""
 
+import difflib
 import random
+import time
 import unicodedata
 
 import pytest
@@ -258,6 +260,26 @@ def test_a3_words_that_occur_once_are_found_where_they_stand():
         assert (g.token_start, g.token_end, g.char_start) == (a + 7, b + 7, text.index(piece) + 90)
 
 
+def test_a3_blocks_are_those_of_a_general_diff():
+    """Longest stretch first, on few letters (many ties) and many, with delimiters as in joint matches."""
+    rng = random.Random(12)
+    for _ in range(1500):
+        letters = "abcdefghijklmnop|"[: rng.choice([1, 2, 3, 5, 17])]
+        source, wanted = rng.choices(letters, k=rng.randrange(40)), rng.choices(letters + "|", k=rng.randrange(25))
+        general = difflib.SequenceMatcher(None, source, wanted, autojunk=False).get_matching_blocks()
+        assert alignment.matching_blocks(source, wanted) == [tuple(b) for b in general if b.size], (source, wanted)
+
+
+def test_a3_common_words_dont_make_it_slow():
+    """30,000 tokens of which most occur in most extractions."""
+    rng = random.Random(13)
+    source = rng.choices(["the", "of", "and", *(f"w{k}" for k in range(300))], weights=[200, 200, 200, *[1] * 300], k=30_000)
+    wanted = [w for k in range(0, 3000, 100) for w in [*source[k * 9 : k * 9 + 12], "␟"]]
+    began = time.process_time()
+    blocks = alignment.matching_blocks(source, wanted)
+    assert time.process_time() - began < 10 and sum(b[2] for b in blocks) >= 300
+
+
 def test_a2_normalized_tokens():
     assert [alignment.normalized(t) for t in ("Loaves", "bass", "bus", "us", "Ovens")] == ["loave", "bass", "bus", "us", "oven"]
 
