@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, written
 from .components import components
-from .hashed import MIX, Remembered
+from .hashed import MIX
 
 WORDS, LEAST = 5, 80
 FRAGMENTS = 4
@@ -38,16 +38,43 @@ FREQUENT, SELDOM = 1 << 19, 3
 PARITIES = 8
 
 
+#: A random number for every byte, the same for both cases of A-Z, and whether it is white space.
+_BYTES = np.random.default_rng(42).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES[65:91] = _BYTES[97:123]
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * MIX[0]
+    return hashes ^ (hashes >> np.uint64(32))
+
+
 class Shingles:
-    """The set of a text's word shingles, as ascending 64-bit hashes."""
+    """The set of a text's word shingles, as ascending 64-bit hashes.
+
+    A word's hash is a polynomial of its bytes' random numbers, a shingle's one of its
+    words' hashes, so both are made without a loop over words.
+    """
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.known = Remembered(lambda w: xxhash.xxh64_intdigest(w, 42))
+        self.powers = np.ones(1, np.uint64)
+
+    def word_hashes(self, text: str | None) -> np.ndarray:
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        solid = np.flatnonzero(~_BLANK[raw])
+        if not len(solid):
+            return np.zeros(0, np.uint64)
+        first = np.flatnonzero(np.r_[True, np.diff(solid) > 1])
+        sizes = np.diff(np.r_[first, len(solid)])
+        within = np.arange(len(solid)) - np.repeat(first, sizes)
+        with np.errstate(over="ignore"):
+            if sizes.max() > len(self.powers):
+                self.powers = np.cumprod(np.r_[np.uint64(1), np.full(2 * sizes.max(), MIX[2])])
+            return _mixed(np.add.reduceat(_BYTES[raw[solid]] * self.powers[within], first) + sizes.astype(np.uint64))
 
     def of(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space only
-        hashes = self.known.of(tokens, np.uint64)
+        hashes = self.word_hashes(text)
         size = min(self.words, len(hashes))
         if not size:
             return hashes
@@ -55,8 +82,9 @@ class Shingles:
             out = hashes[: len(hashes) - size + 1] + np.uint64(size)
             for k in range(1, size):
                 out = out * MIX[1] + hashes[k : len(hashes) - size + 1 + k]
-            out = (out ^ (out >> np.uint64(29))) * MIX[0]
-            return np.unique(out ^ (out >> np.uint64(32)))
+            out = _mixed(out)
+        out.sort()
+        return out if (apart := out[1:] != out[:-1]).all() else out[np.r_[True, apart]]
 
 
 def first_of(n: int, least: int) -> int:
@@ -156,13 +184,26 @@ def global_order(texts: DataFrame, words: int, fragments: int) -> tuple[np.ndarr
     return keys[order], n[order], fragment[order], seldom
 
 
-def _levels(sets: np.ndarray, keys: np.ndarray, values: np.ndarray, other: int) -> np.ndarray:
-    """The listed value of each shingle, or ``other``."""
-    if not len(keys) or not len(sets):
-        return np.full(len(sets), other, np.int64)
-    short = (sets >> np.uint64(16)).astype(np.int64)
-    place = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-    return np.where(keys[place] == short, values[place], other)
+class Listed:
+    """Values of listed keys; a table of the keys' upper bits spares most shingles the search."""
+
+    BITS = 23
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, other: int):
+        self.keys, self.values, self.other = keys, values, other
+        self.some = np.zeros(1 << self.BITS, bool)
+        self.some[keys >> (48 - self.BITS)] = True
+
+    def of(self, sets: np.ndarray) -> np.ndarray:
+        """The listed value of each shingle, or ``other``."""
+        out = np.full(len(sets), self.other, np.int64)
+        at = np.flatnonzero(self.some[sets >> np.uint64(64 - self.BITS)])
+        if len(at):
+            short = (sets[at] >> np.uint64(16)).astype(np.int64)
+            place = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
+            hit = self.keys[place] == short
+            out[at[hit]] = self.values[place[hit]]
+        return out
 
 
 def _parities(own: np.ndarray) -> list[int]:
@@ -176,7 +217,7 @@ def profiles(texts: DataFrame, words: int, least: int, order: Broadcast) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, often, _, _ = order.value
-        shingles = Shingles(words)
+        shingles, listed = Shingles(words), Listed(keys, often, 0)
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part, digest, size, parities, prefix = batch.slice(at, SLICE), [], [], [], []
@@ -186,7 +227,7 @@ def profiles(texts: DataFrame, words: int, least: int, order: Broadcast) -> Data
                     size.append(len(own))
                     parities.append(_parities(own))
                     take = first_of(len(own), least)
-                    prefix.append(own[np.lexsort((own, _levels(own, keys, often, 0)))[:take]].view(np.int64))
+                    prefix.append(own[np.argsort(listed.of(own), kind="stable")[:take]].view(np.int64))
                 made = [pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(parities, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("h"), *made], ["k", "h", "digest", "n", "parities", "prefix"])
 
@@ -278,7 +319,8 @@ def segments(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, _, fragment, seldom = order.value
-        shingles, width = Shingles(words), np.uint64(-(-(1 << 64) // seldom) if seldom > 1 else (1 << 64) - 1)
+        shingles, listed = Shingles(words), Listed(keys, fragment, -1)
+        width = np.uint64(-(-(1 << 64) // seldom) if seldom > 1 else (1 << 64) - 1)
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part, ids, numbers, cut = batch.slice(at, SLICE), [], [], []
@@ -286,7 +328,7 @@ def segments(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
                     own = shingles.of(t.as_py())
                     if xxhash.xxh3_128_digest(own.tobytes()) != digest:
                         continue
-                    of = _levels(own, keys, fragment, -1)
+                    of = listed.of(own)
                     of = np.where(of < 0, np.minimum(own // width, np.uint64(seldom - 1)).astype(np.int64), of)
                     for f in np.unique(of).tolist():
                         ids.append(id_)
