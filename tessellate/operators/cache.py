@@ -63,6 +63,8 @@ class AnswerCache:
         for k in range(blocks):
             own = wanted.filter(block == k) if blocks > 1 else wanted
             misses = own.join(self.rows().select("request_key"), "request_key", "left_anti")
+            # Dealt by folder before anything is asked: few files, and no shuffle whose loss would ask again.
+            misses = misses.withColumn("_prefix", prefix_of(F.col("request_key"))).repartition("_prefix")
             fresh = infer(misses, provider, **(settings or {}), **kwargs)
             self.add(fresh)
         return keyed.join(self.of(wanted), "request_key", "left")

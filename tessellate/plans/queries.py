@@ -224,10 +224,10 @@ def class_color_index(spark, sf_dir):
 
 
 def event_sessions(spark, sf_dir):
-    """A user's events without a pause of half an hour: how many, how many errors, the first one's id, and how long it lasted."""
+    """A user's events without a pause of twelve hours: how many, how many errors, the first one's id, and how long it lasted."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     measures = F.count(F.when(F.col("event_type") == "error", 1)).alias("n_errors"), F.min("event_id").alias("first_event"), F.expr("timestampdiff(MICROSECOND, min(ts), max(ts))").alias("micros")
-    return events.sessions(rows, ["user_id"], "ts", "30 minutes", None, *measures).drop("session")
+    return events.sessions(rows, ["user_id"], "ts", "12 hours", None, *measures).drop("session")
 
 
 def running_chars(spark, sf_dir):
@@ -270,7 +270,7 @@ def cached_answers(spark, sf_dir):
 def cache_new_rows(spark, sf_dir):
     """What a cache in shared storage has after two runs: the answers put into it, and one for each text asked that it didn't have."""
     kept = cache.AnswerCache(spark, storage.fresh_path(spark, "cache"))
-    kept.add(_answers_of_even_ids(spark, sf_dir))
+    kept.add(_answers_of_even_ids(spark, sf_dir).repartition(cache.prefix_of(F.col("request_key"))))
     kept.ask(_prompts(spark, sf_dir).filter("doc_id % 3 = 0"), _by_length(), "model-1")
     answered = kept.ask(_prompts(spark, sf_dir), _by_length(), "model-1", blocks=2)
     added = kept.rows().groupBy("request_key").agg(F.count("*").alias("n_rows"))
@@ -498,7 +498,7 @@ SELECT a.l_returnflag, a.l_orderkey, a.l_linenumber, count(*) AS n FROM p a JOIN
     "mention_topk": "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source ORDER BY chars DESC, source LIMIT 10",
     "class_rollup": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)",
     "class_color_index": "SELECT source AS document_id, lang AS extraction_class, (dense_rank() OVER (PARTITION BY source ORDER BY lang) - 1) % 10 AS color_index FROM (SELECT DISTINCT source, lang FROM documents)",
-    "event_sessions": """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    "event_sessions": """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
 SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_errors, min(event_id) AS first_event, date_diff('microsecond', min(ts), max(ts)) AS micros FROM s GROUP BY user_id, k""",
     "running_chars": "SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars_so_far FROM documents",
