@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions import kernels
 from ..functions.kernels import Tokenizer
@@ -23,6 +23,7 @@ CHUNK_FIELDS = {"chunk_index": "int", "token_start": "int", "token_end": "int",
 PREVIOUS = {"previous": "string"}
 #: Characters that are worked on at once; a longer text is alone.
 TOGETHER = 1 << 20
+SPARK = {"int": IntegerType(), "string": StringType(), "boolean": BooleanType()}
 _ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 #: Columns of rows by field, and for each row the number of its text.
 Found = tuple[np.ndarray, dict[str, Callable[[], pa.Array]]]
@@ -116,7 +117,7 @@ def _chunk_rows(texts: list[str], tokenizer: str | Tokenizer, most: int, before:
 def _rows(docs: DataFrame, kept: list[str], text_col: str, made: Callable[[list[str]], Found], fields: dict[str, str]) -> DataFrame:
     """A row for each thing that ``made`` finds in a text, with the document's ``kept`` columns and ``fields``; nothing else is made."""
     shown = docs.select(*[F.col(c) for c in kept], F.col(text_col).alias("_text"))
-    schema = StructType(shown.schema.fields[:-1] + [StructField(n, DataType.fromDDL(k)) for n, k in fields.items()])
+    schema = StructType(shown.schema.fields[:-1] + [StructField(n, SPARK[k]) for n, k in fields.items()])
     names = [*kept, *fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

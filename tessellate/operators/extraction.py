@@ -87,6 +87,33 @@ def attributes_map(attributes: Column) -> Column:
     return F.transform_values(raw, lambda _, v: F.coalesce(F.from_json(v, "array<string>"), F.array(v)))
 
 
+def attribute_rows(rows: DataFrame, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
+    """``keys, attribute, value, extraction_class, extraction_text``: a row for each value of each attribute of an extraction.
+
+    An attribute with several values gives several rows; one that an extraction repeats
+    gives one.  Extractions without attributes give none.
+    """
+    pairs = rows.select(*keys, "extraction_class", "extraction_text", F.explode(attributes_map(F.col("attributes"))).alias("attribute", "_values"))
+    return pairs.select(*keys, "attribute", F.explode(F.array_distinct("_values")).alias("value"), "extraction_class", "extraction_text")
+
+
+def attribute_groups(rows: DataFrame, salts: int = 32) -> DataFrame:
+    """``attribute, value, n, n_documents, n_texts, first_text`` of ``attribute_rows``: what extractions share a value of an attribute.
+
+    One value may stand on most rows: different documents and texts are found in ``salts``
+    parts of each group by hash, and only the parts' numbers are added up, so no task sees
+    a whole group.
+    """
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(salts))
+    keys = ["attribute", "value"]
+    tagged = rows.select(*keys, F.explode(F.array(F.struct(F.lit("d").alias("kind"), F.col("document_id").cast("string").alias("x")), F.struct(F.lit("t").alias("kind"), F.col("extraction_text").alias("x")))).alias("e"))
+    parts = tagged.select(*keys, "e.kind", "e.x", part("e.x").alias("part"))
+    once = parts.groupBy(*keys, "part", "kind", "x").agg(F.count("*").alias("n"))
+    by_part = once.groupBy(*keys, "part", "kind").agg(F.sum("n").alias("n"), F.count("x").alias("different"), F.min("x").alias("least"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    return by_part.groupBy(*keys).agg(F.sum(of("t", "n")).alias("n"), F.sum(of("d", "different")).alias("n_documents"), F.sum(of("t", "different")).alias("n_texts"), F.min(of("t", "least")).alias("first_text"))
+
+
 @F.arrow_udf(ArrayType(BooleanType()))
 def _accepted(first: pa.Array, later: pa.Array) -> pa.Array:
     def spans(lists: pa.Array) -> tuple[list[int], list[tuple]]:

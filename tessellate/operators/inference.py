@@ -9,6 +9,7 @@ import os
 import random
 import re
 import time
+import warnings
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import nullcontext
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import Format
-from ..types import ProviderError
+from ..types import FormatError, ProviderError
 
 log = logging.getLogger(__name__)
 OUTPUTS = "array<struct<score: double, output: string>>"
@@ -48,6 +49,9 @@ class Provider(ABC):
     raw_output = False
     #: Whether prompts wait for another machine; only then do threads help.
     remote = True
+    #: Variables of the environment that give an API key and a server's address where none is passed.
+    key_variables: tuple[str, ...] = ()
+    address_variable: str | None = None
 
     def __init__(self, **settings):
         self.settings = settings
@@ -67,6 +71,13 @@ class Provider(ABC):
                 return list(own.map(lambda p: self.answer(p, **merged), prompts))
         return list((pool.map if pool else map)(lambda p: self.answer(p, **merged), prompts))
 
+    def parse(self, output: str):
+        """An output without fences as JSON, or as YAML if the provider was made for that."""
+        try:
+            return Format(getattr(self, "kind", "json"), fences=False).load(output)
+        except FormatError as e:
+            raise ValueError(str(e)) from e
+
     def fences(self, wanted: bool | None = None) -> bool:
         return (not self.raw_output) if wanted is None else wanted
 
@@ -146,25 +157,51 @@ def _post(url: str, body: dict, headers: dict, timeout: float) -> dict:
 
 
 class LocalServer(Http):
-    """A local model server's generate call."""
+    """A local model server's generate call; models of the ``gpt-oss`` family get their JSON prompts by its chat call."""
+
+    address_variable = "OLLAMA_BASE_URL"
 
-    def __init__(self, model: str, url: str = "http://localhost:11434/api/generate", kind: str = "json", **settings):
-        super().__init__(url, **settings)
+    def __init__(self, model: str, url: str = "http://localhost:11434", kind: str = "json", **settings):
+        self.chat = kind == "json" and "gpt-oss" in model.lower()
+        base = url.rstrip("/").removesuffix("/api/generate").removesuffix("/api/chat")
+        super().__init__(f"{base}/api/{'chat' if self.chat else 'generate'}", **settings)
         self.model, self.kind = model, kind
         self.raw_output = kind == "json"
 
     def request(self, prompt: str, settings: dict) -> dict:
         options = {"temperature": settings.get("temperature", 0.1), "num_ctx": settings.get("num_ctx", 2048)}
-        body = {"model": self.model, "prompt": prompt, "stream": False, "think": False, "keep_alive": 300, "options": options}
-        return body | ({"format": settings.get("schema") or "json"} if self.kind == "json" else {})
+        options |= {to: settings[k] for k, to in (("seed", "seed"), ("top_k", "top_k"), ("top_p", "top_p"), ("max_tokens", "num_predict"), ("num_threads", "num_thread")) if settings.get(k) is not None}
+        body = {"model": self.model, "stream": False, "think": settings.get("think", False), "keep_alive": settings.get("keep_alive", 300), "options": options}
+        if settings.get("stop") is not None:
+            body["stop"] = settings["stop"]
+        if self.chat:
+            system = settings.get("system") or "Answer with one JSON document and nothing around it."
+            return body | {"messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
+        return body | {"prompt": prompt} | ({"format": settings.get("schema") or "json"} if self.kind == "json" else {})
 
     def read(self, answer: dict) -> str:
-        return answer["response"]
+        said = answer.get("message") or {} if self.chat else answer
+        text = said.get("content" if self.chat else "response")
+        if not text and said.get("thinking"):
+            raise ProviderError("the server returned its reasoning and no answer; ask with think=False")
+        if text is None:
+            raise ProviderError(f"an answer without text: {str(answer)[:200]}")
+        return text
+
+    def answer(self, prompt: str, **settings) -> Sequence[ScoredOutput]:
+        try:
+            return super().answer(prompt, **settings)
+        except Exception as e:
+            if getattr(e, "code", getattr(e, "status", None)) == 404:
+                raise ProviderError(f"the server at {self.url} doesn't have the model {self.model!r}") from e
+            raise
 
 
 class Chat(Http):
     """A chat-completions call with a system message and an optional response schema."""
 
+    key_variables = ("OPENAI_API_KEY", "TESSELLATE_API_KEY")
+
     PASSED = ("temperature", "max_tokens", "top_p", "seed", "stop", "frequency_penalty", "presence_penalty")
 
     def __init__(self, model: str, url: str, api_key: str | None = None, kind: str = "json", schema: dict | None = None, **settings):
@@ -189,6 +226,8 @@ class Chat(Http):
 class Generative(Http):
     """A hosted generate-content call below ``url``: one user turn, an optional response schema, the key as a header."""
 
+    key_variables = ("GEMINI_API_KEY", "TESSELLATE_API_KEY")
+
     PASSED = {"temperature": "temperature", "max_tokens": "maxOutputTokens", "top_p": "topP", "top_k": "topK", "stop": "stopSequences", "seed": "seed"}
 
     def __init__(self, model: str, url: str, api_key: str | None = None, kind: str = "json", schema: dict | None = None, **settings):
@@ -264,12 +303,21 @@ class Registry:
         return self.resolve(name)
 
     def make(self, model_id: str | None = None, provider: str | None = None, key_variable: str | None = None, **settings) -> Provider:
-        """A provider by name or model id; the environment gives an API key only where none is passed."""
+        """A provider by name or model id; the environment gives an API key or a server's address only where none is passed.
+
+        Variables are those of the provider (``key_variables``, ``address_variable``); the
+        first that is set counts, and a warning names it if there are more.
+        """
         if not model_id and not provider:
             raise ProviderError("neither a model id nor a provider is given")
         kind = self.by_name(provider) if provider else self.resolve(model_id)
-        if key_variable and settings.get("api_key") is None and os.environ.get(key_variable):
-            settings["api_key"] = os.environ[key_variable]
+        keys = [v for v in ((key_variable,) if key_variable else kind.key_variables) if os.environ.get(v)]
+        if keys and settings.get("api_key") is None:
+            settings["api_key"] = os.environ[keys[0]]
+            if len(keys) > 1:
+                warnings.warn(f"several API keys are set ({', '.join(keys)}); {keys[0]} is used", stacklevel=2)
+        if kind.address_variable and os.environ.get(kind.address_variable) and settings.get("url") is None:
+            settings["url"] = os.environ[kind.address_variable]
         try:
             return kind(**({"model": model_id} if model_id and "model" not in settings else {}), **settings)
         except (TypeError, ValueError) as e:
@@ -279,8 +327,8 @@ class Registry:
 REGISTRY = Registry()
 # Beginnings of model ids (fixed values).
 REGISTRY.register(r"^gemini", provider=Generative, priority=10)
-REGISTRY.register(r"^gpt-", r"^o\d", provider=Chat, priority=10)
-REGISTRY.register(r"^llama", r"^mistral", r"^mixtral", r"^codestral", r"^qwen", r"^phi", r"^gemma", r"^deepseek", r"^command-r", r"^starcoder", r"^codellama", r"^tinyllama", r"^wizardcoder", r"^gpt-oss", r"^[\w.-]+/[\w.-]+$", provider=LocalServer, priority=11)
+REGISTRY.register(r"^gpt-", r"^gpt[45]\.", r"^o\d", provider=Chat, priority=10)
+REGISTRY.register(r"^llama", r"^mistral", r"^mixtral", r"^codestral", r"^qwen", r"^phi", r"^gemma", r"^deepseek", r"^command-r", r"^starcoder", r"^codellama", r"^codegemma", r"^tinyllama", r"^wizardcoder", r"^gpt-oss", r"^[\w.-]+/[\w.-]+$", provider=LocalServer, priority=11)
 
 
 def redacted(settings: dict, chars: int = 500) -> dict:
@@ -288,6 +336,29 @@ def redacted(settings: dict, chars: int = 500) -> dict:
     return {k: "***" if SECRET.search(k) else (v[:chars] + "…" if isinstance(v, str) and len(v) > chars else v) for k, v in settings.items()}
 
 
+class Logged(Provider):
+    """Another provider, whose calls are logged: settings without secrets, the beginnings of prompts and outputs, how long each took."""
+
+    def __init__(self, provider: Provider, chars: int = 500, level: int = logging.DEBUG):
+        super().__init__(**provider.settings)
+        self.provider, self.chars, self.level = provider, chars, level
+        self.raw_output, self.remote = provider.raw_output, provider.remote
+
+    def _short(self, text: str | None) -> str:
+        return repr(text) if text is None or len(text) <= self.chars else f"{text[: self.chars]!r} and {len(text) - self.chars} more"
+
+    def answer(self, prompt: str, **settings) -> Sequence[ScoredOutput]:
+        name, began = type(self.provider).__name__, time.perf_counter()
+        log.log(self.level, "%s is asked %s with %s", name, self._short(prompt), redacted(settings, self.chars))
+        try:
+            outputs = self.provider.answer(prompt, **settings)
+        except Exception as e:
+            log.log(self.level, "%s failed after %.3f s: %s: %s", name, time.perf_counter() - began, type(e).__name__, self._short(str(e)))
+            raise
+        log.log(self.level, "%s answered after %.3f s: %s", name, time.perf_counter() - began, "; ".join(self._short(o.output) for o in outputs))
+        return outputs
+
+
 # -- over DataFrames -------------------------------------------------------------------
 
 

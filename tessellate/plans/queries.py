@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.formats import Example, Extraction, Template
-from ..operators import batch, cache, documents, extraction, inference, intervals, review
+from ..operators import batch, cache, documents, extraction, inference, intervals, review, sketches
 from ..sources import documents as sources
 from ..sources import storage
 from ..streaming import events
@@ -205,6 +205,28 @@ def assemble_docs(spark, sf_dir):
     return out.select("document_id", F.array_join(F.transform("extractions", lambda e: e["extraction_text"]), " ").alias("found"))
 
 
+def _with_attributes(spark, sf_dir):
+    """Each document's source as an extraction, with its language and the kinds of its source and size as attributes."""
+    size = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 5000, "middling").otherwise("long")
+    attributes = F.to_json(F.struct(F.col("lang").alias("language"), F.array(size, F.lit("text"), F.lit("text")).alias("kinds")))
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit("source").alias("extraction_class"), F.col("source").alias("extraction_text"), attributes.alias("attributes"))
+
+
+def attribute_groups(spark, sf_dir):
+    """Extractions by attribute and value; one value stands on all of them."""
+    return extraction.attribute_groups(extraction.attribute_rows(_with_attributes(spark, sf_dir)))
+
+
+def sketch_states(spark, sf_dir):
+    """Sketches kept by source and merged by language: whether they agree with exact numbers within their bounds."""
+    rows = _docs(spark, sf_dir).select("lang", "source", "doc_id", "n_chars", F.length("source").alias("size"))
+    path = storage.fresh_path(spark, "sketches")
+    states = storage.materialized(sketches.summarized(rows, ["lang", "source"], "doc_id", "n_chars", "size"), path)
+    found = sketches.merged(states, ["lang"]).select("lang", "n", sketches.n_distinct(F.col("distinct")).alias("about"), F.get(sketches.quantiles(F.col("quantiles"), 0.5), F.lit(0)).alias("middle"), F.get(sketches.top(F.col("frequent"), 1), F.lit(0)).alias("top"))
+    below = rows.join(found, "lang").groupBy("lang", "n", "about", "top").agg(F.count_distinct("doc_id").alias("exact"), F.avg((F.col("n_chars") < F.col("middle")).cast("int")).alias("low"), F.avg((F.col("n_chars") <= F.col("middle")).cast("int")).alias("high"))
+    return below.select("lang", "n", (F.abs(F.col("about") - F.col("exact")) <= 0.03 * F.col("exact") + 1).alias("distinct_fits"), ((F.col("low") <= 0.53) & (F.col("high") >= 0.47)).alias("median_fits"), F.col("top")["count"].cast("bigint").alias("top_count"))
+
+
 def class_share(spark, sf_dir):
     n = _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"))
     return n.select("lang", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6).alias("share"))
@@ -386,7 +408,7 @@ QUERIES = {
     for f in (
         extract_documents, extract_whole_documents, doc_scan_project, doc_filter_lang, doc_prompt_dedup, token_stats_by_doc, token_type_counts, newline_flags, token_norm_topk, sentence_stats_by_doc, sanitize_text,
         chunk_stats_by_doc, conversation_context, prompt_render_len, batch_assign, fence_extract, json_parse_status, rules_mentions, overlap_pairs, overlap_semi, overlap_anti, interval_overlaps, multipass_merge,
-        assemble_docs, class_share, mention_topk, class_rollup, class_color_index, event_sessions, running_chars, cache_hits, cache_misses, labels_join_quality, benchmark_overlap_docs, url_predicate, jsonl_roundtrip,
+        assemble_docs, attribute_groups, sketch_states, class_share, mention_topk, class_rollup, class_color_index, event_sessions, running_chars, cache_hits, cache_misses, labels_join_quality, benchmark_overlap_docs, url_predicate, jsonl_roundtrip,
         align_status_counts, extraction_summary, unicode_token_stats, viz_html_len, exact_alignment, cached_answers, cache_new_rows, batch_answers, csv_roundtrip,
     )
 }
@@ -494,6 +516,11 @@ SELECT a.l_returnflag, a.l_orderkey, a.l_linenumber, count(*) AS n FROM p a JOIN
   FROM f JOIN m ON m.l_orderkey = f.l_orderkey AND m.n = f.k + 1
 ) SELECT l_orderkey, array_to_string(list_transform(arg_max(kept, k), lambda x: x.n), ',') AS kept FROM f GROUP BY l_orderkey""",
     "assemble_docs": f"SELECT CAST(doc_id AS VARCHAR) AS document_id, array_to_string(regexp_extract_all(text, '{RULES['email']}'), ' ') AS found FROM documents",
+    "attribute_groups": """WITH v AS (SELECT 'language' AS attribute, lang AS value, doc_id, source FROM documents UNION ALL SELECT 'kinds', CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'middling' ELSE 'long' END, doc_id, source FROM documents
+UNION ALL SELECT 'kinds', 'text', doc_id, source FROM documents)
+SELECT attribute, value, count(*) AS n, count(DISTINCT doc_id) AS n_documents, count(DISTINCT source) AS n_texts, min(source) AS first_text FROM v GROUP BY attribute, value""",
+    "sketch_states": """WITH s AS (SELECT lang, length(source) AS size, count(*) AS c FROM documents GROUP BY lang, length(source))
+SELECT lang, CAST(sum(c) AS BIGINT) AS n, true AS distinct_fits, true AS median_fits, max(c) AS top_count FROM s GROUP BY lang""",
     "class_share": "SELECT lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY lang",
     "mention_topk": "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source ORDER BY chars DESC, source LIMIT 10",
     "class_rollup": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)",

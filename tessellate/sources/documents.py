@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..types import ANNOTATED_DOCUMENT, STATUSES, InvalidDatasetError, InvalidDocumentError
+from . import storage
 
 DOCUMENT = "document_id string, text string, additional_context string"
 
 
+#: What an extraction in JSON lines may have.
+EXTRACTION_KEYS = ("extraction_class", "extraction_text", "char_interval", "alignment_status", "extraction_index", "group_index", "description", "attributes")
+
+
 def literal(spark: SparkSession, text: str, document_id: str | None = None, context: str | None = None) -> DataFrame:
     """One document; the id is made from the text where none is given."""
     df = spark.createDataFrame([(document_id, text, context)], DOCUMENT)
@@ -32,9 +37,17 @@ def from_table(df: DataFrame, id_col: str, text_col: str, context: str | None =
 
 
 def read_csv(spark: SparkSession, path: str, id_key: str, text_key: str, delimiter: str = ",") -> DataFrame:
-    """Id and text of a CSV file with a header; an empty cell is an empty text."""
+    """Id and text of a CSV file with a header; an empty cell is an empty text.
+
+    A missing file is an ``OSError``, one without a header or a wanted column an
+    ``InvalidDatasetError``.
+    """
     if not path.lower().endswith(".csv"):
         raise NotImplementedError(f"not a .csv path: {path}")
+    if not any(c in path for c in "*?[{") and not storage.exists(spark, path):
+        raise FileNotFoundError(f"no such file: {path}")
+    if spark.read.text(path).limit(1).isEmpty():
+        raise InvalidDatasetError(f"{path} is empty")
     df = spark.read.csv(path, header=True, sep=delimiter, multiLine=True, quote='"', escape='"')
     if missing := {id_key, text_key} - set(df.columns):
         raise InvalidDatasetError(f"{path} lacks the columns {sorted(missing)}")
@@ -75,11 +88,13 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = T.StructType.fromDDL(ANNOTATED_DOCUMENT.replace("attributes: string", "attributes: variant"))
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    keys = F.flatten(F.transform(F.from_json("value", "extractions array<map<string, variant>>")["extractions"], lambda e: F.map_keys(e)))
+    odd = F.coalesce(F.array_except(keys, F.array(*[F.lit(k) for k in EXTRACTION_KEYS])), F.array().cast("array<string>"))
+    parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d"), odd.alias("_odd")).select("d.*", "_odd")
     parsed = parsed.withColumn("extractions", F.transform("extractions", lambda e: e.withField("attributes", F.when(F.to_json(e["attributes"]) != "null", F.to_json(e["attributes"])))))
     known = F.forall(F.coalesce("extractions", F.array()), lambda e: e["alignment_status"].isNull() | e["alignment_status"].isin(*STATUSES))
-    text = F.when(known, F.col("text")).otherwise(F.raise_error(F.lit("unknown alignment status")).cast("string"))
-    return parsed.withColumn("text", text)
+    text = F.when(~known, F.raise_error(F.lit("unknown alignment status")).cast("string")).when(F.size("_odd") > 0, F.raise_error(F.concat(F.lit("unknown keys of an extraction: "), F.array_join("_odd", ", "))).cast("string")).otherwise(F.col("text"))
+    return parsed.withColumn("text", text).drop("_odd")
 
 
 def is_url(text: str) -> bool:
