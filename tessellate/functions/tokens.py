@@ -2,11 +2,12 @@
 
 The texts of a batch are one array of code points.  A table gives each code point its
 kind; tokens start where the kind changes, so all of them are found without looking at a
-character in Python.  Results are those of :mod:`kernels`' regular tokenizer.
+character in Python.  Results are those of :mod:`kernels`' tokenizers.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_right
 from functools import cache
 
@@ -33,6 +34,33 @@ def kinds() -> np.ndarray:
     return table
 
 
+#: Scripts whose letters go on in one token, besides Latin in ASCII, and what marks code points that join others to a cluster.
+_SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari")
+_JOINING = regex.compile(r"[\p{GCB=Extend}\p{GCB=ZWJ}\p{GCB=SpacingMark}\p{GCB=Prepend}\p{GCB=L}\p{GCB=V}\p{GCB=T}\p{GCB=Regional_Indicator}\p{Extended_Pictographic}]")
+
+
+@cache
+def unicode_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of every code point by its category, and its script: 0 for letters of scripts without spaces between words."""
+    kind_of, script = {"L": WORD, "N": NUMBER}, np.zeros(0x110000, np.uint8)
+    table = np.fromiter((kind_of.get(unicodedata.category(chr(k))[0], PUNCTUATION) for k in range(0x110000)), np.uint8, 0x110000)
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+        points = np.arange(low, high, dtype="<u4").tobytes().decode("utf-32-le")
+        for k, name in reversed(list(enumerate(_SCRIPTS, 1))):
+            for m in regex.finditer(rf"\p{{{name}}}+", points):
+                script[low + m.start() : low + m.end()] = k
+        for m in regex.finditer(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+", points):
+            script[low + m.start() : low + m.end()] = 0
+    script[:128] = 1
+    table[[k for k in range(0x3001) if chr(k).isspace()]] = _SPACE
+    return table, script
+
+
+def simple(text: str) -> bool:
+    """Whether every character of a text is a cluster by itself."""
+    return text.isascii() or _JOINING.search(text) is None
+
+
 def _points(chars: tuple[str, ...] | str) -> np.ndarray:
     return np.array(sorted(map(ord, chars)), np.uint32)
 
@@ -44,15 +72,19 @@ class Tokens:
     text d, ``at[d]`` its first code point.
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], by_script: bool = False):
+        """By kinds of characters, or (``by_script``, of :func:`simple` texts) by categories and scripts as ``kernels.unicode_tokens``."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.at = np.r_[0, np.cumsum(sizes)]
         self.points = points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         n = len(points)
-        self.kinds = kind = kinds()[points]
+        self.kinds = kind = (unicode_kinds()[0] if by_script else kinds())[points]
         new = np.ones(n, bool)
         if n:
             new[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] == PUNCTUATION) & (points[1:] != points[:-1]))
+            if by_script:
+                script = unicode_kinds()[1][points]
+                new[1:] |= (kind[1:] == WORD) & ((script[1:] != script[:-1]) | (script[1:] == 0))
             new[self.at[:-1][sizes > 0]] = True
         edges = np.r_[np.flatnonzero(new), n]
         real = kind[edges[:-1]] != _SPACE if n else np.zeros(0, bool)
@@ -61,8 +93,11 @@ class Tokens:
         self.first = np.searchsorted(self.start, self.at)
         lines = np.r_[0, np.cumsum((points == 10) | (points == 13))]
         before = np.r_[0, self.end[:-1]] if len(self.end) else self.end
+        heads = self.first[:-1][self.first[:-1] < self.first[1:]]
+        before[heads] = self.at[:-1][self.first[:-1] < self.first[1:]]
         self.broken = lines[self.start] > lines[before]
-        self.broken[self.first[:-1][self.first[:-1] < self.first[1:]]] = False
+        if not by_script:
+            self.broken[heads] = False
 
     def __len__(self) -> int:
         return len(self.start)

@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField,
 
 from ..functions import kernels
 from ..functions.kernels import Tokenizer
-from ..functions.tokens import Tokens
+from ..functions.tokens import Tokens, simple
 from ..types import TOKEN
 
 #: Fields of token, sentence and chunk rows, with their types.
@@ -66,42 +66,54 @@ def _spans(tokens: Tokens, starts: np.ndarray, ends: np.ndarray, number: str) ->
     return of, {number: _ints(_numbers(of)), "token_start": _ints(starts - first), "token_end": _ints(ends - first), "char_start": _ints(head), "char_end": _ints(tail)}
 
 
-def _token_rows(texts: list[str], tokenizer: str | Tokenizer) -> Found:
-    if tokenizer != "regex":
-        tokenize = kernels.tokenizer_of(tokenizer)
-        return _of_tuples(texts, lambda x: [(k, x[t[1] : t[2]], *t) for k, t in enumerate(tokenize(x))], list(TOKEN_FIELDS), TOKEN_FIELDS)
-    tokens = Tokens(texts)
-    of = tokens.text_of()
-    at = tokens.at[of]
-    columns = {"index": _ints(np.arange(len(of)) - tokens.first[of]), "token": tokens.strings, "token_type": _ints(tokens.kind), "start_pos": _ints(tokens.start - at), "end_pos": _ints(tokens.end - at)}
-    return of, columns | {"first_token_after_newline": lambda: pa.array(tokens.broken)}
-
+def _by_arrays(texts: list[str], tokenizer: str | Tokenizer) -> Iterator[tuple[int, list[str], bool]]:
+    """Runs of texts with the number of the first, and whether they can be worked on as arrays: all but own tokenizers and, by ``unicode``, texts with clusters."""
+    if tokenizer == "regex":
+        yield 0, texts, True
+        return
+    flags = [tokenizer == "unicode" and simple(t) for t in texts]
+    first = 0
+    for k in range(1, len(texts) + 1):
+        if k == len(texts) or flags[k] != flags[first]:
+            yield first, texts[first:k], flags[first]
+            first = k
+
+
+def _found(texts: list[str], tokenizer: str | Tokenizer, fields: dict[str, str], arrays: Callable[[Tokens, list[str]], Found], single: Callable[[str, list], list[tuple]]) -> Found:
+    """Rows of ``texts``, by arrays where possible, else text by text."""
+    parts = []
+    for first, own, fast in _by_arrays(texts, tokenizer) if texts else ():
+        if fast:
+            of, columns = arrays(Tokens(own, tokenizer == "unicode"), own)
+        else:
+            tokenize = kernels.tokenizer_of(tokenizer)
+            of, columns = _of_tuples(own, lambda x, t=tokenize: single(x, t(x)), list(fields), fields)
+        parts.append((of + first, columns))
+    if len(parts) == 1:
+        return parts[0]
+    none = {n: (lambda k=k: pa.array([], _ARROW[k])) for n, k in fields.items()}
+    return np.concatenate([np.zeros(0, np.int64), *(of for of, _ in parts)]), {n: (lambda n=n: pa.concat_arrays([c[n]() for _, c in parts])) if parts else none[n] for n in fields}
 
-def _sentence_rows(texts: list[str], tokenizer: str | Tokenizer) -> Found:
-    if tokenizer != "regex":
-        tokenize = kernels.tokenizer_of(tokenizer)
 
-        def rows(x: str) -> list[tuple]:
-            tokens = tokenize(x)
-            return [(k, a, b, tokens[a][1], tokens[b - 1][2]) for k, (a, b) in enumerate(kernels.sentences(x, tokens))]
+def _token_rows(texts: list[str], tokenizer: str | Tokenizer) -> Found:
+    def arrays(tokens: Tokens, _) -> Found:
+        of = tokens.text_of()
+        at = tokens.at[of]
+        columns = {"index": _ints(np.arange(len(of)) - tokens.first[of]), "token": tokens.strings, "token_type": _ints(tokens.kind), "start_pos": _ints(tokens.start - at), "end_pos": _ints(tokens.end - at)}
+        return of, columns | {"first_token_after_newline": lambda: pa.array(tokens.broken)}
 
-        return _of_tuples(texts, rows, list(SENTENCE_FIELDS), SENTENCE_FIELDS)
-    tokens = Tokens(texts)
-    return _spans(tokens, *tokens.sentences(), "sentence_index")
+    return _found(texts, tokenizer, TOKEN_FIELDS, arrays, lambda x, tokens: [(k, x[t[1] : t[2]], *t) for k, t in enumerate(tokens)])
 
 
-def _chunk_rows(texts: list[str], tokenizer: str | Tokenizer, most: int, before: int = 0) -> Found:
-    if tokenizer != "regex":
-        tokenize = kernels.tokenizer_of(tokenizer)
+def _sentence_rows(texts: list[str], tokenizer: str | Tokenizer) -> Found:
+    single = lambda x, tokens: [(k, a, b, tokens[a][1], tokens[b - 1][2]) for k, (a, b) in enumerate(kernels.sentences(x, tokens))]
+    return _found(texts, tokenizer, SENTENCE_FIELDS, lambda tokens, _: _spans(tokens, *tokens.sentences(), "sentence_index"), single)
 
-        def rows(x: str) -> list[tuple]:
-            tokens = tokenize(x)
-            return [(k, a, b, tokens[a][1], tokens[b - 1][2]) for k, (a, b) in enumerate(kernels.chunks(x, tokens, most))]
 
-        of, columns = _of_tuples(texts, rows, list(CHUNK_FIELDS)[:-1], CHUNK_FIELDS)
-    else:
-        tokens = Tokens(texts)
-        of, columns = _spans(tokens, *tokens.chunks(most), "chunk_index")
+def _chunk_rows(texts: list[str], tokenizer: str | Tokenizer, most: int, before: int = 0) -> Found:
+    fields = {n: k for n, k in CHUNK_FIELDS.items() if n != "chunk_text"}
+    single = lambda x, tokens: [(k, a, b, tokens[a][1], tokens[b - 1][2]) for k, (a, b) in enumerate(kernels.chunks(x, tokens, most))]
+    of, columns = _found(texts, tokenizer, fields, lambda tokens, _: _spans(tokens, *tokens.chunks(most), "chunk_index"), single)
 
     def cut() -> list[str]:
         heads, tails = columns["char_start"]().to_pylist(), columns["char_end"]().to_pylist()

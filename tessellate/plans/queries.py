@@ -337,7 +337,15 @@ def benchmark_overlap_docs(spark, sf_dir):
 
 
 def url_predicate(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy(sources.url_column(F.col("url")).alias("is_url")).agg(F.count("*").alias("n"))
+    """Every page's address and what can be made of it: other schemes, no scheme, hosts without a dot, white space, ports, IP addresses."""
+    u = F.col("url")
+    path = F.regexp_replace(u, "^https?://[^/]*", "")
+    forms = {
+        "as it is": u, "other scheme": F.regexp_replace(u, "^https?", "ftp"), "no scheme": F.regexp_replace(u, "^https?://", ""), "blanks around": F.concat(F.lit(" \t"), u, F.lit("\n")), "blank inside": F.concat(u, F.lit(" x")),
+        "no dot": F.concat(F.lit("http://host"), path), "local": F.concat(F.lit("http://localhost:80"), path), "numbers": F.concat(F.lit("https://10.0.0.1"), path), "no host": F.concat(F.lit("http://"), path), "query": F.concat(u, F.lit("?q=a.b#c")),
+    }
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("url")) for k, v in forms.items()])).alias("x"))
+    return rows.groupBy("x.form", sources.url_column(F.col("x.url")).alias("is_url")).agg(F.count("*").alias("n"))
 
 
 def jsonl_roundtrip(spark, sf_dir):
@@ -398,6 +406,13 @@ def unicode_token_stats(spark, sf_dir):
     return rows
 
 
+def mixed_script_tokens(spark, sf_dir):
+    """Documents with Cyrillic vowels in Latin words, by the Unicode tokenizer, which ends a token where the script changes."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.translate("text", "aeouy", "аеоуы").alias("text"))
+    found = documents.token_rows(rows, "doc_id", tokenizer="unicode", fields=("token_type", "start_pos", "end_pos"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count(F.when(F.col("token_type") == 0, 1)).alias("n_words"), F.sum("start_pos").alias("sum_start"), F.max(F.col("end_pos") - F.col("start_pos")).cast("bigint").alias("longest"))
+
+
 def viz_html_len(spark, sf_dir):
     annotated = plan.extract(_as_documents(spark, sf_dir), _spec())
     return annotated.filter(F.size("extractions") > 0).select("document_id", F.length(review.page_column(F.col("text"), F.col("extractions"))).cast("bigint").alias("n_html"))
@@ -409,7 +424,7 @@ QUERIES = {
         extract_documents, extract_whole_documents, doc_scan_project, doc_filter_lang, doc_prompt_dedup, token_stats_by_doc, token_type_counts, newline_flags, token_norm_topk, sentence_stats_by_doc, sanitize_text,
         chunk_stats_by_doc, conversation_context, prompt_render_len, batch_assign, fence_extract, json_parse_status, rules_mentions, overlap_pairs, overlap_semi, overlap_anti, interval_overlaps, multipass_merge,
         assemble_docs, attribute_groups, sketch_states, class_share, mention_topk, class_rollup, class_color_index, event_sessions, running_chars, cache_hits, cache_misses, labels_join_quality, benchmark_overlap_docs, url_predicate, jsonl_roundtrip,
-        align_status_counts, extraction_summary, unicode_token_stats, viz_html_len, exact_alignment, cached_answers, cache_new_rows, batch_answers, csv_roundtrip,
+        align_status_counts, extraction_summary, unicode_token_stats, mixed_script_tokens, viz_html_len, exact_alignment, cached_answers, cache_new_rows, batch_answers, csv_roundtrip,
     )
 }
 
@@ -533,7 +548,7 @@ SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n
     "cache_misses": "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
     "labels_join_quality": "SELECT lang, quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, quality",
     "benchmark_overlap_docs": f"SELECT doc_id, item_id, count(*) AS n_common FROM ({_GRAMS.format('doc_id', 'documents')}) JOIN ({_GRAMS.format('item_id', 'benchmark')}) USING (g) GROUP BY doc_id, item_id",
-    "url_predicate": r"SELECT regexp_matches(url, '^https?://[^/:?# ]+\.[^/:?# ]+([/:?#]|$)') AS is_url, count(*) AS n FROM pages GROUP BY 1",
+    "url_predicate": "SELECT unnest(['as it is', 'other scheme', 'no scheme', 'blanks around', 'blank inside', 'no dot', 'local', 'numbers', 'no host', 'query']) AS form, unnest([true, false, false, true, false, false, true, true, false, true]) AS is_url, count(*) AS n FROM pages",
     "jsonl_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS document_id, length(text) AS n_chars, source, lang, length(source) AS end_pos FROM documents",
     "exact_alignment": """SELECT conv_id, turn, 'role' AS extraction_class, role AS extraction_text, CASE WHEN role IN ('user', 'assistant') THEN 'match_exact' END AS alignment_status,
   CAST(CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 9 END AS BIGINT) AS start_pos, CAST(CASE role WHEN 'user' THEN 4 WHEN 'assistant' THEN 18 END AS BIGINT) AS end_pos,
@@ -546,6 +561,9 @@ e AS (SELECT request_key, count(*) FILTER (WHERE doc_id % 2 = 0) AS n_even, coun
 SELECT request_key, CASE WHEN n_even > 0 THEN 'cached' ELSE own END AS output, n AS n_documents, greatest(n_even, 1) AS n_rows FROM e""",
     "batch_answers": f"SELECT doc_id, {_KEY} AS request_key, length(text) || ' characters' AS output FROM documents",
     "csv_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS document_id, sha256(text) AS text_sha256 FROM documents",
+    "mixed_script_tokens": _TOKENS.replace("FROM documents", "FROM (SELECT doc_id, translate(text, 'aeouy', 'аеоуы') AS text FROM documents)").replace(r"""WHEN regexp_matches(ch, '^\p{Nd}$') THEN 2 WHEN ch = '_' THEN 3
+    WHEN regexp_matches(ch, '^[\p{L}\p{M}\p{Nl}\p{Pc}]$') THEN 1 ELSE 3 END""", r"WHEN regexp_matches(ch, '^\p{N}$') THEN 2 WHEN NOT regexp_matches(ch, '^\p{L}$') THEN 3 WHEN regexp_matches(ch, '^\p{Cyrillic}$') THEN 4 ELSE 1 END").replace("WHEN 1 THEN 0 WHEN 2", "WHEN 1 THEN 0 WHEN 4 THEN 0 WHEN 2")
+    + "SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE token_type = 0) AS n_words, CAST(sum(start_pos) AS BIGINT) AS sum_start, max(end_pos - start_pos) AS longest FROM tok GROUP BY doc_id",
     "unicode_token_stats": _TOKENS + "SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id",
     "extract_whole_documents": _FOUND + _BY_CLASS,
 }

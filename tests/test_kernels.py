@@ -331,10 +331,30 @@ def test_t1_t8_c1_arrays_are_the_single_text_versions():
         spans = lambda s, e: [(int(x) - a, int(y) - a) for x, y in zip(s, e, strict=True) if a <= x < b]
         assert spans(heads, tails) == list(kernels.sentences(text, want))
         assert all(spans(*c) == list(kernels.chunks(text, want, most)) for most, c in cut.items())
+    plain = [t for t in TEXTS if tokens_module.simple(t)] + ["Öl хлеб ψωμί اب 面包 ขนม ½ⅷ٣ $$ __ x²\u2028y", "\n\n(パン) 뺑 12.5%"]
+    assert 200 < len(plain) < len(TEXTS) + 2
+    found = tokens_module.Tokens(plain, by_script=True)
+    heads, tails = found.sentences()
+    for d, text in enumerate(plain):
+        a, b, at = int(found.first[d]), int(found.first[d + 1]), found.at[d]
+        want = kernels.unicode_tokens(text)
+        assert list(zip(found.kind[a:b], found.start[a:b] - at, found.end[a:b] - at, found.broken[a:b], strict=True)) == want, text
+        assert [(int(x) - a, int(y) - a) for x, y in zip(heads, tails, strict=True) if a <= x < b] == list(kernels.sentences(text, want)), text
     for none in ([], ["", " "]):
         assert len(tokens_module.Tokens(none)) == len(tokens_module.Tokens(none).strings()) == len(tokens_module.Tokens(none).chunks(5)[0]) == 0
 
 
+def test_t4_simple_characters_are_clusters_by_themselves():
+    """Every character that isn't said to join is a cluster of its own, also beside letters and its like."""
+    for k in [*range(0x3400), *range(0xA000, 0xD800, 7), *range(0xE000, 0x20000, 5)]:
+        ch = chr(k)
+        if tokens_module.simple(ch) and ch not in "\r\n":
+            assert len(kernels.regex.findall(r"\X", f"a{ch}{ch}b각")) == 5, hex(k)
+        wide = f"a{ch}1{ch}" if tokens_module.simple(ch) else "a1"
+        tokens = tokens_module.Tokens([wide], by_script=True)
+        assert list(zip(tokens.kind, tokens.start, tokens.end, tokens.broken, strict=True)) == kernels.unicode_tokens(wide), hex(k)
+
+
 def test_r1_fences():
     cases = {
         "no fence": [], "```json\n[1]\n```": [("json", "[1]")], "a ```{}``` b": [("", "{}")], "```YAML x: 1\n```": [("yaml", "x: 1")],

@@ -1,8 +1,11 @@
 """The DataFrame operators against the kernels, sources and sinks, whole plans, streams, and all SQL."""
 
 import datetime
+import difflib
 import json
+import re
 import sys
+from collections import Counter
 
 import duckdb
 import pytest
@@ -10,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessellate.functions import formats, kernels, text
+from tessellate.functions import alignment, formats, kernels, text
 from tessellate.functions.formats import Example, Extraction, Template
 from tessellate.operators import documents, extraction, inference, review
 from tessellate.plans import extract as plan
@@ -218,6 +221,30 @@ def test_queries_give_their_sqls_rows(name, spark, sf, duck):
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), names)
 
 
+def plain_blocks(source, joined):
+    return [tuple(b) for b in difflib.SequenceMatcher(None, source, joined, autojunk=False).get_matching_blocks() if b.size]
+
+
+def test_align_status_counts_and_pages_are_plain_ones(spark, sf, monkeypatch):
+    """The whole plan text by text: chunks, patterns, a general diff, pages built one by one."""
+    monkeypatch.setattr(alignment, "matching_blocks", plain_blocks)
+    counts, pages = Counter(), {}
+    for doc_id, body in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        tokens, found = kernels.regex_tokens(body), []
+        for a, b in kernels.chunks(body, tokens, 1000):
+            start = tokens[a][1]
+            chunk = body[start : tokens[b - 1][2]]
+            hits = sorted((m.start(), name, m[0]) for name, pattern in queries.RULES.items() for m in re.finditer(pattern, chunk))
+            if hits:
+                places = alignment.align(chunk, [h for _, _, h in hits], char_offset=start)
+                counts.update((name, g.status if g else "none") for (_, name, _), g in zip(hits, places, strict=True))
+                found += [{"extraction_class": name, "extraction_text": h, "char_interval": g and {"start_pos": g.char_start, "end_pos": g.char_end}, "attributes": None} for (_, name, h), g in zip(hits, places, strict=True)]
+        if found:
+            pages[str(doc_id)] = len(review.page(body, found))
+    assert {tuple(r)[:2]: r[2] for r in queries.align_status_counts(spark, sf).collect()} == counts
+    assert {r[0]: r[1] for r in queries.viz_html_len(spark, sf).collect()} == pages
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
