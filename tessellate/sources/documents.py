@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Iterable
+from itertools import islice
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,34 @@ def made_id(text: Column) -> Column:
     return F.concat(F.lit("doc_"), F.lower(F.lpad(F.hex(F.xxhash64(F.coalesce(text, F.lit("")))), 16, "0")))
 
 
+def from_iterable(spark: SparkSession, items: Iterable[str | dict | tuple], rows_a_part: int = 50_000, path: str | None = None) -> DataFrame:
+    """Documents of an iterable, in its order of parts, from texts, mappings (``text``, ``document_id``, ``additional_context``) or tuples (id, text[, context]).
+
+    The driver holds ``rows_a_part`` items at a time: each part is written to shared
+    storage before the next is drawn, so an iterable may be longer than the memory.  Ids
+    are made from the texts where none are given.  No items give an empty table.
+    """
+    path, parts = path or storage.fresh_path(spark, "documents"), 0
+
+    def row(item: str | dict | tuple) -> tuple:
+        if isinstance(item, str):
+            return None, item, None
+        if isinstance(item, dict):
+            if odd := set(item) - {"text", "document_id", "additional_context"}:
+                raise InvalidDocumentError(f"unknown keys of a document: {sorted(odd)}")
+            return item.get("document_id"), item["text"], item.get("additional_context")
+        return (*item, None)[:3]
+
+    items = iter(items)
+    while held := [row(x) for x in islice(items, rows_a_part)]:
+        df = spark.createDataFrame(held, DOCUMENT)
+        df.withColumn("document_id", F.coalesce("document_id", made_id(F.col("text")))).write.mode("overwrite").parquet(f"{path}/part={parts:06d}")
+        parts += 1
+    if not parts:
+        return spark.createDataFrame([], DOCUMENT)
+    return spark.read.schema(DOCUMENT).parquet(*[f"{path}/part={k:06d}" for k in range(parts)])
+
+
 def from_table(df: DataFrame, id_col: str, text_col: str, context: str | None = None) -> DataFrame:
     """Documents of any table; ``context`` fills in where the table has no context of its own."""
     own = F.col("additional_context") if "additional_context" in df.columns else F.lit(None).cast("string")

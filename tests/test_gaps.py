@@ -16,7 +16,7 @@ from tessellate.operators import inference
 from tessellate.plans import extract as plan
 from tessellate.sources import documents as sources
 from tessellate.sources import downloads
-from tessellate.types import InvalidDatasetError, ProviderError
+from tessellate.types import InvalidDatasetError, InvalidDocumentError, ProviderError
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
 EXAMPLE = pathlib.Path(__file__).parent.parent / "examples" / "keyword_provider"
@@ -25,6 +25,22 @@ EXAMPLE = pathlib.Path(__file__).parent.parent / "examples" / "keyword_provider"
 # -- sources ---------------------------------------------------------------------------
 
 
+def test_s2_documents_of_an_iterable(spark):
+    drawn = []
+
+    def items():
+        for k in range(7):
+            drawn.append(k)
+            yield [f"text {k}", {"text": f"text {k}", "document_id": f"d{k}"}, (f"t{k}", f"text {k}", "own")][k % 3]
+
+    rows = sources.from_iterable(spark, items(), rows_a_part=3).collect()
+    assert drawn == list(range(7)) and sorted(r.text for r in rows) == [f"text {k}" for k in range(7)]
+    assert {r.document_id for r in rows} == {"d1", "d4", "t2", "t5", *(sources.literal(spark, f"text {k}").collect()[0].document_id for k in (0, 3, 6))}
+    assert {r.additional_context for r in rows} == {None, "own"} and sources.from_iterable(spark, []).count() == 0
+    with pytest.raises(InvalidDocumentError):
+        sources.from_iterable(spark, [{"text": "a", "colour": "red"}])
+
+
 def test_s4_missing_and_empty_csv(spark, tmp_path):
     with pytest.raises(OSError, match="absent"):
         sources.read_csv(spark, str(tmp_path / "absent.csv"), "id", "note")
