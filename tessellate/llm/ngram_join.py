@@ -36,6 +36,8 @@ SLICE, COUNTED = 256, 1 << 20
 FREQUENT, SELDOM = 1 << 19, 3
 #: 64-bit words of parities that a class carries.
 PARITIES = 8
+#: Rounds in which classes of different groups are compared with one of their key each, before all that is left are compared.
+STARS = 5
 
 
 #: A random number for every byte, the same for both cases of A-Z, and whether it is white space.
@@ -277,12 +279,19 @@ def _alike(a: str, b: str, least: int) -> Column:
 
 
 def _stars(rows: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: every id of a key with one id of it."""
-    centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("centre"))).alias("c"))
-    both = rows.join(centre, "key").filter(F.col("id") != F.col("c.centre"))
+    """``a, b``: every id of a key with one id of it, of another root."""
+    centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("centre"), F.col("root").alias("other"))).alias("c"))
+    both = rows.join(centre, "key").filter(F.col("root") != F.col("c.other"))
     return both.select(F.least("id", "c.centre").alias("a"), F.greatest("id", "c.centre").alias("b"))
 
 
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, id, i, root``: the rows of keys whose classes aren't all joined."""
+    rooted = rows.select("key", "id", "i").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    return rooted.join(keys, "key")
+
+
 def _paired(pairs: DataFrame, short: DataFrame, least: int) -> DataFrame:
     """``a, b, n, m`` of the distinct pairs whose sizes and parities (``short``) allow the similarity."""
     of = lambda c: short.select(F.col("id").alias(c), F.struct("n", *[f"p{k}" for k in range(PARITIES)]).alias(f"of_{c}"))
@@ -290,15 +299,13 @@ def _paired(pairs: DataFrame, short: DataFrame, least: int) -> DataFrame:
     return found.select("a", "b", F.col("of_a.n").alias("n"), F.col("of_b.n").alias("m"))
 
 
-def _apart(rows: DataFrame, short: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """``a, b, n, m``: all pairs of one key and different roots whose sizes, places and parities allow the similarity.
+def _apart(rows: DataFrame, short: DataFrame, least: int) -> DataFrame:
+    """``a, b, n, m``: all pairs of one key and different roots (``rows`` of :func:`_open`) whose sizes, places and parities allow the similarity.
 
     A key's rows are dealt out by size: sizes of similar sets lie in one class of sizes or
     in neighbouring ones.
     """
-    rooted = rows.select("key", "id", "i").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    rooted = rooted.join(keys, "key").join(short, "id")
+    rooted = rows.join(short, "id")
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / least)).cast("int")
     sized = rooted.withColumn("size", size)
     own = sized.select("key", "size", F.struct(*sized.columns).alias("x"))
@@ -312,9 +319,10 @@ def _apart(rows: DataFrame, short: DataFrame, roots: DataFrame, least: int) -> D
 # -- counting --------------------------------------------------------------------------
 
 
-def segments(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, fragments: int, order: Broadcast) -> DataFrame:
-    """``id, fragment, segment`` of the classes that ``pairs`` name, from a text of each; on disk, dealt by fragment."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "digest", F.col("one.k").alias("_k"), F.col("one.h").alias("_h")), "id")
+def segments(texts: DataFrame, classes: DataFrame, pairs: DataFrame, cut: DataFrame, words: int, fragments: int, order: Broadcast) -> DataFrame:
+    """``id, fragment, segment`` of the classes that ``pairs`` name and ``cut`` hasn't, from a text of each; on disk, dealt by fragment."""
+    fresh = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(cut.select("id"), "id", "left_anti")
+    ends = fresh.join(classes.select("id", "digest", F.col("one.k").alias("_k"), F.col("one.h").alias("_h")), "id")
     found = texts.join(ends, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k"))).select("id", "digest", "t").dropDuplicates(["id", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,12 +381,26 @@ def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST, fragments: i
     classes = written(of.withColumn("id", F.monotonically_increasing_id()), "classes")
     short = classes.select("id", "n", *[F.get("parities", F.lit(k)).alias(f"p{k}") for k in range(PARITIES)])
     rows = written(met(classes), "met")
-    first = written(_paired(_stars(rows, 0).union(_stars(rows, 1)), short, least), "pairs")
-    edges = similar(first, segments(texts, classes, first, words, fragments, order), fragments, least)
-    roots = components(edges)
-    more = written(_apart(rows, short, roots, least).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    edges = edges.union(similar(more, segments(texts, classes, more, words, fragments, order), fragments, least))
-    roots = components(edges)
+    edges, tested = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "a bigint, b bigint")
+    cut, roots = spark.createDataFrame([], "id bigint, fragment int, segment array<bigint>"), spark.createDataFrame([], "node bigint, root bigint")
+    turn, last = 0, False
+    while not last:
+        last = turn == STARS  # or a round found nothing: then all that is left
+        left = written(_open(rows, roots), "open")
+        pairs = _apart(left, short, least) if last else _paired(_stars(left, 2 * turn).union(_stars(left, 2 * turn + 1)), short, least)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            turn = STARS
+            continue
+        turn += 1
+        cut = cut.unionByName(segments(texts, classes, pairs, cut, words, fragments, order))
+        found = written(similar(pairs, cut, fragments, least), "edges")
+        tested = tested.union(pairs.select("a", "b"))
+        if found.limit(1).count():
+            edges = edges.union(found)
+            roots = components(edges)
+        else:
+            turn = STARS
     rooted = classes.select("id", "digest", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(groups, "root").select("digest", "component_id")
