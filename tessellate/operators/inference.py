@@ -159,7 +159,7 @@ def _post(url: str, body: dict, headers: dict, timeout: float) -> dict:
 class LocalServer(Http):
     """A local model server's generate call; models of the ``gpt-oss`` family get their JSON prompts by its chat call."""
 
-    address_variable = "OLLAMA_BASE_URL"
+    address_variable = "OLLAMA_BASE_URL"  # fixed value
 
     def __init__(self, model: str, url: str = "http://localhost:11434", kind: str = "json", **settings):
         self.chat = kind == "json" and "gpt-oss" in model.lower()
@@ -200,7 +200,7 @@ class LocalServer(Http):
 class Chat(Http):
     """A chat-completions call with a system message and an optional response schema."""
 
-    key_variables = ("OPENAI_API_KEY", "TESSELLATE_API_KEY")
+    key_variables = ("OPENAI_API_KEY", "TESSELLATE_API_KEY")  # fixed values
 
     PASSED = ("temperature", "max_tokens", "top_p", "seed", "stop", "frequency_penalty", "presence_penalty")
 
@@ -226,7 +226,7 @@ class Chat(Http):
 class Generative(Http):
     """A hosted generate-content call below ``url``: one user turn, an optional response schema, the key as a header."""
 
-    key_variables = ("GEMINI_API_KEY", "TESSELLATE_API_KEY")
+    key_variables = ("GEMINI_API_KEY", "TESSELLATE_API_KEY")  # fixed values
 
     PASSED = {"temperature": "temperature", "max_tokens": "maxOutputTokens", "top_p": "topP", "top_k": "topK", "stop": "stopSequences", "seed": "seed"}
 
