@@ -34,7 +34,7 @@ ITEM_TYPE = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text",
 FACTS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 FACTS_DDL = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 #: Elements that stay inside a text block.
-INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em i kbd mark math mfrac mi mn mo mrow msqrt msub msup mtext q s samp small span strong sub sup time u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext nobr picture q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset(("script", "style", "template", "noscript"))
 
 
