@@ -18,6 +18,9 @@ joined with all earlier ones.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,11 +121,14 @@ def close_pairs(rows: DataFrame, n_classes: int) -> DataFrame:
     window = F.pmod(F.xxhash64("token", F.pmod(F.xxhash64(*CLASS), salts)), F.lit(windows))
     order = Window.partitionBy("window").orderBy("token", "k", "pos")
     fields = (*CLASS, "token", "n", "i", "bits")
-    before = F.array(*[F.lag(F.struct(*fields), j).over(order) for j in BEFORE])
-    met = rows.withColumn("window", window).select(*fields, before.alias("before")).select(*fields, F.explode("before").alias("y"))
-    x, y = {c: F.col(c) for c in fields}, {c: F.col(f"y.{c}") for c in fields}
-    met = met.filter((x["token"] == y["token"]) & _may_be(x, y))
-    return _pairs(met.select(*[x[c].alias(f"x{c}") for c in CLASS], *[y[c].alias(f"y{c}") for c in CLASS]))
+    lagged = rows.withColumn("window", window).select(*fields, *[F.lag(F.struct(*fields), j).over(order).alias(f"y{j}") for j in BEFORE])
+    x = {c: F.col(c) for c in fields}
+    may_be = {j: (x["token"] == F.col(f"y{j}.token")) & _may_be(x, {c: F.col(f"y{j}.{c}") for c in fields}) for j in BEFORE}
+    # Most rows meet nobody: they go before the others are exploded.
+    met = lagged.filter(reduce(or_, may_be.values()))
+    ends = [F.when(test, F.struct(*[F.col(f"y{j}.{c}").alias(f"y{c}") for c in CLASS])) for j, test in may_be.items()]
+    met = met.select(*[x[c].alias(f"x{c}") for c in CLASS], F.explode(F.array(*ends)).alias("y")).filter("y IS NOT NULL")
+    return _pairs(met.select(*[f"x{c}" for c in CLASS], "y.*"))
 
 
 def all_pairs(rows: DataFrame) -> DataFrame:
