@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellate.sources.storage import shared_dir
+
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Select ``internal=name`` columns by exact name and position.
@@ -36,22 +36,6 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 DICTIONARY_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    It is read from the session.  Only where it is unset and driver and executors are one
-    process (tests, a single machine) a temporary folder is taken; a cluster must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not known.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tessellate-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 @contextmanager
 def _cleaned(spark: SparkSession) -> Iterator[None]:
     """Queries that end in here leave no shuffle files behind."""
@@ -63,8 +47,8 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
+def written_at(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it again; also its path, for :func:`forgotten`.
 
     Cuts the lineage: an executor lost later costs a re-read, not a recomputation, and a
     column-pruned reader touches only what it needs.  Its shuffle files go at once, so the
@@ -74,7 +58,12 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     path = f"{shared_dir(spark)}/tessellate-{name}-{uuid.uuid4().hex}"
     with _cleaned(spark):
         df.write.parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """:func:`written_at`, for a table that stays."""
+    return written_at(df, name, partition_by)[0]
 
 
 def forgotten(spark: SparkSession, path: str) -> None:

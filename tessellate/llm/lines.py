@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, numbered, pick, written
+from .common import bucketed, forgotten, numbered, pick, written, written_at
 from .sketch import BLANKS, split_words
 
 #: The frequency table has a bucket for every two classes, but no more than this power of two.
@@ -101,12 +101,12 @@ def _may_be(x: dict[str, Column], y: dict[str, Column]) -> Column:
     return parities & sizes & places
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    """Class pairs ``x…`` (later), ``y…`` (earlier), each once, on disk."""
-    return written(found.distinct(), "line-pairs")
+def _pairs(found: DataFrame) -> tuple[DataFrame, str]:
+    """Class pairs ``x…`` (later), ``y…`` (earlier), each once, on disk, and where."""
+    return written_at(found.distinct(), "line-pairs")
 
 
-def close_pairs(rows: DataFrame, n_classes: int) -> DataFrame:
+def close_pairs(rows: DataFrame, n_classes: int) -> tuple[DataFrame, str]:
     """First round: a few earlier classes in the buckets of the rarest tokens.
 
     Rows of many buckets are one window's, or the windows would be too small to be quick; a
@@ -125,7 +125,7 @@ def close_pairs(rows: DataFrame, n_classes: int) -> DataFrame:
     return _pairs(met.select(*[x[c].alias(f"x{c}") for c in CLASS], *[y[c].alias(f"y{c}") for c in CLASS]))
 
 
-def all_pairs(rows: DataFrame) -> DataFrame:
+def all_pairs(rows: DataFrame) -> tuple[DataFrame, str]:
     """Second round: every class not ``settled`` with every earlier one that it may be similar to."""
     a, b = rows.alias("a"), rows.alias("b")
     x, y = ({c: F.col(f"{side}.{c}") for c in rows.columns} for side in "ab")  # the larger and the smaller
@@ -141,17 +141,24 @@ def all_pairs(rows: DataFrame) -> DataFrame:
     return _pairs(met.select(*later, *earlier))
 
 
-def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """``h1, h2`` of the later classes of ``pairs`` that are similar to the earlier one, each once."""
+def verified(found_pairs: tuple[DataFrame, str], found: DataFrame) -> DataFrame:
+    """``h1, h2`` of the later classes of the pairs that are similar to the earlier one, each once.
+
+    The pairs and the token sets of their classes are deleted as soon as the answer is written.
+    """
+    pairs, pairs_path = found_pairs
     ends = pairs.select("xk", "xpos").union(pairs.select("yk", "ypos")).toDF(*CLASS).distinct()
     ends = ends.join(found.select(*CLASS, "h1", "h2"), list(CLASS)).select("h1", "h2")
-    sets = written(found.join(ends, ["h1", "h2"], "left_semi"), "line-sets")
+    sets, sets_path = written_at(found.join(ends, ["h1", "h2"], "left_semi"), "line-sets")
     x = sets.select(F.col("k").alias("xk"), F.col("pos").alias("xpos"), F.col("tokens").alias("xtokens"), "h1", "h2")
     y = sets.select(F.col("k").alias("yk"), F.col("pos").alias("ypos"), F.col("tokens").alias("ytokens"))
     common = F.size(F.array_intersect("xtokens", "ytokens"))
     enough = common * (NUM + DEN) >= (F.size("xtokens") + F.size("ytokens")) * NUM
     near = pairs.join(x, ["xk", "xpos"]).join(y, ["yk", "ypos"]).filter(enough)
-    return written(near.select("h1", "h2").distinct(), "line-removals")
+    made = written(near.select("h1", "h2").distinct(), "line-removals")
+    for path in (pairs_path, sets_path):
+        forgotten(found.sparkSession, path)
+    return made
 
 
 def similar(found: DataFrame) -> DataFrame:
