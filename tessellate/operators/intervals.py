@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.storage import fresh_path, materialized
 
 #: A level's cells are so many times as wide as those of the level below, as a power of two.
 STEP = 3
 LEVELS = 21
 #: Rows of a cell beyond which it is dealt out over several tasks.
 HOT = 50_000
+#: Running sums are made in cells of so many positions, as a power of two, and those of cells likewise.
+RUN = 16
 
 
 def _level(length: Column) -> Column:
@@ -71,3 +76,52 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], start: str =
     one = _met(home(a), probe(b), keys, False, hot).select(F.col("_a").alias("left"), F.col("_b").alias("right"))
     other = _met(home(b), probe(a), keys, True, hot).select(F.col("_b").alias("left"), F.col("_a").alias("right"))
     return one.unionAll(other)
+
+
+def _running(sums: DataFrame, keys: list[str], measures: list[str], low: int, high: int) -> DataFrame:
+    """``sums`` (a row for each ``keys, _p``) with ``_to…``: the sums of each measure over all rows of the keys up to ``_p``.
+
+    A window has the rows of one cell; what comes before a cell is the running sum over cells,
+    made in the same way.  Positions are from ``low`` to ``high``.
+    """
+    over = lambda *by: Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    running = lambda rows, *by: rows.select("*", *[F.sum(m).over(over(*by)).alias(f"_to{m}") for m in measures])
+    if high - low < 1 << RUN:
+        return running(sums, *keys)
+    celled = sums.withColumn("_cell", F.call_function("shiftright", F.col("_p"), F.lit(RUN)))
+    cells = celled.groupBy(*keys, F.col("_cell").alias("_p")).agg(*[F.sum(m).alias(m) for m in measures])
+    before = _running(cells, keys, measures, low >> RUN, high >> RUN).select(*keys, F.col("_p").alias("_cell"), *[(F.col(f"_to{m}") - F.col(m)).alias(f"_before{m}") for m in measures])
+    found = running(celled, *keys, "_cell").join(before, [*keys, "_cell"])
+    return found.select(*sums.columns, *[(F.col(f"_to{m}") + F.col(f"_before{m}")).alias(f"_to{m}") for m in measures])
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """The rows of ``left`` that overlap any row of ``right``, with their number ``n``: :func:`overlapping`, counted without its pairs.
+
+    An interval overlaps all that start before its end, less those that end at its start or
+    before; so running sums of starts and ends by position are enough, and the work is that
+    of a few shuffles of the input, however many pairs there are.  They are kept on disk by
+    position, as both ends of a row look them up.
+    """
+    spark = left.sparkSession
+
+    def placed(rows: DataFrame) -> DataFrame:
+        known = rows.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)) & reduce(Column.__and__, [F.col(k).isNotNull() for k in keys], F.lit(True)))
+        return known.withColumns({"_s": F.col(start).cast("bigint"), "_e": F.col(end).cast("bigint")})
+
+    def of(rows: DataFrame, counted: int) -> DataFrame:
+        empty = F.when(F.col("_s") == F.col("_e"), counted).otherwise(0)
+        point = lambda p, *numbers: F.struct(F.col(p).alias("_p"), *[F.lit(x).cast("bigint").alias(c) for c, x in zip(("_starts", "_ends", "_empty"), numbers, strict=True)])
+        return rows.select(*keys, F.inline(F.array(point("_s", counted, 0, empty), point("_e", 0, counted, 0))))
+
+    a, b = placed(left), placed(right)
+    points = of(b, 1) if left.sameSemantics(right) else of(b, 1).unionAll(of(a, 0))
+    sums = materialized(points.groupBy(*keys, "_p").agg(*[F.sum(m).alias(m) for m in ("_starts", "_ends", "_empty")]), fresh_path(spark, "points"))
+    low, high = sums.agg(F.min("_p"), F.max("_p")).first()
+    if low is None:
+        return left.limit(0).withColumn("n", F.lit(0).cast("bigint"))
+    to = materialized(_running(sums, keys, ["_starts", "_ends"], low, high), fresh_path(spark, "running"))
+    first = to.select(*keys, F.col("_p").alias("_s"), F.col("_to_ends").alias("_gone"), F.col("_empty").alias("_none"))
+    last = to.select(*keys, F.col("_p").alias("_e"), (F.col("_to_starts") - F.col("_starts")).alias("_come"))
+    n = F.col("_come") - F.col("_gone") + F.when(F.col("_s") == F.col("_e"), F.col("_none")).otherwise(0)
+    return a.join(first, [*keys, "_s"]).join(last, [*keys, "_e"]).select(*left.columns, n.alias("n")).filter("n > 0")

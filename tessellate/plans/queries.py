@@ -178,8 +178,7 @@ def interval_overlaps(spark, sf_dir):
     """How many intervals each interval overlaps among those of its return flag, which has only three values."""
     start = F.col("l_orderkey").cast("bigint")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_orderkey", "l_linenumber", start.alias("start"), (start + 1 + F.col("l_partkey") % 5 + F.when(F.col("l_partkey") % 100 == 7, 60).otherwise(0)).cast("bigint").alias("end"))
-    pairs = intervals.overlapping(rows, rows, ["l_returnflag"])
-    return pairs.groupBy("left.l_returnflag", "left.l_orderkey", "left.l_linenumber").agg(F.count("*").alias("n"))
+    return intervals.overlap_counts(rows, rows, ["l_returnflag"]).groupBy("l_returnflag", "l_orderkey", "l_linenumber").agg(F.sum("n").alias("n"))
 
 
 def multipass_merge(spark, sf_dir):

@@ -98,3 +98,31 @@ def test_m1_one_key_of_a_million_intervals(spark):
     inside = intervals.overlapping(rows, rows.filter("start = end"), ["k"]).count()
     both = intervals.overlapping(rows.filter("start = end"), rows.filter("start = end"), ["k"]).count()
     assert found == want + 2 * inside - both and empty.count() > 0
+
+
+def test_m1_counts_are_those_of_the_pairs_without_making_them(spark):
+    rng = random.Random(9)
+
+    def rows(n, far):
+        out = []
+        for k in range(n):
+            a = rng.choice([rng.randrange(-500, 3000), rng.randrange(-far, far)])
+            out.append((rng.choice("xxxy"), k, a, a + rng.choice([0, 1, 2, 7, 300, 70_000])))
+        return [*out, ("x", n, None, 5), ("x", n + 1, 5, None), (None, n + 2, 0, 9), ("x", n + 3, 9, 3), ("x", 0, *out[0][2:])]
+
+    for far in (40, 1 << 18, 1 << 40):
+        a, b = rows(150, far), rows(120, far)
+        table = lambda rows: spark.createDataFrame(rows, "k string, n_row int, start bigint, end bigint").repartition(3)
+        met = lambda x, y: x[0] == y[0] and None not in x and None not in y and x[2] <= x[3] and y[2] <= y[3] and x[2] < y[3] and y[2] < x[3]
+        want = sorted((x[1], n) for x in a if (n := sum(met(x, y) for y in b)))
+        found = intervals.overlap_counts(table(a), table(b), ["k"])
+        assert sorted((r.n_row, r.n) for r in found.collect()) == want and found.columns == ["k", "n_row", "start", "end", "n"]
+    assert intervals.overlap_counts(table([]), table([]), ["k"]).count() == 0 == intervals.overlap_counts(table(a), table([]), ["k"]).count()
+
+
+def test_m1_counts_of_a_crowd_take_no_pairs(spark):
+    """Half a million intervals that all overlap one another are 250 thousand million pairs."""
+    n = 500_000
+    rows = spark.range(n).select(F.lit(1).alias("k"), "id", F.col("id").alias("start"), (F.col("id") + n).alias("end"))
+    found = intervals.overlap_counts(rows, rows, ["k"]).agg(F.count("*"), F.min("n"), F.max("n")).first()
+    assert tuple(found) == (n, n, n)
