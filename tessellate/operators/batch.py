@@ -19,10 +19,12 @@ import uuid
 from abc import ABC, abstractmethod
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +131,9 @@ RUNNING, OVER, FAILED = "running", "over", "failed"
 class BatchService(ABC):
     """A service of batch jobs, as the driver sees it; files pass it by their paths only."""
 
+    #: How many jobs may be sent at the same time.
+    at_once = 1
+
     def find(self, job: str) -> str | None:
         """The service's own name of a job that it has got under this name, if it can tell."""
         return None
@@ -152,6 +157,8 @@ class BatchService(ABC):
 class OfflineService(BatchService):
     """Does jobs at once with a provider, as Spark jobs; files are of :class:`PlainLines`."""
 
+    at_once = 16
+
     def __init__(self, spark: SparkSession, folder: str, provider: Provider):
         self.spark, self.folder, self.provider = spark, folder, provider
 
@@ -173,6 +180,22 @@ class OfflineService(BatchService):
 
 # -- runs ------------------------------------------------------------------------------
 
+#: Jobs whose answers are read at the same time.
+COLLECTED = 16
+
+
+def _together(spark: SparkSession, call: Callable, items: list, most: int) -> list:
+    """``call`` of each item, ``most`` at a time; after one that fails no other is begun."""
+    if most == 1 or len(items) < 2:
+        return [call(x) for x in items]
+    with ThreadPoolExecutor(most) as pool:
+        calls = [pool.submit(inheritable_thread_target(spark)(call), x) for x in items]
+        try:
+            return [c.result() for c in calls]
+        except BaseException:
+            pool.shutdown(cancel_futures=True)
+            raise
+
 
 class BatchRun:
     """Requests, jobs and answers of a run below one folder of shared storage.
@@ -299,21 +322,21 @@ class BatchRun:
         waiting = deque((j, p) for j, p in sorted(self.jobs().items()) if j not in answered)
         run, open_ = self._id(), {}
         while waiting or open_:
-            while waiting and len(open_) < self.batch.most_open:
-                job, path = waiting.popleft()
-                open_[job] = [self._sent(run, job, path), 0.0]
-            over = []
+            fresh = [waiting.popleft() for _ in range(min(len(waiting), self.batch.most_open - len(open_)))]
+            remotes = _together(self.spark, lambda x: self._sent(run, *x), fresh, self.service.at_once)
+            open_ |= {job: [remote, 0.0] for (job, _), remote in zip(fresh, remotes, strict=True)}
+            over = {}
             for job, (remote, waited) in open_.items():
                 state = self.service.state(remote)
                 if state == OVER:
-                    self._collect(job, self.service.answers(remote))
-                    over.append(job)
+                    over[job] = self.service.answers(remote)
                 elif state != RUNNING:
                     raise ProviderError(f"batch job {remote} ended as {state}")
                 elif waited >= self.batch.timeout_seconds:
                     with suppress(Exception):
                         self.service.cancel(remote)
                     raise ProviderError(f"batch job {remote} took longer than {self.batch.timeout_seconds:g} s")
+            _together(self.spark, lambda x: self._collect(*x), list(over.items()), COLLECTED)
             for job in over:
                 del open_[job]
             if open_ and not over:

@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import threading
 
 import pytest
 from pyspark import cloudpickle
@@ -174,6 +175,28 @@ def test_i7_i9_killed_runs_go_on(spark, tmp_path, kill_at):
     assert sum(map(len, service.sent.values())) == 30  # the service asserts that no job comes twice
 
 
+def test_i7_jobs_are_sent_and_collected_side_by_side(spark, tmp_path):
+    """A service that takes four jobs at a time gets four; no job waits for the Spark jobs of another."""
+    meet = threading.Barrier(4, timeout=60)
+
+    class Many(Service):
+        at_once = 4
+
+        def send(self, job, path):
+            meet.wait()
+            return super().send(job, path)
+
+    service = Many(tmp_path / "answers", batch.PlainLines(), plain)
+    texts = [f"{k}" for k in range(20)]
+    run = run_of(spark, tmp_path, service, most_prompts=20, most_open=4, strict=True)
+    run.prepare(prompts(spark, texts))
+    run.jobs = lambda found=run.jobs(): {f"{j}-{k}": p for j, p in found.items() for k in range(8)}
+    collected, one = threading.Barrier(4, timeout=60), run._collect
+    run._collect = lambda *x: (collected.wait(), one(*x))
+    run.drive()
+    assert len(service.sent) == 8 and run.answers().count() == 20
+
+
 def test_i7_i9_killed_while_waiting(spark, tmp_path):
     service = Service(tmp_path / "answers", batch.PlainLines(), plain, polls=3, can_find=False)
 
