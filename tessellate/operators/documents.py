@@ -6,14 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions import kernels
 from ..functions.kernels import Tokenizer
 from ..functions.tokens import Tokens, simple
-from ..types import TOKEN
 
 #: Fields of token, sentence and chunk rows, with their types.
 TOKEN_FIELDS = {"index": "int", "token": "string", "token_type": "int", "start_pos": "int", "end_pos": "int", "first_token_after_newline": "boolean"}
@@ -22,23 +22,24 @@ CHUNK_FIELDS = {"chunk_index": "int", "token_start": "int", "token_end": "int",
 #: The end of the chunk before, where chunks are asked for it.
 PREVIOUS = {"previous": "string"}
 #: Characters that are worked on at once; a longer text is alone.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 SPARK = {"int": IntegerType(), "string": StringType(), "boolean": BooleanType()}
 _ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 #: Columns of rows by field, and for each row the number of its text.
 Found = tuple[np.ndarray, dict[str, Callable[[], pa.Array]]]
 
 
-def _together(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about ``TOGETHER`` characters, with the number of the first."""
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        if k > first and size + len(t) > TOGETHER:
-            yield first, texts[first:k]
-            first, size = k, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, texts[first:]
+def slices(texts: pa.Array, most: int = TOGETHER) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of an array's strings of about ``most`` bytes, with the number of the first; a longer string is alone.
+
+    A batch may have thousands of long texts, so nothing is made of all of it at once.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first, done = 0, 0
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield first, texts.slice(first, stop - first)
+        first, done = stop, int(ends[stop - 1])
 
 
 def _numbers(of: np.ndarray) -> np.ndarray:
@@ -135,8 +136,8 @@ def _rows(docs: DataFrame, kept: list[str], text_col: str, made: Callable[[list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.columns[:-1]
-            for first, texts in _together([t or "" for t in batch.column(len(kept)).to_pylist()]):
-                of, found = made(texts)
+            for first, texts in slices(batch.column(len(kept))):
+                of, found = made([t or "" for t in texts.to_pylist()])
                 at = pa.array(of + first)
                 yield pa.RecordBatch.from_arrays([c.take(at) for c in columns] + [found[n]() for n in fields], names)
 
@@ -148,19 +149,22 @@ def _chosen(fields: tuple[str, ...] | None, known: dict[str, str]) -> dict[str,
 
 
 def tokenized(docs: DataFrame, tokenizer: str | Tokenizer = "regex", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``tokens``: an array of token structs by any tokenizer (Arrow batches); a null text has none."""
-    names = [n for n in TOKEN_FIELDS if n != "token"]
-
-    @F.arrow_udf(f"array<{TOKEN}>")
-    def made(texts: pa.Array) -> pa.Array:
-        parts = []
-        for _, own in _together([t or "" for t in texts.to_pylist()]):
-            of, found = _token_rows(own, tokenizer)
-            ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(own)))].astype(np.int32)
-            parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([found[n]() for n in names], names)))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([(n, _ARROW[TOKEN_FIELDS[n]]) for n in names])))
-
-    return docs.withColumn("tokens", made(F.col(text_col)))
+    """``docs`` with ``tokens``: an array of token structs by any tokenizer; a null text has none.
+
+    Rows pass in slices, so a task holds the tokens of some texts only, however many rows an Arrow batch has.
+    """
+    names, columns = [n for n in TOKEN_FIELDS if n != "token"], [*docs.columns, "tokens"]
+    schema = StructType([*docs.schema.fields, StructField("tokens", ArrayType(StructType([StructField(n, SPARK[TOKEN_FIELDS[n]]) for n in names])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in slices(batch.column("_text")):
+                of, found = _token_rows([t or "" for t in texts.to_pylist()], tokenizer)
+                ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(texts)))].astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([found[n]() for n in names], names))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns[:-1], tokens], columns)
+
+    return docs.select("*", F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def token_rows(docs: DataFrame, id_col: str = "document_id", text_col: str = "text", tokenizer: str | Tokenizer = "regex", fields: tuple[str, ...] | None = None) -> DataFrame:

@@ -170,3 +170,26 @@ def test_k5_logged_calls(caplog):
             told.answer("not recorded at all", api_key="secret")
     said = caplog.text
     assert "secret" not in said and "x" * 11 not in said and "n" * 11 not in said and "'short'" in said and "20 more" in said and "failed after" in said and "temperature" in said
+
+
+def test_t2_a_batch_is_worked_on_in_slices(spark, monkeypatch):
+    """Tokens, results and pages are never made of a whole Arrow batch of long texts: no call has more than a slice."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tessellate.operators import documents
+
+    texts = pa.array(["", None, "x" * 300, "é" * 100, "y" * 150, None, "z"])
+    assert [(k, len(x)) for k, x in documents.slices(texts, 250)] == [(0, 2), (2, 1), (3, 1), (4, 3)]
+    assert [(k, len(x)) for k, x in documents.slices(texts.slice(2), 350)] == [(0, 1), (1, 3), (4, 1)] and list(documents.slices(texts.slice(0, 0))) == []
+    many = spark.range(40).repartition(1).select("id", F.repeat(F.lit("some words, "), F.lit(20_000)).alias("text"))
+    sizes = documents.tokenized(many, "unicode").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"]) for b in batches), "n bigint")
+    counted = documents.tokenized(many, "unicode").select(F.size("tokens").alias("n")).distinct().collect()
+    assert [r.n for r in counted] == [60_000] and sum(r.n for r in sizes.collect()) == 40
+    seen, whole = [], documents._token_rows
+    monkeypatch.setattr(documents, "_token_rows", lambda texts, tokenizer: (seen.append(sum(map(len, texts))), whole(texts, tokenizer))[1])
+    run = {}
+    monkeypatch.setattr(type(many), "mapInArrow", lambda self, f, schema: run.setdefault("f", f))
+    documents.tokenized(many, "unicode")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), *[pa.array(["a b " * 50_000] * 4)] * 2], ["id", "text", "_text"])
+    assert [len(b) for b in run["f"](iter([batch]))] == [1] * 4 and max(seen) == 200_000
