@@ -15,6 +15,7 @@ from ..functions import alignment, intervals, kernels
 from ..functions.formats import Example, Format, Template
 from ..functions.kernels import Tokenizer
 from ..types import EXTRACTION, FormatError, PromptAlignmentError
+from .documents import slices
 
 ITEM = f"struct<ordinal: int, extraction_class: string, extraction_text: string, char_interval: struct<start_pos: int, end_pos: int>, token_interval: struct<start_index: int, end_index: int>, alignment_status: string, extraction_index: int, group_index: int, description: string, attributes: string>"
 _SPAN = pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32())])
@@ -46,25 +47,29 @@ def resolved(inferred: DataFrame, fmt: Format, options: alignment.Options = alig
 
     @F.arrow_udf(RESULT)
     def made(chunk: pa.Array, output: pa.Array, token_start: pa.Array, char_start: pa.Array) -> pa.Array:
+        parts = [found(own, *(x.slice(first, len(own)) for x in (output, token_start, char_start))) for first, own in slices(chunk)]
+        return pa.concat_arrays(parts) if parts else pa.array([], _RESULT)
+
+    def found(chunk: pa.Array, output: pa.Array, token_start: pa.Array, char_start: pa.Array) -> pa.Array:
         rows = []
         for c, o, t, p in zip(chunk.to_pylist(), output.to_pylist(), token_start.to_pylist(), char_start.to_pylist(), strict=True):
             row = {"items": [], "parse_error": None, "align_error": None}
             rows.append(row)
             try:
-                found = fmt.ordered(fmt.parse(o))
+                items = fmt.ordered(fmt.parse(o))
             except FormatError as e:
                 if not suppress_parse_errors:
                     raise
                 row["parse_error"] = str(e)
                 continue
-            if not found:
+            if not items:
                 continue
-            places = [None] * len(found)
+            places = [None] * len(items)
             try:
-                places = alignment.align(c, [e.extraction_text for e in found], options, tokenize, t, p)
+                places = alignment.align(c, [e.extraction_text for e in items], options, tokenize, t, p)
             except ValueError as e:
                 row["align_error"] = str(e)
-            for k, (e, g) in enumerate(zip(found, places, strict=True)):
+            for k, (e, g) in enumerate(zip(items, places, strict=True)):
                 row["items"].append(
                     {"ordinal": k, "extraction_class": e.extraction_class, "extraction_text": e.extraction_text, "extraction_index": e.extraction_index, "group_index": e.group_index, "description": e.description,
                      "attributes": None if e.attributes is None else json.dumps(e.attributes, ensure_ascii=False), "alignment_status": g and g.status,
