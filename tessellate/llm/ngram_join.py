@@ -14,7 +14,7 @@ others aren't compared.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -97,7 +97,7 @@ def first_of(n: int, least: int) -> int:
 # -- the global order ------------------------------------------------------------------
 
 
-def frequencies(texts: DataFrame, words: int) -> DataFrame:
+def frequencies(texts: DataFrame, words: int, sets: Callable[[int], Callable[[str | None], np.ndarray]] = lambda words: Shingles(words).of) -> DataFrame:
     """``key, n``: the upper 48 bits of shingles that ``SELDOM`` or more documents have, and how many have them; under key -1 all of them.
 
     Tasks count what they read and deal the keys out by range, so a shingle that many
@@ -105,8 +105,8 @@ def frequencies(texts: DataFrame, words: int) -> DataFrame:
     """
     parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(sets) >> np.uint64(16), return_counts=True)
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
         cuts = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.uint64) * np.uint64((1 << 48) // parts)))
         cuts[-1] = len(keys)
         packed = np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:])
@@ -115,10 +115,10 @@ def frequencies(texts: DataFrame, words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["part", "keys", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, size = Shingles(words), [], 0
+        made, held, size = sets(words), [], 0
         for batch in batches:
             for t in batch.column("t"):
-                own = shingles.of(t.as_py())
+                own = made(t.as_py())
                 if len(own):
                     held.append(own)
                     size += len(own)
@@ -157,26 +157,33 @@ def frequencies(texts: DataFrame, words: int) -> DataFrame:
     return dealt.repartition(parts // 4, "part").sortWithinPartitions("part").mapInArrow(add, "key bigint, n bigint")
 
 
-def global_order(texts: DataFrame, words: int, fragments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The most frequent keys (ascending), their frequency and fragment, and how many fragments the other shingles fill.
-
-    Shingles are ordered by frequency (0 for all that aren't listed), then by hash.
-    """
-    counts = written(frequencies(texts, words), "frequencies")
-    total = counts.filter("key = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of :func:`frequencies` and how many documents have them: all of the highest powers of frequency that ``most`` rows hold."""
     listed = counts.filter("key >= 0")
     by_power = listed.groupBy(F.floor(F.log2("n") * 8).alias("p")).agg(F.count("*").alias("c"), F.min("n").alias("n")).collect()  # at most 8 rows a power of two
     taken, least = 0, None
     for row in sorted(by_power, key=lambda r: -r["p"]):
         taken += row["c"]
-        if taken > FREQUENT:
+        if taken > most:
             break
         least = row["n"]
     if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    table = listed.filter(F.col("n") >= least).toArrow()  # at most ``most`` rows
+    return table.column("key").to_numpy(), table.column("n").to_numpy()
+
+
+def global_order(texts: DataFrame, words: int, fragments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The most frequent keys (ascending), their frequency and fragment, and how many fragments the other shingles fill.
+
+    Shingles are ordered by frequency (0 for all that aren't listed), then by hash.
+    """
+    counts = written(frequencies(texts, words), "frequencies")
+    total = counts.filter("key = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    keys, n = most_frequent(counts, FREQUENT)
+    if not len(keys):
         none = np.zeros(0, np.int64)
         return none, none, none, fragments
-    table = listed.filter(F.col("n") >= least).toArrow()  # at most FREQUENT rows
-    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
     by = np.lexsort((keys, n))
     often = int(n.sum())
     seldom = max(1, min(fragments - 1, round(fragments * (total - often) / max(1, total))))

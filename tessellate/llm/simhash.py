@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, written
+from .common import forgotten, numbered, pick, written, written_at
 from .components import components
+from .ngram_join import frequencies, most_frequent
 
 SEED = 42
 FANOUT = 8
@@ -33,8 +34,8 @@ FANOUT = 8
 SLICE = 200_000
 #: Rows of a bucket beyond which it is split by further bands.
 BUCKET_ROWS = 4096
-#: Documents that the rarity of shingles is estimated from, and shingles kept of them; both only bear on speed.
-SAMPLE, COMMON = 20_000, 200_000
+#: Shingles whose frequency orders them, at most: the most frequent ones.  All others come before them, by hash.
+COMMON = 200_000
 #: Pairs of near-duplicates are verified in so many parts, one after another.
 VERIFY_PARTS = 4
 
@@ -276,23 +277,16 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes of shingles that several documents of a sample hold, and how many do.
+    """The most frequent shingles (ascending, the upper 48 bits of their hashes), and how many of all documents hold each.
 
     The counts only order shingles by rarity; any order common to all texts keeps the join exact.
     """
-    n = texts.count()
-    chosen = texts.filter(F.pmod(F.xxhash64("k", F.lit("rarity")), F.lit(max(1, n // SAMPLE))) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column("t"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], ["h"])
-
-    counts = chosen.select("t").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
-    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    hashes, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    sets = lambda words: lambda t: np.unique(shingle_hashes(t, words))
+    counts, path = written_at(frequencies(texts, words, sets), "frequencies")
+    hashes, n = most_frequent(counts, COMMON)
+    forgotten(texts.sparkSession, path)
     order = np.argsort(hashes)
-    return hashes[order], n[order]
+    return hashes[order].astype(np.uint64), n[order]
 
 
 def profiles(texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -314,8 +308,9 @@ def profiles(texts: DataFrame, words: int, least: float) -> DataFrame:
                     own = np.unique(hashes)
                     level = np.zeros(len(own), np.int64)
                     if len(known):
-                        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        level = np.where(known[place] == own, counts[place], 0)
+                        short = own >> np.uint64(16)
+                        place = np.minimum(np.searchsorted(known, short), len(known) - 1)
+                        level = np.where(known[place] == short, counts[place], 0)
                     take = len(own) - math.ceil(least * len(own) - 1e-9) + 1 if len(own) else 0
                     bits = np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).tobytes()
                     prefix = own[np.lexsort((own, level))[:take]].view(np.int64)

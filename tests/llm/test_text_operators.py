@@ -360,3 +360,16 @@ def test_op6_edges(edge, empty):
 def test_op6_is_native(docs):
     plan = lines.decisions(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_near_dedup_counts_shingles_of_all_documents(spark):
+    """Shingles of 3 of 45,000 documents are listed with their number; a sample of them wouldn't show all."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessellate.llm import simhash
+
+    rows = spark.range(45_000).select(F.col("id").alias("k"), F.concat_ws(" ", *[F.concat(F.lit(f"{c}"), F.when(F.col("id") < 300, F.floor(F.col("id") / 3)).otherwise(F.col("id"))) for c in "abcde"]).alias("t"))
+    hashes, n = simhash.common_shingles(rows, 5)
+    want = sorted(int(simhash.shingle_hashes(" ".join(f"{c}{k}" for c in "abcde"), 5)[0]) >> 16 for k in range(100))
+    assert hashes.tolist() == want and np.array_equal(n, np.full(100, 3))
