@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellate.operators.documents import slices
 from tessellate.sources.storage import shared_dir
 
 
@@ -98,14 +99,17 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 def masked(docs: DataFrame, text_col: str, decider: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
     """The rows of ``docs`` whose text (null: empty) is accepted; all columns pass through.
 
-    ``decider`` is called once in a task and gives the function that decides on a batch.
+    ``decider`` is called once in a task and gives the function that decides on some texts.
+    It gets slices of an Arrow batch, so a task holds Python strings and kept rows of some
+    texts only, however many rows a batch has.
     """
     at, (plain, _) = docs.columns.index(text_col), numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = decider()
         for batch in batches:
-            kept = decide([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            for first, texts in slices(batch.column(at)):
+                kept = decide([t or "" for t in texts.to_pylist()])
+                yield batch.slice(first, len(texts)).filter(pa.array(kept, pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellate.operators.documents import slices
+
 from .common import held_out, masked, pick
 from .hashed import MIX, REMEMBERED, buckets
 
@@ -268,18 +270,6 @@ class Labeller:
         return out
 
 
-def groups(texts: list[str], chars: int = 800_000) -> Iterator[list[str]]:
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def model_of(docs: DataFrame, most: int = 1000) -> Model:
     """Learned from at most about ``most`` documents of each language outside the held-out fold.
 
@@ -302,8 +292,8 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
         labeller = Labeller(sent.value)
         for batch in batches:
             names, shares = [], []
-            for group in groups([t or "" for t in batch.column("t").to_pylist()]):
-                a, b = labeller.predict(group)
+            for _, texts in slices(batch.column("t")):
+                a, b = labeller.predict([t or "" for t in texts.to_pylist()])
                 names += a
                 shares += b
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -320,8 +310,9 @@ def labelled_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
         for batch in batches:
-            spans = [s for g in groups([t or "" for t in batch.column("t").to_pylist()]) for s in labeller.spans(g)]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(spans, type_)], ["doc_id", "spans"])
+            for first, texts in slices(batch.column("t")):
+                spans = labeller.spans([t or "" for t in texts.to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(first, len(texts)), pa.array(spans, type_)], ["doc_id", "spans"])
 
     return pick(docs, k=id_col, t=text_col).mapInArrow(run, f"doc_id {kind}, spans array<struct<start: int, end: int, lang: string>>")
 
@@ -349,8 +340,7 @@ def in_one_language(docs: DataFrame, least: float = 0.5, most: int = 1000, text_
         labeller = Labeller(sent.value)
 
         def decide(texts: list[str]) -> list[bool]:
-            found = [x for g in groups(texts) for x in zip(*labeller.predict(g), strict=True)]
-            return [lang != "und" and share >= least for lang, share in found]
+            return [lang != "und" and share >= least for lang, share in zip(*labeller.predict(texts), strict=True)]
 
         return decide
 

@@ -293,6 +293,16 @@ def test_masked_keeps_all_columns(edge):
     assert out.columns == edge.columns and sorted(r[0] for r in out.collect()) == [5, 9]
 
 
+def test_masked_works_on_slices_of_a_batch(spark):
+    docs = spark.createDataFrame([(k, f"{k % 2} " + "word " * 4000) for k in range(100)], "doc_id bigint, text string").coalesce(1)
+
+    def decide(texts):
+        assert sum(map(len, texts)) <= 1 << 18, "more texts at once than a slice has"
+        return [t.startswith("1") for t in texts]
+
+    assert sorted(r[0] for r in masked(docs, "text", lambda: decide).select("doc_id").collect()) == list(range(1, 100, 2))
+
+
 def test_pipeline_stages(spark, docs, sf):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "quality_classifier", "line_dedup", "near_dedup", "best_fit_packing"]
