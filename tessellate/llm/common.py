@@ -74,21 +74,27 @@ def forgotten(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Like :func:`written`, dealt into buckets by ``keys``: joins on all of them don't shuffle it.
+def bucketed_at(df: DataFrame, name: str, keys: list[str]) -> tuple[DataFrame, str]:
+    """Like :func:`written_at`, dealt into buckets by ``keys``: joins on all of them don't shuffle it.
 
     The catalog's entry goes again at once; the files stay in the shared folder.
     """
     spark = df.sparkSession
     made = f"tessellate_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{made}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _cleaned(spark):
-        writer = df.write.format("parquet").bucketBy(buckets, *keys).option("path", f"{shared_dir(spark)}/{made}").option("parquet.dictionary.page.size", DICTIONARY_BYTES).option("compression", "zstd")
+        writer = df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).option("parquet.dictionary.page.size", DICTIONARY_BYTES).option("compression", "zstd")
         writer.saveAsTable(made)
     found = spark.table(made)
     found.schema  # resolved now, so the entry isn't needed later
     spark.sql(f"DROP TABLE {made}")
-    return found
+    return found, path
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """:func:`bucketed_at`, for a table that stays."""
+    return bucketed_at(df, name, keys)[0]
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

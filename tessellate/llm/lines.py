@@ -11,17 +11,19 @@ whole token sets.
 
 A line goes if its class occurs in an earlier line or is similar to a class that does; order
 is (id, line number).  One earlier witness is enough, so the join has two rounds.  In the
-first, every class meets a few earlier ones in the buckets of its rarest tokens; that settles
-nearly all of a large group of near copies.  In the second, classes not settled yet are
-joined with all earlier ones.
+first, every class meets a few earlier ones in the crowded buckets among those of its rarest
+tokens; that settles nearly all of a large group of near copies.  In the second, classes not
+settled yet are joined with all earlier ones.
 """
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, forgotten, numbered, pick, written, written_at
+from .common import bucketed, bucketed_at, forgotten, numbered, pick, written, written_at
 from .sketch import BLANKS, split_words
 
 #: The frequency table has a bucket for every two classes, but no more than this power of two.
@@ -30,6 +32,8 @@ FREQUENCY_BITS = 22
 NUM, DEN = 4, 5
 #: In the first round a class looks at its so many rarest tokens, and there at the classes so many places before it.
 RAREST, BEFORE = 6, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+#: Only buckets of so many classes or more have a first round; in smaller ones the second has few meetings anyway.
+CROWDED = 64
 #: Buckets of more classes than this are dealt out in the first round, so that no task has a whole large one.
 BUCKET = 4096
 
@@ -101,6 +105,11 @@ def _may_be(x: dict[str, Column], y: dict[str, Column]) -> Column:
     return parities & sizes & places
 
 
+def hashed(few: DataFrame) -> DataFrame:
+    """Few short rows of distinct keys, which a join hashes: then the table of all classes isn't sorted for them."""
+    return few.hint("shuffle_hash")
+
+
 def _pairs(found: DataFrame) -> tuple[DataFrame, str]:
     """Class pairs ``x…`` (later), ``y…`` (earlier), each once, on disk, and where."""
     return written_at(found.distinct(), "line-pairs")
@@ -109,10 +118,11 @@ def _pairs(found: DataFrame) -> tuple[DataFrame, str]:
 def close_pairs(rows: DataFrame, n_classes: int) -> tuple[DataFrame, str]:
     """First round: a few earlier classes in the buckets of the rarest tokens.
 
-    Rows of many buckets are one window's, or the windows would be too small to be quick; a
-    bucket of very many rows is dealt over several windows.
+    Only crowded buckets are looked at.  Rows of many buckets are one window's, or the windows
+    would be too small to be quick; a bucket of very many rows is dealt over several windows.
     """
     level = F.shiftrightunsigned("token", 56)
+    rows = rows.filter(level > 4 * int(log2(CROWDED)))
     salts = F.ceil(F.pow(F.lit(2.0), level / 4) / BUCKET).cast("bigint")  # the level bounds the bucket's classes
     windows = max(1, n_classes * RAREST // BUCKET)
     window = F.pmod(F.xxhash64("token", F.pmod(F.xxhash64(*CLASS), salts)), F.lit(windows))
@@ -148,8 +158,8 @@ def verified(found_pairs: tuple[DataFrame, str], found: DataFrame) -> DataFrame:
     """
     pairs, pairs_path = found_pairs
     ends = pairs.select("xk", "xpos").union(pairs.select("yk", "ypos")).toDF(*CLASS).distinct()
-    ends = ends.join(found.select(*CLASS, "h1", "h2"), list(CLASS)).select("h1", "h2")
-    sets, sets_path = written_at(found.join(ends, ["h1", "h2"], "left_semi"), "line-sets")
+    ends = found.select(*CLASS, "h1", "h2").join(hashed(ends), list(CLASS)).select("h1", "h2")
+    sets, sets_path = written_at(found.join(hashed(ends), ["h1", "h2"], "left_semi"), "line-sets")
     x = sets.select(F.col("k").alias("xk"), F.col("pos").alias("xpos"), F.col("tokens").alias("xtokens"), "h1", "h2")
     y = sets.select(F.col("k").alias("yk"), F.col("pos").alias("ypos"), F.col("tokens").alias("ytokens"))
     common = F.size(F.array_intersect("xtokens", "ytokens"))
@@ -164,12 +174,14 @@ def verified(found_pairs: tuple[DataFrame, str], found: DataFrame) -> DataFrame:
 def similar(found: DataFrame) -> DataFrame:
     """``h1, h2`` of classes that are similar to a class with an earlier first occurrence."""
     n_classes = found.count()
-    made = bucketed(prefixes(found, frequency_bits(n_classes)), "line-prefixes", ["h1", "h2"])
+    made, made_path = bucketed_at(prefixes(found, frequency_bits(n_classes)), "line-prefixes", ["h1", "h2"])
     met = F.shiftrightunsigned("token", 56) > 1  # a token alone in its hash bucket is of one class
     rows = lambda df, *more: df.select(*CLASS, "n", "bits", F.posexplode("prefix").alias("i", "token"), *more).filter(met)
     settled = verified(close_pairs(rows(made.withColumn("prefix", F.slice("prefix", 1, RAREST))), n_classes), found)
-    flagged = made.join(settled.withColumn("settled", F.lit(True)), ["h1", "h2"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    return settled.unionByName(verified(all_pairs(rows(flagged, "settled")), found))
+    flagged = made.join(hashed(settled.withColumn("settled", F.lit(True))), ["h1", "h2"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    pairs = all_pairs(rows(flagged, "settled"))
+    forgotten(found.sparkSession, made_path)  # before the token sets of the pairs are written
+    return settled.unionByName(verified(pairs, found))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +194,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = pick(docs, k=id_col, t=text_col)
     with_id = docs.dropna()
     found = bucketed(classes(with_id), "line-classes", ["h1", "h2"])
-    kept = found.select("h1", "h2", *CLASS).join(similar(found), ["h1", "h2"], "left_anti").groupBy("k").agg(F.collect_set("pos").alias("kept"))
+    kept = found.select("h1", "h2", *CLASS).join(hashed(similar(found)), ["h1", "h2"], "left_anti").groupBy("k").agg(F.collect_set("pos").alias("kept"))
     lines = F.coalesce(F.split("t", "\n", -1), F.array().cast("array<string>"))
     worded = F.filter(F.transform(lines, lambda line, i: F.when(has_words(line), i)), lambda i: i.isNotNull())
     numbered = docs.select("k", F.size(lines).alias("n_lines"), worded.alias("worded")).join(kept, "k", "left")

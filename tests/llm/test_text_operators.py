@@ -347,6 +347,27 @@ def test_op6_matches_sql(docs):
     assert {(r.doc_id, r.n_lines, r.n_removed, ",".join(map(str, r.removed))) for r in lines.decisions(docs).collect()} == want
 
 
+def test_op6_first_round_is_for_crowded_buckets(spark):
+    rows = [(k, 0, 20, 0, 0, level << 56 | 5) for level in (24, 25) for k in (level, 100 + level)]
+    pairs, _ = lines.close_pairs(spark.createDataFrame(rows, "k bigint, pos int, n int, bits bigint, i int, token bigint"), 4)
+    assert [tuple(r) for r in pairs.select("xk", "yk").collect()] == [(125, 25)]
+
+
+def test_op6_crowds_and_small_groups_are_brute_force(spark):
+    rng = random.Random(5)
+    crowd, few = [f"c{k}" for k in range(24)], [[f"f{g}x{k}" for k in range(15)] for g in range(30)]
+    texts = {k: [" ".join(rng.sample(crowd, 21))] for k in range(200)}
+    texts |= {200 + k: [" ".join(rng.sample(few[k % 30], rng.choice([12, 13, 14])))] for k in range(240)}
+    seen, want = [], set()
+    for k, (line,) in sorted(texts.items()):
+        own = set(line.split())
+        if any(9 * len(own & x) >= 4 * (len(own) + len(x)) for x in seen):
+            want.add(k)
+        seen.append(own)
+    docs = spark.createDataFrame([(k, x[0]) for k, x in texts.items()], "doc_id bigint, text string")
+    assert {r.doc_id for r in lines.decisions(docs).collect() if r.n_removed} == want and len(want) < 430
+
+
 def test_op6_edges(edge, empty):
     rows = lines.decisions(edge).collect()
     found = {r.doc_id: (r.n_lines, r.removed) for r in rows}
