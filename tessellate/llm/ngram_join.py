@@ -8,7 +8,8 @@ fragment, and summed; a pair whose segments already differ too much is dropped.
 Only pairs that can be similar are counted: two sets of the wanted similarity share one of
 their first shingles in the global order, and their sizes, places and parities must allow
 it.  Documents of one set are one class, and classes that are already joined through
-others aren't compared.
+others aren't compared.  A random class that all others of its shingle were compared with
+leaves that shingle, so what is left shrinks from round to round.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ FREQUENT, SELDOM = 1 << 19, 3
 PARITIES = 8
 #: Rounds in which classes of different groups are compared with one of their key each, before all that is left are compared.
 STARS = 5
+#: All that is left is compared at once as soon as it has no more meetings than so many for each row that met at first.
+MEETINGS = 1
+#: Ends of pairs that every task gets whole, at most; more of them are joined with the texts by a shuffle.
+FEW = 10_000
 
 
 #: A random number for every byte, the same for both cases of A-Z, and whether it is white space.
@@ -285,20 +290,37 @@ def _alike(a: str, b: str, least: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * least) & (differ <= n + m - 2 * _needed(n, m, least))
 
 
-def _stars(rows: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: every id of a key with one id of it, of another root."""
-    centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("centre"), F.col("root").alias("other"))).alias("c"))
-    both = rows.join(centre, "key").filter(F.col("root") != F.col("c.other"))
-    return both.select(F.least("id", "c.centre").alias("a"), F.greatest("id", "c.centre").alias("b"))
+#: Centres that every key gets in a round.
+CENTRES = ("c0", "c1")
 
 
-def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``key, id, i, root``: the rows of keys whose classes aren't all joined."""
-    rooted = rows.select("key", "id", "i").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+def _open(rows: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """``key, id, n, i, root``, the key's number of rows and its centres: the rows of keys whose classes aren't all joined.
+
+    A centre is the random id of the key that is least in this turn, with its root and size.
+    """
+    rooted = rows.select("key", "id", "n", "i")
+    if roots is None:
+        rooted = rooted.withColumn("root", F.col("id"))
+    else:
+        rooted = rooted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(2 * turn + k)).alias("h"), "id", "root", "n")).alias(c) for k, c in enumerate(CENTRES)]
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"), *chosen).filter("low <> high").drop("low", "high")
     return rooted.join(keys, "key")
 
 
+def _stars(rows: DataFrame, least: int) -> DataFrame:
+    """``a, b``: every id of a key (``rows`` of :func:`_open`) with the key's centres, of another root and a size that may be similar."""
+    both = rows.select("id", "root", "n", F.explode(F.array(*CENTRES)).alias("c"))
+    both = both.filter((F.col("root") != F.col("c.root")) & (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * least))
+    return both.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`_open` without the centres' own: a centre has been compared with all others of its key."""
+    return rows.filter(reduce(Column.__and__, [F.col("id") != F.col(f"{c}.id") for c in CENTRES])).select("key", "id", "n", "i")
+
+
 def _paired(pairs: DataFrame, short: DataFrame, least: int) -> DataFrame:
     """``a, b, n, m`` of the distinct pairs whose sizes and parities (``short``) allow the similarity."""
     of = lambda c: short.select(F.col("id").alias(c), F.struct("n", *[f"p{k}" for k in range(PARITIES)]).alias(f"of_{c}"))
@@ -312,7 +334,7 @@ def _apart(rows: DataFrame, short: DataFrame, least: int) -> DataFrame:
     A key's rows are dealt out by size: sizes of similar sets lie in one class of sizes or
     in neighbouring ones.
     """
-    rooted = rows.join(short, "id")
+    rooted = rows.select("key", "id", "i", "root").join(short, "id")
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / least)).cast("int")
     sized = rooted.withColumn("size", size)
     own = sized.select("key", "size", F.struct(*sized.columns).alias("x"))
@@ -329,7 +351,9 @@ def _apart(rows: DataFrame, short: DataFrame, least: int) -> DataFrame:
 def segments(texts: DataFrame, classes: DataFrame, pairs: DataFrame, cut: DataFrame, words: int, fragments: int, order: Broadcast) -> DataFrame:
     """``id, fragment, segment`` of the classes that ``pairs`` name and ``cut`` hasn't, from a text of each; on disk, dealt by fragment."""
     fresh = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(cut.select("id"), "id", "left_anti")
-    ends = fresh.join(classes.select("id", "digest", F.col("one.k").alias("_k"), F.col("one.h").alias("_h")), "id")
+    ends = written(fresh.join(classes.select("id", "digest", F.col("one.k").alias("_k"), F.col("one.h").alias("_h")), "id"), "ends")
+    if ends.count() <= FEW:
+        ends = F.broadcast(ends)  # so the texts aren't shuffled for a few of them
     found = texts.join(ends, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k"))).select("id", "digest", "t").dropDuplicates(["id", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,12 +413,15 @@ def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST, fragments: i
     short = classes.select("id", "n", *[F.get("parities", F.lit(k)).alias(f"p{k}") for k in range(PARITIES)])
     rows = written(met(classes), "met")
     edges, tested = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "a bigint, b bigint")
-    cut, roots = spark.createDataFrame([], "id bigint, fragment int, segment array<bigint>"), spark.createDataFrame([], "node bigint, root bigint")
-    turn, last = 0, False
+    cut, roots = spark.createDataFrame([], "id bigint, fragment int, segment array<bigint>"), None
+    turn, last, most = 0, False, None
     while not last:
-        last = turn == STARS  # or a round found nothing: then all that is left
-        left = written(_open(rows, roots), "open")
-        pairs = _apart(left, short, least) if last else _paired(_stars(left, 2 * turn).union(_stars(left, 2 * turn + 1)), short, least)
+        left = written(_open(rows, roots, turn), "open")
+        n_rows, meetings = left.agg(F.count("*"), F.coalesce(F.sum(F.col("many") - 1), F.lit(0)) / 2).collect()[0]
+        most = MEETINGS * n_rows if most is None else most
+        last = turn == STARS or meetings <= most  # turn is STARS, too, if a round found nothing: then all that is left
+        rows = _rest(left)
+        pairs = _apart(left, short, least) if last else _paired(_stars(left, least), short, least)
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             turn = STARS
@@ -408,7 +435,11 @@ def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST, fragments: i
             roots = components(edges)
         else:
             turn = STARS
-    rooted = classes.select("id", "digest", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = classes.select("id", "digest", "least")
+    if roots is None:
+        rooted = rooted.withColumn("root", F.col("id"))
+    else:
+        rooted = rooted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(groups, "root").select("digest", "component_id")
     linked = every.select("k", "digest", "n").join(found, "digest", "left")

@@ -86,6 +86,19 @@ def test_join_with_popular_shingles_in_fragments_of_their_own(spark, monkeypatch
     assert joined(spark, rows, fragments=3) == plain_components(rows)
 
 
+def test_join_loses_no_link_as_centres_leave(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MEETINGS", 0)  # rounds with centres, however few meetings are left
+    rows = near_copies(random.Random(4))
+    assert joined(spark, rows) == plain_components(rows)
+
+
+def test_join_compares_few_meetings_at_once(spark, monkeypatch):
+    made, plain = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name, *more, **options: made.append(name) or plain(df, name, *more, **options))
+    rows = [(k, " ".join(f"{c}{k // 2}" for c in "abcdefghijklmn"[: 12 + k % 2])) for k in range(8)] + [(9, "a0 b0 c0 d0 e0 " + "x y z u v w " * 2)]
+    assert joined(spark, rows) == plain_components(rows) and made.count("open") == 1
+
+
 def test_join_odd_rows(spark, edge, empty):
     found = sorted(map(tuple, ngram_join.joined(edge).collect()), key=str)
     assert found == plain_components([(r[0], r[1]) for r in edge.collect()])
