@@ -18,13 +18,14 @@ settled yet are joined with all earlier ones.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, bucketed_at, forgotten, numbered, pick, written, written_at
-from .sketch import BLANKS, split_words
+from .sketch import BLANKS
 
 #: The frequency table has a bucket for every two classes, but no more than this power of two.
 FREQUENCY_BITS = 22
@@ -39,20 +40,27 @@ BUCKET = 4096
 
 
 def has_words(text: Column) -> Column:
-    return F.btrim(text, F.lit(BLANKS)) != ""
+    return F.ltrim(text, F.lit(BLANKS)) != ""
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """``k, pos, line`` of every line with words of ``docs (k, t)``."""
-    return docs.select("k", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).filter(has_words(F.col("line")))
+    """``k, pos, line`` of every line of ``docs (k, t)``, lower-cased, with blanks for all other white space.
+
+    A text is looked at once for both, not each of its lines.
+    """
+    rare = reduce(Column.__or__, [F.col("t").contains(b) for b in BLANKS if b not in " \n"])
+    plain = F.lower(F.when(rare, F.regexp_replace("t", r"[\t\x0B\f\r]", " ")).otherwise(F.col("t")))
+    return docs.select("k", F.posexplode(F.split(plain, "\n", -1)).alias("pos", "line"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """``h1, h2, k, pos, tokens``: one row per distinct token set with its first occurrence; tokens ascend."""
-    tokens = F.array_distinct(F.sort_array(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))))
+    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    tokens = F.array_remove(F.array_distinct(F.sort_array(hashes)), F.xxhash64(F.lit("")))  # blanks next to each other
     rows = line_rows(docs).select("k", "pos", tokens.alias("tokens"))
     rows = rows.select(F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), F.struct("k", "pos").alias("at"), "tokens")
     found = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("tokens").alias("tokens"))
+    found = found.filter(F.size("tokens") > 0)  # lines without words are one group here
     return found.select("h1", "h2", "at.k", "at.pos", "tokens")
 
 
@@ -82,7 +90,7 @@ def prefixes(found: DataFrame, size: int) -> DataFrame:
     """
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))
     bits = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(bit(x)))
-    key = lambda x: F.get("_rarity", F.shiftrightunsigned(x, 64 - size).cast("int")) + F.shiftrightunsigned(x, 8)
+    key = lambda x: F.get("_rarity", F.shiftrightunsigned(x, 64 - size)) + F.shiftrightunsigned(x, 8)
     n = F.size("tokens")
     prefix = F.slice(F.sort_array(F.transform("tokens", key)), F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1)
     return found.withColumn("_rarity", rarity_table(found, size)).select("h1", "h2", "k", "pos", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
@@ -115,11 +123,13 @@ def _pairs(found: DataFrame) -> tuple[DataFrame, str]:
     return written_at(found.distinct(), "line-pairs")
 
 
-def close_pairs(rows: DataFrame, n_classes: int) -> tuple[DataFrame, str]:
+def close_pairs(rows: DataFrame, n_classes: int, least: int = 1) -> tuple[DataFrame, str]:
     """First round: a few earlier classes in the buckets of the rarest tokens.
 
     Only crowded buckets are looked at.  Rows of many buckets are one window's, or the windows
     would be too small to be quick; a bucket of very many rows is dealt over several windows.
+    A token that fewer than ``least`` rows of its windows have isn't looked at, however full
+    its bucket is: the classes of the bucket may have it far from their rarest tokens.
     """
     level = F.shiftrightunsigned("token", 56)
     rows = rows.filter(level > 4 * int(log2(CROWDED)))
@@ -129,7 +139,10 @@ def close_pairs(rows: DataFrame, n_classes: int) -> tuple[DataFrame, str]:
     order = Window.partitionBy("window").orderBy("token", "k", "pos")
     fields = (*CLASS, "token", "n", "i", "bits")
     before = F.array(*[F.lag(F.struct(*fields), j).over(order) for j in BEFORE])
-    met = rows.withColumn("window", window).select(*fields, before.alias("before")).select(*fields, F.explode("before").alias("y"))
+    rows = rows.withColumn("window", window)
+    if least > 1:
+        rows = rows.withColumn("many", F.count("*").over(Window.partitionBy("window", "token")) * salts).filter(F.col("many") >= least)
+    met = rows.select("window", *fields).select(*fields, before.alias("before")).select(*fields, F.explode("before").alias("y"))
     x, y = {c: F.col(c) for c in fields}, {c: F.col(f"y.{c}") for c in fields}
     met = met.filter((x["token"] == y["token"]) & _may_be(x, y))
     return _pairs(met.select(*[x[c].alias(f"x{c}") for c in CLASS], *[y[c].alias(f"y{c}") for c in CLASS]))
@@ -177,7 +190,7 @@ def similar(found: DataFrame) -> DataFrame:
     made, made_path = bucketed_at(prefixes(found, frequency_bits(n_classes)), "line-prefixes", ["h1", "h2"])
     met = F.shiftrightunsigned("token", 56) > 1  # a token alone in its hash bucket is of one class
     rows = lambda df, *more: df.select(*CLASS, "n", "bits", F.posexplode("prefix").alias("i", "token"), *more).filter(met)
-    settled = verified(close_pairs(rows(made.withColumn("prefix", F.slice("prefix", 1, RAREST))), n_classes), found)
+    settled = verified(close_pairs(rows(made.withColumn("prefix", F.slice("prefix", 1, RAREST))), n_classes, CROWDED), found)
     flagged = made.join(hashed(settled.withColumn("settled", F.lit(True))), ["h1", "h2"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     pairs = all_pairs(rows(flagged, "settled"))
     forgotten(found.sparkSession, made_path)  # before the token sets of the pairs are written
